@@ -30,7 +30,7 @@ WINDOW = 576
 HOP = 288
 RUN = 4096  # frames analysed at a time
 BANDS = ((2, 20), (20, 60), (60, 130), (130, 288))  # frequency bins, one peak each
-REACH = 3  # a peak is paired with peaks up to so many frames later
+REACH = 3  # a peak is paired with peaks of its own frame and up to so many frames later
 
 
 def pad_payload(data: bytes) -> bytes:
@@ -77,11 +77,9 @@ def peak_pairs(payload: bytes) -> np.ndarray:
     codes = []
     for b in range(len(BANDS)):
         other = (b + 1) % len(BANDS)
-        for dt in range(1, REACH + 1):
-            if frames <= dt:
-                continue
-            t = np.flatnonzero(loud[:-dt, b] & loud[dt:, other])
-            pair = (peaks[t, b] << 18) | (peaks[t + dt, other] << 6) | (dt << 3) | b
+        for dt in range(min(REACH + 1, frames)):
+            t = np.flatnonzero(loud[: frames - dt, b] & loud[dt:, other])
+            pair = (peaks[t, b] << 18) | (peaks[t + dt, other] << 6) | (dt << 2) | b
             codes.append((pair << 32) | t)
     found = np.concatenate(codes) if codes else np.empty(0, np.int64)
     return found[np.lexsort((found >> 32, found & 0xFFFFFFFF))]
