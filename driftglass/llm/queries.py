@@ -5,18 +5,34 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftglass.llm import bpe_automaton, langid, media, packing, token_counts
+from driftglass.llm import bpe_automaton, kneser_ney, langid, line_dedup, media, packing, pivot_index, simhash, token_counts, warc
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(_documents(spark, sf_dir))
+
+
+def op2_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc.derive(warc.responses(spark.read.parquet(f"{sf_dir}/pages.parquet")))
+    return records.select(
+        "page_id", "record_type", "record_id", "refers_to", "target_uri", "source_payload_digest", "block_digest", "block_bytes", F.sha2("record", 256).alias("record_sha256")
+    )
+
+
 def op3_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = bpe_automaton.encode_decode(_documents(spark, sf_dir))
     return done.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = line_dedup.dedup_lines(_documents(spark, sf_dir).select("doc_id", "text"))
+    return done.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_features(_documents(spark, sf_dir))
 
@@ -30,16 +46,29 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op8_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kneser_ney.language_model_scores(_documents(spark, sf_dir))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.suffix_sums(token_counts.length_histogram(_documents(spark, sf_dir)))
 
 
+def op10_pivot_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivot_index.near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 QUERIES = {
+    "op1_simhash": op1_simhash,
+    "op2_warc_derivatives": op2_warc_derivatives,
     "op3_bpe_automaton": op3_bpe_automaton,
+    "op4_line_dedup": op4_line_dedup,
     "op5_media_columns": op5_media_columns,
     "op6_language_id": op6_language_id,
     "op7_packing": op7_packing,
+    "op8_kneser_ney": op8_kneser_ney,
     "op9_token_counts": op9_token_counts,
+    "op10_pivot_index": op10_pivot_index,
 }
 
 #: The tokenizer, the sampled fit, the stored media and the packing can't be written in SQL: these are tested against brute force.
