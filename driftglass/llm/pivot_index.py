@@ -31,6 +31,7 @@ SHARED = 2
 BLOCK = 2048
 MOST_PIVOTS = 4096
 SAMPLE = 4
+APART = 0.7  # pivots are no nearer to each other: a dense group gets one, so that its members agree on their order
 STRIP = 512
 
 
@@ -66,7 +67,7 @@ def choose_pivots(vectors: DataFrame, rows: int) -> dict[int, np.ndarray]:
         nearest = np.full(len(own), -2.0)
         chosen = []
         at = 0
-        for _ in range(min(k, len(own))):
+        while len(chosen) < k and nearest[at] < APART:
             chosen.append(at)
             nearest = np.maximum(nearest, own @ own[at])
             at = int(nearest.argmin())
