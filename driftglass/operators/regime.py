@@ -35,10 +35,11 @@ def classify(matrix: DataFrame) -> DataFrame:
     volatility = F.when(vol > 1.25, "HIGH").when(vol < 0.80, "LOW").otherwise("NORMAL")
     crowd = _z("btc_funding_z")
     positioning = F.when(crowd > 1, "CROWDED_LONG").when(crowd < -1, "CROWDED_SHORT").otherwise("NEUTRAL")
-    breadth = F.round(mean_present(*(_z(a) for a in ALTS)), DIGITS)
+    breadth = F.round(mean_present(*(F.col(f"{a}__z") for a in ALTS)), DIGITS)
     rotation = F.when(breadth > 0.3, "ALT_SEASON").when(breadth < -0.3, "BTC_DOMINANCE").otherwise("NEUTRAL")
     stretch = F.when(vol == 0.0, 0.0).otherwise(F.abs((vol - 1) / 0.3))
-    confidence = F.coalesce(F.least(F.lit(1.0), mean_present(F.abs(trend_z), stretch) / 1.5), F.lit(0.0))
+    strength = mean_present(F.abs(trend_z), stretch)
+    confidence = F.when(strength.isNotNull(), F.least(F.lit(1.0), strength / 1.5)).otherwise(0.0)
 
     def item(name: str, reads: Column) -> Column:
         return F.struct(F.lit(name).alias("feature"), _raw(name).alias("raw"), _z(name).alias("z"), reads.alias("reads_as"))

@@ -229,7 +229,7 @@ def matrix(select: str) -> str:
     return f"{MATRIX} " + select.replace("{day}", DAY).replace("{rounded}", ROUNDED)
 
 
-_ALT_Z = [f"round({a}_vs_btc_63d__z, 6)" for a in ("eth", "sol", "bnb", "xrp")]
+_ALT_Z = [f"{a}_vs_btc_63d__z" for a in ("eth", "sol", "bnb", "xrp")]
 _VOL = "round(btc_vol_ratio, 6)"
 
 
@@ -237,12 +237,13 @@ def _mean_present(values: list[str]) -> str:
     return f"(({' + '.join(f'coalesce({v}, 0)' for v in values)}) / nullif({' + '.join(f'CASE WHEN {v} IS NULL THEN 0 ELSE 1 END' for v in values)}, 0))"
 
 
+_STRENGTH = _mean_present(["abs(tz)", "(CASE WHEN vr = 0 THEN 0 ELSE abs((vr - 1) / 0.3) END)"])
 CALLS = (
     "k AS (SELECT *, round(btc_trend_200d__z, 6) AS tz, round(btc_mom_63d, 6) AS mr, round(btc_mom_63d__z, 6) AS mz, round(btc_funding_z__z, 6) AS fz, " + f"{_VOL} AS vr, round({_mean_present(_ALT_Z)}, 6) AS breadth FROM m), "
     "calls AS (SELECT ts, usable, breadth, CASE WHEN mz IS NOT NULL AND tz > 0.3 AND mr > 0 THEN 'UP' WHEN mz IS NOT NULL AND tz < -0.3 AND mr < 0 THEN 'DOWN' ELSE 'SIDEWAYS' END AS trend, "
     "CASE WHEN vr > 1.25 THEN 'HIGH' WHEN vr < 0.80 THEN 'LOW' ELSE 'NORMAL' END AS volatility, CASE WHEN fz > 1 THEN 'CROWDED_LONG' WHEN fz < -1 THEN 'CROWDED_SHORT' ELSE 'NEUTRAL' END AS positioning, "
     "CASE WHEN breadth > 0.3 THEN 'ALT_SEASON' WHEN breadth < -0.3 THEN 'BTC_DOMINANCE' ELSE 'NEUTRAL' END AS alt_rotation, "
-    f"round(coalesce(least(1.0, {_mean_present(['abs(tz)', '(CASE WHEN vr = 0 THEN 0 ELSE abs((vr - 1) / 0.3) END)'])} / 1.5), 0), 4) AS confidence, "
+    f"round(coalesce(CASE WHEN {_STRENGTH} > 1.5 THEN 1.0 ELSE {_STRENGTH} / 1.5 END, 0), 4) AS confidence, "
     "trend || '_' || volatility AS label, CAST(8 AS BIGINT) AS n_evidence FROM k)"
 )
 
@@ -324,7 +325,7 @@ BACKTEST_METRICS = (
     "avg(r * r) FILTER (r < -1e-12) AS neg2, min(dd) AS mdd FROM p GROUP BY 1, 2), "
     "c AS (SELECT symbol, strategy, count(*) AS n_closed, avg(CASE WHEN pnl > 0 THEN 1.0 ELSE 0.0 END) AS win, sum(pnl) FILTER (pnl > 0) AS gain, -sum(pnl) FILTER (pnl < 0) AS loss FROM ledger WHERE pnl IS NOT NULL GROUP BY 1, 2), "
     "j AS (SELECT *, CASE WHEN n_days > 0 AND last / first > 0 THEN pow(last / first, 365.0 / n_days) - 1 ELSE 0 END AS cagr_x FROM g LEFT JOIN c USING (symbol, strategy)) "
-    "SELECT symbol, strategy, round(last / first - 1, 4) AS total_return, round(cagr_x, 4) AS cagr, round(CASE WHEN n_r >= 2 THEN sd * sqrt(365) ELSE 0 END, 4) AS annualized_vol, "
+    "SELECT symbol, strategy, round(ln(round(last / first - 1, 4) + 1), 6) AS log_growth, round(cagr_x, 4) AS cagr, round(CASE WHEN n_r >= 2 THEN sd * sqrt(365) ELSE 0 END, 4) AS annualized_vol, "
     "round(CASE WHEN sd > 0 THEN mean / sd * sqrt(365) ELSE 0 END, 3) AS sharpe, round(CASE WHEN n_neg >= 2 AND neg2 > 0 THEN mean / sqrt(neg2) * sqrt(365) ELSE 0 END, 3) AS sortino, round(coalesce(mdd, 0), 4) AS max_drawdown, "
     "round(CASE WHEN mdd < 0 THEN cagr_x / abs(mdd) ELSE 0 END, 3) AS calmar, round(coalesce(win, 0), 4) AS win_rate, "
     "round(CASE WHEN coalesce(n_closed, 0) = 0 THEN 0 WHEN coalesce(loss, 0) > 0 THEN coalesce(gain, 0) / loss WHEN coalesce(gain, 0) > 0 THEN NULL ELSE 0 END, 3) AS profit_factor, CAST(coalesce(n_closed, 0) AS BIGINT) AS n_closed FROM j"
