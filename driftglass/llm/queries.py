@@ -71,5 +71,35 @@ QUERIES = {
     "op10_pivot_index": op10_pivot_index,
 }
 
-#: The tokenizer, the sampled fit, the stored media and the packing can't be written in SQL: these are tested against brute force.
-ORACLES: dict[str, str] = {}
+#: Lines with their keys, what each key's documents are, and the lines that stay, joined again in order.
+LINE_DEDUP_SQL = r"""
+WITH lines AS (
+    SELECT doc_id, generate_subscripts(x, 1) AS pos, unnest(x) AS line FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS x FROM documents)
+), keyed AS (
+    SELECT *, translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k FROM lines
+), held AS (
+    SELECT k, min(doc_id) AS low FROM keyed WHERE length(k) >= 10 GROUP BY k HAVING min(doc_id) <> max(doc_id)
+), marked AS (
+    SELECT keyed.*, held.low IS NOT NULL AND held.low <> doc_id AS gone FROM keyed LEFT JOIN held USING (k)
+)
+SELECT doc_id, CAST(count(*) AS BIGINT) AS n_lines, CAST(count(*) FILTER (gone) AS BIGINT) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
+FROM marked GROUP BY doc_id
+"""
+
+#: All pairs by brute force, then the smallest id that links reach.
+NEAR_VECTORS_SQL = """
+WITH RECURSIVE v AS (
+    SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), links AS (
+    SELECT a.vec_id AS u, b.vec_id AS v FROM v a, v b WHERE a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.9
+), reach(u, v) AS (
+    SELECT u, v FROM links UNION SELECT reach.u, links.v FROM reach JOIN links ON reach.v = links.u
+), low AS (SELECT u, min(v) AS m FROM reach GROUP BY u), n AS (SELECT u, count(*) AS n FROM links GROUP BY u)
+SELECT vec_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_links, least(vec_id, coalesce(low.m, vec_id)) AS component_id, vec_id <= coalesce(low.m, vec_id) AS kept
+FROM embeddings LEFT JOIN low ON low.u = vec_id LEFT JOIN n ON n.u = vec_id
+"""
+
+#: XXH64, the tokenizer, compression, WAV features, name-based ids and the packing have no SQL form: those are tested against brute force.
+ORACLES: dict[str, str] = {"op4_line_dedup": LINE_DEDUP_SQL, "op10_pivot_index": NEAR_VECTORS_SQL}
