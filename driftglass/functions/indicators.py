@@ -23,21 +23,39 @@ def trailing(w: WindowSpec, n: int) -> WindowSpec:
     return w.rowsBetween(-(n - 1), 0)
 
 
+def mean_of(v: str, w: WindowSpec, n: int) -> Column:
+    r = trailing(w, n)
+    return F.when(F.count(v).over(r) == n, F.avg(v).over(r))
+
+
+def deviation_of(v: str, w: WindowSpec, n: int) -> Column:
+    r = trailing(w, n)
+    return F.when(F.count(v).over(r) == n, F.stddev_pop(v).over(r))
+
+
+def log_return_of(v: str, w: WindowSpec, n: int = 1) -> Column:
+    ratio = F.try_divide(F.col(v), F.lag(v, n).over(w))
+    return F.when(ratio > 0, F.ln(ratio))
+
+
+def expanding_zscore_of(v: str, w: WindowSpec, min_periods: int) -> Column:
+    r = w.rowsBetween(FIRST, 0)
+    seen, mean, sd = F.count(v).over(r), F.avg(v).over(r), F.stddev_pop(v).over(r)
+    return F.when((seen >= min_periods) & (sd > 0), (F.col(v) - mean) / sd)
+
+
 def sma(df: DataFrame, out: str, v: str, w: WindowSpec, n: int) -> DataFrame:
     """Mean of the last n values, NULL while any of them is missing."""
-    r = trailing(w, n)
-    return df.withColumn(out, F.when(F.count(v).over(r) == n, F.avg(v).over(r)))
+    return df.withColumn(out, mean_of(v, w, n))
 
 
 def rolling_std(df: DataFrame, out: str, v: str, w: WindowSpec, n: int) -> DataFrame:
     """Population standard deviation of the last n values."""
-    r = trailing(w, n)
-    return df.withColumn(out, F.when(F.count(v).over(r) == n, F.stddev_pop(v).over(r)))
+    return df.withColumn(out, deviation_of(v, w, n))
 
 
 def log_return(df: DataFrame, out: str, v: str, w: WindowSpec, n: int = 1) -> DataFrame:
-    ratio = F.try_divide(F.col(v), F.lag(v, n).over(w))
-    return df.withColumn(out, F.when(ratio > 0, F.ln(ratio)))
+    return df.withColumn(out, log_return_of(v, w, n))
 
 
 def diff(df: DataFrame, out: str, v: str, w: WindowSpec, n: int = 1) -> DataFrame:
@@ -47,32 +65,28 @@ def diff(df: DataFrame, out: str, v: str, w: WindowSpec, n: int = 1) -> DataFram
 def realized_vol(df: DataFrame, out: str, v: str, w: WindowSpec, n: int = 21) -> DataFrame:
     """Annualised population deviation of the last n one-step log returns."""
     step = f"__{out}_step"
-    df = rolling_std(log_return(df, step, v, w), out, step, w, n).drop(step)
-    return df.withColumn(out, F.col(out) * F.sqrt(F.lit(DAYS_PER_YEAR)))
+    return df.withColumn(step, log_return_of(v, w)).withColumn(out, deviation_of(step, w, n) * F.sqrt(F.lit(DAYS_PER_YEAR))).drop(step)
 
 
 def vol_ratio(df: DataFrame, out: str, v: str, w: WindowSpec, fast: int = 21, slow: int = 90) -> DataFrame:
-    a, b = f"__{out}_fast", f"__{out}_slow"
-    df = realized_vol(realized_vol(df, a, v, w, fast), b, v, w, slow)
-    return df.withColumn(out, F.when(F.col(b) > 0, F.col(a) / F.col(b))).drop(a, b)
+    step = f"__{out}_step"
+    own = deviation_of(step, w, slow)
+    return df.withColumn(step, log_return_of(v, w)).withColumn(out, F.when(own > 0, deviation_of(step, w, fast) / own)).drop(step)
 
 
 def pct_from_sma(df: DataFrame, out: str, v: str, w: WindowSpec, n: int) -> DataFrame:
-    mean = f"__{out}_mean"
-    return sma(df, mean, v, w, n).withColumn(out, F.try_divide(F.col(v) - F.col(mean), F.col(mean))).drop(mean)
+    mean = mean_of(v, w, n)
+    return df.withColumn(out, F.try_divide(F.col(v) - mean, mean))
 
 
 def rolling_zscore(df: DataFrame, out: str, v: str, w: WindowSpec, n: int) -> DataFrame:
-    mean, sd = f"__{out}_mean", f"__{out}_sd"
-    df = rolling_std(sma(df, mean, v, w, n), sd, v, w, n)
-    return df.withColumn(out, F.when(F.col(sd) > 0, (F.col(v) - F.col(mean)) / F.col(sd))).drop(mean, sd)
+    sd = deviation_of(v, w, n)
+    return df.withColumn(out, F.when(sd > 0, (F.col(v) - mean_of(v, w, n)) / sd))
 
 
 def expanding_zscore(df: DataFrame, out: str, v: str, w: WindowSpec, min_periods: int = 60) -> DataFrame:
     """Standardised by everything up to and including the row; needs min_periods values so far."""
-    r = w.rowsBetween(FIRST, 0)
-    seen, mean, sd = F.count(v).over(r), F.avg(v).over(r), F.stddev_pop(v).over(r)
-    return df.withColumn(out, F.when((seen >= min_periods) & (sd > 0), (F.col(v) - mean) / sd))
+    return df.withColumn(out, expanding_zscore_of(v, w, min_periods))
 
 
 def drawdown(df: DataFrame, out: str, v: str, w: WindowSpec) -> DataFrame:

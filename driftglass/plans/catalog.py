@@ -443,6 +443,6 @@ def trade_ledger(spark, d):
 
 @query(sql.BACKTEST_METRICS)
 def backtest_metrics(spark, d):
-    equity = backtest.run(decided(spark, d))
+    equity = backtest.run(decided(spark, d)).cache()  # one row per bar and strategy; read for the curve and for the ledger
     got = backtest.metrics(equity, backtest.trades(equity))
     return got.withColumn("log_growth", F.round(F.ln(F.col("total_return") + 1), 6)).drop("total_return")  # totals here reach 17 digits
