@@ -73,6 +73,26 @@ def decisions(bars: DataFrame, funding: DataFrame | None = None, custom: dict[st
     return df.select("symbol", "ts", "open", "close", each.alias("s")).select("symbol", "ts", "open", "close", "s.*")
 
 
+def python_signal(bars: DataFrame, name: str, decide: Callable) -> DataFrame:
+    """Bars with ``long_<name>`` from a Python function of the history up to each bar (a pandas frame, last row: the bar).
+
+    For strategies that no expression states; one series per task. A bar on which the function fails is not long.
+    """
+    out = f"long_{name}"
+
+    def each(history):
+        history = history.sort_values("ts")
+        found = []
+        for i in range(len(history)):
+            try:
+                found.append(bool(decide(history.iloc[: i + 1])))
+            except Exception:  # the strategy's own failure, on this bar alone
+                found.append(False)
+        return history.assign(**{out: found})
+
+    return bars.groupBy("symbol").applyInPandas(each, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in bars.schema) + f", `{out}` boolean")
+
+
 def run(decided: DataFrame, warmup: int = WARMUP, cost_bps: float = COST_BPS) -> DataFrame:
     """Per bar from the warm-up on: ``i``, ``n``, the applied ``held`` weight, ``before``, and ``equity`` as of that bar.
 

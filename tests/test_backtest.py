@@ -141,6 +141,16 @@ def test_custom_strategy_joins_the_same_job(spark):
     assert df.count() == 5 * 80
 
 
+def test_python_strategy_sees_the_past_and_fails_alone(spark):
+    def decide(history):
+        if len(history) == 5:
+            raise ValueError("no view today")
+        return history["close"].iloc[-1] >= history["close"].max()
+
+    got = backtest.python_signal(bars(spark, [1, 2, 3, 2, 5, 6, 1]), "top", decide).orderBy("ts").collect()
+    assert [r["long_top"] for r in got] == [True, True, True, False, False, True, False]
+
+
 def test_decisions_are_causal(spark):
     rng = np.random.default_rng(5)
     closes = 100 * np.exp(np.cumsum(rng.normal(0, 0.02, 260)))
