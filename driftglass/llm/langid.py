@@ -7,8 +7,8 @@ view on long texts, where a single frame would mostly refer to the text itself.
 Fitting reads at most ``passages`` passages of at most ``passage_chars`` characters per language (the documented
 bound), chosen by a hash of doc_id over all labelled rows, so it covers the whole table and costs the same at any size.
 
-Defined cases: null texts and texts without a letter get ``und`` and score 0; ties go to the language that comes first
-in alphabetical order and count as rejected; with no labelled row every text gets ``und``. A null doc_id is never learned from and is not
+Defined cases: null texts and texts without a letter get ``und`` and score 0; languages that tie in both
+window sizes go by the number of their training rows and the text counts as rejected; with no labelled row every text gets ``und``. A null doc_id is never learned from and is not
 held out. Extra columns are kept; ``lang_pred``, ``score`` and ``rejected`` in the input are replaced.
 """
 
@@ -25,6 +25,7 @@ from pyspark.sql import types as T
 UND = "und"
 LETTERS = re.compile(r"[^\W\d_]+")
 WINDOW = 1536
+FINE = 48
 LEVEL = 3
 TAIL = bytes(12)
 
@@ -39,7 +40,7 @@ def letters(text: str | None) -> bytes:
 
 
 def fit(docs: DataFrame, passages: int = 400, passage_chars: int = 400, folds: int = 4, fold: int = 2) -> dict[str, bytes]:
-    """Dictionaries by language from labelled rows outside the held-out fold."""
+    """Dictionaries by language, the language with most rows first, from labelled rows outside the held-out fold."""
     train = docs.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & ~held_out("doc_id", folds, fold))
     counts = {r["lang"]: r["n"] for r in train.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
@@ -55,7 +56,7 @@ def fit(docs: DataFrame, passages: int = 400, passage_chars: int = 400, folds: i
     )
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "passage"))
     rows = some.withColumn("rank", rank).where(F.col("rank") <= passages).orderBy("lang", "rank").collect()
-    found: dict[str, dict[bytes, None]] = {k: {} for k in sorted(counts)}
+    found: dict[str, dict[bytes, None]] = {k: {} for k in sorted(counts, key=lambda k: (-counts[k], k))}
     for r in rows:
         if x := letters(r["passage"]):
             found[r["lang"]][x] = None
@@ -66,7 +67,7 @@ class Classifier:
     """The fitted dictionaries, made ready for use in one worker."""
 
     def __init__(self, dictionaries: dict[str, bytes], level: int = LEVEL):
-        self.names = sorted(dictionaries)
+        self.names = list(dictionaries)  # the order decides ties
         self.compressors = []
         for name in self.names:
             own = dictionaries[name]
@@ -77,26 +78,29 @@ class Classifier:
             held.precompute_compress(compression_params=how)
             self.compressors.append(zstandard.ZstdCompressor(dict_data=held, compression_params=how))
 
-    def sizes(self, text: str | None) -> list[int] | None:
+    def sizes(self, data: bytes, window: int = WINDOW) -> list[int]:
         """Total compressed size per language; the tail lets matches reach the last letters of a window."""
-        data = letters(text)
-        if not data or not self.names:
-            return None
-        data = b" " + data + b" "
-        windows = [data[i : i + WINDOW] + TAIL for i in range(0, len(data), WINDOW)]
+        windows = [data[i : i + window] + TAIL for i in range(0, len(data), window)]
         return [sum(len(c.compress(w)) for w in windows) for c in self.compressors]
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
-        """Language, confidence in 0..1 and whether the margin is too narrow to trust."""
-        sizes = self.sizes(text)
-        if sizes is None:
+        """Language, confidence in 0..1 and whether the margin is too narrow to trust.
+
+        Languages that tie are compared once more in small windows, which refer to the dictionary more often.
+        """
+        data = letters(text)
+        if not data or not self.names:
             return UND, 0.0, True
-        order = sorted(range(len(sizes)), key=lambda i: (sizes[i], self.names[i]))
+        data = b" " + data + b" "
+        sizes, share = self.sizes(data), 1.0
+        if len(sizes) > 1 and sorted(sizes)[0] == sorted(sizes)[1]:
+            least, share = min(sizes), 0.5
+            sizes = [s if sizes[i] == least else 1 << 62 for i, s in enumerate(self.sizes(data, FINE))]
+        order = sorted(range(len(sizes)), key=lambda i: (sizes[i], i))
         best = sizes[order[0]]
         margin = sizes[order[1]] - best if len(order) > 1 else best
-        score = 1.0 - 0.5 ** (margin / (1.0 + 0.01 * best))
-        return self.names[order[0]], min(1.0, max(0.0, score)), False
-
+        score = share * (1.0 - 0.5 ** (margin / (1.0 + 0.01 * best)))
+        return self.names[order[0]], min(1.0, max(0.0, score)), margin == 0
 
 
 def identify(docs: DataFrame, dictionaries: dict[str, bytes], min_score: float = 0.0) -> DataFrame:
