@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from driftglass.llm.common import materialize
 from driftglass.llm.tokens import DEFAULT, broadcast_vocabulary, worker_encoder
 
 BLOCK = 256
@@ -44,6 +45,7 @@ def length_histogram(docs: DataFrame, vocabulary: str = DEFAULT, text: str = "te
 
 def suffix_sums(histogram: DataFrame) -> DataFrame:
     """Per length L present: documents and tokens of length >= L, and the total when every document is cut at L tokens."""
+    histogram = materialize(histogram, "length-histogram")  # read twice below; encoding the corpus once is enough
     h = histogram.select("n_tokens", "n_docs", (F.col("n_tokens") * F.col("n_docs")).alias("tokens"), F.floor(F.col("n_tokens") / BLOCK).alias("block"))
     blocks = h.groupBy("block").agg(F.sum("n_docs").alias("d"), F.sum("tokens").alias("t"))
     above = Window.orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1)
