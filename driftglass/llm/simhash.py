@@ -164,7 +164,8 @@ def verify(sorted_variants: DataFrame, limit: int | None) -> DataFrame:
 
 def links(fps: DataFrame) -> DataFrame:
     """Links ``u``, ``v`` that connect all fingerprints of each component."""
-    met = variants(fps).repartition("key").sortWithinPartitions("key")
+    spread = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # each row becomes 64, so partitions merged by size would be 64 times too large
+    met = variants(fps.repartition(spread)).repartition("key").sortWithinPartitions("key")
     first = materialize(verify(met, LIMIT), "simhash-links")
     waiting = first.where("key is not null").select("key", F.col("u").alias("fp"))
     if waiting.isEmpty():
