@@ -21,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 ALTS = ("1-URGENT", "2-HIGH", "3-MEDIUM", "5-LOW")
+PRIORITIES = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
 
 
 def query(oracle: str | None = None):
@@ -146,10 +147,8 @@ def rel_strength_63(spark, d):
 
 @query(sql.ASOF_STALENESS)
 def asof_staleness(spark, d):
-    base = calendar(spark, d).select("ts")
     source = daily(spark, d).select("symbol", "ts", F.col("close").alias("value"))
-    symbols = source.select("symbol").distinct()
-    targets = base.join(F.broadcast(symbols))  # a handful of symbols against a calendar of days
+    targets = calendar(spark, d).select("ts", F.explode(F.array(*[F.lit(s) for s in PRIORITIES])).alias("symbol"))
     two = asof.asof(targets, source, "within_2d", 2, by=["symbol"])
     both = asof.asof(two, source, "within_5d", 5, by=["symbol"])
     return both.select("symbol", day(), r6("within_2d"), r6("within_5d"))

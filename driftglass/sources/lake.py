@@ -44,7 +44,7 @@ def write_bars(incoming: DataFrame, lake: str, kind: str = "bars") -> None:
     merged = incoming.select(STORED.names)
     if exists(spark, path):
         touched = incoming.select("symbol", "tf").distinct()
-        merged = latest_wins(spark.read.schema(STORED).parquet(path).join(F.broadcast(touched), ["symbol", "tf"], "left_semi").select(STORED.names), merged)
+        merged = latest_wins(spark.read.schema(STORED).parquet(path).join(touched, ["symbol", "tf"], "left_semi").select(STORED.names), merged)
     else:
         merged = latest_wins(merged.limit(0), merged)
     staged = f"{lake}/.staged-{kind}"
