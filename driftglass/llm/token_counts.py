@@ -82,9 +82,8 @@ def truncated_totals(sums: DataFrame, limits: list[int]) -> DataFrame:
 
 def length_quantiles(sums: DataFrame, shares: list[float]) -> DataFrame:
     """For each share q, the smallest length L with at least q of all documents no longer than L (q = 0: the minimum)."""
-    total = sums.agg(F.sum("n_docs").alias("all_docs"))
-    up_to = F.col("all_docs") - F.col("docs_at_least") + F.col("n_docs")
-    joined = sums.join(F.broadcast(total))
-    row = joined.agg(*[F.min(F.when(up_to >= F.lit(float(q)) * F.col("all_docs"), F.col("n_tokens"))).alias(f"c{i}") for i, q in enumerate(shares)])
+    total = sums.agg(F.sum("n_docs")).first()[0] or 0
+    up_to = F.lit(total) - F.col("docs_at_least") + F.col("n_docs")
+    row = sums.agg(*[F.min(F.when(up_to >= float(q) * total, F.col("n_tokens"))).alias(f"c{i}") for i, q in enumerate(shares)])
     pairs = F.explode(F.array(*[F.struct(F.lit(float(q)).alias("share"), F.col(f"c{i}").alias("n_tokens")) for i, q in enumerate(shares)]))
     return row.select(pairs.alias("p")).select("p.*")
