@@ -154,6 +154,7 @@ def near_vectors(vectors: DataFrame) -> DataFrame:
     described = materialize(permutations(own, choose_pivots(own, own.count())), "pivot-permutations")
     sizes = described.select(F.explode("near").alias("pivot")).groupBy("pivot").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
     lists = described.select("vec_id", "x", "near", F.explode("near").alias("pivot"))
+    # sizes has at most one row per pivot, and pivots are bounded
     dealt = lists.join(F.broadcast(sizes.where("blocks > 1")), "pivot", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1).cast("long")))
     dealt = dealt.withColumn("own", F.pmod(F.xxhash64("vec_id"), F.col("blocks")))
     met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
