@@ -23,9 +23,14 @@ def result(df):
 
 
 def test_recall_on_table(spark):
-    df = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
-    links = brute([(r["vec_id"], r["embedding"]) for r in df.collect()])
-    got = result(df)
+    """The table has no near pairs of its own, so noisy copies are planted: cosines from about 0.85 to 0.99."""
+    own = [(r["vec_id"], list(map(float, r["embedding"]))) for r in spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").collect()]
+    rng = np.random.default_rng(11)
+    noisy = lambda x, s: (np.array(x) + rng.normal(0, s * np.linalg.norm(x) / len(x) ** 0.5, len(x))).tolist()
+    rows = own + [(10_000 + 10 * i + k, noisy(x, s)) for i, (_, x) in enumerate(own[:150]) for k, s in enumerate((0.1, 0.3, 0.45))]
+    links = brute(rows)
+    assert sum(map(len, links.values())) > 600
+    got = result(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
     assert len(got) == len(links)
     assert all(got[i]["n_links"] <= len(x) for i, x in links.items())
     assert sum(r["n_links"] for r in got.values()) >= 0.9 * sum(map(len, links.values()))
