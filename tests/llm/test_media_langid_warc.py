@@ -87,6 +87,26 @@ def test_whole_text_counts():
     assert model.predict("the cat " * 30 + "le chat et le chien " * 4000)[0] == "fr"
 
 
+def test_language_id_rejects_narrow_margins(small):
+    dictionaries = langid.fit(small)
+    rng = np.random.default_rng(3)
+    model, ties = langid.Classifier(dictionaries), langid.Classifier(dictionaries, min_margin=0.0)
+    noise = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz    "), 600)) for _ in range(40)]
+    assert sum(model.predict(t)[2] for t in noise) >= 38 > sum(ties.predict(t)[2] for t in noise)
+    assert model.predict("быстрая лиса прыгает через собаку " * 9)[2]
+    held = small.where(langid.held_out() & F.col("text").isNotNull()).select("lang", "text").collect()
+    found = [(model.predict(r["text"]), r["lang"]) for r in held]
+    assert sum(p[2] for p, lang in found if p[0] == lang) <= 0.05 * len(held)
+
+
+def test_one_language_rejects_the_others(small):
+    fitted = langid.fit(small)
+    held = [r for r in small.where(langid.held_out()).select("lang", "text").collect() if r["text"] and len(r["text"]) > 200]
+    one = langid.Classifier({"en": fitted["en"]})
+    own, other = ([one.predict(r["text"])[2] for r in held if (r["lang"] == "en") == same] for same in (True, False))
+    assert own and other and sum(own) <= 0.1 * len(own) and sum(other) >= 0.9 * len(other)
+
+
 PAGES = [
     (1, "http://a.example/x", '<html><head><title>A &amp; B</title><style>p{}</style><script>var t="</p>";</script></head><body><p>One&nbsp;two<br>three</p><!-- no --><a href="/l?a=1&amp;b=2">link</a></body></html>'),
     (2, None, None), (3, "http://b.example", ""), (4, "u", "HTTP/1.1 404 Not Found\r\nContent-Type: text/plain\r\nX-Y: z\r\n\r\ngone < here"), (1, "http://a.example/x", "plain"), (None, "n", "<p>" + "w " * 50000),
