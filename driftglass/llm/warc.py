@@ -8,8 +8,9 @@ back survives any later shuffle. ``write_records`` stores records as one gzip me
 Record ids are name-based (from page id, target URI and payload digest), so a repeated run or a retried task gives the same ids.
 
 Defined cases: a null or empty page is a response with an empty payload, an empty text and no links; a null URL is an
-empty target URI; a payload that begins with an HTTP status line brings its own headers, any other gets minimal ones;
-repeated rows give equal records; an empty table gives none; other columns are not read.
+empty target URI; a payload that begins with an HTTP status line and headers up to a blank line brings its own headers,
+any other gets minimal ones; a header that is repeated has the list of its values; links in noscript and template count,
+those written by scripts or inside comments don't; repeated rows give equal records; an empty table gives none; other columns are not read.
 """
 
 from __future__ import annotations
@@ -31,6 +32,8 @@ from driftglass.llm.common import put_file
 DATE = "1970-01-01T00:00:00Z"
 SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # the standard's name space for URLs
 HIDDEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|template|noscript)\b[^>]*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
+OPAQUE = re.compile(r"<!--.*?(?:-->|\Z)|(<(script|style)\b[^>]*>).*?(?:</\2\s*>|\Z)", re.S | re.I)
+STATUS = re.compile(rb"HTTP/\d(?:\.\d)? \d{3}(?: [^\r\n]*)?(?:\r\n|\Z)")
 BREAKS = re.compile(
     r"</?(?:address|article|aside|blockquote|body|br|dd|div|dl|dt|fieldset|figcaption|figure|footer|form|h[1-6]|head|header|hr|html|li|main|nav|ol|p|pre|section|table|td|th|title|tr|ul)\b[^>]*>", re.I
 )
@@ -54,19 +57,40 @@ def serialize(headers: dict[str, str], block: bytes) -> bytes:
     return head.encode() + b"\r\n" + block + b"\r\n\r\n"
 
 
-def parse(record: bytes) -> tuple[dict[str, str], bytes]:
+def fields(lines: list[str]) -> dict[str, str | list[str]]:
+    """Value by name in the order of the lines, of a repeated name the list of its values; an indented line goes on the one before."""
+    pairs: list[list[str]] = []
+    for line in lines:
+        if line[:1] in (" ", "\t") and pairs:
+            pairs[-1][1] = f"{pairs[-1][1]} {line.strip()}".strip()
+        else:
+            name, _, value = line.partition(":")
+            pairs.append([name.strip(), value.strip()])
+    found: dict[str, str | list[str]] = {}
+    for name, value in pairs:
+        if name not in found:
+            found[name] = value
+        elif isinstance(found[name], list):
+            found[name].append(value)
+        else:
+            found[name] = [found[name], value]
+    return found
+
+
+def parse(record: bytes) -> tuple[dict[str, str | list[str]], bytes]:
     """Headers and block of one serialized record."""
     head, _, rest = record.partition(b"\r\n\r\n")
-    headers = dict(line.split(": ", 1) for line in head.decode().split("\r\n")[1:])
+    headers = fields(head.decode().split("\r\n")[1:])
     return headers, rest[: int(headers["Content-Length"])]
 
 
-def split_http(block: bytes) -> tuple[str, dict[str, str], bytes]:
-    """Status line, headers and payload of an HTTP response."""
-    head, _, payload = block.partition(b"\r\n\r\n")
+def split_http(block: bytes) -> tuple[str, dict[str, str | list[str]], bytes]:
+    """Status line, headers and payload of an HTTP response; a block that isn't one is all payload."""
+    head, end, payload = block.partition(b"\r\n\r\n")
+    if not end or not STATUS.match(head):
+        return "", {}, block
     status, *lines = head.decode("utf-8", "replace").split("\r\n")
-    pairs = (x.partition(":") for x in lines)
-    return status, {k.strip(): v.strip() for k, _, v in pairs}, payload
+    return status, fields(lines), payload
 
 
 def page_text(page: str) -> str:
@@ -79,15 +103,16 @@ def page_text(page: str) -> str:
 
 def page_metadata(page: str) -> dict:
     title = TITLE.search(page)
-    links = [{"path": f"{m[1].upper()}@/{m[2].lower()}", "url": html.unescape(m[3] or m[4] or m[5] or "")} for m in LINK.finditer(HIDDEN.sub(" ", page))]
+    links = [{"path": f"{m[1].upper()}@/{m[2].lower()}", "url": html.unescape(m[3] or m[4] or m[5] or "")} for m in LINK.finditer(OPAQUE.sub(lambda m: m[1] or " ", page))]
     return {"Title": html.unescape(title[1]).strip() if title else None, "Links": links}
 
 
 def response(page_id: object, url: str | None, page: str | None, date: str = DATE) -> bytes:
     """One page as a serialized response record."""
     payload = (page or "").encode()
-    if payload.startswith(b"HTTP/"):
-        block, payload = payload, split_http(payload)[2]
+    status, _, body = split_http(payload)
+    if status:
+        block, payload = payload, body
     else:
         block = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode() + payload
     uri, of_payload = " ".join((url or "").split()), digest(payload)

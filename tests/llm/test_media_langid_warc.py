@@ -148,6 +148,37 @@ def test_sources_keep_their_headers(pages):
     assert meta["Response-Message"] == "HTTP/1.1 404 Not Found" and meta["Headers"]["X-Y"] == "z" and meta["Entity-Length"] == 11
 
 
+def metadata_of(page):
+    (_, _, meta), (_, _, conversion) = warc.derivatives(warc.response(1, "u", page))
+    found = json.loads(warc.parse(meta)[1])["Envelope"]["Payload-Metadata"]["HTTP-Response-Metadata"]
+    return found, warc.parse(conversion)
+
+
+def test_repeated_headers_all_stay():
+    page = "HTTP/1.1 200 OK\r\nSet-Cookie: a=1\r\nVia: x\r\nSet-Cookie: b=2; Path=/\r\nX-Long: one\r\n  two\r\nSet-Cookie: a=1\r\n\r\nbody"
+    found, (_, block) = metadata_of(page)
+    assert found["Response-Message"] == "HTTP/1.1 200 OK" and block == b"body"
+    assert list(found["Headers"].items()) == [("Set-Cookie", ["a=1", "b=2; Path=/", "a=1"]), ("Via", "x"), ("X-Long", "one two")]
+    record = b"WARC/1.1\r\nWARC-Concurrent-To: <a>\r\nWARC-Concurrent-To: <b>\r\nContent-Length: 2\r\n\r\nhi\r\n\r\n"
+    assert warc.parse(record) == ({"WARC-Concurrent-To": ["<a>", "<b>"], "Content-Length": "2"}, b"hi")
+
+
+def test_pages_that_only_look_like_http():
+    for page in ("HTTP/2 explained in ten lines", "HTTP/1.1 200 OK", "HTTP/2 explained\r\n\r\nmore", "HTTP/1.1 2000 things\r\n\r\nmore", "HTTP/1.1 200 OK\r\nServer: x"):
+        found, (headers, block) = metadata_of(page)
+        assert found["Response-Message"] == "HTTP/1.1 200 OK" and found["Headers"]["Content-Type"] == "text/html; charset=utf-8"
+        assert found["Entity-Length"] == len(page) and headers["WARC-Source-Payload-Digest"] == warc.digest(page.encode())
+        assert block.decode().split() == page.split()
+    found, (_, block) = metadata_of("HTTP/2 204\r\n\r\nrest")
+    assert found["Response-Message"] == "HTTP/2 204" and found["Headers"] == {} and block == b"rest"
+
+
+def test_links_of_scripts_and_noscript():
+    page = '<script src="/a.js">var x = "<a href=/no>";</script><noscript><img src=/b.png></noscript><!-- <a href="/gone"> --><style>/* <a href=/no> */</style><a href="/c">c</a><script src="/d.js">'
+    assert warc.page_metadata(page)["Links"] == [{"path": "SCRIPT@/src", "url": "/a.js"}, {"path": "IMG@/src", "url": "/b.png"}, {"path": "A@/href", "url": "/c"}, {"path": "SCRIPT@/src", "url": "/d.js"}]
+    assert warc.page_text(page) == "c"
+
+
 def test_write_records(pages, tmp_path):
     records = warc.derive(warc.responses(pages)).coalesce(1)
     files = warc.write_records(records, f"file://{tmp_path}").collect()
