@@ -52,15 +52,15 @@ def fingerprint(text: str | None) -> int:
     return int(np.packbits(2 * ones > len(starts)).view(">i8")[0])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """``doc_id`` and ``fp`` of every row."""
+def fingerprints(docs: DataFrame, *more: str) -> DataFrame:
+    """``doc_id``, ``fp`` and the long columns ``more`` of every row."""
 
     def run(batches):
         for batch in batches:
             fps = [fingerprint(x.as_py()) for x in batch.column(1)]
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "fp": pa.array(fps, pa.int64())})
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "fp": pa.array(fps, pa.int64())} | {n: batch.column(n) for n in more})
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select("doc_id", "text", *more).mapInArrow(run, ", ".join(f"{n} long" for n in ("doc_id", "fp", *more)))
 
 
 def variants(fps: DataFrame) -> DataFrame:
@@ -178,12 +178,25 @@ def links(fps: DataFrame) -> DataFrame:
     return first.where("v is not null").select("u", "v").unionByName(second.select("u", "v"))
 
 
+def _rooted(fps: DataFrame) -> DataFrame:
+    """``fps`` (one row per ``fp``) with ``root``, one fingerprint that names the component."""
+    parts = connected_components(links(fps.select("fp")), "simhash-components")
+    return fps.join(parts.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("component", "fp")).drop("component")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """Per row of ``docs``: ``doc_id``, ``fingerprint`` (16 hex digits) and ``component_id``, the smallest doc_id reachable by links."""
     own = materialize(fingerprints(docs), "simhash-fingerprints")
-    fps = own.groupBy("fp").agg(F.min("doc_id").alias("low"))
-    parts = connected_components(links(fps.select("fp")), "simhash-components")
-    rooted = fps.join(parts.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "low", F.coalesce("component", "fp").alias("root"))
+    rooted = _rooted(own.groupBy("fp").agg(F.min("doc_id").alias("low")))
     lowest = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
     named = rooted.select("fp", "root").join(lowest, "root").select("fp", "component_id")
     return own.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def copies(docs: DataFrame) -> DataFrame:
+    """``doc_id`` and ``text_hash`` (xxhash64 of the text) of all named rows but those first in their component by these two."""
+    own = materialize(fingerprints(docs.withColumn("text_hash", F.xxhash64("text")), "text_hash"), "simhash-fingerprints")
+    rooted = _rooted(own.groupBy("fp").agg(F.min(F.expr("if(doc_id is null, null, struct(doc_id, text_hash))")).alias("low")))
+    first = rooted.groupBy("root").agg(F.min("low").alias("first"))
+    named = rooted.select("fp", "root").join(first, "root").select("fp", "first")
+    return own.join(named, "fp").where("struct(doc_id, text_hash) <> first and doc_id is not null").select("doc_id", "text_hash").distinct()

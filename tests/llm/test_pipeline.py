@@ -46,6 +46,15 @@ def test_odd_rows(spark, odd):
     check(spark, odd)
 
 
+def test_near_duplicates_go_row_by_row(spark):
+    a, b = (" ".join(f"{w}{i}" for i in range(60)) for w in "ab")
+    table = [(1, a), (2, a), (2, b), (3, b), (3, a), (4, "one"), (4, "two"), (None, a)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in table], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.near_duplicate_stage(spark, docs, "unused")
+    assert [r[:2] for r in rows(kept)] == sorted([(1, a), (2, b), (4, "one"), (4, "two"), (None, a)], key=lambda r: (r[0] is None, r[0] or 0, str(r)))
+    assert kept.columns == docs.columns
+
+
 def test_empty(spark, none):
     assert [t.count() for t in stages(spark, none)] == [0] * 5
 
