@@ -32,17 +32,17 @@ SEED = 42
 RUN = 1 << 16
 
 
-def fingerprint(text: str | None) -> int:
-    """Signed 64-bit fingerprint: a bit is set if it is set in over half of the shingles' hashes."""
+def fingerprint(text: str | None, width: int = WORDS) -> int:
+    """Signed 64-bit fingerprint: a bit is set if it is set in over half of the hashes of the shingles of ``width`` words."""
     words = text.encode().lower().split() if text else []
     if not words:
         return 0
-    if len(words) <= WORDS:
+    if len(words) <= width:
         starts, ends = [0], [sum(map(len, words)) + len(words) - 1]
     else:
         after = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
-        starts = np.concatenate([[0], after[: -WORDS]]).tolist()
-        ends = (after[WORDS - 1 :] - 1).tolist()
+        starts = np.concatenate([[0], after[:-width]]).tolist()
+        ends = (after[width - 1 :] - 1).tolist()
     joined = b" ".join(words)
     digest = xxhash.xxh64_digest
     ones = np.zeros(64, np.int64)
@@ -52,12 +52,12 @@ def fingerprint(text: str | None) -> int:
     return int(np.packbits(2 * ones > len(starts)).view(">i8")[0])
 
 
-def fingerprints(docs: DataFrame, *more: str) -> DataFrame:
+def fingerprints(docs: DataFrame, *more: str, words: int = WORDS) -> DataFrame:
     """``doc_id``, ``fp`` and the long columns ``more`` of every row."""
 
     def run(batches):
         for batch in batches:
-            fps = [fingerprint(x.as_py()) for x in batch.column(1)]
+            fps = [fingerprint(x.as_py(), words) for x in batch.column(1)]
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "fp": pa.array(fps, pa.int64())} | {n: batch.column(n) for n in more})
 
     return docs.select("doc_id", "text", *more).mapInArrow(run, ", ".join(f"{n} long" for n in ("doc_id", "fp", *more)))
@@ -184,18 +184,18 @@ def _rooted(fps: DataFrame) -> DataFrame:
     return fps.join(parts.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("component", "fp")).drop("component")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """Per row of ``docs``: ``doc_id``, ``fingerprint`` (16 hex digits) and ``component_id``, the smallest doc_id reachable by links."""
-    own = materialize(fingerprints(docs), "simhash-fingerprints")
+    own = materialize(fingerprints(docs, words=words), "simhash-fingerprints")
     rooted = _rooted(own.groupBy("fp").agg(F.min("doc_id").alias("low")))
     lowest = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
     named = rooted.select("fp", "root").join(lowest, "root").select("fp", "component_id")
     return own.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def copies(docs: DataFrame) -> DataFrame:
+def copies(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """``doc_id`` and ``text_hash`` (xxhash64 of the text) of all named rows but those first in their component by these two."""
-    own = materialize(fingerprints(docs.withColumn("text_hash", F.xxhash64("text")), "text_hash"), "simhash-fingerprints")
+    own = materialize(fingerprints(docs.withColumn("text_hash", F.xxhash64("text")), "text_hash", words=words), "simhash-fingerprints")
     rooted = _rooted(own.groupBy("fp").agg(F.min(F.expr("if(doc_id is null, null, struct(doc_id, text_hash))")).alias("low")))
     first = rooted.groupBy("root").agg(F.min("low").alias("first"))
     named = rooted.select("fp", "root").join(first, "root").select("fp", "first")

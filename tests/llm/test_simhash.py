@@ -54,6 +54,16 @@ def test_table(small):
     check(small)
 
 
+def test_words_is_a_parameter(spark):
+    text = "one two three four five six seven"
+    shingles = ["one two three four five", "two three four five six", "three four five six seven"]
+    h = [xxhash.xxh64_intdigest(x.encode(), 42) for x in shingles]
+    want = sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+    docs = spark.createDataFrame([(1, text), (2, "one")], "doc_id long, text string")
+    got = {r["doc_id"]: r["fingerprint"] for r in simhash.near_duplicates(docs, words=5).collect()}
+    assert got == {1: f"{want:016x}", 2: f"{xxhash.xxh64_intdigest(b'one', 42):016x}"}
+
+
 def test_empty(none):
     assert simhash.near_duplicates(none).count() == 0
 
