@@ -3,21 +3,25 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset (local tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a temporary one if driver and executors are one process, else an error."""
     sc = spark.sparkContext
     root = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if root is None:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = f"file://{tempfile.mkdtemp(prefix='driftglass-')}"
         sc.setCheckpointDir(root)
     return root.rstrip("/")
@@ -51,15 +55,24 @@ def put_file(uri: str, data: bytes) -> None:
 
 
 def map_file(uri: str) -> np.ndarray:
-    """The bytes of ``uri`` as a read-only memory map; a remote file is first copied to an unlinked local one."""
+    """The bytes of ``uri``: a memory map where the shared folder is a mounted path, else read whole. A missing file is an error."""
     fs, path = pafs.FileSystem.from_uri(uri)
     if isinstance(fs, pafs.LocalFileSystem):
         return np.memmap(path, dtype=np.uint8, mode="r")
-    with tempfile.TemporaryFile() as local, fs.open_input_stream(path) as remote:
-        while chunk := remote.read(1 << 24):
-            local.write(chunk)
-        local.flush()
-        return np.memmap(local, dtype=np.uint8, mode="r")
+    with fs.open_input_file(path) as remote:
+        return np.frombuffer(remote.read_buffer(), np.uint8)
+
+
+def slices(batch: pa.RecordBatch, text: str, rows: int = 256, size: int = 1 << 22):
+    """A batch in slices of at most ``rows`` rows and, but for the last row of a slice, ``size`` bytes of ``text``, so that work on them is bounded."""
+    column = batch.column(text)
+    wide = np.cumsum(np.fromiter((x or 0 for x in pc.binary_length(column).to_pylist()), np.int64, batch.num_rows))
+    at = done = 0
+    while at < batch.num_rows:
+        n = min(rows, int(np.searchsorted(wide[at : at + rows], done + size)) + 1, batch.num_rows - at)
+        yield batch.slice(at, n)
+        at += n
+        done = int(wide[at - 1])
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

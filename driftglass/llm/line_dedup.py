@@ -2,20 +2,22 @@
 
 A line's key is the line stripped of white space with A-Z lower-cased; keys of at least ``MIN_CHARS`` code points
 count. Each task reduces its keys to 128-bit hashes with the number of documents and the smallest and largest doc_id, Spark
-adds these up, and the hashes found in at least two documents are dealt to shards of about ``SHARD`` entries. Each
-shard becomes one file in the shared folder: a minimal perfect hash (bit arrays per level with ranks) that indexes an
-array of 64-bit fingerprints, one of counts and one of smallest ids. Documents then probe the memory-mapped shards; no
-line is joined or shuffled a second time. Hashes found in one document can't drop a line and are left out; their
-probes fail at the fingerprint.
+adds these up, and all distinct hashes are dealt to shards of about ``SHARD`` entries. Each shard becomes one file in
+the shared folder: a minimal perfect hash (bit arrays per level with ranks) that indexes an array of 64-bit
+fingerprints and one of counts, a byte each; where a count is over one, the smallest id stands in a list beside them.
+Documents then probe the memory-mapped shards; no line is joined or shuffled a second time. Every shard writes its
+file, an empty one as well: a missing file is an error.
 
 Defined cases: null and empty texts are one empty line, kept as an empty text; white space alone is too short a key;
-a line that only repeats within one document stays; rows that share a doc_id count as one document; rows with a null
+a line that only repeats within one document stays; very long texts are held one at a time beside a slice of others; rows that share a doc_id count as one document; rows with a null
 doc_id count as one further document, larger than all others. Columns other than the text are kept; ``n_lines`` and ``n_dropped``
 in the input are replaced.
 """
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -23,13 +25,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from driftglass.llm.common import map_file, materialize, mix64, put_file, shared_path
+from driftglass.llm.common import map_file, materialize, mix64, put_file, shared_path, slices
 
 MIN_CHARS = 10
 SHARD = 1 << 18
 LEVELS = 40
 NO_ID = (1 << 63) - 1
 FLUSH = 1 << 19
+MAPPED = 64  # shards that a worker keeps mapped
 BLANKS = b" \t\n\x0b\x0c\r"
 
 
@@ -87,10 +90,10 @@ def line_hashes(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "h1 long, h2 long, n long, low long, high long")
 
 
-def repeated_lines(docs: DataFrame) -> DataFrame:
-    """The hashes found in at least two documents."""
+def distinct_lines(docs: DataFrame) -> DataFrame:
+    """All hashes ``h1``, ``h2`` with ``n``, the number of rows (1 where all of them share a doc_id), and the smallest id ``low``."""
     summed = line_hashes(docs).groupBy("h1", "h2").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
-    return summed.where("low <> high")
+    return summed.select("h1", "h2", F.expr("if(low = high, 1L, n)").alias("n"), "low")
 
 
 def step(level: int) -> np.uint64:
@@ -123,8 +126,10 @@ def build_shard(h1: np.ndarray, h2: np.ndarray, counts: np.ndarray, low: np.ndar
     key = np.concatenate([x[0] for x in owned]) if owned else np.empty(0, np.int64)
     place = np.concatenate([x[1] for x in owned]) if owned else np.empty(0, np.int64)
     order = np.concatenate([key[np.argsort(place)], todo])
-    head = np.array([len(offsets), len(words), len(key), len(todo)], np.int64)
-    parts = [head, np.array(offsets, np.int64), words, ranks, h2[order], counts[order].astype(np.int64), low[order], h1[todo]]
+    counts = np.minimum(counts[order], 255).astype(np.uint8)
+    several = np.flatnonzero(counts > 1)
+    head = np.array([len(offsets), len(words), len(key), len(todo), len(several)], np.int64)
+    parts = [head, np.array(offsets, np.int64), words, ranks, h2[order], h1[todo], several, low[order[several]], counts]
     return b"".join(x.tobytes() for x in parts)
 
 
@@ -132,9 +137,9 @@ class Shard:
     """One memory-mapped shard."""
 
     def __init__(self, data: np.ndarray):
-        words = data.view(np.int64)
-        levels, n_words, self.n, over = (int(x) for x in words[:4])
-        at = 4
+        words = data[: len(data) // 8 * 8].view(np.int64)
+        levels, n_words, self.n, over, several = (int(x) for x in words[:5])
+        at = 5
 
         def take(n, kind=np.int64):
             nonlocal at
@@ -143,8 +148,13 @@ class Shard:
 
         self.offsets = take(levels).tolist()
         self.words, self.ranks = take(n_words, np.uint64), take(n_words + 1)
-        self.fingerprints, self.counts, self.low = take(self.n + over, np.uint64), take(self.n + over), take(self.n + over)
-        self.over = take(over, np.uint64)
+        self.fingerprints, self.over = take(self.n + over, np.uint64), take(over, np.uint64)
+        self.several, self.low = take(several), take(several)
+        self.counts = data[8 * at : 8 * at + self.n + over]
+
+    def kept_in(self, at: np.ndarray) -> np.ndarray:
+        """The smallest id of entries whose count is over one."""
+        return self.low[np.searchsorted(self.several, at)]
 
     def find(self, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
         """The index of each hash in the arrays, or -1."""
@@ -169,35 +179,26 @@ class Shard:
 def build_index(docs: DataFrame) -> tuple[str, int]:
     """Write the shards; returns their folder in the shared file system and their number."""
     spark = docs.sparkSession
-    lines = materialize(repeated_lines(docs), "line-hashes")
+    lines = materialize(distinct_lines(docs), "line-hashes")
     shards = max(1, -(-lines.count() // SHARD))
     folder = shared_path(spark, "line-index")
 
     def build(table: pa.Table) -> pa.Table:
         shard = table.column("shard")[0].as_py()
+        table = table.filter(table.column("n").is_valid())
         h1, h2 = (table.column(c).to_numpy().view(np.uint64) for c in ("h1", "h2"))
         put_file(f"{folder}/{shard}", build_shard(h1, h2, table.column("n").to_numpy(), table.column("low").to_numpy()))
         return pa.table({"shard": pa.array([shard], pa.int64()), "n": pa.array([table.num_rows], pa.int64())})
 
     dealt = lines.withColumn("shard", F.pmod("h2", F.lit(shards).cast("long")))
-    dealt.groupBy("shard").applyInArrow(build, "shard long, n long").agg(F.sum("n")).collect()
+    every = spark.range(shards).select(*[F.lit(None).cast("long").alias(c) for c in lines.columns], F.col("id").alias("shard"))
+    dealt.unionByName(every).groupBy("shard").applyInArrow(build, "shard long, n long").agg(F.sum("n")).collect()
     return folder, shards
 
 
-_mapped: dict[str, dict[int, Shard | None]] = {}
-
-
-def _shard(folder: str, number: int) -> Shard | None:
-    if folder not in _mapped:
-        _mapped.clear()
-        _mapped[folder] = {}
-    held = _mapped[folder]
-    if number not in held:
-        try:
-            held[number] = Shard(map_file(f"{folder}/{number}"))
-        except FileNotFoundError:  # no repeated line fell on this shard
-            held[number] = None
-    return held[number]
+@lru_cache(maxsize=MAPPED)
+def mapped_shard(folder: str, number: int) -> Shard:
+    return Shard(map_file(f"{folder}/{number}"))
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
@@ -209,7 +210,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         digest = xxhash.xxh3_128_digest
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, "text")):
             ids = batch.column("doc_id").to_pylist()
             docs_lines = [(x.as_py() or "").encode().split(b"\n") for x in batch.column("text")]
             digests, owner, place = [], [], []
@@ -225,13 +226,14 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
                 doc = np.array([NO_ID if x is None else x for x in ids], np.int64)[owner]
                 number = (h2.view(np.int64) % shards).astype(np.int64)
                 for s in np.unique(number):
-                    shard = _shard(folder, int(s))
-                    if shard is None:
-                        continue
+                    shard = mapped_shard(folder, int(s))
                     own = np.flatnonzero(number == s)
                     at = shard.find(h1[own], h2[own])
-                    there = at >= 0
-                    for j in own[there][shard.low[at[there]] != doc[own[there]]].tolist():
+                    if (at < 0).any():
+                        raise ValueError(f"a line is not in shard {s} of the index")
+                    several = shard.counts[at] > 1
+                    own, at = own[several], at[several]
+                    for j in own[shard.kept_in(at) != doc[own]].tolist():
                         dropped[owner[j]].add(place[j])
             texts = [b"\n".join([x for i, x in enumerate(lines) if i not in gone] if gone else lines) for lines, gone in zip(docs_lines, dropped, strict=True)]
             own_columns = {n: batch.column(n) for n in names}
