@@ -1,10 +1,12 @@
 """The language model against a dictionary version, and against the base model on held-out texts."""
 
 import math
+import os
 import re
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from driftglass.llm import kneser_ney
@@ -14,66 +16,114 @@ def tokens(text):
     return re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or "")) + ["</s>"]
 
 
-def plain(rows):
+def plain(rows, order):
     train = [tokens(t) for i, t in rows if i is None or zlib.crc32(str(i).encode()) % 10 != 0]
-    grams = Counter(p for t in train for p in zip(["<s>", *t[:-1]], t, strict=True))
+    padded = lambda t: ["<s>"] * (order - 1) + t
+    level = {order: Counter(tuple(x[i : i + order]) for x in map(padded, train) for i in range(len(x) - order + 1))}
+    for k in range(order, 1, -1):
+        level[k - 1] = Counter(g[1:] for g in level[k])
     count = Counter(w for t in train for w in t)
     n, v = sum(count.values()), len(count)
-    total, ones, spread = Counter(), {}, Counter()
-    for (h, w), c in grams.items():
-        total[h] += c
-        ones.setdefault(h, [0, 0, 0, 0])[min(c, 3)] += 1
-        spread[w] += 1
-    d = kneser_ney.discounts(*(sum(c == k for c in grams.values()) for k in (1, 2, 3, 4)))
-    e = kneser_ney.discounts(*(sum(c == k for c in spread.values()) for k in (1, 2, 3, 4)))
-    types = len(grams)
-    spare = sum(e[min(c, 3)] for c in spread.values()) / types if types else 1.0
+    d = {k: kneser_ney.discounts(*(sum(c == i for c in grams.values()) for i in (1, 2, 3, 4))) for k, grams in level.items()}
+    total, ones = Counter(), {}
+    for grams in level.values():
+        for g, c in grams.items():
+            if len(g) > 1:
+                total[g[:-1]] += c
+                ones.setdefault(g[:-1], [0, 0, 0, 0])[min(c, 3)] += 1
+    types = sum(level[1].values())
+    spare = sum(d[1][min(c, 3)] for c in level[1].values()) / types if types else 1.0
+
+    def probability(g):
+        c = level[len(g)][g]
+        own = max(c - d[len(g)][min(c, 3)], 0)
+        if len(g) == 1:
+            return (own / types if types else 0) + spare / (v + 1)
+        lower = probability(g[1:])
+        h = g[:-1]
+        return (own + sum(d[len(g)][k] * ones[h][k] for k in (1, 2, 3)) * lower) / total[h] if total[h] else lower
+
     out = []
     for i, text in rows:
         own = tokens(text)
         base = sum(math.log10((count[w] + 0.1) / (n + 0.1 * (v + 1))) for w in own)
-        score = 0.0
-        for h, w in zip(["<s>", *own[:-1]], own, strict=True):
-            p = (max(spread[w] - e[min(spread[w], 3)], 0) / types if types else 0) + spare / (v + 1)
-            if total[h]:
-                c = grams[h, w]
-                p = (max(c - d[min(c, 3)], 0) + sum(d[k] * ones[h][k] for k in (1, 2, 3)) * p) / total[h]
-            score += math.log10(p)
+        x = padded(own)
+        score = sum(math.log10(probability(tuple(x[j : j + order]))) for j in range(len(own)))
         out.append((i, len(own), sum(count[w] > 0 for w in own), n, base, score, i is not None and zlib.crc32(str(i).encode()) % 10 == 0))
     return out
 
 
-def check(docs):
+def check(docs, order=kneser_ney.ORDER):
     rows = [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()]
-    got = kneser_ney.language_model_scores(docs).collect()
+    got = kneser_ney.language_model_scores(docs, order).collect()
     key = lambda r: (r[0] is None, r[0] or 0, r[1])
-    for a, b in zip(sorted(([r[c] for c in ("doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score", "held_out")] for r in got), key=key), sorted(plain(rows), key=key), strict=True):
+    for a, b in zip(sorted(([r[c] for c in ("doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score", "held_out")] for r in got), key=key), sorted(plain(rows, order), key=key), strict=True):
         assert a[:4] == list(b[:4]) and a[6] == b[6]
         assert a[4:6] == pytest.approx(b[4:6], rel=1e-9)
     return got
 
 
-def test_odd_rows(odd):
-    check(odd)
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_odd_rows(odd, order):
+    check(odd, order)
 
 
 def test_table_and_gain_on_held_out(small):
-    got = check(small)
-    held = [r for r in got if r["held_out"]]
-    assert held and sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
+    got = {order: [r for r in check(small, order) if r["held_out"]] for order in (2, 3)}
+    for held in got.values():
+        assert held and sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
 
 
-def test_many_shards_and_salted_histories(small, monkeypatch):
-    monkeypatch.setattr(kneser_ney, "SHARD", 500)
+@pytest.mark.parametrize("fan", [1024, 8])
+def test_many_shards_spread_histories_and_groups_of_shards(small, monkeypatch, fan):
+    monkeypatch.setattr(kneser_ney, "SHARD", 250)
     monkeypatch.setattr(kneser_ney, "RUN", 3000)
-    monkeypatch.setattr(kneser_ney, "SAMPLE", 2)
-    check(small)
+    monkeypatch.setattr(kneser_ney, "SCORE_RUN", 700)
+    monkeypatch.setattr(kneser_ney, "MOST_SHARE", 0.5)
+    monkeypatch.setattr(kneser_ney, "FAN", fan)
+    few = small.where("n_chars < 3000").limit(80)
+    found = kneser_ney.hot_histories(few, 3, 1e4, 60)
+    assert len(found[2][0]) and (found[2][1] > 1).all()
+    check(few, 3)
+
+
+def test_long_texts_go_stretch_by_stretch(odd, monkeypatch):
+    monkeypatch.setattr(kneser_ney, "STRETCH", 100)
+    monkeypatch.setattr(kneser_ney, "SCORE_RUN", 30)
+    assert len(list(kneser_ney.stretches("some words " * 50, 3))) == 6
+    check(odd, 3)
 
 
 def test_counts_over_one_byte(spark):
-    docs = spark.createDataFrame([(i, "a b " * 400, "en", "s", 1) for i in range(3)], "doc_id long, text string, lang string, source string, n_chars long")
+    docs = spark.createDataFrame([(i, "a b " * 400 + " ".join(f"a w{j}" for j in range(300)), "en", "s", 1) for i in range(3)], "doc_id long, text string, lang string, source string, n_chars long")
     check(docs)
+    check(docs, 3)
 
 
 def test_empty(none):
     assert kneser_ney.language_model_scores(none).count() == 0
+
+
+def test_a_missing_shard_is_an_error(odd):
+    spec = kneser_ney.train(odd)
+    kneser_ney.score(odd, spec).collect()
+    os.remove(f"{spec['folder'].removeprefix('file://')}/grams-2-0")
+    with pytest.raises(Exception, match="No such file"):
+        kneser_ney.score(odd, spec).collect()
+
+
+def test_rows_with_many_different_numbers():
+    rng = np.random.default_rng(1)
+    rows = rng.integers(0, 400, (3000, 4)) * rng.integers(0, 2, (3000, 4))
+    assert (kneser_ney.decoded(kneser_ney.coded(rows), np.arange(3000), 4) == rows).all()
+    rows[5, 0] = 1 << 40
+    assert (kneser_ney.decoded(kneser_ney.coded(rows), np.arange(3000), 4) == rows).all()
+
+
+def test_keys_are_found_and_others_not():
+    rng = np.random.default_rng(1)
+    for n in (0, 1, 7, 20000):
+        key = rng.integers(0, 1 << 64, n, np.uint64, endpoint=False) if n else np.empty(0, np.uint64)
+        order, begins, low = kneser_ney.key_file(key)
+        assert (kneser_ney.find(begins, low, key[order]) == np.arange(n)).all()
+        assert (kneser_ney.find(begins, low, rng.integers(0, 1 << 63, 5000).astype(np.uint64)) == -1).all()
