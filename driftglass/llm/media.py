@@ -6,8 +6,8 @@ column back with the wave module and describes it by pairs of spectral peaks, ea
 
 Defined cases: a null text counts as empty; an empty text is stored as one block of filler; equal texts give equal
 values; silence (all samples equal) has no peaks and so an empty array; a null media value gives nulls. Columns that
-the operator adds replace columns of the same name in the input. Very long texts are analysed in runs of ``RUN`` frames, so memory
-beyond the text itself is bounded.
+the operator adds replace columns of the same name in the input; repeated rows each get their row; of equally loud bins the
+lowest is the peak. Very long texts are analysed in runs of ``RUN`` frames and rows go in slices, so memory beyond the longest text is bounded.
 """
 
 from __future__ import annotations
@@ -23,6 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from driftglass.llm.common import slices
+
 BLOCK = 576  # payloads are padded to a multiple of this many samples
 FILLER = 255
 RATE = 8000
@@ -90,7 +92,7 @@ def store_wav(df: DataFrame, text: str = "text") -> DataFrame:
     schema = T.StructType([*df.drop("n_bytes", "media").schema.fields, T.StructField("n_bytes", T.LongType()), T.StructField("media", T.BinaryType())])
 
     def run(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, text)):
             rows = [x.encode() if x else b"" for x in batch.column(text).to_pylist()]
             own = {n: batch.column(n) for n in batch.schema.names if n not in ("n_bytes", "media")}
             own["n_bytes"] = pa.array([len(x) for x in rows], pa.int64())
@@ -120,7 +122,7 @@ def fingerprint_wav(df: DataFrame, media: str = "media") -> DataFrame:
     kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64()))
 
     def run(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, media)):
             rows = [describe(x.as_py()) for x in batch.column(media)]
             own = {n: batch.column(n) for n in names}
             for i, (n, kind) in enumerate(zip(added, kinds, strict=True)):
