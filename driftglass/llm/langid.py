@@ -1,6 +1,6 @@
 """Language identification by compression: one zstandard raw-content dictionary per language, smallest total size wins.
 
-A text is reduced to its lower-cased letter runs and cut into windows of ``WINDOW`` bytes that together cover all of
+A text is reduced to its lower-cased letter runs (letters and the marks on them) and cut into windows of ``WINDOW`` bytes that together cover all of
 it; each window is compressed once per language and the sizes are added up. Windows keep the dictionary's share in
 view on long texts, where a single frame would mostly refer to the text itself.
 
@@ -12,8 +12,9 @@ learned language, letter noise, even mixtures, and a word or two repeated all al
 one learned language the second is the size without a dictionary, which may also win: then the text gets ``und``.
 
 Defined cases: null texts and texts without a letter get ``und`` and score 0; languages that tie are told apart in small
-windows, then by the number of their training rows, and the text counts as rejected; with no labelled row every text gets ``und``. A null doc_id is never learned from and is not
-held out. Extra columns are kept; ``lang_pred``, ``score`` and ``rejected`` in the input are replaced.
+windows, then by the number of their training rows, and the text counts as rejected; with no labelled row every text gets
+``und``; very long texts are compressed window by window; repeated rows get equal results and each counts in fitting. A null doc_id is
+never learned from and is not held out. Extra columns are kept; ``lang_pred``, ``score`` and ``rejected`` in the input are replaced.
 """
 
 from __future__ import annotations
@@ -21,13 +22,15 @@ from __future__ import annotations
 import re
 
 import pyarrow as pa
+import regex
 import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 UND = "und"
-LETTERS = re.compile(r"[^\W\d_]+")
+LETTERS = regex.compile(r"\p{L}[\p{L}\p{M}]*")  # letters with the marks on them; numbers of any kind are none
+PLAIN = re.compile("[a-z]+")
 WINDOW = 1536
 FINE = 48
 LEVEL = 3
@@ -43,7 +46,7 @@ def held_out(doc_id: str = "doc_id", folds: int = 4, fold: int = 2):
 
 
 def letters(text: str | None) -> bytes:
-    return " ".join(LETTERS.findall(text.lower())).encode() if text else b""
+    return " ".join((PLAIN if text.isascii() else LETTERS).findall(text.lower())).encode() if text else b""
 
 
 def fit(docs: DataFrame, passages: int = 400, passage_chars: int = 400, folds: int = 4, fold: int = 2) -> dict[str, bytes]:

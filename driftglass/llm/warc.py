@@ -10,7 +10,8 @@ Record ids are name-based (from page id, target URI and payload digest), so a re
 Defined cases: a null or empty page is a response with an empty payload, an empty text and no links; a null URL is an
 empty target URI; a payload that begins with an HTTP status line and headers up to a blank line brings its own headers,
 any other gets minimal ones; a header that is repeated has the list of its values; links in noscript and template count,
-those written by scripts or inside comments don't; repeated rows give equal records; an empty table gives none; other columns are not read.
+those written by scripts or inside comments don't, and of an element with several the first counts; the first title is
+the title; a tag left open at the end of a page is text; very long and broken pages take linear time; repeated rows give equal records; an empty table gives none; other columns are not read.
 """
 
 from __future__ import annotations
@@ -31,17 +32,20 @@ from driftglass.llm.common import put_file
 
 DATE = "1970-01-01T00:00:00Z"
 SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # the standard's name space for URLs
-HIDDEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|template|noscript)\b[^>]*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
-OPAQUE = re.compile(r"<!--.*?(?:-->|\Z)|(<(script|style)\b[^>]*>).*?(?:</\2\s*>|\Z)", re.S | re.I)
-STATUS = re.compile(rb"HTTP/\d(?:\.\d)? \d{3}(?: [^\r\n]*)?(?:\r\n|\Z)")
-BREAKS = re.compile(
-    r"</?(?:address|article|aside|blockquote|body|br|dd|div|dl|dt|fieldset|figcaption|figure|footer|form|h[1-6]|head|header|hr|html|li|main|nav|ol|p|pre|section|table|td|th|title|tr|ul)\b[^>]*>", re.I
+HIDDEN = frozenset({"script", "style", "template", "noscript"})  # no visible text
+OPAQUE = frozenset({"script", "style"})  # no tags either
+LINKS = frozenset({"a", "area", "link", "img", "script", "iframe"})
+BREAKS = frozenset(
+    "address article aside blockquote body br dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html li main nav ol p pre section table td th title tr ul".split()
 )
-TAG = re.compile(r"<[/!?a-zA-Z][^>]*>")
+CLOSE = {k: re.compile(rf"</{k}\s*>", re.I) for k in (*HIDDEN, "title")}
+NAME = re.compile(r"[a-zA-Z][a-zA-Z0-9]*")
+ENDS = re.compile(r"[>=]")
+VALUE = re.compile(r"\s*(?:[\"']|([^\s>]*))")
+NUMBER = re.compile(r"&#0+(?=[0-9])"), re.compile(r"&#[1-9][0-9]{7,};?")  # leading zeros; numbers beyond any character
+STATUS = re.compile(rb"HTTP/\d(?:\.\d)? \d{3}(?: [^\r\n]*)?(?:\r\n|\Z)")
 BLANKS = re.compile(r"[^\S\n]+")
 LINES = re.compile(r" ?\n[ \n]*")
-TITLE = re.compile(r"<title\b[^>]*>(.*?)</title\s*>", re.S | re.I)
-LINK = re.compile(r"""<(a|area|link|img|script|iframe)\b[^>]*?\b(href|src)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 
 
 def digest(data: bytes) -> str:
@@ -59,15 +63,16 @@ def serialize(headers: dict[str, str], block: bytes) -> bytes:
 
 def fields(lines: list[str]) -> dict[str, str | list[str]]:
     """Value by name in the order of the lines, of a repeated name the list of its values; an indented line goes on the one before."""
-    pairs: list[list[str]] = []
+    pairs: list[tuple[str, list[str]]] = []
     for line in lines:
         if line[:1] in (" ", "\t") and pairs:
-            pairs[-1][1] = f"{pairs[-1][1]} {line.strip()}".strip()
+            pairs[-1][1].append(line.strip())
         else:
             name, _, value = line.partition(":")
-            pairs.append([name.strip(), value.strip()])
+            pairs.append((name.strip(), [value.strip()]))
     found: dict[str, str | list[str]] = {}
-    for name, value in pairs:
+    for name, values in pairs:
+        value = " ".join(x for x in values if x)
         if name not in found:
             found[name] = value
         elif isinstance(found[name], list):
@@ -93,18 +98,115 @@ def split_http(block: bytes) -> tuple[str, dict[str, str | list[str]], bytes]:
     return status, fields(lines), payload
 
 
+def tag_end(page: str, at: int, wanted: bool, end: int) -> tuple[int, dict[str, str]]:
+    """Where the tag whose name ends at ``at`` ends, behind its ``>``, or -1 if not before ``end``, and its href and src if ``wanted``."""
+    found: dict[str, str] = {}
+    while (m := ENDS.search(page, at, end)) is not None:
+        if m[0] == ">":
+            return m.end(), found
+        name = page[at : m.start()].split()[-1:] if wanted else []
+        m = VALUE.match(page, m.end(), end)
+        value, at = m[1], m.end()
+        if value is None:
+            close = page.find(page[at - 1], at, end)
+            if close < 0:
+                break
+            value, at = page[at:close], close + 1
+        if name and (name := name[0].lower()) in ("href", "src"):
+            found.setdefault(name, value)
+    return -1, found
+
+
+def scan(page: str) -> tuple[str, str | None, list[tuple[str, str, str]]]:
+    """Visible raw text, raw title and links (element, attribute, raw value) of a page, in one pass over its ``<`` and ``>``.
+
+    Quoted values may hold a ``>``, until a tag would stay open to the end of the page. Every search starts behind what is
+    done or is the last of its kind, so the work is linear in the page, however its tags are broken. Behind the last
+    ``>`` there are no tags, only text and an open comment.
+    """
+    out: list[str] = []
+    links: list[tuple[str, str, str]] = []
+    title, titles, quotes = None, True, True
+    at, hidden, last = 0, 0, page.rfind(">")
+
+    def text(a, b):
+        if b > (a := max(a, hidden)):
+            out.append(page[a:b])
+
+    while (i := page.find("<", at)) >= 0:
+        if page.startswith("<!--", i):
+            text(at, i)
+            close = page.find("-->", i + 4)
+            at = close + 3 if close >= 0 else len(page)
+            if i >= hidden:
+                out.append(" ")
+            continue
+        if i > last:
+            break
+        closing = page.startswith("/", i + 1)
+        m = NAME.match(page, i + 1 + closing)
+        if m is None:
+            if page[i + 1 : i + 2] in ("/", "!", "?"):
+                end = page.index(">", i) + 1
+                text(at, i)
+                at = end
+            else:
+                text(at, i + 1)
+                at = i + 1
+            continue
+        text(at, i)
+        name = m[0].lower()
+        at, values = tag_end(page, m.end(), not closing and name in LINKS, len(page)) if quotes else (-1, {})
+        if at < 0:  # a quote is left open: from here on tags end at the first >
+            quotes = False
+            at = page.index(">", m.end()) + 1
+            values = tag_end(page, m.end(), not closing and name in LINKS, at)[1]
+        links += [(name, k, v) for k, v in list(values.items())[:1]]
+        if i < hidden:
+            if not closing and name in OPAQUE:
+                close = CLOSE[name].search(page, at)
+                at = close.end() if close else len(page)
+            continue
+        if not closing and name in HIDDEN:
+            close = CLOSE[name].search(page, at)
+            hidden = close.end() if close else len(page)
+            out.append(" ")
+            if name in OPAQUE:
+                at = hidden
+        elif name in BREAKS:
+            out.append("\n")
+        if titles and name == "title" and not closing:
+            titles = False
+            if (close := CLOSE["title"].search(page, at)) is not None:
+                title = page[at : close.start()]
+    text(at, len(page))
+    return "".join(out), title, links
+
+
+def characters(raw: str) -> str:
+    """References become characters; numbers beyond any character, however long, become U+FFFD."""
+    if "&" not in raw:
+        return raw
+    if "&#" in raw:
+        raw = NUMBER[1].sub("\ufffd", NUMBER[0].sub("&#", raw))
+    return html.unescape(raw)
+
+
 def page_text(page: str) -> str:
     """Visible text: hidden parts and tags go, block elements break lines, references become characters, blanks collapse."""
-    text = TAG.sub("", BREAKS.sub("\n", HIDDEN.sub(" ", page)))
-    if "&" in text:
-        text = html.unescape(text)
-    return LINES.sub("\n", BLANKS.sub(" ", text.replace("\r", "\n"))).strip()
+    return visible(scan(page)[0])
+
+
+def visible(raw: str) -> str:
+    return LINES.sub("\n", BLANKS.sub(" ", characters(raw).replace("\r", "\n"))).strip()
 
 
 def page_metadata(page: str) -> dict:
-    title = TITLE.search(page)
-    links = [{"path": f"{m[1].upper()}@/{m[2].lower()}", "url": html.unescape(m[3] or m[4] or m[5] or "")} for m in LINK.finditer(OPAQUE.sub(lambda m: m[1] or " ", page))]
-    return {"Title": html.unescape(title[1]).strip() if title else None, "Links": links}
+    return metadata(*scan(page)[1:])
+
+
+def metadata(title: str | None, links: list[tuple[str, str, str]]) -> dict:
+    return {"Title": None if title is None else characters(title).strip(), "Links": [{"path": f"{n.upper()}@/{k}", "url": characters(v)} for n, k, v in links]}
 
 
 def response(page_id: object, url: str | None, page: str | None, date: str = DATE) -> bytes:
@@ -126,15 +228,15 @@ def derivatives(record: bytes) -> list[tuple[str, str, bytes]]:
     """Kind, record id and bytes of the metadata and the conversion record of a response."""
     source, block = parse(record)
     status, headers, payload = split_http(block)
-    page = payload.decode("utf-8", "replace")
+    raw, title, links = scan(payload.decode("utf-8", "replace"))
     envelope = {
         "WARC-Header-Metadata": source,
-        "Payload-Metadata": {"HTTP-Response-Metadata": {"Response-Message": status, "Headers": headers, "Entity-Length": len(payload), "Entity-Digest": digest(payload), "HTML-Metadata": page_metadata(page)}},
+        "Payload-Metadata": {"HTTP-Response-Metadata": {"Response-Message": status, "Headers": headers, "Entity-Length": len(payload), "Entity-Digest": digest(payload), "HTML-Metadata": metadata(title, links)}},
     }
     out = []
     for kind, mime, own in (
         ("metadata", "application/json", json.dumps({"Envelope": envelope}, ensure_ascii=False, separators=(",", ":")).encode()),
-        ("conversion", "text/plain", page_text(page).encode()),
+        ("conversion", "text/plain", visible(raw).encode()),
     ):
         rid = record_id(kind, source["WARC-Record-ID"])
         out.append((kind, rid, serialize({

@@ -2,13 +2,19 @@
 
 import gzip
 import hashlib
+import html
 import io
 import json
+import random
+import re
+import time
 import wave
 import zlib
 
 import numpy as np
 import pytest
+import regex
+import zstandard
 from pyspark.sql import functions as F
 
 from driftglass.llm import langid, media, warc
@@ -82,6 +88,37 @@ def test_language_id_ties_empty_and_untrained(spark, none, odd):
     assert langid.identify(odd.withColumn("score", F.lit("x")), {}).columns[-3:] == ["lang_pred", "score", "rejected"]
 
 
+def test_numbers_of_any_kind_are_no_letters():
+    model = langid.Classifier({"en": b"the cat and the dog " * 30, "fr": b"le chat et le chien sur la table " * 30})
+    for text in ("\u00bd\u00b2", "\u2167", "\u2460 \u00b2", "12 _ \u0301"):
+        assert model.predict(text) == ("und", 0.0, True), text
+    assert langid.letters("\u0939\u093f\u0928\u094d\u0926\u0940 x2y") == "\u0939\u093f\u0928\u094d\u0926\u0940 x y".encode()
+
+
+def test_sizes_against_plain_compression(small):
+    """Whole texts, window by window, by one compressor for each language and window; predictions follow from the sizes."""
+    fitted = langid.fit(small)
+    model = langid.Classifier(fitted)
+    for r in small.where("text is not null").limit(60).collect():
+        data = b" " + " ".join(regex.findall(r"\p{L}[\p{L}\p{M}]*", r["text"].lower())).encode() + b" "
+        sizes = {}
+        for lang, own in fitted.items():
+            how = zstandard.ZstdCompressionParameters.from_level(
+                langid.LEVEL, source_size=langid.WINDOW, dict_size=len(own), strategy=zstandard.STRATEGY_DFAST, min_match=4, write_content_size=False, write_dict_id=False
+            )
+            total, at = 0, 0
+            while at < len(data):
+                held = zstandard.ZstdCompressionDict(own, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+                total += len(zstandard.ZstdCompressor(dict_data=held, compression_params=how).compress(data[at : at + langid.WINDOW] + langid.TAIL))
+                at += langid.WINDOW
+            sizes[lang] = total
+        lang, score, rejected = model.predict(r["text"])
+        first, second = sorted(sizes.values())[:2]
+        if data.strip():
+            assert rejected == (second - first <= langid.MARGIN * first)
+            assert abs(sizes[lang] - first) <= 0.005 * first and (second - first <= 0.01 * first or sizes[lang] == first)
+
+
 def test_whole_text_counts():
     model = langid.Classifier({"en": b"the cat and the dog ran over the hill " * 40, "fr": b"le chat et le chien sur la table dans la maison " * 40})
     assert model.predict("the cat " * 30 + "le chat et le chien " * 4000)[0] == "fr"
@@ -179,6 +216,50 @@ def test_links_of_scripts_and_noscript():
     assert warc.page_text(page) == "c"
 
 
+OLD_HIDDEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|template|noscript)\b[^>]*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
+OLD_OPAQUE = re.compile(r"<!--.*?(?:-->|\Z)|(<(script|style)\b[^>]*>).*?(?:</\2\s*>|\Z)", re.S | re.I)
+OLD_LINK = re.compile(r"""<(a|area|link|img|script|iframe)\b[^>]*?\s(href|src)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
+
+
+def plain_page(page):
+    """Text, title and links by substitution over the whole page: slow on broken pages, the same on others."""
+    text = OLD_HIDDEN.sub(" ", page)
+    text = re.sub(rf"</?(?:{'|'.join(warc.BREAKS)})\b[^>]*>", "\n", text, flags=re.I)
+    text = re.sub(r"<[/!?a-zA-Z][^>]*>", "", text)
+    text = re.sub(r" ?\n[ \n]*", "\n", re.sub(r"[^\S\n]+", " ", html.unescape(text).replace("\r", "\n"))).strip()
+    title = re.search(r"<title\b[^>]*>(.*?)</title\s*>", page, re.S | re.I)
+    links = [{"path": f"{m[1].upper()}@/{m[2].lower()}", "url": html.unescape(m[3] or m[4] or m[5] or "")} for m in OLD_LINK.finditer(OLD_OPAQUE.sub(lambda m: m[1] or " ", page))]
+    return text, {"Title": html.unescape(title[1]).strip() if title else None, "Links": links}
+
+
+def test_pages_against_a_plain_version(spark):
+    pages = [r["html"] for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("html").collect() if r["html"]]
+    rng = random.Random(4)
+    bits = ["<p>", "</p>", "<b>", "</b>", "<br/>", "text &amp; more", " \n ", "<!-- a <b> -->", "<script>x < y</script>", "<noscript><img src=/n.png>gone</noscript>", "<a href='/q?a=1&amp;b'>", "</a>", "<style>p{}</style>", '<img alt="x" src="/i.png">', "a < b", "<title>T &lt; t</title>", "<!DOCTYPE html>", "&#65;&#0066;", "<li class=x>", "</LI >", "<template><p>t</p></template>"]
+    pages += ["".join(rng.choice(bits) for _ in range(rng.randint(0, 30))) for _ in range(3000)]
+    assert len(pages) > 3100
+    for page in pages:
+        assert (warc.page_text(page), warc.page_metadata(page)) == plain_page(page), page
+
+
+def test_quoted_values_may_hold_a_tag_end():
+    assert warc.page_metadata('<a title="x > y" href="/a>b">t</a>')["Links"] == [{"path": "A@/href", "url": "/a>b"}]
+    assert warc.page_text('<a title="x > y" href="/a>b">t</a> u') == "t u"
+    assert warc.page_text('<a title="x >t <b>u</b>') == "t u"
+    assert warc.page_text("a &#" + "1" * 6000 + "; b &#" + "0" * 6000 + "65; &#x41;") == "a \ufffd b A A"
+    assert warc.page_text("open <a href=") == "open <a href="
+
+
+@pytest.mark.parametrize("bit", ["<a ", "<title>", "<", "<!", "</a", '<a x="', "<a x='>", '<a x=">" ', "<script>", "<noscript>", "<script>a</script", "<!--", "&#", "&#1", "<a href=", "= ", "<p =", "<template><script>", "\n ", "<a\n", "x>", "<title></title", "<a x='\"' \">"])
+def test_hostile_pages_take_linear_time(bit):
+    page = (bit * (1_000_000 // len(bit) + 1))[:1_000_000]
+    for page in (page, page + ">", page + '">'):
+        began = time.process_time()
+        warc.derivatives(warc.response(1, "u", page))
+        assert time.process_time() - began < 5, bit  # quadratic work takes minutes here
+    warc.derivatives(warc.response(1, "u", "HTTP/1.1 200 OK\r\nA: b\r\n" + " c\r\n" * 200_000 + "\r\nx"))
+
+
 def test_write_records(pages, tmp_path):
     records = warc.derive(warc.responses(pages)).coalesce(1)
     files = warc.write_records(records, f"file://{tmp_path}").collect()
