@@ -12,8 +12,10 @@ in a transition table). Encoding a pre-split word walks tokens along such transi
 positions from which no path leads on, so each position is left at most once. Decoding emits the labels of the arcs.
 
 Defined cases: null texts count as empty and encode to no ids; special tokens in a text become their ids; very long
-texts are encoded piece by piece. Pieces (text between single blanks) are kept in two tables per worker that rotate when
-one has ``KEEP`` entries, so memory stays bounded. Columns other than doc_id and text are not read.
+texts are encoded piece by piece, very long words in linear time, as a step looks no further than the longest label; there
+is one correct path for each word, so ties don't arise; repeated rows each get their row. Pieces (text between single blanks) of up
+to ``LONG`` characters are kept in two tables per worker that rotate when one has ``KEEP`` entries, so memory stays
+bounded. Columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -29,9 +31,11 @@ import public_tokenizers
 import regex
 from pyspark.sql import DataFrame
 
+from driftglass.llm.common import slices
 from driftglass.llm.tokens import DEFAULT, load_json, to_bytes
 
 KEEP = 250_000
+LONG = 64  # characters of a piece that is kept
 BLANK = re.compile(r"(?<=\S) (?=\S)")
 ODD_BLANK = re.compile(r"(?<!\S) | (?!\S)")
 
@@ -93,6 +97,7 @@ class Automaton:
         self.left, self.born, self.at, self.losses = tables["left"], tables["born"], tables["at"], tables["losses"]
         plain = {i for i in range(len(self.labels))} - set(self.special.values())
         self.ids = {self.labels[i]: i for i in plain}
+        self.longest = max(map(len, self.ids))
         self.step: list[dict[int, int]] = [{}]  # a trie of the labels: byte to node
         self.token = [-1]
         for label, i in self.ids.items():
@@ -126,12 +131,12 @@ class Automaton:
         if (whole := self.ids.get(data)) is not None:
             return [whole]
         step, token, labels, arcs = self.step, self.token, self.labels, self.arcs
-        n, at, u, most = len(data), 0, -1, len(data)
+        n, at, u, most, longest = len(data), 0, -1, len(data), self.longest
         path: list[int] = []
         dead: set[int] = set()
         while at < n:
             node, able = 0, []
-            for b in data[at:most]:
+            for b in data[at : min(most, at + longest)]:
                 node = step[node].get(b)
                 if node is None:
                     break
@@ -174,7 +179,8 @@ class Automaton:
                 ids = older.get(x)
                 if ids is None:
                     ids = self.piece(" " + x)
-                kept[x] = ids
+                if len(x) <= LONG:
+                    kept[x] = ids
             out.append(ids)
         if len(kept) > KEEP:
             self.kept, self.older = {}, kept
@@ -213,14 +219,11 @@ def encode_decode(docs: DataFrame, vocabulary: str = DEFAULT) -> DataFrame:
 
     def run(batches):
         bpe = worker_automaton(number, tables.value)
-        for batch in batches:
-            names, texts = batch.column(0), batch.column(1)
-            size = 256
-            for start in range(0, batch.num_rows, size):
-                ids = [bpe.encode(x.as_py()) for x in texts.slice(start, size)]
-                yield pa.RecordBatch.from_pydict({
-                    "doc_id": names.slice(start, size), "n_tokens": pa.array([len(x) // 4 for x in ids], pa.int64()),
-                    "ids": pa.array(ids, pa.binary()), "decoded": pa.array([bpe.decode(x) for x in ids], pa.string()),
-                })
+        for batch in (part for whole in batches for part in slices(whole, "text")):
+            ids = [bpe.encode(x.as_py()) for x in batch.column(1)]
+            yield pa.RecordBatch.from_pydict({
+                "doc_id": batch.column(0), "n_tokens": pa.array([len(x) // 4 for x in ids], pa.int64()),
+                "ids": pa.array(ids, pa.binary()), "decoded": pa.array([bpe.decode(x) for x in ids], pa.string()),
+            })
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids binary, decoded string")

@@ -5,7 +5,8 @@ row per task and distinct length. Suffix sums over the histogram give, for every
 documents and tokens beyond it and the total after truncation, exactly. The sums run in two levels (blocks of
 ``BLOCK`` lengths, then inside each block), so no task sees the whole histogram.
 
-Defined cases: null and empty texts have length 0; repeated rows count each time; an empty table gives an empty
+Defined cases: null and empty texts have length 0; very long texts are encoded whole, one at a time, and make a row like any
+other; documents of equal length share a row; repeated rows count each time; an empty table gives an empty
 histogram, total 0 and null quantiles; columns other than the text are not read.
 """
 
@@ -71,13 +72,13 @@ def suffix_sums(histogram: DataFrame) -> DataFrame:
 
 
 def truncated_totals(sums: DataFrame, limits: list[int]) -> DataFrame:
-    """Exact token totals when every document is cut at each of ``limits``: one pass over the histogram."""
-    spark = sums.sparkSession
-    wanted = spark.createDataFrame([(int(x),) for x in limits], "context_limit long")
-    cut = [F.sum(F.least("n_tokens", F.lit(int(x))) * F.col("n_docs")).alias(f"c{i}") for i, x in enumerate(limits)]
-    row = sums.agg(*cut)
-    pairs = F.explode(F.array(*[F.struct(F.lit(int(x)).cast("long").alias("context_limit"), F.coalesce(F.col(f"c{i}"), F.lit(0)).alias("total")) for i, x in enumerate(limits)]))
-    return wanted.join(row.select(pairs.alias("p")).select("p.*"), "context_limit")
+    """Exact token totals when every document is cut at each of ``limits``, one row per distinct limit: one pass over the histogram."""
+    limits = sorted(set(map(int, limits)))
+    if not limits:
+        return sums.sparkSession.createDataFrame([], "context_limit long, total long")
+    cut = [F.sum(F.least("n_tokens", F.lit(x)) * F.col("n_docs")).alias(f"c{i}") for i, x in enumerate(limits)]
+    pairs = F.explode(F.array(*[F.struct(F.lit(x).cast("long").alias("context_limit"), F.coalesce(F.col(f"c{i}"), F.lit(0)).alias("total")) for i, x in enumerate(limits)]))
+    return sums.agg(*cut).select(pairs.alias("p")).select("p.*")
 
 
 def length_quantiles(sums: DataFrame, shares: list[float]) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 import zlib
 
 import numpy as np
@@ -49,6 +50,16 @@ def test_small_tables_still_give_the_same_ids(library, monkeypatch):
         assert own.encode(text) == ids_of(library, text).tobytes()
 
 
+def test_very_long_words_take_linear_time(library, automaton):
+    rng = random.Random(5)
+    word = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(1_000_000))
+    began = time.process_time()
+    ids = automaton.encode(word)
+    assert time.process_time() - began < 30  # the library takes about one second, quadratic work minutes
+    assert ids == ids_of(library, word).tobytes()
+    assert all(len(x) <= bpe_automaton.LONG for x in automaton.kept)
+
+
 def test_automaton_accepts_just_the_correct_tokenizations(automaton):
     """Every split of short words into tokens is a path exactly if it is the encoding."""
     labels = {v: k for k, v in automaton.ids.items()}
@@ -151,6 +162,8 @@ def test_histogram_suffix_sums(small, odd, library):
             assert r["truncated_total"] == sum(min(x, n) for x in lengths)
         cut = {r["context_limit"]: r["total"] for r in token_counts.truncated_totals(sums, [1, 100, 512, 10**6]).collect()}
         assert cut == {k: sum(min(x, k) for x in lengths) for k in (1, 100, 512, 10**6)}
+        assert sorted(r["context_limit"] for r in token_counts.truncated_totals(sums, [4, 4, 7]).collect()) == [4, 7]
+        assert token_counts.truncated_totals(sums, []).count() == 0
         shares = {r["share"]: r["n_tokens"] for r in token_counts.length_quantiles(sums, [0.0, 0.5, 1.0]).collect()}
         ordered = sorted(lengths)
         assert shares == {0.0: ordered[0], 0.5: ordered[-(-len(ordered) // 2) - 1], 1.0: ordered[-1]}
