@@ -1,8 +1,9 @@
 """Embedding near-duplicates by a pivot-permutation index.
 
 A vector is described by its ``PREFIX`` nearest reference points (pivots) in order of nearness. Inverted lists map a
-pivot to the vectors that name it. Inside a list, vectors that share at least ``SHARED`` pivots are candidates, and
-candidates are verified by cosine in double precision. A pair that meets in several lists belongs to the shared pivot
+pivot to the vectors that name it. Inside a list, counting shared pivots retrieves the candidates, pairs that share at
+least ``SHARED``; only these are verified by cosine in double precision (where a strip's pairs are nearly all candidates, by
+one matrix product). A pair that meets in several lists belongs to the shared pivot
 of the lowest number, so each link is counted once. Lists give back, per vector, a link count and the smallest
 vector of its component within the list; pairs are never written out.
 
@@ -11,8 +12,9 @@ farthest apart first from a hash-ordered sample); every vector is indexed. Lists
 blocks, and each pair of blocks is a group of its own, so no task holds a whole hot list.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components link with nothing and keep
-themselves; vectors of different length never link; equal vectors link; repeated ids are separate rows that count
-as one vector in the result; a null id is left out of the links and has null as its component. Other columns are not read.
+themselves; vectors of different length never link; equal vectors link; rows that share an id count as one vector, the
+one that sorts first among those that can link, and each gets its result; ties in nearness go to the pivot of the lower number; a vector's length is
+bounded by what an executor holds ``BLOCK`` of; a null id is left out of the links and has null as its component. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -33,6 +35,8 @@ MOST_PIVOTS = 4096
 SAMPLE = 4
 APART = 0.7  # pivots are no nearer to each other: a dense group gets one, so that its members agree on their order
 STRIP = 512
+DENSE = 16  # from this share of candidates on, a matrix product is cheaper than pair by pair
+PAIRS = 1 << 15
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -51,9 +55,9 @@ def unit_rows(rows: list) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def choose_pivots(vectors: DataFrame, rows: int) -> dict[int, np.ndarray]:
-    """Pivots by vector length: a hash-ordered sample of bounded size, thinned to points far from each other."""
-    wanted = int(min(MOST_PIVOTS, max(16, 4 * np.sqrt(rows))))
+def choose_pivots(vectors: DataFrame, rows: int, most: int = MOST_PIVOTS) -> dict[int, np.ndarray]:
+    """Pivots by vector length: a hash-ordered sample of at most ``SAMPLE`` * ``most`` vectors, thinned to at most ``most`` far from each other."""
+    wanted = int(min(most, max(16, 4 * np.sqrt(rows))))
     share = min(1.0, 2.0 * SAMPLE * wanted / max(rows, 1))
     h = F.pmod(F.xxhash64("vec_id", F.lit(5)), F.lit(1 << 40))
     some = vectors.where(h < int(share * (1 << 40))).orderBy(h, "vec_id").limit(SAMPLE * wanted).collect()
@@ -104,7 +108,7 @@ def _verify_list(table: pa.Table) -> pa.Table:
     """One inverted list, or one pair of its blocks: link counts and stars of the pairs that belong here."""
     pivot = table.column("pivot")[0].as_py()
     one, other = table.column("low")[0].as_py(), table.column("high")[0].as_py()
-    order = np.argsort(table.column("vec_id").to_numpy(), kind="stable")
+    order = np.argsort(table.column("vec_id").to_numpy(), kind="stable")  # ids are distinct
     ids = table.column("vec_id").to_numpy()[order]
     block = table.column("own").to_numpy()[order]
     x = unit_rows(table.column("x").to_pylist())[order]
@@ -125,13 +129,19 @@ def _verify_list(table: pa.Table) -> pa.Table:
     linked = []
     for at in range(0, len(ids), STRIP):
         rows = slice(at, min(at + STRIP, len(ids)))
-        ok = x[rows] @ x.T >= LEAST
-        ok &= there[rows] @ there.T >= least
+        ok = there[rows] @ there.T >= least
         if len(lower):
             ok &= there[rows][:, lower] @ there[:, lower].T == 0
         ok &= ids[rows, None] != ids[None, :]
         if one != other:
             ok &= block[rows, None] != block[None, :]
+        a, b = np.nonzero(ok)
+        if len(a) > ok.size // DENSE:
+            ok &= x[rows] @ x.T >= LEAST
+        else:
+            for part in range(0, len(a), PAIRS):
+                i, j = a[part : part + PAIRS], b[part : part + PAIRS]
+                ok[i, j] = np.einsum("ij,ij->i", x[at + i], x[j]) >= LEAST
         n_links[rows] = ok.sum(1)
         own = np.flatnonzero(n_links[rows])
         linked.append((own + at, ok[own]))
@@ -148,10 +158,13 @@ def _verify_list(table: pa.Table) -> pa.Table:
     return pa.table({"vec_id": ids[kept], "n_links": n_links[kept], "star": ids[star[kept]]})
 
 
-def near_vectors(vectors: DataFrame) -> DataFrame:
-    """One row per vector: ``vec_id``, ``n_links``, ``component_id`` (smallest vec_id reachable) and ``kept``."""
-    own = materialize(usable(vectors).dropDuplicates(["vec_id"]), "pivot-vectors")
-    described = materialize(permutations(own, choose_pivots(own, own.count())), "pivot-permutations")
+def near_vectors(vectors: DataFrame, most_pivots: int = MOST_PIVOTS) -> DataFrame:
+    """One row per vector: ``vec_id``, ``n_links``, ``component_id`` (smallest vec_id reachable) and ``kept``.
+
+    ``most_pivots`` bounds the sample that the driver sees and what is broadcast; lists get longer once four times the root of the rows passes it.
+    """
+    own = materialize(usable(vectors).groupBy("vec_id").agg(F.min("x").alias("x")), "pivot-vectors")
+    described = materialize(permutations(own, choose_pivots(own, own.count(), most_pivots)), "pivot-permutations")
     sizes = described.select(F.explode("near").alias("pivot")).groupBy("pivot").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
     lists = described.select("vec_id", "x", "near", F.explode("near").alias("pivot"))
     # sizes has at most one row per pivot, and pivots are bounded

@@ -64,6 +64,26 @@ def test_chain_and_hot_group_in_blocks(spark, monkeypatch):
     assert {got[i]["component_id"] for i in range(12)} == {0}
 
 
+def test_pairs_and_products_agree(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    own = rng.normal(0, 1, (150, 16))
+    rows = list(enumerate(np.concatenate([own, own + rng.normal(0, 0.2, own.shape), own[:20] * 3]).tolist()))
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = []
+    for dense in (1, 1 << 40):
+        monkeypatch.setattr(pivot_index, "DENSE", dense)
+        found.append(sorted(map(tuple, result(df).values())))
+    assert found[0] == found[1]
+    links = brute(rows)
+    assert 0.9 * sum(map(len, links.values())) <= sum(r[1] for r in found[0]) <= sum(map(len, links.values()))
+
+
+def test_repeated_ids_have_one_vector(spark):
+    rows = [(1, [1.0, 0.0]), (2, [0.0, 1.0]), (2, [1.0, 0.0]), (2, None), (3, [1.0, 0.1]), (4, [0.0, 2.0])]
+    got = [pivot_index.near_vectors(spark.createDataFrame(x, "vec_id long, embedding array<double>")).orderBy("vec_id").collect() for x in (rows, rows[::-1])]
+    assert got[0] == got[1] and [r["n_links"] for r in got[0]] == [1, 1, 1, 1, 1, 1]
+
+
 def test_empty_and_nulls(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert pivot_index.near_vectors(df).count() == 0
