@@ -10,7 +10,8 @@ A key with more than ``LIMIT`` fingerprints isn't worked off in one task: its me
 pair of blocks becomes a group of its own, so the check stays exact and spreads over the cluster.
 
 Defined cases: null texts and texts without a word have fingerprint zero and link like any other; exact copies share
-one fingerprint and enter the search once; repeated rows each get their row; documents with a null id get the smallest
+one fingerprint and enter the search once; very long texts are hashed ``RUN`` shingles at a time; a bit set in just half of the
+hashes is not set; repeated rows each get their row; documents with a null id get the smallest
 id of their component, null if it has none; other columns are not read.
 """
 
@@ -193,10 +194,19 @@ def near_duplicates(docs: DataFrame, words: int = WORDS) -> DataFrame:
     return own.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def copies(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """``doc_id`` and ``text_hash`` (xxhash64 of the text) of all named rows but those first in their component by these two."""
-    own = materialize(fingerprints(docs.withColumn("text_hash", F.xxhash64("text")), "text_hash", words=words), "simhash-fingerprints")
+def decisions(docs: DataFrame, words: int = WORDS) -> DataFrame:
+    """``doc_id``, ``text_hash`` (xxhash64 of the text) and ``first`` of the rows a choice of one per component is about.
+
+    ``first`` is false for rows behind the first of their component by these two columns; it is true for those that are first and occur more than once.
+    """
+    own = materialize(fingerprints(docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")), "text_hash", words=words), "simhash-fingerprints")
     rooted = _rooted(own.groupBy("fp").agg(F.min(F.expr("if(doc_id is null, null, struct(doc_id, text_hash))")).alias("low")))
-    first = rooted.groupBy("root").agg(F.min("low").alias("first"))
-    named = rooted.select("fp", "root").join(first, "root").select("fp", "first")
-    return own.join(named, "fp").where("struct(doc_id, text_hash) <> first and doc_id is not null").select("doc_id", "text_hash").distinct()
+    lowest = rooted.groupBy("root").agg(F.min("low").alias("lowest"))
+    named = rooted.select("fp", "root").join(lowest, "root").select("fp", "lowest")
+    rows = own.where("doc_id is not null").groupBy("doc_id", "text_hash", "fp").agg(F.count("*").alias("n"))
+    return rows.join(named, "fp").select("doc_id", "text_hash", F.expr("struct(doc_id, text_hash) = lowest").alias("first"), "n").where("not first or n > 1").drop("n")
+
+
+def copies(docs: DataFrame, words: int = WORDS) -> DataFrame:
+    """``doc_id`` and ``text_hash`` of all named rows but those first in their component."""
+    return decisions(docs, words).where("not first").select("doc_id", "text_hash")

@@ -64,6 +64,22 @@ def test_words_is_a_parameter(spark):
     assert got == {1: f"{want:016x}", 2: f"{xxhash.xxh64_intdigest(b'one', 42):016x}"}
 
 
+def test_very_long_texts_and_clashing_columns(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "RUN", 100)
+    rng = random.Random(2)
+    rows = [(i, " ".join(rng.choice(["alpha", "Beta", "gamma", "delta"]) + str(rng.randrange(50)) for _ in range(20_000))) for i in range(3)]
+    rows.append((7, rows[0][1]))
+    check(spark.createDataFrame(rows, "doc_id long, text string").withColumn("fp", F.lit("x")).withColumn("component_id", F.lit(1)).withColumn("text_hash", F.lit("y")))
+
+
+def test_decisions_name_copies_and_repeated_rows(spark):
+    a, b = (" ".join(f"{w}{i}" for i in range(60)) for w in "ab")
+    rows = [(1, a), (1, a), (2, a), (2, a), (2, b), (3, b), (None, b)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r["doc_id"], r["first"]) for r in simhash.decisions(docs).collect())
+    assert got == [(1, True), (2, False), (3, False)]
+
+
 def test_empty(none):
     assert simhash.near_duplicates(none).count() == 0
 
