@@ -1,13 +1,22 @@
-"""Fetching provider pages as a Spark data source: one task per symbol and time window, so a backfill is a parallel scan.
+"""Fetching provider pages as a Spark data source: symbols dealt over lanes, one task per lane, pages followed to the end.
 
 ``spark.dataSource.register(ProviderPages)`` once, then
-``spark.read.format("provider_pages").option("url", "https://host/klines?symbol={symbol}&startTime={start}&endTime={end}")...load()``
-gives ``symbol``, ``start``, ``payload`` rows for the parsers in ``providers``. Each task keeps a minimum interval
-between its requests and retries with doubling pauses; errors that a retry can't mend are raised at once.
+``spark.read.format("provider_pages").option("url", "https://host/klines?symbol={symbol}&startTime={start}&endTime={end}&limit={limit}")...load()``
+gives ``symbol``, ``start``, ``payload`` and ``error`` rows for the parsers in ``providers``. Options:
+
+* ``symbols`` (comma-separated), ``start``, ``end`` in milliseconds, ``end`` excluded
+* ``limit``: rows of a full page, 1000 by default. A full page is followed from its last row's time plus one.
+* ``time``: where a row has its time: a field's name, or a position in a list (0 by default). Empty: one page is all.
+* ``lanes`` (4 by default) and ``interval_s``: a lane's requests are ``lanes`` times the interval apart, so that all
+  lanes together keep the interval. A lane works in order with one limiter.
+* ``errors``: ``raise`` (default) fails the job; ``keep`` gives a row with the error and goes on with the next symbol.
+
+Requests are retried with doubling pauses; errors that a retry can't mend are raised at once.
 """
 
 from __future__ import annotations
 
+import json
 import time
 import urllib.error
 import urllib.request
@@ -54,8 +63,8 @@ def read_url(url: str, timeout_s: float = 20.0) -> str:
             return answer.read().decode()
     except urllib.error.HTTPError as e:
         raise typed(e.code, url) from e
-    except urllib.error.URLError as e:
-        raise ProviderError(f"{e.reason}: {url}") from e
+    except OSError as e:  # no connection, or none in time
+        raise ProviderError(f"{getattr(e, 'reason', e)}: {url}") from e
 
 
 def with_retry(call: Callable[[], str], attempts: int = 3, pause_s: float = 0.5, sleep: Callable[[float], None] = time.sleep) -> str:
@@ -71,25 +80,72 @@ def with_retry(call: Callable[[], str], attempts: int = 3, pause_s: float = 0.5,
     raise ProviderError("no attempts")
 
 
-class Page(InputPartition):
-    def __init__(self, symbol: str, start: int, end: int):
-        self.symbol, self.start, self.end = symbol, start, end
+def last_time(rows: list, where: str, url: str) -> int:
+    """The time of a page's last row."""
+    try:
+        return int(rows[-1][int(where)] if where.lstrip("-").isdigit() else rows[-1][where])
+    except (KeyError, IndexError, TypeError, ValueError) as e:
+        raise ProviderError(f"a full page can't be followed, its last row has no time: {url}") from e
+
+
+def follow(get: Callable[[str], str], url: str, symbol: str, start: int, end: int, limit: int, where: str) -> Iterator[tuple[int, str]]:
+    """Start and payload of each page of a symbol, until one isn't full, doesn't advance, or reaches the end."""
+    cursor = start
+    while cursor < end:
+        at = url.format(symbol=symbol, start=cursor, end=end - 1, limit=limit)
+        payload = get(at)
+        yield cursor, payload
+        if not where:
+            return
+        try:
+            rows = json.loads(payload)
+        except ValueError as e:
+            raise ProviderError(f"not JSON: {at}") from e
+        if not isinstance(rows, list) or len(rows) < limit:
+            return
+        after = last_time(rows, where, at) + 1
+        if after <= cursor:
+            return
+        cursor = after
+
+
+class Lane(InputPartition):
+    def __init__(self, symbols: list[str]):
+        self.symbols = symbols
 
 
 class _Reader(DataSourceReader):
     def __init__(self, options: dict):
         self.url = options["url"]
         self.symbols = [s for s in options["symbols"].split(",") if s]
-        self.start, self.end, self.step = int(options["start"]), int(options["end"]), int(options.get("step", 1000 * 86_400_000))
+        self.start, self.end = int(options["start"]), int(options["end"])
+        self.limit, self.time = int(options.get("limit", 1000)), options.get("time", "0")
+        self.lanes = max(1, min(int(options.get("lanes", 4)), len(self.symbols)))
         self.interval_s = float(options.get("interval_s", 0.1))
+        self.keep = options.get("errors", "raise") == "keep"
 
     def partitions(self):
-        return [Page(s, at, min(at + self.step, self.end)) for s in self.symbols for at in range(self.start, self.end, self.step)]
+        return [Lane(self.symbols[i :: self.lanes]) for i in range(self.lanes)]
+
+    def read(self, lane: Lane) -> Iterator[tuple]:
+        limiter = Limiter(self.interval_s * self.lanes)
+
+        def get(url: str) -> str:
+            def once() -> str:
+                limiter.wait()
+                return read_url(url)
+
+            return with_retry(once)
 
-    def read(self, page: Page) -> Iterator[tuple]:
-        Limiter(self.interval_s).wait()
-        url = self.url.format(symbol=page.symbol, start=page.start, end=page.end - 1)
-        yield page.symbol, page.start, with_retry(lambda: read_url(url))
+        for symbol in lane.symbols:
+            start = self.start
+            try:
+                for start, payload in follow(get, self.url, symbol, self.start, self.end, self.limit, self.time):
+                    yield symbol, start, payload, None
+            except ProviderError as e:
+                if not self.keep:
+                    raise
+                yield symbol, start, None, f"{type(e).__name__}: {e}"
 
 
 class ProviderPages(DataSource):
@@ -100,7 +156,7 @@ class ProviderPages(DataSource):
         return "provider_pages"
 
     def schema(self) -> str:
-        return "symbol string, start long, payload string"
+        return "symbol string, start long, payload string, error string"
 
     def reader(self, schema) -> DataSourceReader:
         return _Reader(self.options)

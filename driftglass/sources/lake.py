@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -37,23 +39,41 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
-def write_bars(incoming: DataFrame, lake: str, kind: str = "bars") -> None:
-    """Upsert: only the series that come in are rewritten (dynamic partition overwrite), after the merge is on disk beside the lake."""
+def write_bars(incoming: DataFrame, lake: str, kind: str = "bars", rows_per_file: int = 5_000_000, list_up_to: int = 1000) -> None:
+    """Upsert: only the series that come in are read and rewritten (dynamic partition overwrite), after the merge is on disk beside the lake.
+
+    Up to ``list_up_to`` series are named in the partition filter; beyond that the semi-join's dynamic pruning decides.
+    Long series are spread over files by time. The staging folder is this call's own.
+    """
     spark = incoming.sparkSession
     path = f"{lake}/{kind}"
-    merged = incoming.select(STORED.names)
+    incoming = incoming.select(STORED.names)
     if exists(spark, path):
         touched = incoming.select("symbol", "tf").distinct()
-        merged = latest_wins(spark.read.schema(STORED).parquet(path).join(touched, ["symbol", "tf"], "left_semi").select(STORED.names), merged)
+        some = touched.limit(list_up_to + 1).collect()
+        held = spark.read.schema(STORED).parquet(path)
+        if len(some) <= list_up_to:
+            by_tf: dict[str, list[str]] = {}
+            for r in some:
+                by_tf.setdefault(r["tf"], []).append(r["symbol"])
+            named = F.lit(False)
+            for tf, symbols in sorted(by_tf.items()):
+                named = named | ((F.col("tf") == tf) & F.col("symbol").isin(symbols))
+            held = held.where(named)
+        else:
+            held = held.join(touched, ["symbol", "tf"], "left_semi")
+        merged = latest_wins(held.select(STORED.names), incoming)
     else:
-        merged = latest_wins(merged.limit(0), merged)
-    staged = f"{lake}/.staged-{kind}"
-    one_file_each = merged.repartition("symbol", "tf").sortWithinPartitions("symbol", "tf", "ts")
-    one_file_each.write.mode("overwrite").parquet(staged)
-    writer = spark.read.schema(STORED).parquet(staged).repartition("symbol", "tf").sortWithinPartitions("symbol", "tf", "ts").write
-    writer.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy("symbol", "tf").parquet(path)
+        merged = latest_wins(incoming.limit(0), incoming)
+    staged = f"{lake}/.staged-{kind}-{uuid.uuid4().hex}"
     fs, p = _hadoop(spark, staged)
-    fs.delete(p, True)
+    try:
+        merged.write.parquet(staged)
+        files = spark.read.schema(STORED).parquet(staged)
+        writer = files.repartitionByRange("symbol", "tf", "ts").sortWithinPartitions("symbol", "tf", "ts").write
+        writer.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").option("maxRecordsPerFile", rows_per_file).partitionBy("symbol", "tf").parquet(path)
+    finally:
+        fs.delete(p, True)
 
 
 def read_bars(spark: SparkSession, lake: str, symbol: str, tf: str = "1d", kind: str = "bars", start: str | None = None, end: str | None = None) -> DataFrame:
@@ -97,12 +117,13 @@ def stats(spark: SparkSession, lake: str) -> dict[str, int]:
 
 
 def save_results(equity: DataFrame, lake: str, points: int = 500) -> str:
-    """Equity curves thinned to at most ``points`` per symbol and strategy, as JSON."""
+    """Equity curves thinned to at most ``points`` per symbol and strategy, as JSON. Results of other symbols stay as they are."""
     from driftglass.operators.slicing import downsample
 
     path = f"{lake}/backtests"
     keyed = equity.withColumn("__series", F.concat_ws("|", "symbol", "strategy"))
-    downsample(keyed, points, "__series").drop("__series").write.mode("overwrite").partitionBy("symbol").json(path)
+    writer = downsample(keyed, points, "__series").drop("__series").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy("symbol").json(path)
     return path
 
 
@@ -114,3 +135,21 @@ def load_results(spark: SparkSession, lake: str, symbol: str) -> DataFrame | Non
     schema = "strategy string, ts timestamp_ntz, i long, equity double, symbol string"
     found = spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path).where(F.col("symbol") == symbol)
     return None if found.isEmpty() else found
+
+
+def describe(bars: DataFrame) -> DataFrame:
+    """Per symbol and timeframe: rows, first and last time, and the provenance of the series."""
+    own = bars.groupBy("symbol", "tf").agg(
+        F.count("*").alias("n_rows"), F.min("ts").alias("start"), F.max("ts").alias("end"), F.array_sort(F.collect_set("source")).alias("sources"),
+        F.max(F.array_position(F.array(*[F.lit(x) for x in LATENCY]), F.col("latency")) - 1).alias("rank"), F.min("fetched_at").alias("fetched_at"),
+    )
+    latency = F.element_at(F.array(*[F.lit(x) for x in LATENCY]), F.coalesce("rank", F.lit(UNAVAILABLE)).cast("int") + 1)
+    return own.select("symbol", "tf", "n_rows", "start", "end", "sources", latency.alias("latency"), "fetched_at")
+
+
+def to_records(bars: DataFrame, max_points: int | None = None) -> DataFrame:
+    """Rows as served: ``ts`` as ISO text in UTC and the prices, each series thinned evenly to at most ``max_points``."""
+    from driftglass.operators.slicing import downsample
+
+    found = bars if not max_points else downsample(bars, max_points)
+    return found.select("symbol", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'+00:00'").alias("ts"), "open", "high", "low", "close", "volume")

@@ -21,10 +21,11 @@ def _instant(ms):
 
 
 def parse_klines(raw: DataFrame, payload: str = "payload") -> DataFrame:
-    """Arrays [open_ms, open, high, low, close, volume, ...] to bars; unparsable or incoherent bars go."""
-    bar = F.explode(F.from_json(payload, "array<array<string>>")).alias("b")
+    """Arrays [open_ms, open, high, low, close, volume, ...] to bars; unparsable or incoherent bars go. ``pos`` is a row's place in its page."""
+    bar = F.posexplode(F.from_json(payload, "array<array<string>>")).alias("pos", "b")
     keep = [c for c in raw.columns if c != payload]
     rows = raw.select(*keep, bar).where(F.size("b") >= 6)
+    keep = [*keep, "pos"]
     num = lambda i: F.col("b")[i].try_cast("double")
     out = rows.select(*keep, _instant(F.col("b")[0].try_cast("long")).alias("ts"), num(1).alias("open"), num(2).alias("high"), num(3).alias("low"), num(4).alias("close"), num(5).alias("volume"))
     return out.where(F.col("ts").isNotNull() & is_coherent())
@@ -38,14 +39,16 @@ def _levels(rows: DataFrame, keep: list[str]) -> DataFrame:
 def parse_funding(raw: DataFrame, payload: str = "payload") -> DataFrame:
     """Objects {fundingTime, fundingRate} to levels; negative rates are legal."""
     keep = [c for c in raw.columns if c != payload]
-    e = raw.select(*keep, F.explode(F.from_json(payload, "array<struct<fundingTime:bigint,fundingRate:string>>")).alias("e"))
+    e = raw.select(*keep, F.posexplode(F.from_json(payload, "array<struct<fundingTime:bigint,fundingRate:string>>")).alias("pos", "e"))
+    keep = [*keep, "pos"]
     return _levels(e.select(*keep, _instant(F.col("e.fundingTime")).alias("ts"), F.col("e.fundingRate").try_cast("double").alias("v")), keep)
 
 
 def parse_open_interest(raw: DataFrame, payload: str = "payload") -> DataFrame:
     """Objects {timestamp, sumOpenInterestValue} to levels."""
     keep = [c for c in raw.columns if c != payload]
-    e = raw.select(*keep, F.explode(F.from_json(payload, "array<struct<timestamp:bigint,sumOpenInterestValue:string>>")).alias("e"))
+    e = raw.select(*keep, F.posexplode(F.from_json(payload, "array<struct<timestamp:bigint,sumOpenInterestValue:string>>")).alias("pos", "e"))
+    keep = [*keep, "pos"]
     return _levels(e.select(*keep, _instant(F.col("e.timestamp")).alias("ts"), F.col("e.sumOpenInterestValue").try_cast("double").alias("v")), keep)
 
 
@@ -61,7 +64,8 @@ def parse_chart(raw: DataFrame, payload: str = "payload") -> DataFrame:
     same = F.lit(True)
     for p in prices:
         same = same & (F.size(F.col(f"q.{p}")) == F.size("t"))
-    z = q.where(same).select(*keep, F.explode(F.arrays_zip(F.col("t"), *[F.col(f"q.{p}").alias(p) for p in prices], F.col("q.volume").alias("volume"))).alias("z"))
+    z = q.where(same).select(*keep, F.posexplode(F.arrays_zip(F.col("t"), *[F.col(f"q.{p}").alias(p) for p in prices], F.col("q.volume").alias("volume"))).alias("pos", "z"))
+    keep = [*keep, "pos"]
     some = F.lit(True)
     for p in prices:
         some = some & F.col(f"z.{p}").isNotNull()

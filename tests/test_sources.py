@@ -46,6 +46,35 @@ def test_results_round_trip(spark, tmp_path):
     lake.save_results(df, str(tmp_path))
     got = lake.load_results(spark, str(tmp_path), "s")
     assert got.count() == 500 and got.agg(F.max("equity")).first()[0] == 700.0 and lake.load_results(spark, str(tmp_path), "t") is None
+    lake.save_results(df.limit(20).withColumn("symbol", F.lit("t")), str(tmp_path))
+    lake.save_results(df.limit(30).withColumn("symbol", F.lit("t")), str(tmp_path))
+    assert lake.load_results(spark, str(tmp_path), "s").count() == 500 and lake.load_results(spark, str(tmp_path), "t").count() == 30
+
+
+def test_upsert_reads_only_what_comes_in(spark, tmp_path):
+    at = str(tmp_path / "lake")
+    lake.write_bars(rows(spark, {0: 1.0}, T0).unionByName(rows(spark, {0: 2.0}, T0, symbol="t")), at)
+    broken = next((tmp_path / "lake" / "bars" / "symbol=t" / "tf=1d").glob("*.parquet"))
+    broken.write_bytes(b"not parquet")  # would fail if it were read
+    (broken.parent / f".{broken.name}.crc").unlink()
+    lake.write_bars(rows(spark, {1: 3.0}, T0), at)
+    assert lake.read_bars(spark, at, "s").count() == 2 and not list((tmp_path / "lake").glob(".staged*"))
+
+
+def test_upsert_of_many_series(spark, tmp_path):
+    at = str(tmp_path / "lake")
+    both = rows(spark, {0: 1.0, 1: 2.0}, T0).unionByName(rows(spark, {0: 2.0}, T0, symbol="t"))
+    for limit in (1, 1000):
+        lake.write_bars(both, at, list_up_to=limit, rows_per_file=1)
+    assert lake.read_bars(spark, at, "s").count() == 2 and lake.read_bars(spark, at, "t").count() == 1
+
+
+def test_description_and_records(spark):
+    df = rows(spark, {0: 1.0, 1: 2.0, 2: 3.0}, T0)
+    r = lake.describe(df).first()
+    assert (r["symbol"], r["n_rows"], r["start"], r["sources"], r["latency"]) == ("s", 3, T0, ["a"], "EOD")
+    got = lake.to_records(df, 2).orderBy("ts").collect()
+    assert [(r["ts"], r["close"]) for r in got] == [("2024-01-01T00:00:00+00:00", 1.0), ("2024-01-03T00:00:00+00:00", 3.0)]
 
 
 def payload(spark, x):
@@ -107,7 +136,7 @@ def test_every_oracle_has_a_query():
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
 
 
-MARKET = [n for n in __spark_entry__.catalog.QUERIES if n not in ("bootstrap_ci", "mahalanobis_16")]
+MARKET = [n for n in __spark_entry__.catalog.QUERIES if n in __spark_entry__.catalog.ORACLES]
 
 
 @pytest.mark.parametrize("name", MARKET)
