@@ -52,23 +52,24 @@ def inverse(cov: np.ndarray, ridge: float = RIDGE) -> np.ndarray | None:
 
 
 def mahalanobis(columns: list[str], query: list[float], inv: np.ndarray | None) -> Column:
-    """Distance of each row to the query point, NULL where the covariance is undefined."""
+    """Distance of each row to the query point as one flat sum, NULL where the covariance is undefined.
+
+    The inverse is symmetric, so a pair of features is one term; zero terms go.
+    """
     if inv is None:
         return F.lit(None).cast("double")
-    d = F.array(*[F.col(c) - F.lit(float(q)) for c, q in zip(columns, query, strict=True)])
-    rows = [F.aggregate(F.zip_with("__d", F.array(*[F.lit(float(x)) for x in r]), lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b) for r in inv]
-    products = F.aggregate(F.zip_with("__d", F.array(*rows), lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
-    return d, F.sqrt(F.greatest(products, F.lit(0.0)))
+    d = [f"(`{c}` - {float(q)!r}D)" for c, q in zip(columns, query, strict=True)]
+    rows = []
+    for i, x in enumerate(d):
+        inner = [f"{float(inv[i][j] * (1 if i == j else 2))!r}D * {d[j]}" for j in range(i, len(d)) if inv[i][j]]
+        if inner:
+            rows.append(f"{x} * ({' + '.join(inner)})")
+    return F.expr(f"sqrt(greatest({' + '.join(rows) or '0D'}, 0D))")
 
 
 def distances(pool: DataFrame, columns: list[str], query: list[float], ridge: float = RIDGE) -> DataFrame:
     """The pool with ``distance`` to the query."""
-    inv = inverse(covariance(pool, columns)[0], ridge)
-    found = mahalanobis(columns, query, inv)
-    if inv is None:
-        return pool.withColumn("distance", found)
-    d, distance = found
-    return pool.withColumn("__d", d).withColumn("distance", distance).drop("__d")
+    return pool.withColumn("distance", mahalanobis(columns, query, inverse(covariance(pool, columns)[0], ridge)))
 
 
 def episodes(ranked: DataFrame, separation: int = SEPARATION, by: list[str] | None = None) -> DataFrame:
@@ -121,7 +122,7 @@ def find_analogues(matrix: DataFrame, bars: DataFrame, when: str, exclusion: int
     Empty where the query row is incomplete or lacks a score, or where nothing precedes it by more than the exclusion.
     """
     zs = [c for c in matrix.columns if c.endswith("__z")]
-    rows = numbered(matrix).cache()  # one row per day; read for the query row, the covariance and the distances
+    rows = numbered(matrix)  # read for the query row, the covariance and the distances: a saved matrix is cheapest
     query = rows.where(F.col("ts") <= F.lit(when).cast("timestamp_ntz")).orderBy(F.desc("ts")).limit(1).first()
     bars = with_forward_returns(bars)
     names = [f"fwd_{h}" for h in HORIZONS]

@@ -37,14 +37,13 @@ def funding_score(funding: DataFrame, window: int = 21, z_window: int = 180) ->
 
 
 def signals(bars: DataFrame, funding: DataFrame | None = None) -> DataFrame:
-    """Bars with ``long_<strategy>`` for the four strategies (true, false; missing inputs are false)."""
+    """Bars with ``long_<strategy>`` for the four strategies (true, false; missing inputs are false). ``funding`` goes by symbol."""
     w = _series()
     df = bars.withColumn("__i", F.row_number().over(w) - 1)
     df = ind.log_return(df, "__mom", "close", w, 63)
     df = ind.rolling_zscore(ind.log_return(df, "__r10", "close", w, 10), "__mr", "__r10", w, 90)
     if funding is not None:
-        known = asof(df.select("ts").distinct(), funding_score(funding).drop("symbol"), "__fund", None)
-        scored = df.join(known, "ts", "left")
+        scored = asof(df, funding_score(funding), "__fund", None, by=["symbol"])
     else:
         scored = df.withColumn("__fund", F.lit(None).cast("double"))
     yes = lambda c: F.coalesce(c, F.lit(False))

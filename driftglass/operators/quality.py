@@ -1,7 +1,7 @@
 """Quality checks on raw bars, and the gate that keeps failing series out of the lake.
 
-One pass computes flags per row (a single window per series), one aggregation turns them into counts. ERROR checks
-quarantine the whole series; WARNING checks only report.
+Windows over each series compute flags per row, medians and running counts after a single shuffle; one aggregation turns
+them into counts. ERROR checks quarantine the whole series; WARNING checks only report.
 """
 
 from __future__ import annotations
@@ -14,6 +14,8 @@ WARNINGS = ("extreme_move", "stale_series")
 SIGMAS = 12.0
 FLAT_SHARE = 0.30
 MAD_SCALE = 1.4826
+LEAST_RETURNS = 30  # moves and staleness are judged on more returns than this
+SAMPLES = 3
 PRICES = ("open", "high", "low", "close")
 
 
@@ -48,29 +50,52 @@ def flags(bars: DataFrame, sequence: str = "seq", allow_negative: Column | bool
     )
 
 
-def report(bars: DataFrame, sequence: str = "seq", allow_negative: Column | bool = False) -> DataFrame:
-    """Per symbol: counts of every check, ``n_rows``, ``sigma``, ``flat_share``, ``passed``, ``findings`` with up to three sample times, ``reason``."""
-    f = flags(bars, sequence, allow_negative)
-    centre = f.groupBy("symbol").agg(F.expr("percentile(r, 0.5)").alias("centre"), F.stddev_pop("r").alias("sd"), F.count("r").alias("n_r"))
-    joined = f.join(centre, "symbol")
-    spread = joined.groupBy("symbol").agg(F.expr("percentile(abs(r - centre), 0.5)").alias("mad"))
-    sigma = F.when(F.col("mad") > 0, F.col("mad") * MAD_SCALE).otherwise(F.col("sd"))
-    marked = joined.join(spread, "symbol").withColumn("sigma", sigma).withColumn("extreme_move", (F.col("n_r") > 30) & (F.col("sigma") > 0) & (F.abs("r") > SIGMAS * F.col("sigma")))
-    counts = [F.sum(F.when(F.col(c), 1).otherwise(0)).alias(c) for c in (*ERRORS, "extreme_move")]
-    samples = [F.slice(F.array_sort(F.collect_list(F.when(F.col(c), F.struct("seq", "ts")))), 1, 3).alias(f"{c}__at") for c in (*ERRORS, "extreme_move")]
-    flat = F.sum(F.when(F.abs("r") < 1e-12, 1).otherwise(0)) / F.nullif(F.sum(F.col("has_before").cast("int")), F.lit(0))
-    out = marked.groupBy("symbol").agg(F.count("*").alias("n_rows"), F.max("sigma").alias("sigma"), flat.alias("flat_share"), *counts, *samples)
-    out = out.withColumn("stale_series", F.when(F.col("flat_share") > FLAT_SHARE, 1).otherwise(0))
+def with_median(df: DataFrame, value: str, out: str) -> DataFrame:
+    """Add the exact median of the present values per symbol, from the middle of a sort that may spill, and their number ``n_r``."""
+    whole = Window.partitionBy("symbol")
+    df = df.withColumn("n_r", F.count(value).over(whole)).withColumn("__k", F.row_number().over(whole.orderBy(F.asc_nulls_last(value))))
+    middle = F.col("__k").between(F.floor((F.col("n_r") + 1) / 2), F.floor((F.col("n_r") + 2) / 2)) & F.col(value).isNotNull()
+    return df.withColumn(out, F.avg(F.when(middle, F.col(value))).over(whole)).drop("__k")
+
+
+def report(bars: DataFrame, sequence: str = "seq", allow_negative: Column | bool = False, symbols: DataFrame | None = None) -> DataFrame:
+    """Per symbol: counts of every check, ``n_rows``, ``sigma``, ``flat_share``, ``passed``, ``findings`` with up to three sample times, ``reason``.
+
+    ``symbols`` (column ``symbol``) are those that were asked for: one without rows fails as ``empty``. All windows are
+    partitioned by symbol, so the bars are shuffled once; of flagged rows only the first three are gathered.
+    """
+    whole, w = Window.partitionBy("symbol"), Window.partitionBy("symbol").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    f = with_median(flags(bars, sequence, allow_negative), "r", "centre").withColumn("sd", F.stddev_pop("r").over(whole))
+    f = with_median(f.withColumn("__off", F.abs(F.col("r") - F.col("centre"))), "__off", "mad")
+    f = f.withColumn("sigma", F.when(F.col("mad") > 0, F.col("mad") * MAD_SCALE).otherwise(F.col("sd")))
+    f = f.withColumn("extreme_move", (F.col("n_r") > LEAST_RETURNS) & (F.col("sigma") > 0) & (F.abs("r") > SIGMAS * F.col("sigma")))
+    checks = (*ERRORS, "extreme_move")
+    f = f.withColumns({f"{c}__n": F.count(F.when(F.col(c), 1)).over(w) for c in checks})
+    counts = [F.count(F.when(F.col(c), 1)).alias(c) for c in checks]
+    samples = [F.array_sort(F.collect_list(F.when(F.col(c) & (F.col(f"{c}__n") <= SAMPLES), F.struct("seq", "ts")))).alias(f"{c}__at") for c in checks]
+    still = F.count(F.when(F.abs("r") < 1e-12, 1))
+    flat = still / F.nullif(F.count(F.when(F.col("has_before"), 1)), F.lit(0))
+    out = f.groupBy("symbol").agg(F.count("*").alias("n_rows"), F.max("sigma").alias("sigma"), F.max("n_r").alias("n_r"), flat.alias("flat_share"), still.alias("still"), *counts, *samples)
+    out = out.withColumn("stale_series", F.when((F.col("n_r") > LEAST_RETURNS) & (F.col("flat_share") > FLAT_SHARE), 1).otherwise(0)).withColumn("empty", F.lit(0))
+    if symbols is not None:
+        none = F.coalesce("n_rows", F.lit(0)) == 0
+        out = symbols.select("symbol").distinct().join(out, "symbol", "full").withColumn("empty", F.when(none, 1).otherwise(0))
+        out = out.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("n_rows", "still", "stale_series", *checks)})
     passed = F.lit(True)
-    for c in ERRORS:
+    for c in ("empty", *ERRORS):
         passed = passed & (F.col(c) == 0)
-    finding = [
-        F.when(F.col(c) > 0, F.struct(F.lit(c).alias("check"), F.lit("ERROR" if c in ERRORS else "WARNING").alias("severity"), F.col(c).cast("long").alias("count"), F.transform(f"{c}__at", lambda x: x["ts"]).alias("samples")))
-        for c in (*ERRORS, "extreme_move")
-    ]
-    reason = F.concat_ws("; ", *[F.when(F.col(c) > 0, F.concat(F.lit(f"{c}("), F.col(c).cast("string"), F.lit(")"))) for c in ERRORS])
-    kept = [c for c in out.columns if not c.endswith("__at")]
-    return out.withColumns({"passed": passed, "findings": F.array_compact(F.array(*finding)), "reason": reason}).select(*kept, "passed", "findings", "reason")
+    no_times = F.array().cast("array<timestamp_ntz>")
+
+    def finding(check: str, count: Column, times: Column) -> Column:
+        severity = "WARNING" if check in WARNINGS else "ERROR"
+        return F.when(F.col(check) > 0, F.struct(F.lit(check).alias("check"), F.lit(severity).alias("severity"), count.cast("long").alias("count"), times.alias("samples")))
+
+    found = [finding("empty", F.lit(0), no_times)]
+    found += [finding(c, F.col(c), F.coalesce(F.transform(f"{c}__at", lambda x: x["ts"]), no_times)) for c in checks]
+    found.append(finding("stale_series", F.col("still"), no_times))
+    reason = F.concat_ws("; ", F.when(F.col("empty") > 0, F.lit("empty(0)")), *[F.when(F.col(c) > 0, F.concat(F.lit(f"{c}("), F.col(c).cast("string"), F.lit(")"))) for c in ERRORS])
+    kept = [c for c in out.columns if not c.endswith("__at") and c not in ("still", "n_r")]
+    return out.withColumns({"passed": passed, "findings": F.array_compact(F.array(*found)), "reason": reason}).select(*kept, "passed", "findings", "reason")
 
 
 def gate(bars: DataFrame, verdict: DataFrame) -> DataFrame:
@@ -79,6 +104,10 @@ def gate(bars: DataFrame, verdict: DataFrame) -> DataFrame:
 
 
 def ingest_counters(verdict: DataFrame) -> DataFrame:
-    """Series requested, written and quarantined, and rows written."""
-    ok = F.when(F.col("passed"), 1).otherwise(0)
-    return verdict.agg(F.count("*").alias("requested"), F.sum(ok).cast("long").alias("succeeded"), F.sum(1 - ok).cast("long").alias("quarantined"), F.sum(F.when(F.col("passed"), F.col("n_rows")).otherwise(0)).cast("long").alias("rows_written"))
+    """Series requested, written, failed (no rows came) and quarantined, and rows written."""
+    ok, none = F.when(F.col("passed"), 1).otherwise(0), F.when(F.col("n_rows") == 0, 1).otherwise(0)
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    return verdict.agg(
+        F.count("*").alias("requested"), total(ok).alias("succeeded"), total(none).alias("failed"), total(1 - ok - none).alias("quarantined"),
+        total(F.when(F.col("passed"), F.col("n_rows")).otherwise(0)).alias("rows_written"),
+    )

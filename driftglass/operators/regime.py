@@ -44,14 +44,24 @@ def classify(matrix: DataFrame) -> DataFrame:
     def item(name: str, reads: Column) -> Column:
         return F.struct(F.lit(name).alias("feature"), _raw(name).alias("raw"), _z(name).alias("z"), reads.alias("reads_as"))
 
-    def signed(name: str, what: str) -> Column:
-        return F.when(F.col(name).isNull(), f"{what} unavailable").otherwise(F.format_string(f"{what} %+.2f", F.col(name)))
-
+    def told(value: Column, how: str, missing: str = "unavailable") -> Column:
+        return F.when(value.isNull(), missing).otherwise(F.format_string(how, value))
+
+    # fixed texts and names, in the order in which they are served
+    side = F.concat(F.when(F.coalesce(F.col("btc_trend_200d"), F.lit(0.0)) > 0, "above").otherwise("below"), F.lit(" its 200d average"), told(F.col("btc_trend_200d__z"), ", z=%+.2f", ""))
+    crowding = (
+        F.when(positioning == "CROWDED_LONG", "funding unusually elevated (crowded longs)")
+        .when(positioning == "CROWDED_SHORT", "funding unusually negative (crowded shorts)").otherwise("funding within normal range")
+    )
+    n_alts = sum((F.when(F.col(f"{a}__z").isNotNull(), 1).otherwise(0) for a in ALTS), F.lit(0))
     evidence = F.array(
-        item("btc_trend_200d", F.concat(F.when(F.coalesce(F.col("btc_trend_200d"), F.lit(0.0)) > 0, "above").otherwise("below"), F.lit(" its 200-row mean"))),
-        item("btc_mom_63d", signed("btc_mom_63d", "momentum")), item("btc_vol_ratio", signed("btc_vol_ratio", "fast over slow volatility")),
-        item("btc_funding_z", signed("btc_funding_z", "funding score")), item("eth_vs_btc_63d", F.when(breadth.isNull(), "breadth unavailable").otherwise(F.format_string("breadth %+.2f", breadth))),
-        item("dxy_mom_63d", signed("dxy_mom_63d", "dollar momentum")), item("vix_level", signed("vix_level", "fear level")), item("us10y_chg_63d", signed("us10y_chg_63d", "yield change")),
+        item("btc_trend_200d", side), item("btc_mom_63d", told(F.col("btc_mom_63d") * 100, "63d return %+.1f%%")), item("btc_vol_ratio", told(F.col("btc_vol_ratio"), "21d/90d realized vol ratio = %.2f")),
+        item("btc_funding_z", crowding),
+        F.struct(
+            F.lit("alt_breadth_avg_z").alias("feature"), F.lit(None).cast("double").alias("raw"), breadth.alias("z"),
+            F.format_string("average of %d/4 altcoins' relative strength vs BTC", n_alts).alias("reads_as"),
+        ),
+        *[item(name, F.lit("macro context")) for name in ("dxy_mom_63d", "vix_level", "us10y_chg_63d")],
     )
     return matrix.select(
         "ts", trend.alias("trend"), volatility.alias("volatility"), positioning.alias("positioning"), rotation.alias("alt_rotation"),

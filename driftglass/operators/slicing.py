@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -37,11 +37,44 @@ class SymbolNotFound(KeyError):
     """No symbol has this ticker."""
 
 
+class DuplicateTicker(ValueError):
+    """Two symbols have the same ticker."""
+
+
+def load_universe(spark: SparkSession, config: dict) -> DataFrame:
+    """The symbol dimension from a parsed configuration (``symbols``: ticker, asset_class, exchange, optional name, currency, providers)."""
+    rows = []
+    for x in config.get("symbols") or []:
+        try:
+            rows.append((x["ticker"], x["exchange"], x["asset_class"], x.get("name", ""), x.get("currency", "USD"), {k: str(v) for k, v in (x.get("providers") or {}).items()}))
+        except KeyError as e:
+            raise ValueError(f"a symbol lacks {e}: {x!r}") from e
+    if not rows:
+        raise ValueError("the universe has no symbols")
+    found = spark.createDataFrame(rows, "ticker string, exchange string, asset_class string, name string, currency string, provider_tickers map<string,string>")
+    return unique_tickers(found)
+
+
+def unique_tickers(symbols: DataFrame) -> DataFrame:
+    """``symbols`` as they are; a ticker that occurs twice is refused."""
+    twice = symbols.groupBy("ticker").count().where("count > 1").orderBy("ticker").limit(5).collect()
+    if twice:
+        raise DuplicateTicker(", ".join(r["ticker"] for r in twice))
+    return symbols
+
+
+def listing(symbols: DataFrame) -> DataFrame:
+    """All symbols in order of their tickers."""
+    return symbols.orderBy("ticker")
+
+
 def find_symbol(symbols: DataFrame, name: str) -> DataFrame:
     """One symbol by ticker or EXCHANGE:TICKER."""
     found = symbols.where((F.col("ticker") == name) | (F.concat_ws(":", "exchange", "ticker") == name))
-    if found.isEmpty():
+    if not (n := len(found.take(2))):
         raise SymbolNotFound(name)
+    if n > 1:
+        raise DuplicateTicker(name)
     return found
 
 

@@ -130,9 +130,14 @@ def test_signals(spark):
 def test_funding_contrarian(spark):
     rng = np.random.default_rng(4)
     level = np.concatenate([rng.normal(1e-4, 5e-5, 230), np.full(6, -0.01)])
-    f = spark.createDataFrame([("f", DAY0 + dt.timedelta(hours=8 * i), float(v)) for i, v in enumerate(level)], "symbol string, ts timestamp_ntz, close double")
-    got = backtest.signals(bars(spark, [100.0] * 90), f).orderBy("ts").collect()
+    f = spark.createDataFrame([("s", DAY0 + dt.timedelta(hours=8 * i), float(v)) for i, v in enumerate(level)], "symbol string, ts timestamp_ntz, close double")
+    other = f.withColumns({"symbol": F.lit("t"), "close": F.lit(1e-4)})
+    own = bars(spark, [100.0] * 90)
+    both = own.unionByName(own.withColumn("symbol", F.lit("t"))).unionByName(own.withColumn("symbol", F.lit("unpaid")))
+    rows = backtest.signals(both, f.unionByName(other)).orderBy("ts").collect()
+    got = [r for r in rows if r["symbol"] == "s"]
     assert got[-1]["long_funding_contrarian"] and not any(r["long_funding_contrarian"] for r in got[:60])
+    assert not any(r["long_funding_contrarian"] for r in rows if r["symbol"] != "s")
 
 
 def test_custom_strategy_joins_the_same_job(spark):

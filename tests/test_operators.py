@@ -109,9 +109,14 @@ def test_labels_confidence_and_evidence(spark):
     r = call(spark, {"btc_trend_200d": 0.15, "btc_mom_63d": 0.2, "btc_vol_ratio": 1.5}, {"btc_trend_200d": 1.0, "btc_mom_63d": 1.0, "btc_funding_z": 1.5, "eth_vs_btc_63d": 0.5})
     assert (r["label"], r["positioning"], r["alt_rotation"]) == ("UP_HIGH", "CROWDED_LONG", "ALT_SEASON")
     assert r["confidence"] == pytest.approx((1 + 0.5 / 0.3) / 2 / 1.5, abs=1e-4)
-    assert len(r["evidence"]) == 8 and r["evidence"][0]["reads_as"].startswith("above")
+    assert [(e["feature"], e["raw"], e["z"], e["reads_as"]) for e in r["evidence"]] == [
+        ("btc_trend_200d", 0.15, 1.0, "above its 200d average, z=+1.00"), ("btc_mom_63d", 0.2, 1.0, "63d return +20.0%"), ("btc_vol_ratio", 1.5, None, "21d/90d realized vol ratio = 1.50"),
+        ("btc_funding_z", None, 1.5, "funding unusually elevated (crowded longs)"), ("alt_breadth_avg_z", None, 0.5, "average of 1/4 altcoins' relative strength vs BTC"),
+        ("dxy_mom_63d", None, None, "macro context"), ("vix_level", None, None, "macro context"), ("us10y_chg_63d", None, None, "macro context"),
+    ]
     empty = call(spark, {}, {})
     assert (empty["label"], empty["confidence"], empty["breadth"]) == ("SIDEWAYS_NORMAL", 0.0, None)
+    assert [e["reads_as"] for e in empty["evidence"]][:5] == ["below its 200d average", "unavailable", "unavailable", "funding within normal range", "average of 0/4 altcoins' relative strength vs BTC"]
 
 
 def test_episode_collapse_matches_loop(spark):
@@ -188,7 +193,62 @@ def test_crash_warns_only(spark):
 
 
 def test_flat_series_warns(spark):
-    assert quality.report(bars(spark, [5.0] * 20)).first()["stale_series"] == 1
+    assert quality.report(bars(spark, [5.0] * 20)).first()["stale_series"] == 0  # too short to tell
+    r = quality.report(bars(spark, [5.0] * 40)).first()
+    assert r["stale_series"] == 1 and r["passed"] and [(f["check"], f["severity"], f["count"], f["samples"]) for f in r["findings"]] == [("stale_series", "WARNING", 39, [])]
+
+
+def test_series_without_rows_fails_and_samples_are_the_first_three(spark):
+    asked = spark.createDataFrame([("s",), ("none",)], "symbol string")
+    got = {r["symbol"]: r for r in quality.report(bars(spark, [100] * 10, volume="-1D"), symbols=asked).collect()}
+    assert not got["none"]["passed"] and got["none"]["n_rows"] == 0 and got["none"]["reason"] == "empty(0)" and [f["check"] for f in got["none"]["findings"]] == ["empty"]
+    negative = got["s"]["findings"][0]
+    assert (negative["check"], negative["count"], negative["samples"]) == ("negative_volume", 10, days(3))
+    c = quality.ingest_counters(quality.report(bars(spark, [100] * 10), symbols=asked)).first()
+    assert (c["requested"], c["succeeded"], c["failed"], c["quarantined"], c["rows_written"]) == (2, 1, 1, 0, 10)
+
+
+def test_median_by_sorting(spark):
+    for values in ([3.0], [3.0, 1.0], [5.0, None, 1.0, 2.0], [1.0, 2.0, 2.0, 9.0], [None]):
+        df = spark.createDataFrame([("s", v) for v in values], "symbol string, v double")
+        there = [v for v in values if v is not None]
+        r = quality.with_median(df, "v", "m").first()
+        assert r["n_r"] == len(there) and r["m"] == (np.median(there) if there else None)
+
+
+def test_state_vector_carries_over_blocks(spark):
+    c = series(spark, "C", range(1, 201))
+    f = spark.createDataFrame([("bars", "F", DAY0 + dt.timedelta(days=d, hours=14), v) for d, v in ((0, 1.0), (31, 2.0), (70, None), (100, 4.0), (100, 4.0), (190, 5.0))], c.schema)
+    m = features.state_vector(c.unionByName(f), spec(features.Feature("f", "F", "level"))).orderBy("ts").collect()
+    want = [None] * 200
+    for day in range(200):
+        hit = [(d, v) for d, v in ((0, 1.0), (31, 2.0), (70, None), (100, 4.0), (190, 5.0)) if d < day]
+        if hit and day - hit[-1][0] <= 6 and (day - hit[-1][0]) * 24 - 14 < 6 * 24:
+            want[day] = hit[-1][1]
+    assert [r["f"] for r in m] == want
+
+
+def test_notes_name_what_is_missing(spark):
+    own = spec(features.Feature("own", "C", "level"), features.Feature("gone", "X", "level"), features.Feature("rel", "C", "rel_strength", window=2, vs="Y"), features.Feature("long", "C", "sma", window=99), features.Feature("odd", "C", "level", vs="Y"))
+    rows = series(spark, "C", range(1, 20))
+    m = features.state_vector(rows, own)
+    assert features.notes(rows, m, own) == {
+        "gone": "no bars data for X", "rel": "no bars data for Y", "odd": "no bars data for Y", "long": "transform 'sma' produced no finite values from C/bars (window=99)",
+    }
+    assert m.where("odd is not null or rel is not null").count() == 0 and m.where("own is null").count() == 0
+
+
+def test_configuration_files(spark, tmp_path):
+    (tmp_path / "f.json").write_text('{"calendar_symbol": "C", "features": [{"name": "x", "source": "C", "transform": "level"}]}')
+    assert features.load_spec(str(tmp_path / "f.json")).names == ["x"]
+    one = {"ticker": "T", "exchange": "X", "asset_class": "C", "providers": {"p": "t"}}
+    got = slicing.load_universe(spark, {"symbols": [one, one | {"ticker": "A"}]})
+    assert [r["ticker"] for r in slicing.listing(got).collect()] == ["A", "T"] and slicing.by_provider(got, "p").count() == 2
+    with pytest.raises(slicing.DuplicateTicker):
+        slicing.load_universe(spark, {"symbols": [one, one]})
+    for bad in ({}, {"symbols": [{"ticker": "T"}]}):
+        with pytest.raises(ValueError):
+            slicing.load_universe(spark, bad)
 
 
 def test_slices(spark):
