@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from driftglass.functions import indicators as ind
 from driftglass.operators import analogue, asof, backtest, features, provenance, quality, regime, slicing
 from driftglass.plans import oracles as sql
-from driftglass.session import table
+from driftglass.session import derived_path, table
 from driftglass.sources import lake, series
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -65,6 +65,14 @@ def matrix(spark, d) -> DataFrame:
     return features.state_vector(all_series(spark, d), features.default_spec(ALTS))
 
 
+def saved_matrix(spark, d) -> DataFrame:
+    """The stored state vector of these tables: built when it is first asked for, read from then on, as the services do."""
+    path = derived_path(spark, d, ("orders", "lineitem"), "state-vector")
+    if not lake.exists(spark, f"{path}/_SUCCESS"):
+        matrix(spark, d).coalesce(1).write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
 def by_symbol():
     return Window.partitionBy("symbol").orderBy("ts")
 
@@ -223,7 +231,19 @@ def quarantine(spark, d):
 
 @query(sql.INGEST_COUNTERS)
 def ingest_counters(spark, d):
-    return quality.ingest_counters(quality.report(broken_bars(spark, d)))
+    """All symbols of the universe are asked for, so those that are never traded fail."""
+    asked = universe(spark, d).select(F.col("ticker").alias("symbol"))
+    return quality.ingest_counters(quality.report(broken_bars(spark, d), symbols=asked))
+
+
+@query(sql.QUALITY_FINDINGS)
+def quality_findings(spark, d):
+    """Findings with their first three times, of one more series that stands still and of symbols without rows."""
+    asked = universe(spark, d).select(F.col("ticker").alias("symbol"))
+    still = daily(spark, d).where("symbol = '1-URGENT'").withColumns({"symbol": F.lit("STILL"), **{c: F.lit(5.0) for c in quality.PRICES}, "k": F.lit(0), "seq": F.unix_seconds(F.col("ts").cast("timestamp"))})
+    got = quality.report(broken_bars(spark, d).unionByName(still), symbols=asked)
+    text = F.array_join(F.transform("f.samples", lambda t: F.date_format(t, "yyyy-MM-dd HH:mm:ss")), ",")
+    return got.select("symbol", "passed", F.explode_outer("findings").alias("f")).select("symbol", "passed", "f.check", "f.severity", "f.count", text.alias("samples"))
 
 
 def two_fetches(spark, d) -> tuple[DataFrame, DataFrame]:
@@ -307,13 +327,13 @@ def state_vector(spark, d):
 
 @query(sql.matrix("SELECT {day}, {rounded}, complete FROM m WHERE ts <= TIMESTAMP '1997-06-15 12:00:00' ORDER BY ts DESC LIMIT 1"))
 def snapshot(spark, d):
-    m = asof.row_on(matrix(spark, d), "1997-06-15 12:00:00")
+    m = asof.row_on(saved_matrix(spark, d), "1997-06-15 12:00:00")
     return m.select(day(), *_matrix_columns(m), "complete")
 
 
 @query(sql.matrix("SELECT {day} FROM m WHERE usable"))
 def usable_rows(spark, d):
-    return features.usable(matrix(spark, d)).select(day())
+    return features.usable(saved_matrix(spark, d)).select(day())
 
 
 CALL = ("trend", "volatility", "positioning", "alt_rotation", "breadth", "confidence", "label")
@@ -321,17 +341,23 @@ CALL = ("trend", "volatility", "positioning", "alt_rotation", "breadth", "confid
 
 @query(sql.regime("SELECT {day}, trend, volatility, positioning, alt_rotation, breadth, confidence, label, n_evidence FROM calls WHERE usable"))
 def regime_history(spark, d):
-    return regime.history(matrix(spark, d)).select(day(), *CALL, F.size("evidence").cast("long").alias("n_evidence"))
+    return regime.history(saved_matrix(spark, d)).select(day(), *CALL, F.size("evidence").cast("long").alias("n_evidence"))
+
+
+@query(sql.REGIME_EVIDENCE)
+def regime_evidence(spark, d):
+    """What each call rests on, for every day and not only the usable ones."""
+    return regime.classify(saved_matrix(spark, d)).select(day(), F.posexplode("evidence").alias("pos", "e")).select("day", "pos", "e.*")
 
 
 @query(sql.regime("SELECT {day}, trend, volatility, positioning, alt_rotation, breadth, confidence, label FROM calls WHERE ts <= TIMESTAMP '1998-03-01' ORDER BY ts DESC LIMIT 1"))
 def regime_latest(spark, d):
-    return regime.latest(matrix(spark, d), "1998-03-01").select(day(), *CALL)
+    return regime.latest(saved_matrix(spark, d), "1998-03-01").select(day(), *CALL)
 
 
 @query(sql.regime("SELECT label, CAST(count(*) AS BIGINT) AS n, round(avg(confidence),4) AS mean_confidence FROM calls WHERE usable GROUP BY 1"))
 def regime_counts(spark, d):
-    return regime.history(matrix(spark, d)).groupBy("label").agg(F.count("*").alias("n"), F.round(F.avg("confidence"), 4).alias("mean_confidence"))
+    return regime.history(saved_matrix(spark, d)).groupBy("label").agg(F.count("*").alias("n"), F.round(F.avg("confidence"), 4).alias("mean_confidence"))
 
 
 # --- analogues -------------------------------------------------------------------------------------------------
@@ -341,8 +367,7 @@ AS_OF = "2001-01-15"
 
 
 def pool_of_two(spark, d) -> tuple[DataFrame, object]:
-    m = matrix(spark, d).select("ts", "complete", *TWO)
-    rows = analogue.numbered(m).cache()  # one row per day; read for the query row, the covariance and the distances
+    rows = analogue.numbered(saved_matrix(spark, d).select("ts", "complete", *TWO))
     ready = rows.where(" and ".join(f"{c} is not null" for c in TWO))
     q = ready.where(F.col("ts") <= F.lit(AS_OF).cast("timestamp_ntz")).orderBy(F.desc("ts")).limit(1).first()
     return (analogue.candidates(ready, q["row_idx"]) if q is not None else ready.limit(0)), q
@@ -368,7 +393,7 @@ def candidate_guard(spark, d):
 
 
 @query(sql.two("SELECT CAST(count(*) AS BIGINT) AS n, round(covar_samp(a,a),6) AS c00, round(covar_samp(a,b),6) AS c01, round(covar_samp(b,b),6) AS c11 FROM pool"))
-def cov_matrix(spark, d):
+def cov_saved_matrix(spark, d):
     a, b = TWO
     return pool_of_two(spark, d)[0].agg(F.count("*").alias("n"), r6(F.covar_samp(a, a), "c00"), r6(F.covar_samp(a, b), "c01"), r6(F.covar_samp(b, b), "c11"))
 
@@ -394,17 +419,24 @@ def bootstrap_ci(spark, d):
     return analogue.bootstrap_ci(anchors_of_two(spark, d))
 
 
-@query()
+@query(sql.MAHALANOBIS_16)
 def mahalanobis_16(spark, d):
-    """All sixteen scores; the matrix inverse has no SQL equivalent, tested against a plain computation."""
-    return analogue.find_analogues(matrix(spark, d), calendar(spark, d), AS_OF).select(day(), "row_idx", r6("distance"), "rank", *[r6(f"fwd_{h}") for h in analogue.HORIZONS])
+    """All sixteen scores."""
+    found = analogue.find_analogues(saved_matrix(spark, d), calendar(spark, d), AS_OF)
+    return found.select(day(), F.col("row_idx").cast("long").alias("row_idx"), r6("distance"), F.col("rank").cast("int").alias("rank"), *[r6(f"fwd_{h}") for h in analogue.HORIZONS])
 
 
 # --- backtests -------------------------------------------------------------------------------------------------
 
 
+FUNDED_BY = {"1-URGENT": "O", "2-HIGH": "O", "3-MEDIUM": "F", "4-NOT SPECIFIED": "F"}
+
+
 def prints(spark, d) -> DataFrame:
-    return series.funding(table(spark, d, "lineitem")).where("symbol = 'O'")
+    """Funding by traded symbol: two symbols share each of the two funding series, one has none."""
+    own = F.array(*[F.struct(F.lit(s).alias("symbol"), F.lit(f).alias("funding")) for s, f in FUNDED_BY.items()])
+    raw = series.funding(table(spark, d, "lineitem")).withColumnRenamed("symbol", "funding")
+    return raw.select("*", F.explode(F.filter(own, lambda x: x["funding"] == F.col("funding"))).alias("x")).select("x.symbol", "ts", "close")
 
 
 def decided(spark, d) -> DataFrame:
@@ -442,6 +474,6 @@ def trade_ledger(spark, d):
 
 @query(sql.BACKTEST_METRICS)
 def backtest_metrics(spark, d):
-    equity = backtest.run(decided(spark, d)).cache()  # one row per bar and strategy; read for the curve and for the ledger
+    equity = backtest.run(decided(spark, d))
     got = backtest.metrics(equity, backtest.trades(equity))
     return got.withColumn("log_growth", F.round(F.ln(F.col("total_return") + 1), 6)).drop("total_return")  # totals here reach 17 digits

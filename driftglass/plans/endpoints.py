@@ -2,16 +2,29 @@
 
 from __future__ import annotations
 
+import datetime as dt
+import uuid
+from collections.abc import Callable
+from dataclasses import dataclass, field
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftglass.operators import analogue, asof, backtest, features, quality, regime, slicing
+from driftglass.sources import fetch
 from driftglass.sources import lake as store
 from driftglass.sources.lake import DataUnavailable
 
 KINDS = ("bars", "funding", "open_interest")
 
 
+def limited(n: int, least: int, most: int) -> int:
+    """``n``, refused outside its bounds."""
+    if not least <= n <= most:
+        raise ValueError(f"max_points is {least} to {most}, not {n}")
+    return n
+
+
 def status(spark: SparkSession, lake: str, breakers: dict | None = None) -> dict:
     """State of the providers' breakers, files and bytes of the lake."""
     return {"breakers": {k: b.state for k, b in (breakers or {}).items()}, "lake": store.stats(spark, lake)}
@@ -29,24 +42,89 @@ def coverage(spark: SparkSession, lake: str, symbols: DataFrame) -> DataFrame:
 
 
 def bars(spark: SparkSession, lake: str, symbol: str, kind: str = "bars", tf: str = "1d", start: str | None = None, end: str | None = None, max_points: int = 1000) -> DataFrame:
-    """One series, thinned evenly to at most ``max_points`` rows."""
+    """One series, thinned evenly to at most ``max_points`` rows (10 to 20000)."""
+    limited(max_points, 10, 20000)
     if kind not in KINDS:
         raise DataUnavailable(kind)
     found = store.read_bars(spark, lake, symbol, tf, kind, start, end)
     if found.isEmpty():
         raise DataUnavailable(symbol)
-    return slicing.downsample(found, min(20000, max(10, max_points))).orderBy("ts")
+    return slicing.downsample(found, max_points).orderBy("ts")
 
 
-def ingest(incoming: DataFrame, lake: str, kind: str = "bars", sequence: str = "seq") -> DataFrame:
-    """Check, quarantine, upsert. Returns the verdict per symbol; failing series are not written."""
-    verdict = quality.report(incoming, sequence, allow_negative=kind != "bars").cache()
-    passed = quality.gate(incoming, verdict)
-    if not passed.isEmpty():
-        store.write_bars(passed, lake, kind)
+def ingest(incoming: DataFrame, lake: str, kind: str = "bars", sequence: str = "seq", symbols: DataFrame | None = None) -> DataFrame:
+    """Check, quarantine, upsert. Returns the verdict per symbol, which is stored beside the series; failing series are not written.
+
+    ``symbols`` are those that were asked for; one without rows fails as empty.
+    """
+    spark = incoming.sparkSession
+    path = f"{lake}/quality/{kind}/run={uuid.uuid4().hex}"
+    quality.report(incoming, sequence, allow_negative=kind != "bars", symbols=symbols).write.parquet(path)
+    verdict = spark.read.parquet(path)
+    if not verdict.where("passed").isEmpty():
+        store.write_bars(quality.gate(incoming, verdict), lake, kind)
     return verdict
 
 
+@dataclass(frozen=True)
+class Backfill:
+    """One kind of series of several symbols from one provider. ``symbols`` maps tickers to the provider's spelling."""
+
+    kind: str
+    provider: str
+    symbols: dict[str, str]
+    parse: Callable[[DataFrame], DataFrame]
+    options: dict = field(default_factory=dict)
+    years: int = 15
+    latency: str = "EOD"
+    tf: str = "1d"
+
+
+def window(end: dt.datetime, years: int) -> tuple[int, int]:
+    """The time a backfill covers, in milliseconds: so many years and ten days."""
+    start = end - dt.timedelta(days=365 * years + 10)
+    return tuple(int(t.replace(tzinfo=t.tzinfo or dt.UTC).timestamp() * 1000) for t in (start, end))
+
+
+def backfill(spark: SparkSession, lake: str, jobs: list[Backfill], end: dt.datetime) -> DataFrame:
+    """Fetch, check and store all jobs. Per job and symbol: ``job``, ``kind``, ``symbol``, ``status``, ``n_rows``, ``reason``.
+
+    ``status`` is succeeded, quarantined (a check failed) or failed (the provider's error, or no rows); one symbol's failure leaves the others alone.
+    Pages are stored before they are parsed, so nothing is fetched twice.
+    """
+    spark.dataSource.register(fetch.ProviderPages)
+    fetched = dt.datetime.now(dt.UTC).replace(tzinfo=None)
+    results = None
+    for number, job in enumerate(jobs):
+        start_ms, end_ms = window(end, job.years)
+        names = spark.createDataFrame([(v, k) for k, v in job.symbols.items()], "symbol string, ticker string")
+        path = f"{lake}/raw/{job.kind}/run={uuid.uuid4().hex}"
+        options = {"start": start_ms, "end": end_ms, **job.options, "symbols": ",".join(dict.fromkeys(job.symbols.values())), "errors": "keep"}
+        spark.read.format("provider_pages").options(**options).load().write.parquet(path)
+        pages = spark.read.parquet(path).join(names, "symbol").drop("symbol").withColumnRenamed("ticker", "symbol")
+        stamp = {"source": F.lit(job.provider), "latency": F.lit(job.latency), "fetched_at": F.lit(fetched).cast("timestamp_ntz"), "tf": F.lit(job.tf)}
+        rows = job.parse(pages.where("payload is not null").select("symbol", "start", "payload")).withColumns(stamp).withColumn("seq", F.struct("start", "pos"))
+        errors = pages.where("error is not null").groupBy("symbol").agg(F.min("error").alias("error"))
+        whole = rows.join(errors, "symbol", "left_anti")  # a series that broke off isn't written
+        verdict = ingest(whole, lake, job.kind, symbols=names.select(F.col("ticker").alias("symbol")))
+        state = F.when(F.col("error").isNotNull() | (F.col("n_rows") == 0), "failed").when(F.col("passed"), "succeeded").otherwise("quarantined")
+        why = F.coalesce("error", F.when(F.col("n_rows") == 0, "no rows").when(~F.col("passed"), F.concat(F.lit("quarantined: "), "reason")), F.lit(""))
+        own = verdict.join(errors, "symbol", "left").select(F.lit(number).alias("job"), F.lit(job.kind).alias("kind"), "symbol", state.alias("status"), F.col("n_rows").cast("long").alias("n_rows"), why.alias("reason"))
+        results = own if results is None else results.unionByName(own)
+    return results
+
+
+def backfill_counters(results: DataFrame) -> DataFrame:
+    """Per job: symbols requested, succeeded, failed and quarantined, and rows written."""
+    n = lambda s: F.count(F.when(F.col("status") == s, 1)).alias(s)
+    written = F.coalesce(F.sum(F.when(F.col("status") == "succeeded", F.col("n_rows"))), F.lit(0).cast("long"))
+    return results.groupBy("job", "kind").agg(F.count("*").alias("requested"), n("succeeded"), n("failed"), n("quarantined"), written.alias("rows_written"))
+
+
+def symbols(universe: DataFrame) -> DataFrame:
+    return slicing.listing(universe)
+
+
 def build_features(spark: SparkSession, lake: str, spec: features.Spec, tf: str = "1d") -> DataFrame:
     """Compute, save and reload the state vector."""
     series = None
@@ -72,7 +150,7 @@ def regime_latest(matrix: DataFrame, when: str) -> DataFrame:
 
 def regime_history(matrix: DataFrame, max_points: int = 500) -> DataFrame:
     calls = regime.history(matrix).withColumn("series", F.lit("regime"))
-    return slicing.downsample(calls, min(5000, max(10, max_points)), "series").drop("series").orderBy("ts")
+    return slicing.downsample(calls, limited(max_points, 10, 5000), "series").drop("series").orderBy("ts")
 
 
 def analogues_latest(matrix: DataFrame, calendar: DataFrame, when: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -80,13 +158,16 @@ def analogues_latest(matrix: DataFrame, calendar: DataFrame, when: str) -> tuple
     known = F.col("ts") <= F.lit(when).cast("timestamp_ntz")
     if not slicing.calendar_difference(matrix.where(known), calendar.where(known)).isEmpty():
         raise DataUnavailable("the state vector and the calendar are out of step")
-    kept = analogue.find_analogues(matrix, calendar, when).cache()
+    found = analogue.find_analogues(matrix, calendar, when)
+    kept = matrix.sparkSession.createDataFrame(found.collect(), found.schema)  # at most one row for each separation's length of days
     return kept, analogue.horizon_stats(kept), analogue.bootstrap_ci(kept)
 
 
 def run_backtests(bars: DataFrame, lake: str, funding: DataFrame | None = None, warmup: int = backtest.WARMUP) -> tuple[DataFrame, DataFrame]:
-    """All strategies of all symbols in one job; curves are saved, metrics and ledger come back."""
-    equity = backtest.run(backtest.decisions(bars, funding), warmup).cache()
+    """All strategies of all symbols in one job; whole curves and thinned results are saved, metrics and ledger come back."""
+    spark, path = bars.sparkSession, f"{lake}/equity/run={uuid.uuid4().hex}"
+    backtest.run(backtest.decisions(bars, funding), warmup).write.parquet(path)
+    equity = spark.read.parquet(path)
     store.save_results(equity.select("symbol", "strategy", "ts", "i", "equity"), lake)
     ledger = backtest.trades(equity)
     return backtest.metrics(equity, ledger, warmup), ledger

@@ -143,14 +143,32 @@ VERDICT = (
     "CAST(count(*) FILTER (NOT isfinite(close)) AS BIGINT) AS non_finite_close, CAST(count(*) FILTER (isfinite(close) AND close <= 0) AS BIGINT) AS non_positive_price, "
     f"CAST(count(*) FILTER ({FINITE} AND {BAD_RANGE}) AS BIGINT) AS ohlc_violation, CAST(count(*) FILTER (volume < 0) AS BIGINT) AS negative_volume, "
     "CAST(count(*) FILTER (n_r > 30 AND sigma > 0 AND abs(r) > 12 * sigma) AS BIGINT) AS extreme_move, max(sigma) AS sigma, "
-    "count(*) FILTER (abs(r) < 1e-12) / nullif(count(before), 0) AS flat_share FROM f3 GROUP BY 1), "
-    f"verdict AS (SELECT *, CAST(CASE WHEN flat_share > 0.30 THEN 1 ELSE 0 END AS BIGINT) AS stale_series, ({' AND '.join(f'{c} = 0' for c in CHECKS)}) AS passed, {_REASON} AS reason FROM v0)"
+    "max(n_r) AS n_r, CAST(count(*) FILTER (abs(r) < 1e-12) AS BIGINT) AS still, count(*) FILTER (abs(r) < 1e-12) / nullif(count(before), 0) AS flat_share FROM f3 GROUP BY 1), "
+    f"verdict AS (SELECT *, CAST(CASE WHEN n_r > 30 AND flat_share > 0.30 THEN 1 ELSE 0 END AS BIGINT) AS stale_series, ({' AND '.join(f'{c} = 0' for c in CHECKS)}) AS passed, {_REASON} AS reason FROM v0)"
 )
 QUALITY_REPORT = f"WITH {VERDICT} SELECT symbol, n_rows, {', '.join(CHECKS)}, extreme_move, stale_series, round(sigma,6) AS sigma, round(flat_share,6) AS flat_share, passed, reason FROM verdict"
 QUARANTINE = f"WITH {VERDICT} SELECT symbol, CAST(count(*) AS BIGINT) AS n_rows, round(sum(volume),6) AS volume FROM broken WHERE symbol IN (SELECT symbol FROM verdict WHERE passed) GROUP BY 1"
 INGEST_COUNTERS = (
-    f"WITH {VERDICT} SELECT CAST(count(*) AS BIGINT) AS requested, CAST(count(*) FILTER (passed) AS BIGINT) AS succeeded, CAST(count(*) FILTER (NOT passed) AS BIGINT) AS quarantined, "
-    "CAST(coalesce(sum(n_rows) FILTER (passed), 0) AS BIGINT) AS rows_written FROM verdict"
+    f"WITH {VERDICT}, asked AS (SELECT DISTINCT o_orderpriority AS symbol FROM orders UNION SELECT r_name FROM region), j AS (SELECT * FROM asked FULL JOIN verdict USING (symbol)) "
+    "SELECT CAST(count(*) AS BIGINT) AS requested, CAST(count(*) FILTER (passed) AS BIGINT) AS succeeded, CAST(count(*) FILTER (n_rows IS NULL) AS BIGINT) AS failed, "
+    "CAST(count(*) FILTER (NOT passed) AS BIGINT) AS quarantined, CAST(coalesce(sum(n_rows) FILTER (passed), 0) AS BIGINT) AS rows_written FROM j"
+)
+_STILL = "SELECT 'STILL' AS symbol, ts, 5.0 AS open, 5.0 AS high, 5.0 AS low, 5.0 AS close, volume, 0 AS k, epoch(ts) AS seq FROM bars WHERE symbol = '1-URGENT'"
+_FLAGS = {
+    "duplicate_timestamps": "ts = before", "unsorted": "ts < before", "non_finite_close": "NOT isfinite(close)", "non_positive_price": "isfinite(close) AND close <= 0",
+    "ohlc_violation": f"{FINITE} AND {BAD_RANGE}", "negative_volume": "volume < 0", "extreme_move": "n_r > 30 AND sigma > 0 AND abs(r) > 12 * sigma",
+}
+_FLAGGED = " UNION ALL ".join(f"SELECT symbol, seq, ts, '{c}' AS \"check\" FROM f3 WHERE {e}" for c, e in _FLAGS.items())
+QUALITY_FINDINGS = (
+    "WITH " + VERDICT.replace("f0 AS (SELECT *, lag(ts) OVER w AS before, CASE WHEN isfinite(close) THEN close END AS c0 FROM broken", f"all_bars AS (SELECT * FROM broken UNION ALL {_STILL}), "
+    "f0 AS (SELECT *, lag(ts) OVER w AS before, CASE WHEN isfinite(close) THEN close END AS c0 FROM all_bars")
+    + f", flagged AS ({_FLAGGED}), numbered AS (SELECT *, row_number() OVER (PARTITION BY symbol, \"check\" ORDER BY seq) AS k FROM flagged), "
+    "found AS (SELECT symbol, \"check\", CASE WHEN \"check\" = 'extreme_move' THEN 'WARNING' ELSE 'ERROR' END AS severity, CAST(count(*) AS BIGINT) AS \"count\", "
+    "string_agg(strftime(ts, '%Y-%m-%d %H:%M:%S'), ',' ORDER BY seq) FILTER (k <= 3) AS samples FROM numbered GROUP BY 1, 2 "
+    "UNION ALL SELECT symbol, 'stale_series', 'WARNING', still, '' FROM verdict WHERE stale_series = 1), "
+    "asked AS (SELECT DISTINCT o_orderpriority AS symbol FROM orders UNION SELECT r_name FROM region), every AS (SELECT symbol, coalesce(passed, FALSE) AS passed, n_rows FROM asked FULL JOIN verdict USING (symbol)) "
+    "SELECT symbol, passed, CASE WHEN n_rows IS NULL THEN 'empty' ELSE \"check\" END AS \"check\", CASE WHEN n_rows IS NULL THEN 'ERROR' ELSE severity END AS severity, "
+    "CASE WHEN n_rows IS NULL THEN 0 ELSE \"count\" END AS \"count\", CASE WHEN n_rows IS NULL THEN '' ELSE samples END AS samples FROM every LEFT JOIN found USING (symbol)"
 )
 UPSERT = with_bars(
     "SELECT symbol, {day}, round(close,6) AS close, source FROM (SELECT symbol, ts, close, 'first' AS source, TIMESTAMP '2002-01-01' AS f, 0 AS new FROM bars UNION ALL SELECT symbol, ts, close + 1, 'second', "
@@ -252,6 +270,20 @@ def regime(select: str) -> str:
     return f"{MATRIX}, {CALLS} " + select.replace("{day}", DAY)
 
 
+_ITEMS = {
+    "btc_trend_200d": "CASE WHEN coalesce(btc_trend_200d, 0) > 0 THEN 'above' ELSE 'below' END || ' its 200d average' || CASE WHEN btc_trend_200d__z IS NULL THEN '' ELSE printf(', z=%+.2f', btc_trend_200d__z) END",
+    "btc_mom_63d": "CASE WHEN btc_mom_63d IS NULL THEN 'unavailable' ELSE printf('63d return %+.1f%%', btc_mom_63d * 100) END",
+    "btc_vol_ratio": "CASE WHEN btc_vol_ratio IS NULL THEN 'unavailable' ELSE printf('21d/90d realized vol ratio = %.2f', btc_vol_ratio) END",
+    "btc_funding_z": "CASE WHEN round(btc_funding_z__z, 6) > 1 THEN 'funding unusually elevated (crowded longs)' WHEN round(btc_funding_z__z, 6) < -1 THEN 'funding unusually negative (crowded shorts)' ELSE 'funding within normal range' END",
+    "dxy_mom_63d": "'macro context'", "vix_level": "'macro context'", "us10y_chg_63d": "'macro context'",
+}
+_PLACES = {n: i + (i > 3) for i, n in enumerate(_ITEMS)}
+_N_ALTS = " + ".join(f"CASE WHEN {v} IS NULL THEN 0 ELSE 1 END" for v in _ALT_Z)
+REGIME_EVIDENCE = f"{MATRIX} " + " UNION ALL ".join([
+    *[f"SELECT {DAY}, {_PLACES[n]} AS pos, '{n}' AS feature, round({n}, 6) AS raw, round({n}__z, 6) AS z, {e} AS reads_as FROM m" for n, e in _ITEMS.items()],
+    f"SELECT {DAY}, 4, 'alt_breadth_avg_z', NULL, round({_mean_present(_ALT_Z)}, 6), 'average of ' || ({_N_ALTS}) || '/4 altcoins'' relative strength vs BTC' FROM m",
+])
+
 # --- analogues -------------------------------------------------------------------------------------------------
 
 AS_OF = "TIMESTAMP '2001-01-15'"
@@ -285,16 +317,38 @@ HORIZON_QUANTILES = (
     "SELECT horizon, CAST(count(r) AS BIGINT) AS n, round(quantile_cont(r, 0.25), 6) AS p25, round(quantile_cont(r, 0.5), 6) AS median, round(quantile_cont(r, 0.75), 6) AS p75 FROM lg GROUP BY 1"
 )
 
+_N = len(SPEC.names)
+_SCORES = ", ".join(f"{n}__z" for n in SPEC.names)
+#: The inverse by Gauss-Jordan elimination, one column a step; the ridge keeps all pivots positive.
+MAHALANOBIS_16 = (
+    MATRIX.replace("WITH ", "WITH RECURSIVE ", 1)
+    + f", rows16 AS (SELECT ts, row_number() OVER (ORDER BY ts) - 1 AS row_idx, [{_SCORES}] AS v, usable FROM m), "
+    f"q16 AS (SELECT * FROM (SELECT row_idx AS qi, v AS qv, usable FROM rows16 WHERE ts <= {AS_OF} ORDER BY ts DESC LIMIT 1) WHERE usable), "
+    "pool AS (SELECT rows16.ts, row_idx, v, qv FROM rows16, q16 WHERE rows16.usable AND row_idx < qi - 21), "
+    f"cv AS (SELECT i, j, covar_samp(v[i], v[j]) AS c FROM pool, range(1, {_N + 1}) a(i), range(1, {_N + 1}) b(j) GROUP BY i, j), "
+    f"rd AS (SELECT i, j, c + CASE WHEN i = j THEN 0.1 * (SELECT sum(c) FROM cv WHERE i = j) / {_N} ELSE 0 END AS c FROM cv), "
+    f"line AS (SELECT i, list_concat(list(c ORDER BY j), list_transform(range(1, {_N + 1}), lambda p: CASE WHEN p = i THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END)) AS r FROM rd GROUP BY i), "
+    "g(k, m) AS (SELECT 0, list(r ORDER BY i) FROM line UNION ALL SELECT k + 1, list_transform(m, lambda r, n: "
+    f"list_transform(r, lambda x, p: CASE WHEN n = k + 1 THEN x / r[k + 1] ELSE x - r[k + 1] * m[k + 1][p] / m[k + 1][k + 1] END)) FROM g WHERE k < {_N}), "
+    f"inv AS (SELECT list_transform(m, lambda r: r[{_N + 1}:{2 * _N}]) AS x FROM g WHERE k = {_N}), "
+    "away AS (SELECT ts, row_idx, list_transform(v, lambda a, n: a - qv[n]) AS d FROM pool), "
+    "dist AS (SELECT ts, row_idx, sqrt(greatest(list_sum(list_transform(x, lambda r, n: d[n] * list_dot_product(r, d))), 0)) AS distance FROM away, inv), "
+    + KEPT
+    + ", fw AS (SELECT ts, " + ", ".join(f"lead(close, {h}) OVER (ORDER BY ts) / close - 1 AS fwd_{h}" for h in (1, 3, 7, 21)) + " FROM cal) "
+    f"SELECT strftime(kept.ts, '%Y-%m-%d') AS day, CAST(row_idx AS BIGINT) AS row_idx, round(distance, 6) AS distance, CAST(rank AS INTEGER) AS rank, "
+    + ", ".join(f"round(fwd_{h}, 6) AS fwd_{h}" for h in (1, 3, 7, 21)) + " FROM kept LEFT JOIN fw USING (ts)"
+)
+
 # --- backtests -------------------------------------------------------------------------------------------------
 
 _W = "WINDOW w AS (PARTITION BY symbol ORDER BY ts)"
 SIGNALS = (
     f"{BARS}, {CAL}, {FUNDING}, "
-    f"fm AS (SELECT ts, {sma('close', 21, '')} AS m, row_number() OVER (ORDER BY ts) AS k FROM funding WHERE symbol = 'O'), "
-    f"fq AS (SELECT ts, m, k, {sma('m', 180, '')} AS zm, {std('m', 180, '')} AS zs FROM fm), fz AS (SELECT ts, CASE WHEN k >= 202 AND zs > 0 THEN (m - zm) / zs END AS z FROM fq), "
+    f"fm AS (SELECT symbol, ts, {sma('close', 21)} AS m, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS k FROM funding), "
+    f"fq AS (SELECT symbol, ts, m, k, {sma('m', 180)} AS zm, {std('m', 180)} AS zs FROM fm), fz AS (SELECT symbol AS paid, ts, CASE WHEN k >= 202 AND zs > 0 THEN (m - zm) / zs END AS z FROM fq), "
     f"s0 AS (SELECT *, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY symbol) AS n, {log_return('close', 63)} AS mom, {log_return('close', 10)} AS r10, {log_return('close', 1)} AS r1 FROM bars {_W}), "
     f"s1 AS (SELECT *, {sma('r10', 90)} AS m10, {std('r10', 90)} AS d10, {std('r1', 21)} * sqrt(365) AS vol FROM s0), "
-    "s2 AS (SELECT c.*, s.z AS fund FROM s1 c ASOF LEFT JOIN fz s ON c.ts >= s.ts), "
+    "s2 AS (SELECT c.*, s.z AS fund FROM (SELECT *, CASE WHEN symbol IN ('1-URGENT', '2-HIGH') THEN 'O' WHEN symbol IN ('3-MEDIUM', '4-NOT SPECIFIED') THEN 'F' END AS funding_of FROM s1) c ASOF LEFT JOIN fz s ON c.funding_of = s.paid AND c.ts >= s.ts), "
     "sig AS (SELECT *, CASE WHEN vol > 0 THEN least(0.40 / vol, 1.0) ELSE 0.0 END AS size, TRUE AS long_buy_and_hold, coalesce(mom > 0, FALSE) AS long_momentum, "
     "coalesce(d10 > 0 AND (r10 - m10) / nullif(d10, 0) < -1.5 AND i >= 100, FALSE) AS long_mean_reversion, coalesce(fund < -1.0, FALSE) AS long_funding_contrarian FROM s2)"
 )

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
+import re
+import tempfile
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -18,3 +22,28 @@ def make_importable(spark: SparkSession) -> None:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+@cache
+def _local_folder() -> str:
+    return f"file://{tempfile.mkdtemp(prefix='driftglass-')}"
+
+
+def derived_path(spark: SparkSession, sf_dir: str, names: tuple[str, ...], what: str) -> str:
+    """Where a table derived from these input tables is kept: the path changes with the inputs' files, sizes and times.
+
+    It lies in spark.checkpoint.dir, or, where that is unset, in the warehouse, or in a temporary folder if driver and executors are one process.
+    """
+    sc = spark.sparkContext
+    conf, jvm = sc._jsc.hadoopConfiguration(), sc._jvm
+    seen = [what]
+    for name in names:
+        p = jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
+        files = p.getFileSystem(conf).listFiles(p, True)
+        while files.hasNext():
+            f = files.next()
+            seen.append(f"{f.getPath()} {f.getLen()} {f.getModificationTime()}")
+    root = sc.getConf().get("spark.checkpoint.dir", None)
+    if root is None:
+        root = _local_folder() if re.fullmatch(r"local(\[.*\])?", sc.master) else spark.conf.get("spark.sql.warehouse.dir")
+    return f"{root.rstrip('/')}/{what}-{hashlib.sha256(chr(10).join(sorted(seen)).encode()).hexdigest()[:24]}"

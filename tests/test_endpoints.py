@@ -26,9 +26,9 @@ def filled(spark, tmp_path_factory):
         close = 100 * np.exp(np.cumsum(rng.normal(0.0005, 0.02, n)))
         for at in range(0, n, step):
             page = [[START + i * DAY_MS, str(close[i]), str(close[i] * 1.01), str(close[i] * 0.99), str(close[i]), "5"] for i in range(at, min(at + step, n))]
-            (top / symbol / f"{START + at * DAY_MS}.json").write_text(json.dumps(page))
+            (top / symbol / f"{START + max(0, (at - 1) * DAY_MS + 1)}.json").write_text(json.dumps(page))  # a page is asked for from the last row's time plus one
     spark.dataSource.register(fetch.ProviderPages)
-    raw = spark.read.format("provider_pages").options(url=f"file://{top}/{{symbol}}/{{start}}.json", symbols="ALL,A,BAD", start=START, end=START + n * DAY_MS, step=step * DAY_MS, interval_s=0).load()
+    raw = spark.read.format("provider_pages").options(url=f"file://{top}/{{symbol}}/{{start}}.json", symbols="ALL,A,BAD", start=START, end=START + n * DAY_MS, limit=step, lanes=2, interval_s=0).load()
     bars = providers.parse_klines(raw.select("symbol", "payload")).withColumns({"source": F.lit("files"), "latency": F.lit("EOD"), "fetched_at": F.lit(dt.datetime(2022, 1, 1)).cast("timestamp_ntz"), "tf": F.lit("1d")})
     bars = bars.withColumn("seq", F.unix_millis(F.col("ts").cast("timestamp"))).withColumn("close", F.when((F.col("symbol") == "BAD") & (F.col("seq") % 7 == 0), -F.col("close")).otherwise(F.col("close")))
     at = str(top / "lake")
@@ -44,6 +44,42 @@ def test_ingest_quarantines_the_broken_series(spark, filled):
     assert {r["ticker"]: r["latency"] for r in endpoints.coverage(spark, at, symbols).collect()} == {"ALL": "EOD", "BAD": "UNAVAILABLE"}
 
 
+def test_backfill_isolates_failures(spark, filled, tmp_path):
+    at, _, n = filled
+    top = at.removesuffix("/lake")
+    end = dt.datetime.fromtimestamp(START / 1000, dt.UTC) + dt.timedelta(days=375)
+    assert endpoints.window(end, 1) == (START, START + 375 * DAY_MS)
+    for name, rows in (("NEG", [[START + i * DAY_MS, "1", "1", "1", "1", "-1"] for i in range(30)]), ("NONE", [])):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / f"{START}.json").write_text(json.dumps(rows))
+    (tmp_path / "A").symlink_to(f"{top}/A")
+    (tmp_path / "HALF").mkdir()
+    (tmp_path / "HALF" / f"{START}.json").write_text((tmp_path / "A" / f"{START}.json").read_text())  # its second page is missing
+    options = {"url": f"file://{tmp_path}/{{symbol}}/{{start}}.json", "limit": 100, "interval_s": 0}
+    symbols = {"a": "A", "none": "NONE", "gone": "GONE", "half": "HALF"}
+    (tmp_path / "F").mkdir()
+    (tmp_path / "F" / f"{START}.json").write_text(json.dumps([{"fundingTime": START + i * DAY_MS // 3, "fundingRate": "-0.01"} for i in range(50)]))
+    lake_at = str(tmp_path / "lake")
+    jobs = [
+        endpoints.Backfill("bars", "files", symbols, providers.parse_klines, options, years=1),
+        endpoints.Backfill("funding", "files", {"a": "F"}, providers.parse_funding, options | {"time": "fundingTime"}, years=1),
+    ]
+    got = {(r["kind"], r["symbol"]): r for r in endpoints.backfill(spark, lake_at, jobs, end).collect()}
+    assert {k: (r["status"], r["n_rows"]) for k, r in got.items()} == {
+        ("bars", "a"): ("succeeded", 400), ("bars", "none"): ("failed", 0), ("bars", "gone"): ("failed", 0), ("bars", "half"): ("failed", 0), ("funding", "a"): ("succeeded", 50),
+    }
+    assert "ProviderError" in got["bars", "half"]["reason"] and got["bars", "none"]["reason"] == "no rows"
+    assert {r["symbol"] for r in lake.manifest(endpoints.stored(spark, lake_at)).collect()} == {"a"}
+    counted = {r["kind"]: r for r in endpoints.backfill_counters(endpoints.backfill(spark, lake_at, jobs, end)).collect()}
+    assert (counted["bars"]["requested"], counted["bars"]["succeeded"], counted["bars"]["failed"], counted["bars"]["rows_written"]) == (4, 1, 3, 400)
+
+
+def test_points_out_of_bounds_are_refused(spark, filled):
+    for points in (9, 20001):
+        with pytest.raises(ValueError):
+            endpoints.bars(spark, filled[0], "A", max_points=points)
+
+
 def test_bars(spark, filled):
     at, _, n = filled
     assert endpoints.bars(spark, at, "A", max_points=50).count() == 50
@@ -80,6 +116,54 @@ def test_backtests_are_saved_and_served(spark, filled):
     assert endpoints.status(spark, at)["lake"]["files"] > 0
 
 
+def test_pages_are_followed_to_the_end():
+    rows = [[1000 * i, "1"] for i in range(2500)]
+    asked = []
+
+    def get(url):
+        start, end, limit = map(int, url.split("/"))
+        asked.append(start)
+        return json.dumps([r for r in rows if start <= r[0] <= end][:limit])
+
+    pages = list(fetch.follow(get, "{start}/{end}/{limit}", "s", 0, 2_500_000, 1000, "0"))
+    assert [r for _, p in pages for r in json.loads(p)] == rows and asked == [0, 999_001, 1_999_001]
+    asked.clear()
+    list(fetch.follow(get, "{start}/{end}/{limit}", "s", 0, 999_001, 1000, "0"))
+    assert asked == [0]  # the end is reached by a full page
+    with pytest.raises(fetch.ProviderError, match="followed"):
+        list(fetch.follow(get, "{start}/{end}/{limit}", "s", 0, 2_500_000, 1000, "when"))
+    assert len(list(fetch.follow(get, "{start}/{end}/{limit}", "s", 0, 2_500_000, 1000, ""))) == 1
+    stuck = json.dumps([[5, "1"]] * 10)
+    assert len(list(fetch.follow(lambda url: stuck, "{start}", "s", 6, 100, 10, "0"))) == 1
+
+
+def test_a_lane_waits_between_requests(monkeypatch):
+    now, at = [0.0], []
+    monkeypatch.setattr(fetch, "read_url", lambda url: at.append(now[0]) or json.dumps([[int(url), "1"]] * 2))
+    monkeypatch.setattr(fetch, "Limiter", lambda s: Real(s, lambda: now[0], lambda x: now.__setitem__(0, now[0] + x)))
+    reader = fetch._Reader({"url": "{start}", "symbols": "a,b,c", "start": "0", "end": "3", "limit": "2", "lanes": "2", "interval_s": "0.5"})
+    lanes = reader.partitions()
+    assert [x.symbols for x in lanes] == [["a", "c"], ["b"]]
+    assert len(list(reader.read(lanes[0]))) == 6
+    assert at == [0.0, 1.0, 2.0, 3.0, 4.0, 5.0]
+
+
+Real = fetch.Limiter
+
+
+def test_timeouts_are_retried(monkeypatch):
+    calls = []
+
+    def late(*_, **__):
+        calls.append(1)
+        raise TimeoutError("late")
+
+    monkeypatch.setattr(fetch.urllib.request, "urlopen", late)
+    with pytest.raises(fetch.ProviderError):
+        fetch.with_retry(lambda: fetch.read_url("u"), sleep=lambda s: None)
+    assert len(calls) == 3
+
+
 def test_retry_and_limits():
     calls, pauses = [], []
 
