@@ -36,12 +36,23 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once as Parquet in the shared folder and read it back: lineage ends here, executors may come and go."""
+def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """``df`` written once as Parquet in the shared folder and read back, and its path."""
     spark = df.sparkSession
     path = shared_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` once as Parquet in the shared folder and read it back: lineage ends here, executors may come and go."""
+    return written(df, name)[0]
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete what ``shared_path`` named and nothing reads any more."""
+    hadoop_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop_path, True)
 
 
 def put_file(uri: str, data: bytes) -> None:
@@ -111,9 +122,11 @@ def connected_components(edges: DataFrame, name: str = "components") -> DataFram
 
     ``edges`` has long columns ``u`` and ``v`` (self loops, repeats and either order are fine). Returns ``node`` and
     ``component``, the smallest node reachable, for every node that has a link. Each round is one written table in the
-    shared folder; the loop ends when a round changes nothing, so there is no cap on a component's size or diameter.
+    shared folder, of which two exist at a time; the loop ends when a round changes nothing, so there is no cap on a
+    component's size or diameter.
     """
-    current = materialize(
+    spark = edges.sparkSession
+    current, path = written(
         edges.where("u is not null and v is not null and u <> v")
         .select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         .distinct(),
@@ -131,7 +144,8 @@ def connected_components(edges: DataFrame, name: str = "components") -> DataFram
             .unionByName(low.select("u", F.col("m").alias("v")))
             .distinct()
         )
-        current = materialize(small, name)
+        before, (current, path) = path, written(small, name)
+        delete(spark, before)
         now = current.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(now) == mark:
             break
