@@ -46,30 +46,28 @@ def write_bars(incoming: DataFrame, lake: str, kind: str = "bars", rows_per_file
     Long series are spread over files by time. The staging folder is this call's own.
     """
     spark = incoming.sparkSession
-    path = f"{lake}/{kind}"
-    incoming = incoming.select(STORED.names)
-    if exists(spark, path):
-        touched = incoming.select("symbol", "tf").distinct()
-        some = touched.limit(list_up_to + 1).collect()
-        held = spark.read.schema(STORED).parquet(path)
-        if len(some) <= list_up_to:
-            by_tf: dict[str, list[str]] = {}
-            for r in some:
-                by_tf.setdefault(r["tf"], []).append(r["symbol"])
-            named = F.lit(False)
-            for tf, symbols in sorted(by_tf.items()):
-                named = named | ((F.col("tf") == tf) & F.col("symbol").isin(symbols))
-            held = held.where(named)
-        else:
-            held = held.join(touched, ["symbol", "tf"], "left_semi")
-        merged = latest_wins(held.select(STORED.names), incoming)
-    else:
-        merged = latest_wins(incoming.limit(0), incoming)
-    staged = f"{lake}/.staged-{kind}-{uuid.uuid4().hex}"
+    path, staged = f"{lake}/{kind}", f"{lake}/.staged-{kind}-{uuid.uuid4().hex}"
     fs, p = _hadoop(spark, staged)
     try:
-        merged.write.parquet(staged)
-        files = spark.read.schema(STORED).parquet(staged)
+        incoming.select(STORED.names).write.parquet(f"{staged}/incoming")  # read three times below, computed once
+        arrived = spark.read.schema(STORED).parquet(f"{staged}/incoming")
+        held = arrived.limit(0)
+        if exists(spark, path):
+            touched = arrived.select("symbol", "tf").distinct()
+            some = touched.limit(list_up_to + 1).collect()
+            held = spark.read.schema(STORED).parquet(path)
+            if len(some) <= list_up_to:
+                by_tf: dict[str, list[str]] = {}
+                for r in some:
+                    by_tf.setdefault(r["tf"], []).append(r["symbol"])
+                named = F.lit(False)
+                for tf, symbols in sorted(by_tf.items()):
+                    named = named | ((F.col("tf") == tf) & F.col("symbol").isin(symbols))
+                held = held.where(named)
+            else:
+                held = held.join(touched, ["symbol", "tf"], "left_semi")
+        latest_wins(held.select(STORED.names), arrived).write.parquet(f"{staged}/merged")
+        files = spark.read.schema(STORED).parquet(f"{staged}/merged")
         writer = files.repartitionByRange("symbol", "tf", "ts").sortWithinPartitions("symbol", "tf", "ts").write
         writer.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").option("maxRecordsPerFile", rows_per_file).partitionBy("symbol", "tf").parquet(path)
     finally:
