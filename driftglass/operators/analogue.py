@@ -1,7 +1,7 @@
 """Historical analogues: guarded candidates, Mahalanobis distance, episode collapse, forward-return statistics.
 
 The covariance is one aggregation over the candidate pool; only the k x k matrix (k features) reaches the driver,
-where it is inverted, and distances are computed back on the executors as column expressions.
+where it is inverted, and distances are computed back on the executors as one flat expression.
 """
 
 from __future__ import annotations
@@ -34,14 +34,21 @@ def candidates(rows: DataFrame, query_idx: int, exclusion: int = EXCLUSION) -> D
 
 
 def covariance(pool: DataFrame, columns: list[str]) -> tuple[np.ndarray, int]:
-    """Sample covariance of all pairs of columns in one aggregation, and the pool's size."""
-    pairs = [(i, j) for i in range(len(columns)) for j in range(i, len(columns))]
-    row = pool.agg(F.count("*").alias("n"), *[F.covar_samp(F.col(columns[i]), F.col(columns[j])).alias(f"c{i}_{j}") for i, j in pairs]).first()
-    c = np.full((len(columns), len(columns)), np.nan)
-    for i, j in pairs:
-        if row[f"c{i}_{j}"] is not None:
-            c[i, j] = c[j, i] = row[f"c{i}_{j}"]
-    return c, row["n"]
+    """Sample covariance of all pairs of columns in one aggregation keyed by the pair, and the pool's size.
+
+    A row becomes one short row for each pair, added up before the shuffle, so plans stay small however many features there are.
+    """
+    k = len(columns)
+    pairs = [(i, j) for i in range(k) for j in range(i, k)]
+    x = f"array({', '.join(f'`{c}`' for c in columns)})"
+    each = f"explode(array({', '.join(f'named_struct(\'i\', {i}, \'j\', {j})' for i, j in pairs)})) AS p"
+    long = pool.selectExpr(f"{x} AS x", each).selectExpr("p.i AS i", "p.j AS j", "x[p.i] AS a", "x[p.j] AS b")
+    rows = long.groupBy("i", "j").agg(F.count("*").alias("n"), F.covar_samp("a", "b").alias("c")).collect()
+    found = np.full((k, k), np.nan)
+    for r in rows:
+        if r["c"] is not None:
+            found[r["i"], r["j"]] = found[r["j"], r["i"]] = r["c"]
+    return found, rows[0]["n"] if rows else 0
 
 
 def inverse(cov: np.ndarray, ridge: float = RIDGE) -> np.ndarray | None:

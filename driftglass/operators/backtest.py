@@ -126,24 +126,38 @@ def trades(equity: DataFrame) -> DataFrame:
     return out.withColumn("pnl", (F.col("exit_price") / F.col("entry_price") - 1) * F.col("weight"))
 
 
-def metrics(equity: DataFrame, ledger: DataFrame, warmup: int = WARMUP) -> DataFrame:
-    """The bundle per symbol and strategy, over the whole equity curve including its two leading ones."""
+def with_pnl(equity: DataFrame) -> DataFrame:
+    """Add ``pnl`` of the trade that a row's decision closes, what the ledger has, without leaving the series' window."""
+    opens, closes = (F.col("before") <= 0) & (F.col("held") > 0), (F.col("before") > 0) & (F.col("held") <= 0)
+    earlier = _series(KEY).rowsBetween(Window.unboundedPreceding, -1)
+    df = equity.withColumn("__opened", F.last(F.when(opens, F.struct("entry", "held")), ignorenulls=True).over(earlier))
+    return df.withColumn("pnl", F.when(closes, (F.col("entry") / F.col("__opened.entry") - 1) * F.col("__opened.held"))).drop("__opened")
+
+
+def metrics(equity: DataFrame, ledger: DataFrame | None = None, warmup: int = WARMUP) -> DataFrame:
+    """The bundle per symbol and strategy, over the whole equity curve including its two leading ones.
+
+    Trades come from ``ledger``, or where that is left out from the curve itself, in the same pass.
+    """
     w = _series(KEY)
-    df = ind.simple_return(equity, "r", "equity", w)
+    df = ind.simple_return(equity if ledger is not None else with_pnl(equity), "r", "equity", w)
     df = df.withColumn("dd", F.try_divide(F.col("equity"), F.max("equity").over(w.rowsBetween(*RUNNING))) - 1)
     year = F.sqrt(F.lit(float(ind.DAYS_PER_YEAR)))
     neg = F.when(F.col("r") < 0, F.col("r"))
+    closed = [
+        F.count("pnl").alias("n_closed"), F.avg((F.col("pnl") > 0).cast("double")).alias("win"), F.sum(F.when(F.col("pnl") > 0, F.col("pnl"))).alias("gain"), F.sum(F.when(F.col("pnl") < 0, -F.col("pnl"))).alias("loss")
+    ]
     agg = df.groupBy(*KEY).agg(
         F.min_by("equity", "i").alias("first"), F.max_by("equity", "i").alias("last"), (F.max("n") - 1 - warmup).alias("n_days"),
         F.stddev_samp("r").alias("sd"), F.avg("r").alias("mean"), F.count("r").alias("n_r"), F.count(neg).alias("n_neg"), F.avg(neg * neg).alias("neg2"), F.min("dd").alias("mdd"),
+        *(closed if ledger is None else []),
     )
-    closed = ledger.where("pnl is not null").groupBy(*KEY).agg(
-        F.count("*").alias("n_closed"), F.avg((F.col("pnl") > 0).cast("double")).alias("win"), F.sum(F.when(F.col("pnl") > 0, F.col("pnl"))).alias("gain"), F.sum(F.when(F.col("pnl") < 0, -F.col("pnl"))).alias("loss")
-    )
+    if ledger is not None:
+        agg = agg.join(ledger.where("pnl is not null").groupBy(*KEY).agg(*closed), list(KEY), "left")
     zero = lambda c: F.coalesce(c, F.lit(0.0))
     grow = F.try_divide(F.col("last"), F.col("first"))
     cagr = zero(F.when((F.col("n_days") > 0) & (grow > 0), F.pow(grow, F.lit(float(ind.DAYS_PER_YEAR)) / F.col("n_days")) - 1))
-    df = agg.join(closed, list(KEY), "left").withColumn("cagr", cagr)
+    df = agg.withColumn("cagr", cagr)
     pf = F.when(F.coalesce("n_closed", F.lit(0)) == 0, 0.0).when(zero(F.col("loss")) > 0, zero(F.col("gain")) / F.col("loss")).when(zero(F.col("gain")) > 0, F.lit(None)).otherwise(0.0)
     return df.select(
         *KEY, F.round(zero(grow - 1), 4).alias("total_return"), F.round("cagr", 4).alias("cagr"),

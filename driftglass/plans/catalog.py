@@ -474,6 +474,5 @@ def trade_ledger(spark, d):
 
 @query(sql.BACKTEST_METRICS)
 def backtest_metrics(spark, d):
-    equity = backtest.run(decided(spark, d))
-    got = backtest.metrics(equity, backtest.trades(equity))
+    got = backtest.metrics(backtest.run(decided(spark, d)))
     return got.withColumn("log_growth", F.round(F.ln(F.col("total_return") + 1), 6)).drop("total_return")  # totals here reach 17 digits

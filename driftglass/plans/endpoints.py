@@ -169,8 +169,7 @@ def run_backtests(bars: DataFrame, lake: str, funding: DataFrame | None = None,
     backtest.run(backtest.decisions(bars, funding), warmup).write.parquet(path)
     equity = spark.read.parquet(path)
     store.save_results(equity.select("symbol", "strategy", "ts", "i", "equity"), lake)
-    ledger = backtest.trades(equity)
-    return backtest.metrics(equity, ledger, warmup), ledger
+    return backtest.metrics(equity, warmup=warmup), backtest.trades(equity)
 
 
 def backtest_strategies(spark: SparkSession, lake: str, symbol: str) -> DataFrame:

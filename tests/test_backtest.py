@@ -81,6 +81,16 @@ def test_ledger(spark):
     assert rows[1]["exit_ts"] is None and rows[1]["pnl"] is None
 
 
+def test_metrics_take_trades_from_the_curve_as_from_the_ledger(spark):
+    rng = np.random.default_rng(9)
+    opens = (100 * np.exp(np.cumsum(rng.normal(0, 0.02, 200)))).tolist()
+    opens[60] = None
+    equity = backtest.run(decided(spark, opens, np.where(rng.random(200) < 0.4, 0.0, rng.random(200)).tolist()), 20)
+    ledger = backtest.trades(equity)
+    assert ledger.where("pnl is not null").count() > 20
+    assert backtest.metrics(equity, warmup=20).collect() == backtest.metrics(equity, ledger, 20).collect()
+
+
 LEDGER = "symbol string, strategy string, pnl double"
 EQUITY = "symbol string, strategy string, ts timestamp_ntz, i long, n long, equity double"
 
