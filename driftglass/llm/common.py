@@ -121,7 +121,7 @@ def connected_components(edges: DataFrame, name: str = "components") -> DataFram
     """Components of an undirected graph by alternating large-star and small-star steps.
 
     ``edges`` has long columns ``u`` and ``v`` (self loops, repeats and either order are fine). Returns ``node`` and
-    ``component``, the smallest node reachable, for every node that has a link. Each round is one written table in the
+    ``component``, the smallest node reachable, for every node that reaches a smaller one. Each round is one written table in the
     shared folder, of which two exist at a time; the loop ends when a round changes nothing, so there is no cap on a
     component's size or diameter.
     """
