@@ -152,3 +152,13 @@ def test_query_equals_oracle(spark, name):
     assert columns == sorted(want.columns)
     text = lambda rs: sorted(str(tuple(r)) for r in rs)
     assert text(got.select(columns).collect()) == text(want.select(*columns).fetchall())
+
+
+def test_derived_tables_follow_their_inputs(spark, tmp_path):
+    from driftglass.session import derived_path
+
+    spark.range(5).write.parquet(str(tmp_path / "a.parquet"))
+    first = derived_path(spark, str(tmp_path), ("a",), "x")
+    assert first == derived_path(spark, str(tmp_path), ("a",), "x") != derived_path(spark, str(tmp_path), ("a",), "y")
+    spark.range(6).write.mode("overwrite").parquet(str(tmp_path / "a.parquet"))
+    assert derived_path(spark, str(tmp_path), ("a",), "x") != first
