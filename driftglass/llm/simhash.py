@@ -6,6 +6,11 @@ named bit blanked. Each distinct fingerprint gets 64 such keys; equal keys meet
 verified by the number of differing bits. A task emits, for the links found in a batch, a star per component rather
 than pairs, so a group of n near copies yields at most n rows; components are then joined up across tasks.
 
+For a similarity of 0.8 on shingles of five words there are wide fingerprints of 128 bits (``wide_fingerprints``,
+``decisions``): 8 segments of 16 bits, 128 keys. Up to 15 differing bits some segment differs in at most one; at 16 to 18
+all eight differ in two or more with a chance of 0.05 to 0.8 %. Their keys are less selective, 2^22 in number, so the pairs
+compared grow with the square of the fingerprints, about 0.4 % of all pairs.
+
 A key with more than ``LIMIT`` fingerprints isn't worked off in one task: its members are dealt into blocks, and each
 pair of blocks becomes a group of its own, so the check stays exact and spreads over the cluster.
 
@@ -27,17 +32,19 @@ from driftglass.llm.common import connected_components, local_roots, materialize
 
 WORDS = 3
 BITS = 3
+WIDE_WORDS = 5
+WIDE_BITS = 18  # of 128: what texts with a similarity of 0.8 on shingles of five words differ in, half of the time
 LIMIT = 4096
 BLOCK = 2048
 SEED = 42
 RUN = 1 << 16
 
 
-def fingerprint(text: str | None, width: int = WORDS) -> int:
-    """Signed 64-bit fingerprint: a bit is set if it is set in over half of the hashes of the shingles of ``width`` words."""
+def majority(text: str | None, width: int, digest, bits: int) -> bytes | None:
+    """A bit is set if it is set in over half of the hashes of the shingles of ``width`` words; None for a text without words."""
     words = text.encode().lower().split() if text else []
     if not words:
-        return 0
+        return None
     if len(words) <= width:
         starts, ends = [0], [sum(map(len, words)) + len(words) - 1]
     else:
@@ -45,12 +52,22 @@ def fingerprint(text: str | None, width: int = WORDS) -> int:
         starts = np.concatenate([[0], after[:-width]]).tolist()
         ends = (after[width - 1 :] - 1).tolist()
     joined = b" ".join(words)
-    digest = xxhash.xxh64_digest
-    ones = np.zeros(64, np.int64)
+    ones = np.zeros(bits, np.int64)
     for at in range(0, len(starts), RUN):
         hashes = b"".join([digest(joined[a:b], SEED) for a, b in zip(starts[at : at + RUN], ends[at : at + RUN], strict=True)])
-        ones += np.unpackbits(np.frombuffer(hashes, np.uint8)).reshape(-1, 64).sum(0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(starts)).view(">i8")[0])
+        ones += np.unpackbits(np.frombuffer(hashes, np.uint8)).reshape(-1, bits).sum(0, dtype=np.int64)
+    return np.packbits(2 * ones > len(starts)).tobytes()
+
+
+def fingerprint(text: str | None, width: int = WORDS) -> int:
+    """Signed 64-bit fingerprint, zero for a text without words."""
+    return int.from_bytes(majority(text, width, xxhash.xxh64_digest, 64) or bytes(8), "big", signed=True)
+
+
+def wide_fingerprint(text: str | None, width: int = WIDE_WORDS) -> tuple[int, int]:
+    """Two signed halves of a 128-bit fingerprint, zero for a text without words."""
+    found = majority(text, width, xxhash.xxh3_128_digest, 128) or bytes(16)
+    return int.from_bytes(found[:8], "big", signed=True), int.from_bytes(found[8:], "big", signed=True)
 
 
 def fingerprints(docs: DataFrame, *more: str, words: int = WORDS) -> DataFrame:
@@ -64,6 +81,31 @@ def fingerprints(docs: DataFrame, *more: str, words: int = WORDS) -> DataFrame:
     return docs.select("doc_id", "text", *more).mapInArrow(run, ", ".join(f"{n} long" for n in ("doc_id", "fp", *more)))
 
 
+#: One long for a wide fingerprint. Equal values from different ones need the same difference in both halves: then they link, or chance is 2^-64.
+FOLDED = "hi ^ (shiftleft(lo, 17) | shiftrightunsigned(lo, 47))"
+
+
+def wide_fingerprints(docs: DataFrame, *more: str, words: int = WIDE_WORDS) -> DataFrame:
+    """``doc_id``, ``hi``, ``lo``, ``fp`` (both folded into one) and the long columns ``more`` of every row."""
+
+    def run(batches):
+        for batch in batches:
+            fps = [wide_fingerprint(x.as_py(), words) for x in batch.column(1)]
+            yield pa.RecordBatch.from_pydict(
+                {"doc_id": batch.column(0), "hi": pa.array([x[0] for x in fps], pa.int64()), "lo": pa.array([x[1] for x in fps], pa.int64())} | {n: batch.column(n) for n in more}
+            )
+
+    found = docs.select("doc_id", "text", *more).mapInArrow(run, ", ".join(f"{n} long" for n in ("doc_id", "hi", "lo", *more)))
+    return found.withColumn("fp", F.expr(FOLDED))
+
+
+def wide_variants(fps: DataFrame) -> DataFrame:
+    """128 rows ``key``, ``hi``, ``lo`` per fingerprint: one of 8 segments of 16 bits, blanked bit and what is left of the segment."""
+    return fps.select("hi", "lo", F.explode(F.sequence(F.lit(0), F.lit(127))).alias("k")).selectExpr(
+        "(shiftrightunsigned(if(k < 64, hi, lo), (k div 16) % 4 * 16) & 65535 & ~shiftleft(1L, k % 16)) | shiftleft(cast(k AS BIGINT), 16) AS key", "hi", "lo"
+    )
+
+
 def variants(fps: DataFrame) -> DataFrame:
     """64 rows ``key``, ``fp`` per distinct fingerprint: segment, blanked bit and what is left of the segment."""
     return fps.select("fp", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("k")).selectExpr(
@@ -71,7 +113,13 @@ def variants(fps: DataFrame) -> DataFrame:
     )
 
 
-def _linked(fp: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def differing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Differing bits of fingerprints; wide ones have a last axis of two."""
+    n = np.bitwise_count(a ^ b)
+    return n if n.ndim < 2 or n.shape[-1] != 2 else n.sum(-1)
+
+
+def _linked(fp: np.ndarray, size: np.ndarray, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
     """Verified links of consecutive groups: small groups by shifted comparison, large ones by search from member to member."""
     n, first = len(fp), np.concatenate([[0], np.cumsum(size)[:-1]])
     group = np.repeat(np.arange(len(size)), size)
@@ -82,7 +130,7 @@ def _linked(fp: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         a = np.flatnonzero((group[shift:] == group[:-shift]) & small[shift:])
         if not len(a):
             break
-        a = a[np.bitwise_count(fp[a] ^ fp[a + shift]) <= BITS]
+        a = a[differing(fp[a], fp[a + shift]) <= bits]
         left.append(a)
         right.append(a + shift)
         shift += 1
@@ -93,7 +141,7 @@ def _linked(fp: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             front, todo = [todo[0]], todo[1:]
             while front and len(todo):
                 here = front.pop()
-                near = np.bitwise_count(own[todo] ^ own[here]) <= BITS
+                near = differing(own[todo], own[here]) <= bits
                 if near.any():
                     found = todo[near]
                     left.append(np.full(len(found), here + first[g]))
@@ -104,24 +152,33 @@ def _linked(fp: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(left), np.concatenate(right)) if left else (empty, empty)
 
 
-def verify(sorted_variants: DataFrame, limit: int | None) -> DataFrame:
-    """From rows ``key``, ``fp`` sorted by key in each partition: links ``u``, ``v``; members of keys over ``limit`` come back with their key."""
-    kinds = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("key", pa.int64())])
+def verify(sorted_variants: DataFrame, limit: int | None, bits: int = BITS) -> DataFrame:
+    """From rows ``key``, ``fp`` (or ``hi``, ``lo``) sorted by key in each partition: links ``u``, ``v``.
+
+    Members of keys over ``limit`` come back with their key, as ``u`` (and ``lo``).
+    """
+    wide = "lo" in sorted_variants.columns
+    kinds = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("key", pa.int64()), ("lo", pa.int64())])
+
+    def nodes_of(fp):
+        return fp[:, 0] ^ (fp[:, 1] << np.uint64(17) | fp[:, 1] >> np.uint64(47)) if wide else fp
 
     def stars(fp, size):
-        left, right = _linked(fp, size)
+        left, right = _linked(fp, size, bits)
         if not len(left):
             return None
-        nodes, where = np.unique(np.concatenate([fp[left], fp[right]]).view(np.int64), return_inverse=True)
+        ids = nodes_of(fp)
+        nodes, where = np.unique(np.concatenate([ids[left], ids[right]]).view(np.int64), return_inverse=True)
         root = local_roots(len(nodes), where[: len(left)], where[len(left) :])
         own = np.flatnonzero(root != np.arange(len(nodes)))
-        return pa.RecordBatch.from_arrays([pa.array(nodes[own]), pa.array(nodes[root[own]]), pa.nulls(len(own), pa.int64())], schema=kinds)
+        return pa.RecordBatch.from_arrays([pa.array(nodes[own]), pa.array(nodes[root[own]]), *[pa.nulls(len(own), pa.int64())] * 2], schema=kinds)
 
     def put_off(key, fp):
-        return pa.RecordBatch.from_arrays([pa.array(fp.view(np.int64)), pa.nulls(len(fp), pa.int64()), pa.array(np.full(len(fp), key))], schema=kinds)
+        halves = [np.ascontiguousarray(x).view(np.int64) for x in (fp.T if wide else [fp])]
+        return pa.RecordBatch.from_arrays([pa.array(halves[0]), pa.nulls(len(fp), pa.int64()), pa.array(np.full(len(fp), key)), pa.array(halves[1]) if wide else pa.nulls(len(fp), pa.int64())], schema=kinds)
 
     def run(batches):
-        keys, fps = np.empty(0, np.int64), np.empty(0, np.uint64)
+        keys, fps = np.empty(0, np.int64), np.empty((0, 2) if wide else 0, np.uint64)
         hot = None
 
         def work(keys, fps):
@@ -140,6 +197,8 @@ def verify(sorted_variants: DataFrame, limit: int | None) -> DataFrame:
             if not batch.num_rows:
                 continue
             k, f = batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64)
+            if wide:
+                f = np.stack([f, batch.column(2).to_numpy().view(np.uint64)], axis=1)
             if hot is not None:
                 same = int(np.searchsorted(k, hot, side="right"))
                 if same:
@@ -160,28 +219,30 @@ def verify(sorted_variants: DataFrame, limit: int | None) -> DataFrame:
         if len(keys):
             yield from work(keys, fps)
 
-    return sorted_variants.mapInArrow(run, "u long, v long, key long")
+    return sorted_variants.mapInArrow(run, "u long, v long, key long, lo long")
 
 
 def links(fps: DataFrame) -> DataFrame:
-    """Links ``u``, ``v`` that connect all fingerprints of each component."""
-    spread = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # each row becomes 64, so partitions merged by size would be 64 times too large
-    met = variants(fps.repartition(spread)).repartition("key").sortWithinPartitions("key")
-    first = materialize(verify(met, LIMIT), "simhash-links")
-    waiting = first.where("key is not null").select("key", F.col("u").alias("fp"))
+    """Links ``u``, ``v`` that connect all fingerprints of each component; of column ``fp``, or wide ones of ``hi`` and ``lo``."""
+    wide = "lo" in fps.columns
+    own, bits = (["hi", "lo"], WIDE_BITS) if wide else (["fp"], BITS)
+    spread = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # each row becomes 64 or 128, so partitions merged by size would be that much too large
+    met = (wide_variants if wide else variants)(fps.repartition(spread)).repartition("key").sortWithinPartitions("key")
+    first = materialize(verify(met, LIMIT, bits), "simhash-links")
+    waiting = first.where("key is not null").select("key", F.col("u").alias(own[0]), *own[1:])
     if waiting.isEmpty():
         return first.select("u", "v")
     counted = waiting.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-    dealt = waiting.join(counted, "key").withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks")))
+    dealt = waiting.join(counted, "key").withColumn("own", F.pmod(F.xxhash64(*own), F.col("blocks")))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other")
-    pairs = dealt.select("key", "fp", "own", other).select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key"), "fp")
-    second = verify(pairs.repartition("key").sortWithinPartitions("key"), None)
+    pairs = dealt.select("key", *own, "own", other).select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key"), *own)
+    second = verify(pairs.repartition("key").sortWithinPartitions("key"), None, bits)
     return first.where("v is not null").select("u", "v").unionByName(second.select("u", "v"))
 
 
 def _rooted(fps: DataFrame) -> DataFrame:
     """``fps`` (one row per ``fp``) with ``root``, one fingerprint that names the component."""
-    parts = connected_components(links(fps.select("fp")), "simhash-components")
+    parts = connected_components(links(fps.select("hi", "lo") if "lo" in fps.columns else fps.select("fp")), "simhash-components")
     return fps.join(parts.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("component", "fp")).drop("component")
 
 
@@ -194,19 +255,18 @@ def near_duplicates(docs: DataFrame, words: int = WORDS) -> DataFrame:
     return own.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def decisions(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """``doc_id``, ``text_hash`` (xxhash64 of the text) and ``first`` of the rows a choice of one per component is about.
+def decisions(docs: DataFrame, words: int = WIDE_WORDS) -> DataFrame:
+    """``doc_id``, ``text_hash`` (xxhash64 of the text) and ``first`` of the rows a choice of one per component is about, by wide fingerprints.
 
     ``first`` is false for rows behind the first of their component by these two columns; it is true for those that are first and occur more than once.
     """
-    own = materialize(fingerprints(docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")), "text_hash", words=words), "simhash-fingerprints")
-    rooted = _rooted(own.groupBy("fp").agg(F.min(F.expr("if(doc_id is null, null, struct(doc_id, text_hash))")).alias("low")))
+    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
+    own = materialize(wide_fingerprints(texts, "text_hash", words=words), "simhash-fingerprints")
+    low = F.min(F.expr("if(doc_id is null, null, struct(doc_id, text_hash))")).alias("low")
+    halves = own.groupBy("fp").agg(low, F.min(F.struct("hi", "lo")).alias("x")).select("fp", "low", "x.hi", "x.lo")
+    rooted = _rooted(halves)
     lowest = rooted.groupBy("root").agg(F.min("low").alias("lowest"))
     named = rooted.select("fp", "root").join(lowest, "root").select("fp", "lowest")
     rows = own.where("doc_id is not null").groupBy("doc_id", "text_hash", "fp").agg(F.count("*").alias("n"))
-    return rows.join(named, "fp").select("doc_id", "text_hash", F.expr("struct(doc_id, text_hash) = lowest").alias("first"), "n").where("not first or n > 1").drop("n")
-
-
-def copies(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """``doc_id`` and ``text_hash`` of all named rows but those first in their component."""
-    return decisions(docs, words).where("not first").select("doc_id", "text_hash")
+    found = rows.join(named, "fp").select("doc_id", "text_hash", F.expr("struct(doc_id, text_hash) = lowest").alias("first"), "n").where("not first or n > 1")
+    return materialize(found.drop("n"), "simhash-decisions")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from driftglass.llm import langid
 from tests.llm.test_line_dedup import plain as plain_lines
-from tests.llm.test_simhash import plain_components, plain_fingerprint
+from tests.llm.test_simhash import plain_components, plain_wide
 
 
 def rows(df):
@@ -25,7 +25,7 @@ def stages(spark, docs):
 def plain_choice(table):
     """Of all rows with an id in a component, the one that comes first by id, hash of the text and columns; rows without an id all stay."""
     named = [r for r in table if r[0] is not None]
-    numbered = plain_components([(n, plain_fingerprint(r[1])) for n, r in enumerate(named)])
+    numbered = plain_components([(n, plain_wide(r[1])) for n, r in enumerate(named)], 18)
     parts = {}
     for (n, _, low), r in zip(numbered, named, strict=True):
         parts.setdefault(low, []).append(r)

@@ -20,7 +20,15 @@ def plain_fingerprint(text):
     return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
 
-def plain_components(rows):
+def plain_wide(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    if not words:
+        return 0
+    h = [int.from_bytes(xxhash.xxh3_128_digest(" ".join(words[i : i + 5]).encode(), 42), "big") for i in range(max(1, len(words) - 4))]
+    return sum(1 << b for b in range(128) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def plain_components(rows, bits=3):
     fps = sorted({fp for _, fp in rows})
     root = {x: x for x in fps}
 
@@ -31,7 +39,7 @@ def plain_components(rows):
 
     for i, a in enumerate(fps):
         for b in fps[:i]:
-            if bin(a ^ b).count("1") <= 3:
+            if bin(a ^ b).count("1") <= bits:
                 root[find(a)] = find(b)
     low = {}
     for i, fp in rows:
@@ -80,6 +88,45 @@ def test_decisions_name_copies_and_repeated_rows(spark):
     assert got == [(1, True), (2, False), (3, False)]
 
 
+def test_wide_fingerprints(small):
+    for r in small.where("length(text) < 3000").limit(60).collect():
+        hi, lo = simhash.wide_fingerprint(r["text"])
+        assert (hi % (1 << 64)) << 64 | lo % (1 << 64) == plain_wide(r["text"])
+    assert simhash.wide_fingerprint(None) == simhash.wide_fingerprint(" \n") == (0, 0)
+
+
+@pytest.mark.parametrize("limit", [4096, 6])
+def test_wide_links_connect_what_all_pairs_connect(spark, monkeypatch, limit):
+    """Differences of up to 15 bits always share a key; so do nearly all of 16 to 18."""
+    monkeypatch.setattr(simhash, "LIMIT", limit)
+    monkeypatch.setattr(simhash, "BLOCK", 4)
+    rng = random.Random(5)
+    fps = set()
+    for _ in range(10):
+        base = rng.getrandbits(128)
+        for _ in range(20):
+            x = base
+            for b in rng.sample(range(128), rng.choice([0, 3, 7, 8, 12, 30])):
+                x ^= 1 << b
+            fps.add(x)
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    df = spark.createDataFrame([(signed(x >> 64), signed(x % (1 << 64))) for x in fps], "hi long, lo long").withColumn("fp", F.expr(simhash.FOLDED))
+    name = {r["fp"]: (r["hi"] % (1 << 64)) << 64 | r["lo"] % (1 << 64) for r in df.collect()}
+    assert len(name) == len(fps)
+    got = {}
+    for r in simhash._rooted(df).collect():
+        got.setdefault(r["root"], set()).add(name[r["fp"]])
+    far = [(a, b) for a in fps for b in fps if a < b and 15 < bin(a ^ b).count("1") <= 18]
+    certain = {}
+    for i, _, low in plain_components(list(enumerate(sorted(fps))), 15):
+        certain.setdefault(low, set()).add(sorted(fps)[i])
+    most = {}
+    for i, _, low in plain_components(list(enumerate(sorted(fps))), 18):
+        most.setdefault(low, set()).add(sorted(fps)[i])
+    assert len(most) <= len(got) <= len(certain) and len(got) <= len(most) + 1 and len(far) > 20
+    assert all(any(x <= y for y in got.values()) for x in certain.values()) and all(any(x <= y for y in most.values()) for x in got.values())
+
+
 def test_empty(none):
     assert simhash.near_duplicates(none).count() == 0
 
