@@ -104,6 +104,30 @@ def permutations(vectors: DataFrame, pivots: dict[int, np.ndarray]) -> DataFrame
     return vectors.mapInArrow(run, schema)
 
 
+NO_PIVOT = -(1 << 30)
+
+
+def candidates(names: np.ndarray, pivot: int, least: int) -> np.ndarray:
+    """Which rows of a list are candidate pairs that belong to it: they share ``least`` pivots or more and none below ``pivot``.
+
+    Each further pivot that rows name is a short list inside this one; counting goes from list to list, so pairs that share only ``pivot`` aren't touched.
+    """
+    flat = names.ravel()
+    order = np.argsort(flat, kind="stable")
+    known, begins = np.unique(flat[order], return_index=True)
+    rows = np.split(order // names.shape[1], begins[1:])
+    shared, below = np.zeros((len(names),) * 2, np.uint8), np.zeros((len(names),) * 2, bool)
+    for name, own in zip(known.tolist(), rows, strict=True):
+        if len(own) > 1 and name not in (NO_PIVOT, pivot):
+            if name < pivot:
+                below[np.ix_(own, own)] = True
+            else:
+                shared[np.ix_(own, own)] += 1
+    found = (shared >= least - 1) & ~below
+    np.fill_diagonal(found, False)
+    return found
+
+
 def _verify_list(table: pa.Table) -> pa.Table:
     """One inverted list, or one pair of its blocks: link counts and stars of the pairs that belong here."""
     pivot = table.column("pivot")[0].as_py()
@@ -114,43 +138,31 @@ def _verify_list(table: pa.Table) -> pa.Table:
     x = unit_rows(table.column("x").to_pylist())[order]
     near = table.column("near").to_pylist()
     width = max(map(len, near))
-    names = np.full((len(ids), width), -(1 << 30))
+    names = np.full((len(ids), width), NO_PIVOT)
     for i, row in enumerate(near):
         names[i, : len(row)] = row
-    names = names[order]
-    known, codes = np.unique(names, return_inverse=True)
-    codes = codes.reshape(names.shape)
-    there = np.zeros((len(ids), len(known)), np.float32)
-    np.put_along_axis(there, codes, 1.0, axis=1)
-    there[:, known == -(1 << 30)] = 0
-    lower = np.flatnonzero(known < pivot)
-    least = min(SHARED, width) if pivot >= 0 else 1
-    n_links = np.zeros(len(ids), np.int64)
+    ok = candidates(names[order], pivot, min(SHARED, width) if pivot >= 0 else 1)
+    if one != other:
+        ok &= block[:, None] != block[None, :]
     linked = []
     for at in range(0, len(ids), STRIP):
-        rows = slice(at, min(at + STRIP, len(ids)))
-        ok = there[rows] @ there.T >= least
-        if len(lower):
-            ok &= there[rows][:, lower] @ there[:, lower].T == 0
-        ok &= ids[rows, None] != ids[None, :]
-        if one != other:
-            ok &= block[rows, None] != block[None, :]
-        a, b = np.nonzero(ok)
-        if len(a) > ok.size // DENSE:
-            ok &= x[rows] @ x.T >= LEAST
+        part = ok[at : at + STRIP]
+        a, b = np.nonzero(part)
+        if len(a) > part.size // DENSE:
+            part &= x[at : at + STRIP] @ x.T >= LEAST
         else:
-            for part in range(0, len(a), PAIRS):
-                i, j = a[part : part + PAIRS], b[part : part + PAIRS]
-                ok[i, j] = np.einsum("ij,ij->i", x[at + i], x[j]) >= LEAST
-        n_links[rows] = ok.sum(1)
-        own = np.flatnonzero(n_links[rows])
-        linked.append((own + at, ok[own]))
+            for first in range(0, len(a), PAIRS):
+                i, j = a[first : first + PAIRS], b[first : first + PAIRS]
+                part[i, j] = np.einsum("ij,ij->i", x[at + i], x[j]) >= LEAST
+        own = np.flatnonzero(part.any(axis=1))
+        if len(own):
+            linked.append((own + at, part[own]))
+    n_links = ok.sum(axis=1)
     star = np.arange(len(ids))
     while True:
         before = star.copy()
-        for own, ok in linked:
-            if len(own):
-                star[own] = np.minimum(star[own], np.where(ok, star[None, :], len(ids)).min(1))
+        for own, found in linked:
+            star[own] = np.minimum(star[own], np.where(found, star[None, :], len(ids)).min(1))
         star = star[star]
         if np.array_equal(before, star):
             break

@@ -78,6 +78,19 @@ def test_pairs_and_products_agree(spark, monkeypatch):
     assert 0.9 * sum(map(len, links.values())) <= sum(r[1] for r in found[0]) <= sum(map(len, links.values()))
 
 
+def test_candidates_by_counting_shared_pivots():
+    rng = np.random.default_rng(4)
+    for width, pivot in ((8, 5), (8, 0), (3, 7), (1, 2)):
+        names = np.array([rng.choice([p for p in range(12) if p != pivot], width, replace=False) for _ in range(60)])
+        names[:, 0] = pivot
+        names[5:10, width - 1] = pivot_index.NO_PIVOT if width > 1 else pivot
+        least = min(2, width)
+        found = pivot_index.candidates(names, pivot, least)
+        sets = [set(r.tolist()) - {pivot_index.NO_PIVOT} for r in names]
+        want = [[i != j and len(a & b) >= least and min(a & b) == pivot for j, b in enumerate(sets)] for i, a in enumerate(sets)]
+        assert (found == np.array(want)).all()
+
+
 def test_repeated_ids_have_one_vector(spark):
     rows = [(1, [1.0, 0.0]), (2, [0.0, 1.0]), (2, [1.0, 0.0]), (2, None), (3, [1.0, 0.1]), (4, [0.0, 2.0])]
     got = [pivot_index.near_vectors(spark.createDataFrame(x, "vec_id long, embedding array<double>")).orderBy("vec_id").collect() for x in (rows, rows[::-1])]
