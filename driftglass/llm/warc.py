@@ -40,6 +40,8 @@ BREAKS = frozenset(
 )
 CLOSE = {k: re.compile(rf"</{k}\s*>", re.I) for k in (*HIDDEN, "title")}
 NAME = re.compile(r"[a-zA-Z][a-zA-Z0-9]*")
+#: A tag without surprises; it never looks beyond the next < or > and never goes back.
+PLAIN_TAG = re.compile(r"""<(/?)([a-zA-Z][a-zA-Z0-9]*+)((?:\s++[^\s<>"'=/]++(?:\s*+=\s*+(?:"[^"<>]*+"|'[^'<>]*+'|[^\s"'<>=`]++))?+)*+)\s*+/?>""")
 ENDS = re.compile(r"[>=]")
 VALUE = re.compile(r"\s*(?:[\"']|([^\s>]*))")
 NUMBER = re.compile(r"&#0+(?=[0-9])"), re.compile(r"&#[1-9][0-9]{7,};?")  # leading zeros; numbers beyond any character
@@ -134,6 +136,20 @@ def scan(page: str) -> tuple[str, str | None, list[tuple[str, str, str]]]:
             out.append(page[a:b])
 
     while (i := page.find("<", at)) >= 0:
+        if (m := PLAIN_TAG.match(page, i)) is not None and (name := m[2].lower()) not in HIDDEN and name != "title":
+            if at >= hidden:
+                if i > at:
+                    out.append(page[at:i])
+                if name in BREAKS:
+                    out.append("\n")
+            else:
+                text(at, i)
+                if i >= hidden and name in BREAKS:
+                    out.append("\n")
+            at = m.end()
+            if name in LINKS and not m[1] and m[3]:
+                links += [(name, k, v) for k, v in list(tag_end(page, m.end(2), True, at)[1].items())[:1]]
+            continue
         if page.startswith("<!--", i):
             text(at, i)
             close = page.find("-->", i + 4)
