@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -48,7 +49,13 @@ def usable(vectors: DataFrame) -> DataFrame:
     )
 
 
-def unit_rows(rows: list) -> np.ndarray:
+def matrix_of(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """A column of lists of equal length as the rows of a matrix."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
+def unit_rows(rows: list | np.ndarray) -> np.ndarray:
     """Rows of equal length, scaled to length one in double precision."""
     x = np.array(rows, np.float64)
     x /= np.abs(x).max(axis=1, keepdims=True)
@@ -87,26 +94,23 @@ def permutations(vectors: DataFrame, pivots: dict[int, np.ndarray]) -> DataFrame
 
     def run(batches):
         for batch in batches:
-            rows = batch.column(1).to_pylist()
-            near: list = [[-len(x)] for x in rows]
+            length = pc.list_value_length(batch.column(1)).to_numpy()
+            near: list = [[-n] for n in length.tolist()]
             for size, own in shared.value.items():
-                at = [i for i, x in enumerate(rows) if len(x) == size]
+                at = np.flatnonzero(length == size)
                 for i in range(0, len(at), 1024):
                     some = at[i : i + 1024]
-                    s = unit_rows([rows[j] for j in some]) @ own.T
+                    s = unit_rows(matrix_of(batch.column(1).take(pa.array(some)))) @ own.T
                     k = min(PREFIX, s.shape[1])
                     top = np.argpartition(-s, k - 1, axis=1)[:, :k]
                     order = np.argsort(-np.take_along_axis(s, top, 1), axis=1, kind="stable")
-                    for j, named in zip(some, (np.take_along_axis(top, order, 1) + start[size]).tolist(), strict=True):
+                    for j, named in zip(some.tolist(), (np.take_along_axis(top, order, 1) + start[size]).tolist(), strict=True):
                         near[j] = named
             yield pa.RecordBatch.from_pydict({"vec_id": batch.column(0), "x": batch.column(1), "near": pa.array(near, pa.list_(pa.int32()))})
 
     return vectors.mapInArrow(run, schema)
 
 
-NO_PIVOT = -(1 << 30)
-
-
 def candidates(names: np.ndarray, pivot: int, least: int) -> np.ndarray:
     """Which rows of a list are candidate pairs that belong to it: they share ``least`` pivots or more and none below ``pivot``.
 
@@ -118,7 +122,7 @@ def candidates(names: np.ndarray, pivot: int, least: int) -> np.ndarray:
     rows = np.split(order // names.shape[1], begins[1:])
     shared, below = np.zeros((len(names),) * 2, np.uint8), np.zeros((len(names),) * 2, bool)
     for name, own in zip(known.tolist(), rows, strict=True):
-        if len(own) > 1 and name not in (NO_PIVOT, pivot):
+        if len(own) > 1 and name != pivot:
             if name < pivot:
                 below[np.ix_(own, own)] = True
             else:
@@ -135,13 +139,9 @@ def _verify_list(table: pa.Table) -> pa.Table:
     order = np.argsort(table.column("vec_id").to_numpy(), kind="stable")  # ids are distinct
     ids = table.column("vec_id").to_numpy()[order]
     block = table.column("own").to_numpy()[order]
-    x = unit_rows(table.column("x").to_pylist())[order]
-    near = table.column("near").to_pylist()
-    width = max(map(len, near))
-    names = np.full((len(ids), width), NO_PIVOT)
-    for i, row in enumerate(near):
-        names[i, : len(row)] = row
-    ok = candidates(names[order], pivot, min(SHARED, width) if pivot >= 0 else 1)
+    x = unit_rows(matrix_of(table.column("x")))[order]  # vectors of one list have one length, and so as many pivots
+    names = matrix_of(table.column("near"))[order]
+    ok = candidates(names, pivot, min(SHARED, names.shape[1]) if pivot >= 0 else 1)
     if one != other:
         ok &= block[:, None] != block[None, :]
     linked = []
