@@ -30,9 +30,9 @@ def _local_folder() -> str:
 
 
 def derived_path(spark: SparkSession, sf_dir: str, names: tuple[str, ...], what: str) -> str:
-    """Where a table derived from these input tables is kept: the path changes with the inputs' files, sizes and times.
+    """Where this application keeps a table derived from these input tables: the path changes with the inputs' files, sizes and times.
 
-    It lies in spark.checkpoint.dir, or, where that is unset, in the warehouse, or in a temporary folder if driver and executors are one process.
+    It goes when the driver ends. It lies in spark.checkpoint.dir, or, where that is unset, in the warehouse, or in a temporary folder if driver and executors are one process.
     """
     sc = spark.sparkContext
     conf, jvm = sc._jsc.hadoopConfiguration(), sc._jvm
@@ -46,4 +46,7 @@ def derived_path(spark: SparkSession, sf_dir: str, names: tuple[str, ...], what:
     root = sc.getConf().get("spark.checkpoint.dir", None)
     if root is None:
         root = _local_folder() if re.fullmatch(r"local(\[.*\])?", sc.master) else spark.conf.get("spark.sql.warehouse.dir")
-    return f"{root.rstrip('/')}/{what}-{hashlib.sha256(chr(10).join(sorted(seen)).encode()).hexdigest()[:24]}"
+    path = f"{root.rstrip('/')}/{what}-{sc.applicationId}-{hashlib.sha256(chr(10).join(sorted(seen)).encode()).hexdigest()[:24]}"
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(conf).deleteOnExit(p)
+    return path
