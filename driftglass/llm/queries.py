@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftglass.llm import bpe_automaton, kneser_ney, langid, line_dedup, media, packing, pivot_index, simhash, token_counts, warc
+from driftglass.llm import bpe_automaton, grace_dedup, kneser_ney, langid, line_dedup, media, packing, pivot_index, simhash, token_counts, warc
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,6 +58,11 @@ def op10_pivot_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pivot_index.near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def op12_grace_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = grace_dedup.exact_duplicates(_documents(spark, sf_dir))
+    return done.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("sha")).alias("text_sha256"))
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_warc_derivatives": op2_warc_derivatives,
@@ -69,6 +74,7 @@ QUERIES = {
     "op8_kneser_ney": op8_kneser_ney,
     "op9_token_counts": op9_token_counts,
     "op10_pivot_index": op10_pivot_index,
+    "op12_grace_dedup": op12_grace_dedup,
 }
 
 #: Lines with their keys, what each key's documents are, and the lines that stay, joined again in order.
@@ -101,5 +107,11 @@ SELECT vec_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_links, least(vec_id, coales
 FROM embeddings LEFT JOIN low ON low.u = vec_id LEFT JOIN n ON n.u = vec_id
 """
 
+#: Groups of equal texts.
+EXACT_DUPLICATES_SQL = """
+SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size, doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
+FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
+"""
+
 #: XXH64, the tokenizer, compression, WAV features, name-based ids and the packing have no SQL form: those are tested against brute force.
-ORACLES: dict[str, str] = {"op4_line_dedup": LINE_DEDUP_SQL, "op10_pivot_index": NEAR_VECTORS_SQL}
+ORACLES: dict[str, str] = {"op4_line_dedup": LINE_DEDUP_SQL, "op10_pivot_index": NEAR_VECTORS_SQL, "op12_grace_dedup": EXACT_DUPLICATES_SQL}
