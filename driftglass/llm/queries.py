@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftglass.llm import bpe_automaton, grace_dedup, kneser_ney, langid, line_dedup, media, packing, pivot_index, prefix_trie, simhash, token_counts, warc
+from driftglass.llm import alignment, bpe_automaton, grace_dedup, kneser_ney, langid, line_dedup, media, packing, pivot_index, prefix_trie, simhash, token_counts, warc
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,6 +67,11 @@ def op12_grace_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("sha")).alias("text_sha256"))
 
 
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = alignment.align(_documents(spark, sf_dir))
+    return done.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_warc_derivatives": op2_warc_derivatives,
@@ -80,6 +85,7 @@ QUERIES = {
     "op10_pivot_index": op10_pivot_index,
     "op11_prefix_trie": op11_prefix_trie,
     "op12_grace_dedup": op12_grace_dedup,
+    "op13_alignment": op13_alignment,
 }
 
 #: Lines with their keys, what each key's documents are, and the lines that stay, joined again in order.

@@ -44,10 +44,14 @@ def load_json(name: str = DEFAULT) -> str:
 
 
 class Encoder:
-    """Encodes texts to arrays of unsigned 32-bit ids. Built from the file's content, so only the driver needs the file."""
+    """Encodes texts to arrays of unsigned 32-bit ids. Built from the file's content, so only the driver needs the file.
 
-    def __init__(self, content: str):
+    Without ``specials``, strings of special tokens inside texts are ordinary text.
+    """
+
+    def __init__(self, content: str, specials: bool = True):
         self.whole = Tokenizer.from_str(content)
+        self.whole.encode_special_tokens = not specials
         self.whole.no_padding()
         self.whole.no_truncation()
         spec = json.loads(content)
@@ -55,7 +59,7 @@ class Encoder:
         ranks = {to_bytes(t): i for t, i in spec["model"]["vocab"].items() if t not in special}
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in spec["model"]["merges"]]
         order = [ranks[to_bytes(a + b)] for a, b in merges]
-        self.special = special
+        self.special = special if specials else {}
         self.fast = None
         if spec["normalizer"] is None and sorted(ranks.values()) == list(range(len(ranks))) and order == list(range(256, 256 + len(order))):
             self.fast = tiktoken.Encoding("from-json", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
