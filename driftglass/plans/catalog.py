@@ -336,6 +336,40 @@ def usable_rows(spark, d):
     return features.usable(saved_matrix(spark, d)).select(day())
 
 
+TRACKED_ALTS = ("1-URGENT", "2-HIGH", "3-MEDIUM", "NOWHERE")
+
+
+def tracked_series(spark, d) -> DataFrame:
+    """All series with an origin for each row: bars from two sources, late rows of one symbol, levels that come with a delay."""
+    own = all_series(spark, d)
+    k, level = F.dayofyear("ts"), F.col("symbol").isin("DXY", "VIX", "US10Y")
+    latency = F.when(level, "DELAYED").when((F.col("symbol") == "2-HIGH") & (k % 50 == 0) & (F.year("ts") >= 1996), "HISTORICAL").when(F.col("kind") == "funding", "LIVE").otherwise("EOD")
+    source = F.when(level, "context").when(F.col("kind") == "funding", "venue").when(k % 2 == 0, "exchange").otherwise("archive")
+    return own.withColumns({"source": source, "latency": latency, "fetched_at": F.col("ts").cast("timestamp_ntz") + F.expr("INTERVAL 1 DAY")})
+
+
+@query(sql.FEATURE_PROVENANCE)
+def state_vector_provenance(spark, d):
+    """Where each feature and the matrix came from; one of the other coins isn't there."""
+    spec, rows = features.default_spec(TRACKED_ALTS), tracked_series(spark, d)
+    found = features.matrix_provenance(rows, features.state_vector(rows, spec), spec)
+    text = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)
+    note = F.when(F.col("feature") == features.WHOLE, F.substring_index("note", ";", 1)).otherwise(F.col("note"))
+    return found.select("feature", provenance.latency_label(F.col("latency")).alias("latency"), text("as_of"), text("fetched_at"), F.array_join("sources", ",").alias("sources"), "is_cached", note.alias("note"))
+
+
+@query(sql.provenance_by_day("SELECT day, feature, latency, as_of, fetched_at FROM tracked"))
+def provenance_by_day(spark, d):
+    """For each day, the row that each value was taken from and the worst of what is behind it, and the day as a whole."""
+    spec = features.default_spec(ALTS)
+    m = features.state_vector(tracked_series(spark, d), spec, tracked=True)
+    each = [F.struct(F.lit(n).alias("feature"), F.col(f"{n}__from").alias("p")) for n in spec.names]
+    whole = F.struct(F.lit(features.WHOLE).alias("feature"), F.struct("provenance.as_of", "provenance.latency", "provenance.fetched_at").alias("p"))
+    long = m.select("ts", F.explode(F.array(*each, whole)).alias("x"))
+    text = lambda c: F.date_format(f"x.p.{c}", "yyyy-MM-dd HH:mm:ss").alias(c)
+    return long.select(day(), "x.feature", provenance.latency_label(F.col("x.p.latency")).alias("latency"), text("as_of"), text("fetched_at"))
+
+
 CALL = ("trend", "volatility", "positioning", "alt_rotation", "breadth", "confidence", "label")
 
 

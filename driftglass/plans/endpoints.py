@@ -10,7 +10,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftglass.operators import analogue, asof, backtest, features, quality, regime, slicing
+from driftglass.operators import analogue, asof, backtest, features, provenance, quality, regime, slicing
 from driftglass.sources import fetch
 from driftglass.sources import lake as store
 from driftglass.sources.lake import DataUnavailable
@@ -130,14 +130,23 @@ def build_features(spark: SparkSession, lake: str, spec: features.Spec, tf: str
     series = None
     for kind in KINDS:
         if store.exists(spark, f"{lake}/{kind}"):
-            own = stored(spark, lake, kind).where(F.col("tf") == tf).select(F.lit(kind).alias("kind"), "symbol", "ts", "close")
+            own = stored(spark, lake, kind).where(F.col("tf") == tf).select(F.lit(kind).alias("kind"), "symbol", "ts", "close", "source", "latency", "fetched_at")
             series = own if series is None else series.unionByName(own)
     if series is None or series.where((F.col("kind") == "bars") & (F.col("symbol") == spec.calendar)).isEmpty():
         raise DataUnavailable(spec.calendar)
-    features.save_matrix(features.state_vector(series, spec), lake, spec.version)
+    path = features.save_matrix(features.state_vector(series, spec, tracked=True), lake, spec.version)
+    features.save_provenance(features.matrix_provenance(series, spark.read.parquet(path), spec), lake, spec.version)
     return features.load_matrix(spark, lake, spec.version)
 
 
+def state_vector_provenance(spark: SparkSession, lake: str, version: int) -> DataFrame:
+    """Where the stored matrix and each of its features came from, with labels of latency."""
+    if not store.exists(spark, f"{lake}/provenance/version={version}"):
+        raise DataUnavailable(f"version {version}")
+    found = features.load_provenance(spark, lake, version)
+    return found.withColumn("latency", provenance.latency_label(F.col("latency")))
+
+
 def state_vector_latest(matrix: DataFrame, when: str) -> DataFrame:
     """The row known at an instant, values rounded to six digits."""
     rounded = [F.round(c, 6).alias(c) for c, kind in matrix.dtypes if kind == "double"]

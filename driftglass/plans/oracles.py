@@ -179,7 +179,7 @@ COVERAGE = with_bars(
     "SELECT ticker, CAST(count(b.ts) AS BIGINT) AS n_rows, strftime(min(b.ts),'%Y-%m-%d') AS start_day, strftime(max(b.ts),'%Y-%m-%d') AS end_day, CASE WHEN count(b.ts) > 0 THEN 'EOD' ELSE 'UNAVAILABLE' END AS latency "
     "FROM (SELECT DISTINCT o_orderpriority AS ticker FROM orders UNION ALL SELECT r_name FROM region) LEFT JOIN bars b ON b.symbol = ticker GROUP BY 1"
 )
-_LATENCY = "['LIVE','NEAR_LIVE','DELAYED','EOD','STALE','UNAVAILABLE']"
+_LATENCY = "['LIVE','DELAYED','EOD','HISTORICAL','SIMULATED','UNAVAILABLE']"
 PROVENANCE = (
     f"SELECT event_type, {_LATENCY}[CAST(max(user_id % 6) AS INTEGER) + 1] AS latency, strftime(min(date_trunc('day', ts)),'%Y-%m-%d %H:%M:%S') AS as_of, strftime(min(ts),'%Y-%m-%d %H:%M:%S') AS fetched_at, "
     "array_to_string(list_sort(list_distinct(list('p' || (user_id % 4)))), ',') AS sources, bool_or(event_id % 1000 = 0) AS is_cached, "
@@ -247,6 +247,40 @@ def matrix(select: str) -> str:
     return f"{MATRIX} " + select.replace("{day}", DAY).replace("{rounded}", ROUNDED)
 
 
+_RANK = "CASE WHEN symbol IN ('DXY', 'VIX', 'US10Y') THEN 1 WHEN symbol = '2-HIGH' AND dayofyear(ts) % 50 = 0 AND year(ts) >= 1996 THEN 3 WHEN kind = 'funding' THEN 0 ELSE 2 END"
+_ORIGIN = "CASE WHEN symbol IN ('DXY', 'VIX', 'US10Y') THEN 'context' WHEN kind = 'funding' THEN 'venue' WHEN dayofyear(ts) % 2 = 0 THEN 'exchange' ELSE 'archive' END"
+TRACKED = (
+    "every AS (SELECT 'bars' AS kind, symbol, ts FROM bars UNION ALL SELECT 'bars', symbol, ts FROM cal UNION ALL SELECT 'bars', symbol, ts FROM context UNION ALL SELECT 'funding', symbol, ts FROM funding), "
+    f"origin AS (SELECT kind, symbol, ts, {_RANK} AS rank, {_ORIGIN} AS source, ts + INTERVAL 1 DAY AS fetched FROM every)"
+)
+_TRACKED_SPEC = default_spec(("1-URGENT", "2-HIGH", "3-MEDIUM", "NOWHERE"))
+_ASKED = ", ".join(f"('{f.name}', '{f.kind}', '{s}')" for f in _TRACKED_SPEC.features for s in (f.source, f.vs) if s)
+_STAMP = "strftime({0}, '%Y-%m-%d %H:%M:%S') AS {0}"
+FEATURE_PROVENANCE = (
+    f"WITH {BARS}, {CAL}, {FUNDING}, {CONTEXT}, {TRACKED}, asked(feature, kind, symbol) AS (VALUES {_ASKED}), "
+    "each AS (SELECT a.feature, coalesce(o.rank, 5) AS rank, o.ts, o.fetched, coalesce(o.source, 'none') AS source, o.ts IS NOT NULL AS is_cached, CASE WHEN o.ts IS NULL THEN a.symbol || ' has no ' || a.kind END AS note, "
+    "max(o.ts) OVER (PARTITION BY a.feature, a.symbol) AS last FROM asked a LEFT JOIN origin o ON o.kind = a.kind AND o.symbol = a.symbol), "
+    "f AS (SELECT feature, max(rank) AS rank, min(last) AS as_of, min(fetched) AS fetched_at, list_sort(list_distinct(list(source))) AS sources, bool_or(is_cached) AS is_cached, coalesce(string_agg(DISTINCT note, '; ' ORDER BY note), '') AS note FROM each GROUP BY 1), "
+    "u AS (SELECT * FROM f UNION ALL SELECT 'state_vector', greatest(max(rank), 2), min(as_of), min(fetched_at), list_sort(list_distinct(flatten(list(sources)))), TRUE, 'version 1' FROM f) "
+    f"SELECT feature, {_LATENCY}[CAST(rank AS INTEGER) + 1] AS latency, {_STAMP.format('as_of')}, {_STAMP.format('fetched_at')}, array_to_string(sources, ',') AS sources, is_cached, note FROM u"
+)
+
+
+def provenance_by_day(select: str) -> str:
+    so_far = "ORDER BY ts ROWS UNBOUNDED PRECEDING"
+    parts = [f"{MATRIX}", TRACKED, f"known AS (SELECT *, max(rank) OVER (PARTITION BY kind, symbol {so_far}) AS worst, min(fetched) OVER (PARTITION BY kind, symbol {so_far}) AS first_fetch FROM origin)"]
+    rows = []
+    for f in SPEC.features:
+        own = f"(SELECT * FROM known WHERE kind = '{f.kind}' AND symbol = '{f.source}')"
+        other = f"(SELECT * FROM known WHERE kind = 'bars' AND symbol = '{f.vs}')"
+        source = f"(SELECT o.ts, greatest(o.worst, coalesce(v.worst, 5)) AS worst, o.first_fetch FROM {own} o ASOF LEFT JOIN {other} v ON o.ts >= v.ts)" if f.vs else own
+        rows.append(f"SELECT m.ts, '{f.name}' AS feature, CASE WHEN m.{f.name} IS NULL THEN 5 ELSE s.worst END AS rank, s.ts AS hit, s.first_fetch AS got FROM m ASOF LEFT JOIN {source} s ON m.ts >= s.ts")
+    parts.append(f"per AS ({' UNION ALL '.join(rows)})")
+    parts.append("whole AS (SELECT * FROM per UNION ALL SELECT ts, 'state_vector', greatest(max(rank), 2), min(hit), min(got) FROM per GROUP BY ts)")
+    parts.append(f"tracked AS (SELECT {DAY}, feature, {_LATENCY}[CAST(rank AS INTEGER) + 1] AS latency, strftime(hit, '%Y-%m-%d %H:%M:%S') AS as_of, strftime(got, '%Y-%m-%d %H:%M:%S') AS fetched_at FROM whole)")
+    return ", ".join(parts) + " " + select
+
+
 _ALT_Z = [f"{a}_vs_btc_63d__z" for a in ("eth", "sol", "bnb", "xrp")]
 _VOL = "round(btc_vol_ratio, 6)"
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from driftglass.operators.provenance import LATENCY, UNAVAILABLE
+from driftglass.operators.provenance import UNAVAILABLE, latency_label, latency_rank
 
 STORED = T.StructType([
     T.StructField("ts", T.TimestampNTZType()), *[T.StructField(c, T.DoubleType()) for c in ("open", "high", "low", "close", "volume")],
@@ -89,8 +89,7 @@ def read_bars(spark: SparkSession, lake: str, symbol: str, tf: str = "1d", kind:
 
 def series_provenance(bars: DataFrame) -> DataFrame:
     """Distinct sources, worst latency and earliest fetch of a series; no rows: UNAVAILABLE."""
-    rank = F.array_position(F.array(*[F.lit(x) for x in LATENCY]), F.col("latency")) - 1
-    return bars.agg(F.array_sort(F.collect_set("source")).alias("sources"), F.coalesce(F.max(rank), F.lit(UNAVAILABLE)).cast("int").alias("latency"), F.min("fetched_at").alias("fetched_at"), F.count("*").alias("n_rows"))
+    return bars.agg(F.array_sort(F.collect_set("source")).alias("sources"), F.coalesce(F.max(latency_rank(F.col("latency"))), F.lit(UNAVAILABLE)).alias("latency"), F.min("fetched_at").alias("fetched_at"), F.count("*").alias("n_rows"))
 
 
 def manifest(bars: DataFrame) -> DataFrame:
@@ -139,10 +138,9 @@ def describe(bars: DataFrame) -> DataFrame:
     """Per symbol and timeframe: rows, first and last time, and the provenance of the series."""
     own = bars.groupBy("symbol", "tf").agg(
         F.count("*").alias("n_rows"), F.min("ts").alias("start"), F.max("ts").alias("end"), F.array_sort(F.collect_set("source")).alias("sources"),
-        F.max(F.array_position(F.array(*[F.lit(x) for x in LATENCY]), F.col("latency")) - 1).alias("rank"), F.min("fetched_at").alias("fetched_at"),
+        F.max(latency_rank(F.col("latency"))).alias("rank"), F.min("fetched_at").alias("fetched_at"),
     )
-    latency = F.element_at(F.array(*[F.lit(x) for x in LATENCY]), F.coalesce("rank", F.lit(UNAVAILABLE)).cast("int") + 1)
-    return own.select("symbol", "tf", "n_rows", "start", "end", "sources", latency.alias("latency"), "fetched_at")
+    return own.select("symbol", "tf", "n_rows", "start", "end", "sources", latency_label(F.coalesce("rank", F.lit(UNAVAILABLE))).alias("latency"), "fetched_at")
 
 
 def to_records(bars: DataFrame, max_points: int | None = None) -> DataFrame:

@@ -233,7 +233,7 @@ def test_notes_name_what_is_missing(spark):
     rows = series(spark, "C", range(1, 20))
     m = features.state_vector(rows, own)
     assert features.notes(rows, m, own) == {
-        "gone": "no bars data for X", "rel": "no bars data for Y", "odd": "no bars data for Y", "long": "transform 'sma' produced no finite values from C/bars (window=99)",
+        "gone": "X has no bars", "rel": "Y has no bars", "odd": "Y has no bars", "long": "C (bars) is too short or never finite under sma, window 99",
     }
     assert m.where("odd is not null or rel is not null").count() == 0 and m.where("own is null").count() == 0
 
