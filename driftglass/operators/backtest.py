@@ -10,7 +10,9 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
+from driftglass.functions import blocked
 from driftglass.functions import indicators as ind
 from driftglass.operators.asof import asof
 
@@ -22,6 +24,8 @@ WARMUP = 200
 STRATEGIES = ("buy_and_hold", "momentum", "mean_reversion", "funding_contrarian")
 KEY = ("symbol", "strategy")
 RUNNING = (Window.unboundedPreceding, 0)
+LOOKBACK = 110  # rows: 90 scores of returns over 10 rows
+BLOCK = 1 << 16
 
 
 def _series(by: tuple[str, ...] = ("symbol",)):
@@ -36,10 +40,13 @@ def funding_score(funding: DataFrame, window: int = 21, z_window: int = 180) ->
     return df.select("symbol", "ts", F.when(enough, F.col("z")).alias("value"))
 
 
-def signals(bars: DataFrame, funding: DataFrame | None = None) -> DataFrame:
-    """Bars with ``long_<strategy>`` for the four strategies (true, false; missing inputs are false). ``funding`` goes by symbol."""
-    w = _series()
-    df = bars.withColumn("__i", F.row_number().over(w) - 1)
+def signals(bars: DataFrame, funding: DataFrame | None = None, w: WindowSpec | None = None, i: Column | None = None) -> DataFrame:
+    """Bars with ``long_<strategy>`` for the four strategies (true, false; missing inputs are false). ``funding`` goes by symbol.
+
+    ``w`` and ``i`` are the window and the row's place in its series, where they aren't the whole series'; what is needed lies in the LOOKBACK rows before.
+    """
+    w = w or _series()
+    df = bars.withColumn("__i", F.row_number().over(w) - 1 if i is None else i)
     df = ind.log_return(df, "__mom", "close", w, 63)
     df = ind.rolling_zscore(ind.log_return(df, "__r10", "close", w, 10), "__mr", "__r10", w, 90)
     if funding is not None:
@@ -55,21 +62,36 @@ def signals(bars: DataFrame, funding: DataFrame | None = None) -> DataFrame:
     }).drop("__i", "__mom", "__r10", "__mr", "__fund")
 
 
-def weights(bars: DataFrame, target: float = TARGET_VOL, most: float = MAX_WEIGHT, n: int = VOL_WINDOW) -> DataFrame:
+def weights(bars: DataFrame, target: float = TARGET_VOL, most: float = MAX_WEIGHT, n: int = VOL_WINDOW, w: WindowSpec | None = None) -> DataFrame:
     """Add ``vol`` and ``size``: the weight of a long position, 0 where volatility is missing or zero."""
-    df = ind.realized_vol(bars, "vol", "close", _series(), n)
+    df = ind.realized_vol(bars, "vol", "close", w or _series(), n)
     return df.withColumn("size", F.when(F.col("vol") > 0, F.least(F.lit(target) / F.col("vol"), F.lit(most))).otherwise(0.0))
 
 
+def placed(df: DataFrame, w: WindowSpec) -> DataFrame:
+    """Add ``entry`` and ``exit``, the next two openings, NULL where a price can't be traded at."""
+    price = F.when((F.col("open") > 0) & (F.abs("open") < float("inf")) & ~F.isnan("open"), F.col("open"))
+    return df.withColumn("__price", price).withColumns({"entry": F.lead("__price", 1).over(w), "exit": F.lead("__price", 2).over(w)}).drop("__price")
+
+
+def each_strategy(df: DataFrame, names: list[str], *keep: str) -> DataFrame:
+    """One row per bar and strategy with its ``weight``."""
+    each = F.explode(F.array(*[F.struct(F.lit(n).alias("strategy"), F.when(F.col(f"long_{n}"), F.col("size")).otherwise(0.0).alias("weight")) for n in names]))
+    return df.select("symbol", "ts", "open", "close", *keep, each.alias("s")).select("symbol", "ts", "open", "close", *keep, "s.*")
+
+
 def decisions(bars: DataFrame, funding: DataFrame | None = None, custom: dict[str, Callable[[], Column]] | None = None) -> DataFrame:
-    """One row per bar and strategy with ``weight``. ``custom`` adds strategies as boolean column builders over the signal table."""
-    df = weights(signals(bars, funding))
+    """One row per bar and strategy with ``weight``; what strategies share (place, number of bars, fills) is computed once per bar.
+
+    ``custom`` adds strategies as boolean column builders over the signal table.
+    """
+    w = _series()
+    df = placed(weights(signals(bars, funding)), w).withColumns({"i": F.row_number().over(w) - 1, "n": F.count("*").over(Window.partitionBy("symbol"))})
     names = list(STRATEGIES)
     for name, build in (custom or {}).items():
         df = df.withColumn(f"long_{name}", F.coalesce(build(), F.lit(False)))
         names.append(name)
-    each = F.explode(F.array(*[F.struct(F.lit(n).alias("strategy"), F.when(F.col(f"long_{n}"), F.col("size")).otherwise(0.0).alias("weight")) for n in names]))
-    return df.select("symbol", "ts", "open", "close", each.alias("s")).select("symbol", "ts", "open", "close", "s.*")
+    return each_strategy(df, names, "i", "n", "entry", "exit")
 
 
 def python_signal(bars: DataFrame, name: str, decide: Callable) -> DataFrame:
@@ -92,23 +114,52 @@ def python_signal(bars: DataFrame, name: str, decide: Callable) -> DataFrame:
     return bars.groupBy("symbol").applyInPandas(each, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in bars.schema) + f", `{out}` boolean")
 
 
+def live(warmup: int) -> Column:
+    return (F.col("i") >= warmup) & F.col("entry").isNotNull() & F.col("exit").isNotNull()
+
+
+def growth(cost_bps: float) -> Column:
+    """What a bar's decision makes of the equity: the cost of the change, then the move between the two fills."""
+    factor = (1 - F.abs(F.col("held") - F.col("before")) * cost_bps / 1e4) * (1 + F.col("held") * (F.col("exit") / F.col("entry") - 1))
+    return F.when(F.col("held").isNotNull(), factor).otherwise(1.0)
+
+
 def run(decided: DataFrame, warmup: int = WARMUP, cost_bps: float = COST_BPS) -> DataFrame:
     """Per bar from the warm-up on: ``i``, ``n``, the applied ``held`` weight, ``before``, and ``equity`` as of that bar.
 
     Where open[t+1] or open[t+2] is missing the decision is set aside: equity stays, the weight is carried.
-    Series shorter than warm-up plus three bars give no rows.
+    Series shorter than warm-up plus three bars give no rows. A table without fills (``entry``) gets them here.
     """
-    w, whole = _series(KEY), Window.partitionBy(*KEY)
-    price = F.when((F.col("open") > 0) & (F.abs("open") < float("inf")) & ~F.isnan("open"), F.col("open"))
-    df = decided.withColumn("i", F.row_number().over(w) - 1).withColumn("n", F.count("*").over(whole)).withColumn("open", price)
-    df = df.withColumns({"entry": F.lead("open", 1).over(w), "exit": F.lead("open", 2).over(w)})
-    live = (F.col("i") >= warmup) & (F.col("i") <= F.col("n") - 3) & F.col("entry").isNotNull() & F.col("exit").isNotNull()
-    df = df.where(F.col("n") >= warmup + 3).withColumn("held", F.when(live, F.col("weight")))
+    w = _series(KEY)
+    df = decided
+    if "entry" not in df.columns:
+        df = placed(df.withColumns({"i": F.row_number().over(w) - 1, "n": F.count("*").over(Window.partitionBy(*KEY))}), w)
+    df = df.where(F.col("n") >= warmup + 3).withColumn("held", F.when(live(warmup), F.col("weight")))
     df = df.withColumn("before", F.coalesce(F.last("held", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
-    factor = (1 - F.abs(F.col("held") - F.col("before")) * cost_bps / 1e4) * (1 + F.col("held") * (F.col("exit") / F.col("entry") - 1))
-    df = df.withColumn("factor", F.when(F.col("held").isNotNull(), factor).otherwise(1.0))
-    df = df.withColumn("grown", F.product("factor").over(w.rowsBetween(*RUNNING)))
-    return df.withColumn("equity", F.coalesce(F.lag("grown", 2).over(w), F.lit(1.0))).where(F.col("i") >= warmup).drop("factor", "grown", "weight")
+    df = df.withColumn("factor", growth(cost_bps)).withColumn("grown", F.product("factor").over(w.rowsBetween(Window.unboundedPreceding, -2)))
+    return df.withColumn("equity", F.coalesce("grown", F.lit(1.0))).where(F.col("i") >= warmup).drop("factor", "grown", "weight")
+
+
+def run_in_blocks(bars: DataFrame, order: list[str], warmup: int = WARMUP, cost_bps: float = COST_BPS, size: int = BLOCK) -> DataFrame:
+    """``decisions`` and ``run`` of long series (ticks): blocks of rows with halos, weights and growth carried over them.
+
+    ``bars`` has ``symbol``, ``ts``, ``open``, ``close`` and the columns of ``order``, which put a series in order and are kept.
+    """
+    by, keys = ["symbol"], list(KEY)
+
+    def decide(df: DataFrame, w: WindowSpec) -> DataFrame:
+        return placed(weights(signals(df, None, w, F.col(blocked.ROW)), w=w), w)
+
+    rows = blocked.placed(bars, by, order)
+    count = rows.groupBy("symbol").agg(F.count("*").alias("n"))
+    decided = blocked.over_blocks(rows, by, order, decide, LOOKBACK, 2, size).join(count.where(F.col("n") >= warmup + 3), "symbol").withColumn("i", F.col(blocked.ROW))
+    more = [c for c in order if c not in ("symbol", "ts")]
+    df = each_strategy(decided, list(STRATEGIES), "i", "n", "entry", "exit", blocked.ROW, *more).withColumn("held", F.when(live(warmup), F.col("weight")))
+    df = blocked.over_blocks(df, keys, order, lambda x, w: x.withColumn("__earlier", F.lag("held").over(w)), 1, 0, size)
+    df = blocked.running(df, keys, {"before": ("last", "__earlier")}, size).withColumn("before", F.coalesce("before", F.lit(0.0))).withColumn("factor", growth(cost_bps))
+    df = blocked.over_blocks(df, keys, order, lambda x, w: x.withColumn("__settled", F.lag("factor", 2).over(w)), 2, 0, size)
+    df = blocked.running(df, keys, {"equity": ("product", "__settled")}, size).withColumn("equity", F.coalesce("equity", F.lit(1.0)))
+    return df.where(F.col("i") >= warmup).drop("factor", "weight", "__earlier", "__settled", blocked.ROW)
 
 
 def trades(equity: DataFrame) -> DataFrame:

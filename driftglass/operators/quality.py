@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 ERRORS = ("duplicate_timestamps", "unsorted", "non_finite_close", "non_positive_price", "ohlc_violation", "negative_volume")
 WARNINGS = ("extreme_move", "stale_series")
@@ -31,9 +32,9 @@ def is_coherent() -> Column:
     return F.coalesce(ok & (F.col("low") <= F.least("open", "close")) & (F.col("high") >= F.greatest("open", "close")) & (F.col("high") >= F.col("low")), F.lit(False))
 
 
-def flags(bars: DataFrame, sequence: str = "seq", allow_negative: Column | bool = False) -> DataFrame:
-    """Per-row flags and ``r``, the one-step log return; ``sequence`` is the order in which rows arrived."""
-    w = Window.partitionBy("symbol").orderBy(sequence)
+def flags(bars: DataFrame, sequence: str = "seq", allow_negative: Column | bool = False, w: WindowSpec | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Per-row flags and ``r``, the one-step log return; ``sequence`` is the order in which rows arrived, ``w`` its window if not the whole series'."""
+    w = w or Window.partitionBy("symbol").orderBy(sequence)
     before, close = F.lag("ts").over(w), F.when(finite("close"), F.col("close"))
     ratio = F.try_divide(close, F.lag(close).over(w))
     allowed = allow_negative if isinstance(allow_negative, Column) else F.lit(allow_negative)
@@ -42,7 +43,7 @@ def flags(bars: DataFrame, sequence: str = "seq", allow_negative: Column | bool
         all_finite = all_finite & finite(p)
     broken = (F.col("low") > F.least("open", "close")) | (F.col("high") < F.greatest("open", "close")) | (F.col("high") < F.col("low"))
     return bars.select(
-        "symbol", "ts", F.col(sequence).alias("seq"),
+        "symbol", "ts", F.col(sequence).alias("seq"), *keep,
         (F.col("ts") == before).alias("duplicate_timestamps"), (F.col("ts") < before).alias("unsorted"),
         (~finite("close")).alias("non_finite_close"), (finite("close") & (F.col("close") <= 0) & ~allowed).alias("non_positive_price"),
         (all_finite & broken).alias("ohlc_violation"), (F.col("volume") < 0).alias("negative_volume"),

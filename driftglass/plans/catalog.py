@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from driftglass.functions import blocked
 from driftglass.functions import indicators as ind
 from driftglass.operators import analogue, asof, backtest, features, provenance, quality, regime, slicing
 from driftglass.plans import oracles as sql
@@ -141,6 +142,69 @@ def forward_returns(spark, d):
     return analogue.with_forward_returns(daily(spark, d)).select("symbol", day(), *[r6(f"fwd_{h}") for h in analogue.HORIZONS])
 
 
+TICK_BLOCK = 512  # rows; small, so that a series is many blocks in small tables too
+
+
+def ticks(spark, d) -> DataFrame:
+    """Raw events as series, a row each, in order of time and id."""
+    return table(spark, d, "events").select(F.col("event_type").alias("symbol"), F.col("ts").cast("timestamp_ntz").alias("ts"), "event_id", F.col("value").alias("open"), F.col("value").alias("close"))
+
+
+TICK_ORDER = ["ts", "event_id"]
+TICK_INDICATORS = {
+    "sma_20": lambda b, w: ind.sma(b, "sma_20", "close", w, 20), "std_20": lambda b, w: ind.rolling_std(b, "std_20", "close", w, 20), "vol_21": lambda b, w: ind.realized_vol(b, "vol_21", "close", w, 21),
+    "ratio_21_90": lambda b, w: ind.vol_ratio(b, "ratio_21_90", "close", w), "pct_200": lambda b, w: ind.pct_from_sma(b, "pct_200", "close", w, 200), "return_63": lambda b, w: ind.log_return(b, "return_63", "close", w, 63),
+    "diff_63": lambda b, w: ind.diff(b, "diff_63", "close", w, 63), "z_90": lambda b, w: ind.rolling_zscore(b, "z_90", "close", w, 90), "return_1": lambda b, w: ind.simple_return(b, "return_1", "close", w),
+}
+
+
+@query(sql.TICK_INDICATORS)
+def tick_indicators(spark, d):
+    """Trailing windows over raw events, one series in many tasks."""
+
+    def build(rows, w):
+        for add in TICK_INDICATORS.values():
+            rows = add(rows, w)
+        return rows
+
+    got = blocked.over_blocks(ticks(spark, d), ["symbol"], TICK_ORDER, build, before=199, size=TICK_BLOCK)
+    return got.select("symbol", "event_id", *[r6(c) for c in TICK_INDICATORS])
+
+
+@query(sql.TICK_FORWARD)
+def tick_forward_returns(spark, d):
+    def build(rows, w):
+        for h in analogue.HORIZONS:
+            rows = ind.forward_return(rows, f"fwd_{h}", "close", w, h)
+        return rows
+
+    got = blocked.over_blocks(ticks(spark, d), ["symbol"], TICK_ORDER, build, before=0, after=max(analogue.HORIZONS), size=TICK_BLOCK)
+    return got.select("symbol", "event_id", *[r6(f"fwd_{h}") for h in analogue.HORIZONS])
+
+
+@query(sql.TICK_FLAGS)
+def tick_order_flags(spark, d):
+    """Duplicate and unsorted times of events in order of their ids, per row."""
+    own = ticks(spark, d).withColumns({"high": F.col("close"), "low": F.col("close"), "volume": F.lit(0.0)})
+    got = blocked.over_blocks(own, ["symbol"], ["event_id"], lambda b, w: quality.flags(b, "event_id", w=w, keep=(blocked.BLOCK, blocked.HALO)), before=1, size=TICK_BLOCK)
+    return got.select("symbol", F.col("seq").alias("event_id"), F.coalesce("duplicate_timestamps", F.lit(False)).alias("duplicate"), F.coalesce("unsorted", F.lit(False)).alias("unsorted"), r6("r"))
+
+
+@query(sql.TICK_RUNNING)
+def tick_running(spark, d):
+    """Expanding scores and drawdowns over raw events: states carried over blocks."""
+    rows = blocked.placed(ticks(spark, d), ["symbol"], TICK_ORDER)
+    got = blocked.running(rows, ["symbol"], {"m": ("moments", "close"), "peak": ("max", "close")}, TICK_BLOCK)
+    return got.select("symbol", "event_id", F.col("m_n").cast("long").alias("n"), r6(F.sqrt(F.col("m_m2") / F.col("m_n")), "deviation"), r6(blocked.zscore("m", "close", 180), "z_180"), r6(F.try_divide(F.col("close") - F.col("peak"), F.col("peak")), "drawdown"))
+
+
+@query(sql.TICK_EQUITY)
+def tick_equity(spark, d):
+    """All strategies over raw events, a row each: fills, weights and equity carried over blocks."""
+    got = backtest.run_in_blocks(ticks(spark, d), TICK_ORDER, size=TICK_BLOCK)
+    return got.select("symbol", "strategy", "event_id", r6("before"), r6(F.ln("equity"), "log_equity"))
+
+
 @query(sql.REL_STRENGTH)
 def rel_strength_63(spark, d):
     base = calendar(spark, d).select("ts", F.col("close").alias("value")).withColumn("symbol", F.explode(F.array(*[F.lit(a) for a in ALTS])))

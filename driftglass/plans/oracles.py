@@ -94,6 +94,34 @@ def indicator(expression: str, *inner: str) -> str:
     return with_bars(f"SELECT symbol, {{day}}, round(v, 6) AS v FROM ({stack('bars', expression, *inner)})")
 
 
+#: Events as series: the place in the series stands for the time.
+TICKS = "ticks AS (SELECT event_type AS symbol, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS ts, event_id, value AS close FROM events)"
+
+
+def _ticks(columns: dict[str, str], *inner: str) -> str:
+    rel = "ticks"
+    for x in inner:
+        rel = f"(SELECT *, {x} FROM {rel} {WINDOW})"
+    return f"WITH {TICKS} SELECT symbol, event_id, {', '.join(f'round({e}, 6) AS {n}' for n, e in columns.items())} FROM {rel} {WINDOW}"
+
+
+TICK_INDICATORS = _ticks(
+    {"sma_20": "a", "std_20": "b", "vol_21": "c * sqrt(365)", "ratio_21_90": "CASE WHEN e > 0 THEN c / e END", "pct_200": "(close - f) / nullif(f, 0)", "return_63": log_return("close", 63), "diff_63": "close - lag(close, 63) OVER w",
+     "z_90": "CASE WHEN h > 0 THEN (close - g) / h END", "return_1": "close / nullif(lag(close) OVER w, 0) - 1"},
+    f"{log_return('close', 1)} AS r", f"{sma('close', 20)} AS a, {std('close', 20)} AS b, {std('r', 21)} AS c, {std('r', 90)} AS e, {sma('close', 200)} AS f, {sma('close', 90)} AS g, {std('close', 90)} AS h",
+)
+TICK_FORWARD = _ticks({f"fwd_{h}": f"lead(close, {h}) OVER w / nullif(close, 0) - 1" for h in (1, 3, 7, 21)})
+TICK_FLAGS = (
+    f"WITH o AS (SELECT event_type AS symbol, event_id, ts, lag(ts) OVER v AS before, value / nullif(lag(value) OVER v, 0) AS ratio FROM events WINDOW v AS (PARTITION BY event_type ORDER BY event_id)) "
+    "SELECT symbol, event_id, coalesce(ts = before, FALSE) AS duplicate, coalesce(ts < before, FALSE) AS unsorted, round(CASE WHEN ratio > 0 THEN ln(ratio) END, 6) AS r FROM o"
+)
+_SO_FAR = "OVER (PARTITION BY symbol ORDER BY ts ROWS UNBOUNDED PRECEDING)"
+TICK_RUNNING = (
+    f"WITH {TICKS} SELECT symbol, event_id, CAST(count(close) {_SO_FAR} AS BIGINT) AS n, round(stddev_pop(close) {_SO_FAR}, 6) AS deviation, round({expanding_z('close', 180)}, 6) AS z_180, "
+    f"round(close / nullif(max(close) {_SO_FAR}, 0) - 1, 6) AS drawdown FROM ticks"
+)
+
+
 def aged(max_days: int, hit: str = "s.ts", row: str = "c.ts") -> str:
     return f"floor((epoch({row}) - epoch({hit})) / 86400) <= {max_days}"
 
@@ -407,6 +435,16 @@ def backtest(select: str) -> str:
     return f"WITH {EQUITY} " + select.replace("{day}", DAY)
 
 
+#: The same over events: the price is both opening and close, and nothing is funded.
+TICK_EQUITY = (
+    f"WITH {TICKS}, s0 AS (SELECT *, close AS open, ts - 1 AS i, count(*) OVER (PARTITION BY symbol) AS n, {log_return('close', 63)} AS mom, {log_return('close', 10)} AS r10, {log_return('close', 1)} AS r1 FROM ticks {_W}), "
+    f"s1 AS (SELECT *, {sma('r10', 90)} AS m10, {std('r10', 90)} AS d10, {std('r1', 21)} * sqrt(365) AS vol FROM s0), "
+    "sig AS (SELECT *, CASE WHEN vol > 0 THEN least(0.40 / vol, 1.0) ELSE 0.0 END AS size, TRUE AS long_buy_and_hold, coalesce(mom > 0, FALSE) AS long_momentum, "
+    "coalesce(d10 > 0 AND (r10 - m10) / nullif(d10, 0) < -1.5 AND i >= 100, FALSE) AS long_mean_reversion, FALSE AS long_funding_contrarian FROM s1), "
+    + EQUITY[EQUITY.index("dec AS (") :].replace("SELECT symbol, ts, i, n, open,", "SELECT symbol, event_id, ts, i, n, CASE WHEN open > 0 THEN open END AS open,")
+    + " SELECT symbol, strategy, event_id, round(before, 6) AS before, round(ln(equity), 6) AS log_equity FROM eq"
+)
+
 BACKTEST_METRICS = (
     f"WITH {EQUITY}, p AS (SELECT *, equity / lag(equity) OVER w - 1 AS r, equity / max(equity) OVER (PARTITION BY symbol, strategy ORDER BY ts ROWS UNBOUNDED PRECEDING) - 1 AS dd FROM eq {_K}), "
     "g AS (SELECT symbol, strategy, arg_min(equity, i) AS first, arg_max(equity, i) AS last, max(n) - 1 - 200 AS n_days, stddev_samp(r) AS sd, avg(r) AS mean, count(r) AS n_r, count(*) FILTER (r < -1e-12) AS n_neg, "

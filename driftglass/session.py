@@ -6,6 +6,7 @@ import hashlib
 import os
 import re
 import tempfile
+import uuid
 from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,7 +33,7 @@ def _local_folder() -> str:
 def derived_path(spark: SparkSession, sf_dir: str, names: tuple[str, ...], what: str) -> str:
     """Where this application keeps a table derived from these input tables: the path changes with the inputs' files, sizes and times.
 
-    It goes when the driver ends. It lies in spark.checkpoint.dir, or, where that is unset, in the warehouse, or in a temporary folder if driver and executors are one process.
+    It goes when the driver ends.
     """
     sc = spark.sparkContext
     conf, jvm = sc._jsc.hadoopConfiguration(), sc._jvm
@@ -43,10 +44,35 @@ def derived_path(spark: SparkSession, sf_dir: str, names: tuple[str, ...], what:
         while files.hasNext():
             f = files.next()
             seen.append(f"{f.getPath()} {f.getLen()} {f.getModificationTime()}")
+    path = f"{shared_root(spark)}/{what}-{sc.applicationId}-{hashlib.sha256(chr(10).join(sorted(seen)).encode()).hexdigest()[:24]}"
+    _delete_on_exit(spark, path)
+    return path
+
+
+def _delete_on_exit(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
+
+
+def shared_root(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, or, where that is unset, the warehouse, or a temporary folder if driver and executors are one process.
+
+    A warehouse on a machine's own disk isn't shared, so on a cluster it is refused.
+    """
+    sc = spark.sparkContext
     root = sc.getConf().get("spark.checkpoint.dir", None)
     if root is None:
-        root = _local_folder() if re.fullmatch(r"local(\[.*\])?", sc.master) else spark.conf.get("spark.sql.warehouse.dir")
-    path = f"{root.rstrip('/')}/{what}-{sc.applicationId}-{hashlib.sha256(chr(10).join(sorted(seen)).encode()).hexdigest()[:24]}"
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(conf).deleteOnExit(p)
-    return path
+        if re.fullmatch(r"local(\[.*\])?", sc.master):
+            return _local_folder()
+        root = spark.conf.get("spark.sql.warehouse.dir")
+        if re.match(r"file:|/(?!/)", root):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return root.rstrip("/")
+
+
+def written(df: DataFrame, what: str) -> DataFrame:
+    """``df`` computed once, written as Parquet to the shared folder and read back: lineage ends here. It goes when the driver ends."""
+    path = f"{shared_root(df.sparkSession)}/{what}-{uuid.uuid4().hex}"
+    _delete_on_exit(df.sparkSession, path)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
