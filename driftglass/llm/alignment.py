@@ -147,24 +147,30 @@ class Sweep:
         ids = ids.astype(np.int64)
         self.ids[side] = np.concatenate([self.ids[side], ids])
         self.ends[side] = np.concatenate([self.ends[side], at + np.cumsum(self.both[side].width[ids])])
-        a, b = self.ends
-        every = np.concatenate([a, b])
-        every.sort(kind="stable")
-        cuts = every[:-1][every[1:] == every[:-1]]  # ends on one side differ, so equal neighbours are one of each
-        if not len(cuts):
+        a = self.ends[0]
+        every = np.concatenate(self.ends)
+        order = np.argsort(every, kind="stable")  # two runs, merged
+        every, from_a = every[order], order < len(a)
+        again = np.flatnonzero(every[1:] == every[:-1])  # ends on one side differ, so equal neighbours are one of each
+        if not len(again):
             return b""
-        n = [int(np.searchsorted(x, cuts[-1], "right")) for x in (a, b)]
-        (a, ida), (b, idb) = ((self.ends[s][: n[s]], self.ids[s][: n[s]]) for s in (0, 1))
+        stop = int(again[-1]) + 2
+        every, from_a = every[:stop], from_a[:stop]
+        end = np.flatnonzero(np.append(every[1:] != every[:-1], True))
+        cut = np.isin(end, again + 1, assume_unique=True)
+        own_a = np.cumsum(from_a)[end]
+        own_b = end + 1 - own_a
+        n = [int(own_a[-1]), int(own_b[-1])]
+        ida, idb = (self.ids[s][: n[s]] for s in (0, 1))
         for s in (0, 1):
             self.ids[s], self.ends[s] = self.ids[s][n[s] :], self.ends[s][n[s] :]
             self.tokens[s] += n[s]
-        every = every[: n[0] + n[1]]
-        ends = every[np.concatenate([every[1:] != every[:-1], [True]])]
-        self.codes.append(ida[np.searchsorted(a, ends)] * len(self.both[1].labels) + idb[np.searchsorted(b, ends)])
-        self.groups += len(cuts)
-        self.links += len(ends)
-        last = [np.searchsorted(x, cuts, "right") for x in (a, b)]
-        group = [np.searchsorted(cuts, x) for x in (a, b)]
+        # the token under way at an end is the one that ends there, or else the next
+        self.codes.append(ida[own_a - (from_a[end] | cut)] * len(self.both[1].labels) + idb[own_b - (~from_a[end] | cut)])
+        last = [own_a[cut], own_b[cut]]
+        self.groups += len(last[0])
+        self.links += len(end)
+        group = [np.repeat(np.arange(len(x)), np.diff(x, prepend=0)) for x in last]
         width = max(s.decimal.shape[1] for s in self.both)
         out = np.zeros((n[0] + n[1], width + 1), np.uint8)
         out[:, width] = ord(",")

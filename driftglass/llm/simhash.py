@@ -6,10 +6,12 @@ named bit blanked. Each distinct fingerprint gets 64 such keys; equal keys meet
 verified by the number of differing bits. A task emits, for the links found in a batch, a star per component rather
 than pairs, so a group of n near copies yields at most n rows; components are then joined up across tasks.
 
-For a similarity of 0.8 on shingles of five words there are wide fingerprints of 128 bits (``wide_fingerprints``,
-``decisions``): 8 segments of 16 bits, 128 keys. Up to 15 differing bits some segment differs in at most one; at 16 to 18
-all eight differ in two or more with a chance of 0.05 to 0.8 %. Their keys are less selective, 2^22 in number, so the pairs
-compared grow with the square of the fingerprints, about 0.4 % of all pairs.
+For texts with a similarity (Jaccard, distinct shingles of five words) of 0.8 or more (``decisions``) bits alone neither find nor decide:
+at 0.8 some 15 % of the bits differ. There a signature has ``SEGMENTS`` segments of 16 bits, and beside each the smallest of
+the shingles' hashes under an order of the segment's own. A key is a one-wildcard variant of a segment together with that smallest hash, so
+only texts that share a shingle can meet: with J and p the share of differing bits, a segment brings two texts together with a chance of
+J * ((1-p)^16 + 16 p (1-p)^15), about 0.22 at 0.8, and one of twelve does with 0.95. Segments whose smallest hash no other text has make no
+keys. What met is verified on the shingles themselves: no pair below the similarity links.
 
 A key with more than ``LIMIT`` fingerprints isn't worked off in one task: its members are dealt into blocks, and each
 pair of blocks becomes a group of its own, so the check stays exact and spreads over the cluster.
@@ -28,12 +30,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftglass.llm.common import connected_components, local_roots, materialize
+from driftglass.llm.common import connected_components, local_roots, materialize, mix64, slices
 
 WORDS = 3
 BITS = 3
-WIDE_WORDS = 5
-WIDE_BITS = 18  # of 128: what texts with a similarity of 0.8 on shingles of five words differ in, half of the time
+TEXT_WORDS = 5
+SIMILARITY = (4, 5)  # shared shingles to all, as a fraction
+SEGMENTS = 12
+FEW = 32  # members of a key that are compared pair by pair
 LIMIT = 4096
 BLOCK = 2048
 SEED = 42
@@ -64,12 +68,6 @@ def fingerprint(text: str | None, width: int = WORDS) -> int:
     return int.from_bytes(majority(text, width, xxhash.xxh64_digest, 64) or bytes(8), "big", signed=True)
 
 
-def wide_fingerprint(text: str | None, width: int = WIDE_WORDS) -> tuple[int, int]:
-    """Two signed halves of a 128-bit fingerprint, zero for a text without words."""
-    found = majority(text, width, xxhash.xxh3_128_digest, 128) or bytes(16)
-    return int.from_bytes(found[:8], "big", signed=True), int.from_bytes(found[8:], "big", signed=True)
-
-
 def fingerprints(docs: DataFrame, *more: str, words: int = WORDS) -> DataFrame:
     """``doc_id``, ``fp`` and the long columns ``more`` of every row."""
 
@@ -81,31 +79,6 @@ def fingerprints(docs: DataFrame, *more: str, words: int = WORDS) -> DataFrame:
     return docs.select("doc_id", "text", *more).mapInArrow(run, ", ".join(f"{n} long" for n in ("doc_id", "fp", *more)))
 
 
-#: One long for a wide fingerprint. Equal values from different ones need the same difference in both halves: then they link, or chance is 2^-64.
-FOLDED = "hi ^ (shiftleft(lo, 17) | shiftrightunsigned(lo, 47))"
-
-
-def wide_fingerprints(docs: DataFrame, *more: str, words: int = WIDE_WORDS) -> DataFrame:
-    """``doc_id``, ``hi``, ``lo``, ``fp`` (both folded into one) and the long columns ``more`` of every row."""
-
-    def run(batches):
-        for batch in batches:
-            fps = [wide_fingerprint(x.as_py(), words) for x in batch.column(1)]
-            yield pa.RecordBatch.from_pydict(
-                {"doc_id": batch.column(0), "hi": pa.array([x[0] for x in fps], pa.int64()), "lo": pa.array([x[1] for x in fps], pa.int64())} | {n: batch.column(n) for n in more}
-            )
-
-    found = docs.select("doc_id", "text", *more).mapInArrow(run, ", ".join(f"{n} long" for n in ("doc_id", "hi", "lo", *more)))
-    return found.withColumn("fp", F.expr(FOLDED))
-
-
-def wide_variants(fps: DataFrame) -> DataFrame:
-    """128 rows ``key``, ``hi``, ``lo`` per fingerprint: one of 8 segments of 16 bits, blanked bit and what is left of the segment."""
-    return fps.select("hi", "lo", F.explode(F.sequence(F.lit(0), F.lit(127))).alias("k")).selectExpr(
-        "(shiftrightunsigned(if(k < 64, hi, lo), (k div 16) % 4 * 16) & 65535 & ~shiftleft(1L, k % 16)) | shiftleft(cast(k AS BIGINT), 16) AS key", "hi", "lo"
-    )
-
-
 def variants(fps: DataFrame) -> DataFrame:
     """64 rows ``key``, ``fp`` per distinct fingerprint: segment, blanked bit and what is left of the segment."""
     return fps.select("fp", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("k")).selectExpr(
@@ -114,9 +87,7 @@ def variants(fps: DataFrame) -> DataFrame:
 
 
 def differing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Differing bits of fingerprints; wide ones have a last axis of two."""
-    n = np.bitwise_count(a ^ b)
-    return n if n.ndim < 2 or n.shape[-1] != 2 else n.sum(-1)
+    return np.bitwise_count(a ^ b)
 
 
 def _linked(fp: np.ndarray, size: np.ndarray, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
@@ -153,32 +124,23 @@ def _linked(fp: np.ndarray, size: np.ndarray, bits: int = BITS) -> tuple[np.ndar
 
 
 def verify(sorted_variants: DataFrame, limit: int | None, bits: int = BITS) -> DataFrame:
-    """From rows ``key``, ``fp`` (or ``hi``, ``lo``) sorted by key in each partition: links ``u``, ``v``.
-
-    Members of keys over ``limit`` come back with their key, as ``u`` (and ``lo``).
-    """
-    wide = "lo" in sorted_variants.columns
-    kinds = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("key", pa.int64()), ("lo", pa.int64())])
-
-    def nodes_of(fp):
-        return fp[:, 0] ^ (fp[:, 1] << np.uint64(17) | fp[:, 1] >> np.uint64(47)) if wide else fp
+    """From rows ``key``, ``fp`` sorted by key in each partition: links ``u``, ``v``. Members of keys over ``limit`` come back with their key, as ``u``."""
+    kinds = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("key", pa.int64())])
 
     def stars(fp, size):
         left, right = _linked(fp, size, bits)
         if not len(left):
             return None
-        ids = nodes_of(fp)
-        nodes, where = np.unique(np.concatenate([ids[left], ids[right]]).view(np.int64), return_inverse=True)
+        nodes, where = np.unique(np.concatenate([fp[left], fp[right]]).view(np.int64), return_inverse=True)
         root = local_roots(len(nodes), where[: len(left)], where[len(left) :])
         own = np.flatnonzero(root != np.arange(len(nodes)))
-        return pa.RecordBatch.from_arrays([pa.array(nodes[own]), pa.array(nodes[root[own]]), *[pa.nulls(len(own), pa.int64())] * 2], schema=kinds)
+        return pa.RecordBatch.from_arrays([pa.array(nodes[own]), pa.array(nodes[root[own]]), pa.nulls(len(own), pa.int64())], schema=kinds)
 
     def put_off(key, fp):
-        halves = [np.ascontiguousarray(x).view(np.int64) for x in (fp.T if wide else [fp])]
-        return pa.RecordBatch.from_arrays([pa.array(halves[0]), pa.nulls(len(fp), pa.int64()), pa.array(np.full(len(fp), key)), pa.array(halves[1]) if wide else pa.nulls(len(fp), pa.int64())], schema=kinds)
+        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(fp).view(np.int64)), pa.nulls(len(fp), pa.int64()), pa.array(np.full(len(fp), key))], schema=kinds)
 
     def run(batches):
-        keys, fps = np.empty(0, np.int64), np.empty((0, 2) if wide else 0, np.uint64)
+        keys, fps = np.empty(0, np.int64), np.empty(0, np.uint64)
         hot = None
 
         def work(keys, fps):
@@ -197,8 +159,6 @@ def verify(sorted_variants: DataFrame, limit: int | None, bits: int = BITS) -> D
             if not batch.num_rows:
                 continue
             k, f = batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64)
-            if wide:
-                f = np.stack([f, batch.column(2).to_numpy().view(np.uint64)], axis=1)
             if hot is not None:
                 same = int(np.searchsorted(k, hot, side="right"))
                 if same:
@@ -219,54 +179,234 @@ def verify(sorted_variants: DataFrame, limit: int | None, bits: int = BITS) -> D
         if len(keys):
             yield from work(keys, fps)
 
-    return sorted_variants.mapInArrow(run, "u long, v long, key long, lo long")
+    return sorted_variants.mapInArrow(run, "u long, v long, key long")
 
 
 def links(fps: DataFrame) -> DataFrame:
-    """Links ``u``, ``v`` that connect all fingerprints of each component; of column ``fp``, or wide ones of ``hi`` and ``lo``."""
-    wide = "lo" in fps.columns
-    own, bits = (["hi", "lo"], WIDE_BITS) if wide else (["fp"], BITS)
-    spread = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # each row becomes 64 or 128, so partitions merged by size would be that much too large
-    met = (wide_variants if wide else variants)(fps.repartition(spread)).repartition("key").sortWithinPartitions("key")
-    first = materialize(verify(met, LIMIT, bits), "simhash-links")
-    waiting = first.where("key is not null").select("key", F.col("u").alias(own[0]), *own[1:])
+    """Links ``u``, ``v`` that connect all fingerprints of each component, of column ``fp``."""
+    spread = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # each row becomes 64, so partitions merged by size would be that much too large
+    met = variants(fps.repartition(spread)).repartition("key").sortWithinPartitions("key")
+    first = materialize(verify(met, LIMIT), "simhash-links")
+    waiting = first.where("key is not null").select("key", F.col("u").alias("fp"))
     if waiting.isEmpty():
         return first.select("u", "v")
     counted = waiting.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-    dealt = waiting.join(counted, "key").withColumn("own", F.pmod(F.xxhash64(*own), F.col("blocks")))
+    dealt = waiting.join(counted, "key").withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks")))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other")
-    pairs = dealt.select("key", *own, "own", other).select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key"), *own)
-    second = verify(pairs.repartition("key").sortWithinPartitions("key"), None, bits)
+    pairs = dealt.select("key", "fp", "own", other).select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key"), "fp")
+    second = verify(pairs.repartition("key").sortWithinPartitions("key"), None)
     return first.where("v is not null").select("u", "v").unionByName(second.select("u", "v"))
 
 
-def _rooted(fps: DataFrame) -> DataFrame:
+def _rooted(fps: DataFrame, edges: DataFrame) -> DataFrame:
     """``fps`` (one row per ``fp``) with ``root``, one fingerprint that names the component."""
-    parts = connected_components(links(fps.select("hi", "lo") if "lo" in fps.columns else fps.select("fp")), "simhash-components")
+    parts = connected_components(edges, "simhash-components")
     return fps.join(parts.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("component", "fp")).drop("component")
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """Per row of ``docs``: ``doc_id``, ``fingerprint`` (16 hex digits) and ``component_id``, the smallest doc_id reachable by links."""
     own = materialize(fingerprints(docs, words=words), "simhash-fingerprints")
-    rooted = _rooted(own.groupBy("fp").agg(F.min("doc_id").alias("low")))
+    fps = own.groupBy("fp").agg(F.min("doc_id").alias("low"))
+    rooted = _rooted(fps, links(fps.select("fp")))
     lowest = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
     named = rooted.select("fp", "root").join(lowest, "root").select("fp", "component_id")
     return own.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def decisions(docs: DataFrame, words: int = WIDE_WORDS) -> DataFrame:
-    """``doc_id``, ``text_hash`` (xxhash64 of the text) and ``first`` of the rows a choice of one per component is about, by wide fingerprints.
+# --- texts by similarity ----------------------------------------------------------------------------------------
+
+
+def shingle_hashes(text: str | None, width: int = TEXT_WORDS) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of the shingles of a text (lower-cased A-Z); of the whole sequence where words are fewer, of nothing without words."""
+    words = text.encode().lower().split() if text else []
+    if not words:
+        return np.empty(0, np.uint64)
+    joined = b" ".join(words)
+    if len(words) <= width:
+        return np.array([xxhash.xxh3_64_intdigest(joined, SEED)], np.uint64)
+    after = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+    starts, ends = np.concatenate([[0], after[:-width]]).tolist(), (after[width - 1 :] - 1).tolist()
+    digest = xxhash.xxh3_64_digest
+    return np.unique(np.frombuffer(b"".join([digest(joined[a:b], SEED) for a, b in zip(starts, ends, strict=True)]), ">u8").astype(np.uint64))
+
+
+def orders(n: int) -> np.ndarray:
+    return mix64(np.arange(1, n + 1).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
+def signature(hashes: np.ndarray, segments: int = SEGMENTS) -> tuple[np.ndarray, np.ndarray]:
+    """The majority bits of the hashes in segments of 16, and for each segment the smallest hash under its own order."""
+    words = -(-segments // 4)
+    ones, low = np.zeros(64 * words, np.int64), np.full(segments, np.iinfo(np.uint64).max)
+    for at in range(0, len(hashes), RUN):
+        own = hashes[at : at + RUN]
+        wide = np.stack([mix64(own + x) for x in orders(words + segments)[segments:]], axis=1)
+        ones += np.unpackbits(wide.view(np.uint8), bitorder="little").reshape(len(own), -1).sum(0, dtype=np.int64)
+        low = np.minimum(low, [mix64(own ^ x).min() for x in orders(segments)])
+    bits = np.packbits(2 * ones > len(hashes), bitorder="little").view("<u2")[:segments]
+    return bits.astype(np.int64), low.astype(np.uint64).view(np.int64)
+
+
+SIGNED = "doc_id long, text_hash long, node long, bits array<long>, low array<long>"
+
+
+def signatures(docs: DataFrame, words: int = TEXT_WORDS, segments: int = SEGMENTS) -> DataFrame:
+    """``doc_id``, ``text_hash``, ``node`` (names the set of shingles; 0 without words), ``bits`` and ``low`` (both null without words) of every row."""
+
+    def run(batches):
+        for batch in (part for whole in batches for part in slices(whole, "text")):
+            nodes, bits, low = [], [], []
+            for text in batch.column(1):
+                own = shingle_hashes(text.as_py(), words)
+                b, m = signature(own, segments) if len(own) else (None, None)
+                nodes.append(xxhash.xxh3_64_intdigest(own.tobytes()) if len(own) else 0)
+                bits.append(b)
+                low.append(m)
+            yield pa.RecordBatch.from_pydict({
+                "doc_id": batch.column(0), "text_hash": batch.column(2), "node": pa.array(np.array(nodes, np.uint64).view(np.int64)),
+                "bits": pa.array(bits, pa.list_(pa.int64())), "low": pa.array(low, pa.list_(pa.int64())),
+            })
+
+    return docs.select(F.col("doc_id").cast("long"), "text", "text_hash").mapInArrow(run, SIGNED)
+
+
+def shared_only(rows: DataFrame, key: str, most: int = LIMIT) -> DataFrame:
+    """Rows whose ``key`` occurs more than once. Keys with over ``most`` rows, and over a thousandth of all, are a broadcast list of less than a thousand."""
+    counted = materialize(rows.groupBy(key).agg(F.count("*").alias("n")).where("n > 1"), "simhash-shared")
+    total = counted.agg(F.sum("n")).first()[0] or 0
+    hot = F.col("n") > max(most, total // 1000)
+    many = F.broadcast(counted.where(hot).select(key))
+    return rows.join(many, key, "left_semi").unionByName(rows.join(many, key, "left_anti").join(counted.where(~hot).select(key), key, "left_semi"))
+
+
+def keys(nodes: DataFrame) -> DataFrame:
+    """Rows ``key``, ``node``: one-wildcard variants of segments with their smallest hash, where another node has that hash."""
+    each = nodes.where("bits is not null").select("node", F.posexplode(F.arrays_zip("bits", "low")).alias("segment", "x"))
+    each = each.select("node", F.xxhash64("segment", "x.low").alias("met"), F.col("x.bits").alias("bits"))
+    again = materialize(shared_only(each, "met"), "simhash-segments")
+    spread = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    wild = again.repartition(spread).select("node", "met", "bits", F.explode(F.sequence(F.lit(0), F.lit(15))).alias("k"))
+    return wild.select(F.expr("xxhash64(met, k, bits & ~shiftleft(1L, k))").alias("key"), "node")
+
+
+def meetings(keyed: DataFrame) -> DataFrame:
+    """Pairs ``u``, ``v`` of nodes with one key: all of up to FEW members, else each with the member that comes first in the key's own order, BLOCK by BLOCK."""
+
+    def run(batches):
+        now, members = None, []
+
+        def pairs(members, key):
+            own = np.unique(np.array(members, np.int64))
+            n = len(own)
+            if n <= FEW:
+                a, b = np.triu_indices(n, 1)
+                return own[a], own[b]
+            first = int(np.argmin(mix64(own.view(np.uint64) ^ np.uint64(key % (1 << 64)))))
+            rest = np.delete(own, first)
+            return rest, np.full(n - 1, own[first])
+
+        found, held = [], 0
+
+        def flush():
+            u, v, key = (np.concatenate([x[i] for x in found]) for i in range(3))
+            low, high = np.minimum(u, v), np.maximum(u, v)
+            code = np.unique(np.stack([high, low, key], axis=1), axis=0)
+            _, at = np.unique(code[:, :2], axis=0, return_index=True)
+            return pa.RecordBatch.from_pydict({"u": code[at, 0], "v": code[at, 1], "salt": code[at, 2]})
+
+        def close(members, key):
+            u, v = pairs(members, key)
+            if len(u):
+                found.append((u, v, np.full(len(u), key)))
+            return len(u)
+
+        for batch in batches:
+            for key, node in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if key != now:
+                    if len(members) > 1:
+                        held += close(members, now)
+                    now, members = key, []
+                members.append(node)
+                if len(members) == BLOCK:  # the block's last member leads on to the next block
+                    held += close(members, now)
+                    members = members[-1:]
+                if held > RUN:
+                    yield flush()
+                    found, held = [], 0
+        if len(members) > 1:
+            held += close(members, now)
+        if held:
+            yield flush()
+
+    met = keyed.repartition("key").sortWithinPartitions("key", "node").mapInArrow(run, "u long, v long, salt long")
+    return met.groupBy("u", "v").agg(F.min("salt").alias("salt"))
+
+
+def similar(pairs: DataFrame, sets: DataFrame, least: tuple[int, int] = SIMILARITY) -> DataFrame:
+    """Those of the pairs ``u``, ``v`` whose sets of shingles are similar. Each ``v`` meets its partners of one ``salt`` in one run, and travels once for them."""
+    asked = pairs.join(sets.withColumnRenamed("node", "u"), "u").selectExpr("v", "salt", "1 role", "u node", "shingles")
+    pivots = pairs.select("v", "salt").distinct().join(sets.withColumnRenamed("node", "v"), "v").selectExpr("v", "salt", "0 role", "v node", "shingles")
+
+    def run(batches):
+        pivot = np.empty(0, np.uint64)
+        for batch in batches:
+            u, v = [], []
+            for own, role, node, shingles in zip(*(batch.column(c).to_pylist() for c in ("v", "role", "node", "shingles")), strict=True):
+                held = np.frombuffer(shingles, "<u8")
+                if role == 0:
+                    pivot = held
+                    continue
+                short, long = (held, pivot) if len(held) < len(pivot) else (pivot, held)
+                at = np.minimum(np.searchsorted(long, short), len(long) - 1)
+                both = int((long[at] == short).sum())
+                if least[1] * both >= least[0] * (len(held) + len(pivot) - both):
+                    u.append(node)
+                    v.append(own)
+            yield pa.RecordBatch.from_pydict({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+
+    return asked.unionByName(pivots).repartition("v", "salt").sortWithinPartitions("v", "salt", "role").mapInArrow(run, "u long, v long")
+
+
+def shingle_sets(docs: DataFrame, reps: DataFrame, words: int) -> DataFrame:
+    """``node`` and its ``shingles``, from the text of one row for each."""
+
+    def run(batches):
+        for batch in (part for whole in batches for part in slices(whole, "text")):
+            yield pa.RecordBatch.from_pydict({"node": batch.column(0), "shingles": pa.array([shingle_hashes(x.as_py(), words).tobytes() for x in batch.column(1)], pa.binary())})
+
+    own = docs.join(reps, ["doc_id", "text_hash"]).select("node", "text").mapInArrow(run, "node long, shingles binary")
+    return own.dropDuplicates(["node"])
+
+
+def similar_links(texts: DataFrame, nodes: DataFrame, words: int = TEXT_WORDS, least: tuple[int, int] = SIMILARITY) -> DataFrame:
+    """Verified links ``u``, ``v`` of ``nodes``, enough to connect what met: a pair within a component that is connected already isn't looked at."""
+    pairs = materialize(meetings(keys(nodes)), "simhash-pairs")
+    one = pairs.groupBy("u").agg(F.min_by(F.struct("v", "salt"), F.xxhash64("v")).alias("x")).select("u", "x.*")
+    involved = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    reps = nodes.join(involved, "node").select("node", "low_row.*")
+    sets = materialize(shingle_sets(texts, reps, words), "simhash-sets")
+    first = materialize(similar(one, sets, least), "simhash-similar")
+    parts = connected_components(first, "simhash-parts")
+    side = lambda c: parts.select(F.col("node").alias(c), F.col("component").alias(f"{c}_part"))
+    open_ = pairs.join(one.select("u", "v"), ["u", "v"], "left_anti").join(side("u"), "u", "left").join(side("v"), "v", "left")
+    rest = materialize(open_.where("coalesce(u_part, u) <> coalesce(v_part, v)").select("u", "v", "salt"), "simhash-open")
+    return first.unionByName(similar(rest, sets, least))
+
+
+def decisions(docs: DataFrame, words: int = TEXT_WORDS, least: tuple[int, int] = SIMILARITY, segments: int = SEGMENTS) -> DataFrame:
+    """``doc_id``, ``text_hash`` (xxhash64 of the text) and ``first`` of the rows a choice of one per component is about, by similarity of texts.
 
     ``first`` is false for rows behind the first of their component by these two columns; it is true for those that are first and occur more than once.
+    Rows without an id take no part. Texts without words are one component.
     """
-    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
-    own = materialize(wide_fingerprints(texts, "text_hash", words=words), "simhash-fingerprints")
-    low = F.min(F.expr("if(doc_id is null, null, struct(doc_id, text_hash))")).alias("low")
-    halves = own.groupBy("fp").agg(low, F.min(F.struct("hi", "lo")).alias("x")).select("fp", "low", "x.hi", "x.lo")
-    rooted = _rooted(halves)
+    texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
+    own = materialize(signatures(texts, words, segments), "simhash-signatures")
+    nodes = own.groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("low_row"), F.min(F.struct("bits", "low")).alias("x")).select("node", "low_row", "x.bits", "x.low")
+    nodes = materialize(nodes, "simhash-nodes")
+    rooted = _rooted(nodes.select(F.col("node").alias("fp"), F.col("low_row").alias("low")), similar_links(texts, nodes, words, least))
     lowest = rooted.groupBy("root").agg(F.min("low").alias("lowest"))
     named = rooted.select("fp", "root").join(lowest, "root").select("fp", "lowest")
-    rows = own.where("doc_id is not null").groupBy("doc_id", "text_hash", "fp").agg(F.count("*").alias("n"))
+    rows = own.groupBy("doc_id", "text_hash", F.col("node").alias("fp")).agg(F.count("*").alias("n"))
     found = rows.join(named, "fp").select("doc_id", "text_hash", F.expr("struct(doc_id, text_hash) = lowest").alias("first"), "n").where("not first or n > 1")
     return materialize(found.drop("n"), "simhash-decisions")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from driftglass.llm import langid
 from tests.llm.test_line_dedup import plain as plain_lines
-from tests.llm.test_simhash import plain_components, plain_wide
+from tests.llm.test_simhash import plain_similar
 
 
 def rows(df):
@@ -25,9 +25,8 @@ def stages(spark, docs):
 def plain_choice(table):
     """Of all rows with an id in a component, the one that comes first by id, hash of the text and columns; rows without an id all stay."""
     named = [r for r in table if r[0] is not None]
-    numbered = plain_components([(n, plain_wide(r[1])) for n, r in enumerate(named)], 18)
     parts = {}
-    for (n, _, low), r in zip(numbered, named, strict=True):
+    for low, r in zip(plain_similar([r[1] for r in named]), named, strict=True):
         parts.setdefault(low, []).append(r)
     order = lambda r: (r[0], xxhash64(r[1]), *((x is not None, x) for x in r))
     return sorted([min(own, key=order) for own in parts.values()] + [r for r in table if r[0] is None], key=lambda r: (r[0] is None, r[0] or 0, str(r)))

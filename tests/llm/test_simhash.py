@@ -20,12 +20,27 @@ def plain_fingerprint(text):
     return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
 
-def plain_wide(text):
+def plain_shingles(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
-    if not words:
-        return 0
-    h = [int.from_bytes(xxhash.xxh3_128_digest(" ".join(words[i : i + 5]).encode(), 42), "big") for i in range(max(1, len(words) - 4))]
-    return sum(1 << b for b in range(128) if 2 * sum(x >> b & 1 for x in h) > len(h))
+    return {" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def plain_similar(texts):
+    """For each text, the number of the first one that links of a similarity of 0.8 and over lead to, by all pairs."""
+    sets = [plain_shingles(t) for t in texts]
+    root = list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if a == b or (a and b and 10 * len(a & b) >= 8 * len(a | b)):
+                x, y = sorted((find(i), find(j)))
+                root[y] = x
+    return [find(i) for i in range(len(texts))]
 
 
 def plain_components(rows, bits=3):
@@ -88,43 +103,69 @@ def test_decisions_name_copies_and_repeated_rows(spark):
     assert got == [(1, True), (2, False), (3, False)]
 
 
-def test_wide_fingerprints(small):
-    for r in small.where("length(text) < 3000").limit(60).collect():
-        hi, lo = simhash.wide_fingerprint(r["text"])
-        assert (hi % (1 << 64)) << 64 | lo % (1 << 64) == plain_wide(r["text"])
-    assert simhash.wide_fingerprint(None) == simhash.wide_fingerprint(" \n") == (0, 0)
+def altered(rng, words, share):
+    """The words with runs replaced until the similarity is about ``share``."""
+    out, want = list(words), plain_shingles(" ".join(words))
+    while True:
+        own = plain_shingles(" ".join(out))
+        if len(own & want) <= share * len(own | want):
+            return out
+        out[rng.randrange(len(out))] = f"n{rng.random()}"
 
 
-@pytest.mark.parametrize("limit", [4096, 6])
-def test_wide_links_connect_what_all_pairs_connect(spark, monkeypatch, limit):
-    """Differences of up to 15 bits always share a key; so do nearly all of 16 to 18."""
-    monkeypatch.setattr(simhash, "LIMIT", limit)
-    monkeypatch.setattr(simhash, "BLOCK", 4)
-    rng = random.Random(5)
-    fps = set()
-    for _ in range(10):
-        base = rng.getrandbits(128)
-        for _ in range(20):
-            x = base
-            for b in rng.sample(range(128), rng.choice([0, 3, 7, 8, 12, 30])):
-                x ^= 1 << b
-            fps.add(x)
-    signed = lambda x: x - (1 << 64) if x >> 63 else x
-    df = spark.createDataFrame([(signed(x >> 64), signed(x % (1 << 64))) for x in fps], "hi long, lo long").withColumn("fp", F.expr(simhash.FOLDED))
-    name = {r["fp"]: (r["hi"] % (1 << 64)) << 64 | r["lo"] % (1 << 64) for r in df.collect()}
-    assert len(name) == len(fps)
-    got = {}
-    for r in simhash._rooted(df).collect():
-        got.setdefault(r["root"], set()).add(name[r["fp"]])
-    far = [(a, b) for a in fps for b in fps if a < b and 15 < bin(a ^ b).count("1") <= 18]
-    certain = {}
-    for i, _, low in plain_components(list(enumerate(sorted(fps))), 15):
-        certain.setdefault(low, set()).add(sorted(fps)[i])
-    most = {}
-    for i, _, low in plain_components(list(enumerate(sorted(fps))), 18):
-        most.setdefault(low, set()).add(sorted(fps)[i])
-    assert len(most) <= len(got) <= len(certain) and len(got) <= len(most) + 1 and len(far) > 20
-    assert all(any(x <= y for y in got.values()) for x in certain.values()) and all(any(x <= y for y in most.values()) for x in got.values())
+def planted(rng, n):
+    """Pairs of texts of 12 to 400 words at about 0.6, 0.7, 0.8 and 0.9."""
+    pairs = []
+    for i in range(4 * n):
+        words = [f"w{rng.randrange(5000)}" for _ in range(rng.choice([12, 30, 100, 400]))]
+        pairs.append((" ".join(words), " ".join(altered(rng, words, (0.62, 0.72, 0.83, 0.9)[i % 4]))))
+    return pairs
+
+
+def jaccard(a, b):
+    a, b = plain_shingles(a), plain_shingles(b)
+    return len(a & b) / len(a | b)
+
+
+def test_similar_pairs_are_found_and_no_others(spark):
+    pairs = planted(random.Random(7), 60)
+    docs = spark.createDataFrame([(2 * i + k, t) for i, p in enumerate(pairs) for k, t in enumerate(p)], "doc_id long, text string").repartition(6)
+    gone = {r["doc_id"] // 2 for r in simhash.decisions(docs).collect() if not r["first"]}
+    near = [i for i, p in enumerate(pairs) if jaccard(*p) >= 0.8]
+    assert gone <= set(near)
+    assert len(gone) >= 0.92 * len(near) and len(near) > 50
+
+
+def test_components_of_texts(spark):
+    """Chains, clusters larger than FEW and BLOCK, texts without words, short texts."""
+    rng = random.Random(2)
+    texts = ["", None, " ", "one", "One", "one two", *(f"a b c d e f {i}" for i in range(4))]
+    words = [f"w{i}" for i in range(120)]
+    for _ in range(120):  # near copies of one text
+        own = list(words)
+        own[rng.randrange(120)] = f"x{rng.random()}"
+        texts.append(" ".join(own))
+    chain = [f"c{i}" for i in range(200)]
+    for i in range(10):  # each like the one before
+        texts.append(" ".join(chain[5 * i : 5 * i + 150]))
+    rng.shuffle(texts)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    first = plain_similar(texts)
+    got = {r["doc_id"] for r in simhash.decisions(docs).collect() if not r["first"]}
+    assert got == {i for i, low in enumerate(first) if low != i}
+
+
+def test_meetings_are_whole_or_stars(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "FEW", 3)
+    monkeypatch.setattr(simhash, "BLOCK", 5)
+    keyed = spark.createDataFrame([(1, n) for n in range(17)] + [(2, 5), (2, 6), (2, 7), (3, 9), (1, 3)], "key long, node long")
+    got = {(r["u"], r["v"]) for r in simhash.meetings(keyed).collect()}
+    assert {(6, 5), (7, 5), (7, 6)} <= got and all(u > v for u, v in got)
+    root = {n: n for n in range(17)}
+    find = lambda x: x if root[x] == x else find(root[x])
+    for u, v in got:
+        root[find(u)] = find(v)
+    assert len({find(n) for n in range(17)}) == 1 and len(got) <= 17 + 4 + 3
 
 
 def test_empty(none):
