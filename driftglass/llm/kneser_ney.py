@@ -46,7 +46,7 @@ SHARD = 2_000_000  # tokens, before reduction, for each shard
 FAN = 1024  # shards, or groups of shards, that a run is dealt to
 SAMPLED = 2_000_000  # tokens of the sample, within the shares below
 LEAST_SHARE, MOST_SHARE = 1 / 1024, 1 / 16
-SCORE_RUN = 200_000
+SCORE_RUN, PER_SHARD, MOST_RUN = 200_000, 2000, 3_000_000  # tokens scored at a time: so many for each shard, within bounds
 STRETCH = 1 << 20  # bytes of a text hashed at a time
 BLANK = re.compile(rb"[ \t\n\x0b\x0c\r]")
 
@@ -454,8 +454,16 @@ def train(docs: DataFrame, order: int = ORDER) -> dict:
     }
 
 
+def run_of(shards: int) -> int:
+    """Tokens scored at a time. Each run opens every shard it needs once, so runs grow with the shards: what a token costs stays the same.
+
+    Beyond MOST_RUN / PER_SHARD shards (a few dozen GB of text) the share of opening grows again.
+    """
+    return min(max(MOST_RUN, SCORE_RUN), max(SCORE_RUN, PER_SHARD * shards))
+
+
 class Model:
-    """Looks up sequences in the mapped arrays, one shard at a time: no more than one shard is held."""
+    """Looks up sequences in the mapped arrays, one shard at a time: no more than one shard is held, and of each token only its probabilities."""
 
     def __init__(self, spec: dict):
         self.spec = spec
@@ -470,54 +478,56 @@ class Model:
         for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
             yield _unpack(map_file(f"{self.spec['folder']}/{kind}-{shard[a]}")), order[a:b]
 
-    def words(self, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Exact counts, and numbers of distinct words before."""
-        count, before = np.zeros(len(word), np.int64), np.zeros(len(word), np.int64)
-        for (keys, counts, befores), own in self._each_shard("words", word_shard(word, self.spec["shards"])):
-            if not len(keys):
-                continue
-            at = np.minimum(np.searchsorted(keys, word[own]), len(keys) - 1)
-            hit = keys[at] == word[own]
-            count[own[hit]], before[own[hit]] = counts[at[hit]], befores[at[hit]]
-        return count, before
-
-    def grams(self, size: int, history: np.ndarray, token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Counts of n-grams, and the stats of their histories."""
-        n, stats = np.zeros(len(token), np.int64), np.zeros((len(token), STATS), np.int64)
-        key = extend(history, token)
-        for held, own in self._each_shard(f"grams-{size}", history_shard(history, token, self.spec["hot"][size], self.spec["shards"])):
-            at = find(held[0], held[1], key[own])
-            n[own[at >= 0]] = widen(held[2:5], at[at >= 0])
-            at = find(held[5], held[6], history[own])
-            stats[own[at >= 0]] = decoded(held[7:11], at[at >= 0], STATS)
-        keys, own_stats = self.spec["hot_stats"][size]
-        if len(keys):
-            at = np.minimum(np.searchsorted(keys, history), len(keys) - 1)
-            hit = keys[at] == history
-            stats[hit] = own_stats[at[hit]]
-        return n, stats
+    def words(self, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Whether each word is known, its base log10 probability, and its probability without a history."""
+        spec = self.spec
+        grams, spare = max(spec["grams"], 1), (self.spare if spec["grams"] else 1.0) / (spec["known"] + 1)
+        known, base, p = np.zeros(len(word), bool), np.zeros(len(word)), np.zeros(len(word))
+        for (keys, counts, befores), own in self._each_shard("words", word_shard(word, spec["shards"])):
+            count, before = np.zeros(len(own), np.int64), np.zeros(len(own), np.int64)
+            if len(keys):
+                at = np.minimum(np.searchsorted(keys, word[own]), len(keys) - 1)
+                hit = keys[at] == word[own]
+                count[hit], before[hit] = counts[at[hit]], befores[at[hit]]
+            known[own] = count > 0
+            base[own] = np.log10((count + 0.1) / (spec["tokens"] + 0.1 * (spec["known"] + 1)))
+            p[own] = np.maximum(before - spec["lower"][np.minimum(before, 3)], 0) / grams + spare
+        return known, base, p
+
+    def interpolate(self, size: int, history: np.ndarray, token: np.ndarray, p: np.ndarray) -> None:
+        """Turn ``p``, the probability under the next lower order, into the one under this order."""
+        spec, d = self.spec, self.spec["discount"][size]
+        hot, hot_stats = spec["hot_stats"][size]
+        for held, own in self._each_shard(f"grams-{size}", history_shard(history, token, spec["hot"][size], spec["shards"])):
+            here = history[own]
+            n, stats = np.zeros(len(own), np.int64), np.zeros((len(own), STATS), np.int64)
+            at = find(held[0], held[1], extend(here, token[own]))
+            n[at >= 0] = widen(held[2:5], at[at >= 0])
+            at = find(held[5], held[6], here)
+            stats[at >= 0] = decoded(held[7:11], at[at >= 0], STATS)
+            if len(hot):
+                at = np.minimum(np.searchsorted(hot, here), len(hot) - 1)
+                hit = hot[at] == here
+                stats[hit] = hot_stats[at[hit]]
+            seen = np.maximum(n - d[np.minimum(n, 3)], 0)
+            p[own] = np.where(stats[:, 0] > 0, (seen + (stats[:, 1:] @ d[1:]) * p[own]) / np.maximum(stats[:, 0], 1), p[own])
 
     def score(self, parts: list[np.ndarray]) -> list[np.ndarray]:
         """Per stretch: tokens, known tokens, base log10 probability, model's log10 probability."""
-        spec, order = self.spec, self.spec["order"]
+        order = self.spec["order"]
         flat, at, size = grams_of(parts, order)
         token = flat[at]
-        count, before = self.words(token)
-        base = np.log10((count + 0.1) / (spec["tokens"] + 0.1 * (spec["known"] + 1)))
-        grams = max(spec["grams"], 1)
-        p = np.maximum(before - spec["lower"][np.minimum(before, 3)], 0) / grams + (self.spare if spec["grams"] else 1.0) / (spec["known"] + 1)
+        known, base, p = self.words(token)
         for k in range(2, order + 1):
-            n, stats = self.grams(k, sequence_key([flat[at - j] for j in range(k - 1, 0, -1)]), token)
-            d = spec["discount"][k]
-            own = np.maximum(n - d[np.minimum(n, 3)], 0)
-            p = np.where(stats[:, 0] > 0, (own + (stats[:, 1:] @ d[1:]) * p) / np.maximum(stats[:, 0], 1), p)
+            self.interpolate(k, sequence_key([flat[at - j] for j in range(k - 1, 0, -1)]), token, p)
         cut = lambda x: np.add.reduceat(np.append(x, x[:1] * 0), np.cumsum(size) - size) * (size > 0)
-        return [size, cut((count > 0).astype(np.int64)), cut(base), cut(np.log10(p))]
+        return [size, cut(known.astype(np.int64)), cut(base), cut(np.log10(p))]
 
 
 def score(docs: DataFrame, spec: dict) -> DataFrame:
     """Per row: ``doc_id``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score``, ``score`` (log10) and ``perplexity``."""
     shared = docs.sparkSession.sparkContext.broadcast(spec)
+    most = run_of(spec["shards"])
 
     def run(batches):
         model = Model(shared.value)
@@ -546,7 +556,7 @@ def score(docs: DataFrame, spec: dict) -> DataFrame:
                     parts.append(part)
                     owner.append(len(ids) - 1)
                     held += len(part)
-                    if held >= SCORE_RUN:
+                    if held >= most:
                         sums = add()
                         done = len(ids) - 1  # the last text may go on
                         if done:

@@ -112,6 +112,16 @@ def test_a_missing_shard_is_an_error(odd):
         kneser_ney.score(odd, spec).collect()
 
 
+def test_what_a_token_costs_does_not_grow_with_the_shards(monkeypatch, small):
+    """Shards opened for each token, over runs of the size that goes with their number."""
+    assert [kneser_ney.run_of(n) for n in (1, 100, 1000, 10_000)] == [200_000, 200_000, 2_000_000, 3_000_000]
+    assert all(n / kneser_ney.run_of(n) <= 1 / kneser_ney.PER_SHARD for n in (43, 400, 1500))
+    monkeypatch.setattr(kneser_ney, "SHARD", 300)
+    monkeypatch.setattr(kneser_ney, "SCORE_RUN", 100)
+    monkeypatch.setattr(kneser_ney, "PER_SHARD", 30)
+    check(small.where("n_chars < 3000").limit(60), 3)
+
+
 def test_rows_with_many_different_numbers():
     rng = np.random.default_rng(1)
     rows = rng.integers(0, 400, (3000, 4)) * rng.integers(0, 2, (3000, 4))
