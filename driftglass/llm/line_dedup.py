@@ -5,8 +5,10 @@ count. Each task reduces its keys to 128-bit hashes with the number of documents
 adds these up, and all distinct hashes are dealt to shards of about ``SHARD`` entries. Each shard becomes one file in
 the shared folder: a minimal perfect hash (bit arrays per level with ranks) that indexes an array of 64-bit
 fingerprints and one of counts, a byte each; where a count is over one, the smallest id stands in a list beside them.
-Documents then probe the memory-mapped shards; no line is joined or shuffled a second time. Every shard writes its
-file, an empty one as well: a missing file is an error.
+Documents then probe the memory-mapped shards; no line is joined or shuffled a second time. Texts are gathered until there are
+``PROBES`` lines for each shard, so a shard is opened and searched for many lines at once however many shards there are. Every
+shard writes its file, an empty one as well: a missing file is an error. Counts are a byte each, 255 standing for that many and more;
+what is dropped depends only on whether a count is over one.
 
 Defined cases: null and empty texts are one empty line, kept as an empty text; white space alone is too short a key;
 a line that only repeats within one document stays; very long texts are held one at a time beside a slice of others; rows that share a doc_id count as one document; rows with a null
@@ -32,7 +34,9 @@ SHARD = 1 << 18
 LEVELS = 40
 NO_ID = (1 << 63) - 1
 FLUSH = 1 << 19
-MAPPED = 64  # shards that a worker keeps mapped
+MAPPED = 4096  # shards that a worker keeps mapped; a mapped shard isn't held in memory
+PROBES = 64  # lines that each shard is asked for at a time
+GATHERED = 32 << 20  # bytes of texts that are gathered for them at most
 BLANKS = b" \t\n\x0b\x0c\r"
 
 
@@ -208,38 +212,60 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     names = kept.columns
     schema = T.StructType([*kept.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
 
+    def probe(digests, doc, dropped):
+        """Mark what goes; ``doc`` has for each digest the id, the place in the gathered texts and the place in its text."""
+        h1, h2 = _hashes(digests)
+        ids, owner, place = (np.concatenate(x) for x in zip(*doc, strict=True))
+        number = (h2.view(np.int64) % shards).astype(np.int64)
+        order = np.argsort(number, kind="stable")
+        cuts = np.append(np.flatnonzero(np.diff(number[order], prepend=-1)), len(order))
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            own = order[a:b]
+            shard = mapped_shard(folder, int(number[own[0]]))
+            at = shard.find(h1[own], h2[own])
+            if (at < 0).any():
+                raise ValueError(f"a line is not in shard {number[own[0]]} of the index")
+            several = shard.counts[at] > 1
+            own, at = own[several], at[several]
+            for j in own[shard.kept_in(at) != ids[own]].tolist():
+                dropped[owner[j]].add(int(place[j]))
+
     def run(batches):
         digest = xxhash.xxh3_128_digest
+        held, texts, digests, doc, size = [], [], [], [], 0
+
+        def close():
+            dropped: list[set[int]] = [set() for _ in texts]
+            if digests:
+                probe(digests, doc, dropped)
+            at = 0
+            for batch in held:
+                lines, gone = texts[at : at + batch.num_rows], dropped[at : at + batch.num_rows]
+                at += batch.num_rows
+                own = {n: batch.column(n) for n in names}
+                own["text"] = pa.array([b"\n".join([x for i, x in enumerate(y) if i not in out] if out else y).decode() for y, out in zip(lines, gone, strict=True)], pa.string())
+                own["n_lines"] = pa.array(list(map(len, lines)), pa.int64())
+                own["n_dropped"] = pa.array(list(map(len, gone)), pa.int64())
+                yield pa.RecordBatch.from_pydict(own)
+
         for batch in (part for whole in batches for part in slices(whole, "text")):
-            ids = batch.column("doc_id").to_pylist()
-            docs_lines = [(x.as_py() or "").encode().split(b"\n") for x in batch.column("text")]
-            digests, owner, place = [], [], []
-            for d, lines in enumerate(docs_lines):
+            held.append(batch)
+            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
+                data = (text.as_py() or "").encode()
+                lines = data.split(b"\n")
+                place = []
                 for i, x in enumerate(lines):
                     if (k := line_key(x)) is not None:
                         digests.append(digest(k))
-                        owner.append(d)
                         place.append(i)
-            dropped: list[set[int]] = [set() for _ in docs_lines]
-            if digests:
-                h1, h2 = _hashes(digests)
-                doc = np.array([NO_ID if x is None else x for x in ids], np.int64)[owner]
-                number = (h2.view(np.int64) % shards).astype(np.int64)
-                for s in np.unique(number):
-                    shard = mapped_shard(folder, int(s))
-                    own = np.flatnonzero(number == s)
-                    at = shard.find(h1[own], h2[own])
-                    if (at < 0).any():
-                        raise ValueError(f"a line is not in shard {s} of the index")
-                    several = shard.counts[at] > 1
-                    own, at = own[several], at[several]
-                    for j in own[shard.kept_in(at) != doc[own]].tolist():
-                        dropped[owner[j]].add(place[j])
-            texts = [b"\n".join([x for i, x in enumerate(lines) if i not in gone] if gone else lines) for lines, gone in zip(docs_lines, dropped, strict=True)]
-            own_columns = {n: batch.column(n) for n in names}
-            own_columns["text"] = pa.array([x.decode() for x in texts], pa.string())
-            own_columns["n_lines"] = pa.array(list(map(len, docs_lines)), pa.int64())
-            own_columns["n_dropped"] = pa.array(list(map(len, dropped)), pa.int64())
-            yield pa.RecordBatch.from_pydict(own_columns)
+                if place:
+                    doc.append((np.full(len(place), NO_ID if doc_id is None else doc_id, np.int64), np.full(len(place), len(texts)), np.array(place)))
+                texts.append(lines)
+                size += len(data)
+            if len(digests) >= PROBES * shards or size >= GATHERED:
+                yield from close()
+                held, texts, digests, doc, size = [], [], [], [], 0
+        if held:
+            yield from close()
 
     return docs.mapInArrow(run, schema)
