@@ -47,6 +47,29 @@ def over_blocks(df: DataFrame, by: list[str], order: list[str], build: Callable[
     return build(rows, w).where(~F.col(HALO)).drop(BLOCK, HALO)
 
 
+def merged(a: tuple[Column, Column, Column], b: tuple[Column, Column, Column]) -> tuple[Column, Column, Column]:
+    """Count, mean and sum of squared deviations of two parts together; a spread that is only rounding is none."""
+    (n0, mean0, m0), (n1, mean1, m1) = a, b
+    step, n = mean1 - mean0, n0 + n1
+    either = lambda both, x, y: F.when(n0 == 0, y).when(n1 == 0, x).otherwise(both)
+    mean, m2 = either(mean0 + step * n1 / n, mean0, mean1), either(m0 + m1 + step * step * n0 * n1 / n, m0, m1)
+    return n, mean, F.when(m2 > n * F.pow(mean * ROUNDING, F.lit(2)), m2).when(m2.isNotNull(), 0.0)
+
+
+def state_of(v: str) -> list[Column]:
+    """Aggregates ``n``, ``mean``, ``m2`` of a column."""
+    return [F.count(v).alias("n"), F.avg(v).alias("mean"), (F.var_pop(v) * F.count(v)).alias("m2")]
+
+
+def merge_states(states: DataFrame, by: list[str]) -> DataFrame:
+    """Rows ``n``, ``mean``, ``m2`` of parts, added up per key around the mean of all, so nothing large cancels."""
+    every = Window.partitionBy(*by)
+    off = F.col("mean") - F.sum(F.col("n") * F.col("mean")).over(every) / F.sum("n").over(every)
+    parts = states.where("n > 0").withColumn("__off", off)
+    summed = parts.groupBy(*by).agg(F.sum("n").alias("n"), (F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("mean"), F.sum(F.col("m2") + F.col("n") * F.col("__off") * F.col("__off")).alias("m2"))
+    return summed.select(*by, "n", "mean", "m2")
+
+
 def running(rows: DataFrame, by: list[str], states: dict[str, tuple[str, str]], size: int = SIZE, block: str | None = None, at: str = ROW) -> DataFrame:
     """Add states of all rows so far, the row included: ``states`` maps a name to a kind and a column.
 
@@ -70,13 +93,8 @@ def running(rows: DataFrame, by: list[str], states: dict[str, tuple[str, str]],
             count, first, second = F.sum(n).over(earlier), F.sum(n * off).over(earlier), F.sum(n * off * off + F.col(f"{t}_m2")).over(earlier)
             carried |= {f"{p}_n": F.coalesce(count, F.lit(0)), f"{p}_mean": centre + F.try_divide(first, count), f"{p}_m2": F.greatest(second - F.try_divide(first * first, count), F.lit(0.0))}
             own |= {f"{i}_n": F.count(v).over(inside), f"{i}_mean": F.avg(v).over(inside), f"{i}_m2": F.var_pop(v).over(inside) * F.count(v).over(inside)}
-            n0, n1 = F.col(f"{p}_n"), F.col(f"{i}_n")
-            step = F.col(f"{i}_mean") - F.col(f"{p}_mean")
-            either = lambda both, a, b, n0=n0, n1=n1: F.when(n0 == 0, b).when(n1 == 0, a).otherwise(both)
-            mean = either(F.col(f"{p}_mean") + step * n1 / (n0 + n1), F.col(f"{p}_mean"), F.col(f"{i}_mean"))
-            m2 = either(F.col(f"{p}_m2") + F.col(f"{i}_m2") + step * step * n0 * n1 / (n0 + n1), F.col(f"{p}_m2"), F.col(f"{i}_m2"))
-            noise = (n0 + n1) * F.pow(mean * ROUNDING, F.lit(2))
-            found |= {f"{name}_n": n0 + n1, f"{name}_mean": mean, f"{name}_m2": F.when(m2 > noise, m2).when(m2.isNotNull(), 0.0)}
+            n, mean, m2 = merged(*(tuple(F.col(f"{x}_{c}") for c in ("n", "mean", "m2")) for x in (p, i)))
+            found |= {f"{name}_n": n, f"{name}_mean": mean, f"{name}_m2": m2}
         elif kind == "last":
             seen = F.when(F.col(v).isNotNull(), F.struct(at, F.col(v).alias("v")))
             totals.append(F.max(seen).alias(t))

@@ -15,7 +15,7 @@ from driftglass.functions import blocked
 from driftglass.functions import indicators as ind
 from driftglass.operators import analogue, asof, backtest, features, provenance, quality, regime, slicing
 from driftglass.plans import oracles as sql
-from driftglass.session import derived_path, table
+from driftglass.session import derived_path, table, written
 from driftglass.sources import lake, series
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -389,6 +389,18 @@ def state_vector(spark, d):
     return m.select(day(), *_matrix_columns(m), "complete")
 
 
+@query(sql.matrix("SELECT {day}, {rounded}, complete FROM m"))
+def state_vector_update(spark, d):
+    """A matrix of what was known at first, brought up to date: later rows, and two months of levels that came late."""
+    spec, rows = features.default_spec(ALTS), written(all_series(spark, d), "series")
+    late = (F.col("ts") >= F.lit("1997-03-10").cast("timestamp_ntz")) | (F.col("symbol").isin("VIX", "F") & (F.col("ts") >= F.lit("1997-01-07").cast("timestamp_ntz")))
+    known = rows.where(~late)
+    first = written(features.state_vector(known, spec), "first")
+    states = written(features.block_states(first, known, spec), "first-states")
+    m = features.update(first, states, rows, spec, features.changed_since(rows.where(late)))
+    return m.select(day(), *_matrix_columns(m), "complete")
+
+
 @query(sql.matrix("SELECT {day}, {rounded}, complete FROM m WHERE ts <= TIMESTAMP '1997-06-15 12:00:00' ORDER BY ts DESC LIMIT 1"))
 def snapshot(spark, d):
     m = asof.row_on(saved_matrix(spark, d), "1997-06-15 12:00:00")

@@ -31,7 +31,7 @@ def test_upsert_is_idempotent_and_latest_wins(spark, tmp_path):
     assert [r["close"] for r in lake.read_bars(spark, at, "s").collect()] == [1.0, 3.0, 4.0]
     assert lake.read_bars(spark, at, "s", start="2024-01-02", end="2024-01-02").count() == 1
     p = lake.series_provenance(lake.read_bars(spark, at, "s")).first()
-    assert (p["sources"], p["latency"], p["n_rows"]) == (["a", "b"], 3, 3)
+    assert (p["sources"], p["latency"], p["n_rows"]) == (["a", "b"], 2, 3)
     assert lake.stats(spark, at)["files"] >= 2 and [r["n_rows"] for r in lake.manifest(lake.read_bars(spark, at, "t")).collect()] == [1]
 
 
