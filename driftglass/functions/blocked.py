@@ -70,10 +70,14 @@ def merge_states(states: DataFrame, by: list[str]) -> DataFrame:
     return summed.select(*by, "n", "mean", "m2")
 
 
+#: States of one number: how rows of a block give it, and how two of them merge.
+KINDS = {"max": (F.max, F.greatest), "sum": (F.sum, lambda a, b: F.coalesce(a + b, a, b)), "product": (F.product, lambda a, b: F.coalesce(a * b, a, b))}
+
+
 def running(rows: DataFrame, by: list[str], states: dict[str, tuple[str, str]], size: int = SIZE, block: str | None = None, at: str = ROW) -> DataFrame:
     """Add states of all rows so far, the row included: ``states`` maps a name to a kind and a column.
 
-    ``moments`` gives ``<name>_n``, ``<name>_mean`` and ``<name>_m2`` (sum of squared deviations), ``max``, ``product`` and ``last`` (value that
+    ``moments`` gives ``<name>_n``, ``<name>_mean`` and ``<name>_m2`` (sum of squared deviations), ``max``, ``sum``, ``product`` and ``last`` (value that
     isn't missing) give ``<name>``; missing values are left out. ``rows`` come from ``placed``, or have a column ``block`` of their own whose order agrees with ``at``'s.
     """
     if block is None:
@@ -101,8 +105,8 @@ def running(rows: DataFrame, by: list[str], states: dict[str, tuple[str, str]],
             carried[p] = F.max(t).over(earlier)["v"]
             own[i] = F.last(v, ignorenulls=True).over(inside)
             found[name] = F.coalesce(i, p)
-        elif kind in ("max", "product"):
-            f, both = (F.max, lambda a, b: F.greatest(a, b)) if kind == "max" else (F.product, lambda a, b: F.coalesce(a * b, a, b))
+        elif kind in KINDS:
+            f, both = KINDS[kind]
             totals.append(f(v).alias(t))
             carried[p] = f(t).over(earlier)
             own[i] = f(v).over(inside)

@@ -8,10 +8,13 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from driftglass.functions import blocked
 from driftglass.functions import indicators as ind
+from driftglass.session import written
 
 EXCLUSION = 21
 SEPARATION = 21
@@ -21,6 +24,7 @@ MIN_EPISODES = 8
 ITERATIONS = 2000
 SEED = 42
 INTERVAL = (10, 90)
+WALK_BLOCK = 512
 
 
 def numbered(matrix: DataFrame) -> DataFrame:
@@ -92,6 +96,73 @@ def episodes(ranked: DataFrame, separation: int = SEPARATION, by: list[str] | No
     return own.select(*by, F.posexplode("kept").alias("pos", "e")).select(*by, F.col("e.row_idx").alias("row_idx"), F.col("e.distance").alias("distance"), (F.col("pos") + 1).alias("rank"))
 
 
+def causal_covariances(rows: DataFrame, columns: list[str], exclusion: int = EXCLUSION, size: int = WALK_BLOCK) -> DataFrame:
+    """Per ``row_idx`` the size ``n`` of its pool (rows that have all columns, more than ``exclusion`` before it) and ``cov``, the pool's sample covariances row by row of the lower triangle.
+
+    All pools at once: sums of outer products run over blocks of rows, around the mean of everything so that little cancels, and a row takes
+    the sums of the row ``exclusion`` and one before it. Pools of less than two rows have none.
+    """
+    k, ok = len(columns), " and ".join(f"`{c}` is not null" for c in columns)
+    centre = rows.where(ok).agg(*[F.avg(c).alias(c) for c in columns]).first()
+    x = [F.when(F.expr(ok), F.col(c) - F.lit(centre[c] or 0.0)) for c in columns]
+    pairs = [(i, j) for i in range(k) for j in range(i + 1)]
+    terms = {"n": F.when(F.expr(ok), 1.0).otherwise(0.0)} | {f"s{i}": F.coalesce(x[i], F.lit(0.0)) for i in range(k)} | {f"s{i}_{j}": F.coalesce(x[i] * x[j], F.lit(0.0)) for i, j in pairs}
+    own = rows.select(F.col("row_idx").cast("long").alias(blocked.ROW), *[c.alias(f"__{n}") for n, c in terms.items()])
+    sums = blocked.running(own, [], {n: ("sum", f"__{n}") for n in terms}, size)
+    n = F.col("n")
+    cov = F.array(*[(F.col(f"s{i}_{j}") - F.col(f"s{i}") * F.col(f"s{j}") / n) / (n - 1) for i, j in pairs])
+    return sums.where(n >= 2).select((F.col(blocked.ROW) + exclusion + 1).alias("row_idx"), n.cast("long").alias("n"), cov.alias("cov"))
+
+
+def walk_forward(matrix: DataFrame, columns: list[str], top: int = 5, exclusion: int = EXCLUSION, ridge: float = RIDGE, size: int = WALK_BLOCK) -> DataFrame:
+    """For every row that has all columns, its ``top`` nearest earlier rows under the covariance of its own pool: ``query_idx``, ``rank``, ``row_idx``, ``distance``, ``n`` (pool).
+
+    Differences are whitened by the Cholesky factor of the covariance with its ridge, block of queries against block of
+    rows, so a task holds two blocks; each block passes on its nearest, of which the nearest are kept.
+    """
+    rows = written(numbered(matrix.select("ts", *columns)), "walk")
+    ready = rows.where(" and ".join(f"`{c}` is not null" for c in columns)).select(F.col("row_idx").cast("long").alias("row_idx"), F.array(*columns).alias("x"))
+    block = F.expr(f"row_idx div {size}")
+    asked = ready.join(causal_covariances(rows, columns, exclusion, size), "row_idx").withColumn("own", block)
+    queries = asked.select(F.explode(F.sequence(F.lit(0).cast("long"), F.col("own"))).alias("other"), "own", "row_idx", "x", "n", "cov")
+    last = rows.agg(F.max("row_idx")).first()[0] or 0
+    pool = ready.withColumn("other", block).select("other", F.explode(F.sequence(F.col("other"), F.lit(last // size).cast("long"))).alias("own"), "row_idx", "x", F.lit(None).cast("long").alias("n"), F.lit(None).cast("array<double>").alias("cov"))
+    k = len(columns)
+
+    def nearest(table: pa.Table) -> pa.Table:
+        is_query = table.column("cov").is_valid()
+        q, p = table.filter(is_query), table.filter(pa.compute.invert(is_query))
+        found = {"query_idx": [], "row_idx": [], "distance": [], "n": []}
+        if q.num_rows and p.num_rows:
+            flat = lambda t, c: t.column(c).combine_chunks().flatten().to_numpy()
+            qi, pi = q.column("row_idx").to_numpy(), p.column("row_idx").to_numpy()
+            qx, px, low = flat(q, "x").reshape(-1, k), flat(p, "x").reshape(-1, k), flat(q, "cov").reshape(q.num_rows, -1)
+            cov = np.zeros((len(qi), k, k))
+            i, j = np.tril_indices(k)
+            cov[:, i, j] = cov[:, j, i] = low
+            cov += (ridge * np.trace(cov, axis1=1, axis2=2) / k)[:, None, None] * np.eye(k)
+            sizes = q.column("n").to_numpy()
+            for a, (c, at, n) in enumerate(zip(cov, qi, sizes, strict=True)):
+                near = np.flatnonzero(pi < at - exclusion)
+                if not len(near):
+                    continue
+                off = (px[near] - qx[a]).T
+                try:
+                    d = np.sqrt((np.linalg.solve(np.linalg.cholesky(c), off) ** 2).sum(0))
+                except np.linalg.LinAlgError:  # not positive: equal rows, as the single query has it
+                    d = np.sqrt(np.maximum((off * (np.linalg.pinv(c) @ off)).sum(0), 0))
+                best = np.lexsort((pi[near], d))[:top]
+                found["query_idx"] += [at] * len(best)
+                found["row_idx"] += pi[near][best].tolist()
+                found["distance"] += d[best].tolist()
+                found["n"] += [n] * len(best)
+        return pa.table(found, schema=pa.schema([("query_idx", pa.int64()), ("row_idx", pa.int64()), ("distance", pa.float64()), ("n", pa.int64())]))
+
+    near = queries.select(pool.columns).unionByName(pool).groupBy("own", "other").applyInArrow(nearest, "query_idx long, row_idx long, distance double, n long")
+    rank = F.row_number().over(Window.partitionBy("query_idx").orderBy("distance", "row_idx"))
+    return near.withColumn("rank", rank).where(F.col("rank") <= top)
+
+
 def with_forward_returns(bars: DataFrame, horizons: tuple[int, ...] = HORIZONS) -> DataFrame:
     """``ts``, ``close`` and ``fwd_<h>`` by row offset."""
     w = Window.partitionBy("symbol").orderBy("ts")

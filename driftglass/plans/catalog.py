@@ -518,6 +518,13 @@ def episodes(spark, d):
     return anchors_of_two(spark, d).select(day(), F.col("row_idx").cast("long").alias("row_idx"), r6("distance"), F.col("rank").cast("int").alias("rank"))
 
 
+@query(sql.WALK_FORWARD)
+def walk_forward(spark, d):
+    """For every day its five nearest earlier days, each under the covariance of what was known then."""
+    got = analogue.walk_forward(saved_matrix(spark, d), TWO)
+    return got.select("query_idx", F.col("rank").cast("int").alias("rank"), "row_idx", r6("distance"), "n")
+
+
 @query(sql.HORIZON_QUANTILES)
 def horizon_quantiles(spark, d):
     return analogue.horizon_stats(anchors_of_two(spark, d)).select("horizon", "n", r6("p25"), r6("median"), r6("p75"))

@@ -372,6 +372,15 @@ def episodes(select: str) -> str:
     return f"{MATRIX}, {TWO}, {KEPT} " + select.replace("{day}", DAY)
 
 
+_POOL = "OVER (ORDER BY row_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 22 PRECEDING)"
+WALK_FORWARD = (
+    f"{MATRIX}, r0 AS (SELECT row_number() OVER (ORDER BY ts) - 1 AS row_idx, CASE WHEN btc_mom_63d__z IS NOT NULL THEN btc_trend_200d__z END AS a, CASE WHEN btc_trend_200d__z IS NOT NULL THEN btc_mom_63d__z END AS b FROM m), "
+    f"r1 AS (SELECT *, covar_samp(a,a) {_POOL} AS x, covar_samp(a,b) {_POOL} AS y, covar_samp(b,b) {_POOL} AS z, count(a) {_POOL} AS n FROM r0), "
+    "q AS (SELECT row_idx AS qi, a AS qa, b AS qb, n, x + 0.1 * (x + z) / 2 AS x, y, z + 0.1 * (x + z) / 2 AS z FROM r1 WHERE a IS NOT NULL AND n >= 2), "
+    "d AS (SELECT qi, p.row_idx, q.n, sqrt(greatest(((a-qa)*(a-qa)*z - 2*(a-qa)*(b-qb)*y + (b-qb)*(b-qb)*x) / (x*z - y*y), 0)) AS distance FROM q JOIN (SELECT row_idx, a, b FROM r0 WHERE a IS NOT NULL) p ON p.row_idx < qi - 21), "
+    "k AS (SELECT *, row_number() OVER (PARTITION BY qi ORDER BY distance, row_idx) AS rank FROM d QUALIFY rank <= 5) "
+    "SELECT CAST(qi AS BIGINT) AS query_idx, CAST(rank AS INTEGER) AS rank, CAST(row_idx AS BIGINT) AS row_idx, round(distance, 6) AS distance, CAST(n AS BIGINT) AS n FROM k"
+)
 HORIZON_QUANTILES = (
     f"{MATRIX}, {TWO}, {KEPT}, nb AS (SELECT ts, close, row_number() OVER (ORDER BY ts) - 1 AS row_idx FROM cal), fw AS (SELECT row_idx, "
     + ", ".join(f"lead(close, {h}) OVER (ORDER BY ts) / close - 1 AS f{h}" for h in (1, 3, 7, 21))
