@@ -326,6 +326,38 @@ def upsert_latest(spark, d):
     return lake.latest_wins(*two_fetches(spark, d)).select("symbol", day(), r6("close"), "source")
 
 
+def upserted_lake(spark, d) -> str:
+    """A lake to which both fetches are written, the second in three parts; built once per application and set of input files."""
+    path = derived_path(spark, d, ("orders",), "lake")
+    if not lake.has(spark, path):
+        early, later = two_fetches(spark, d)
+        stamp = {"source": F.col("source"), "latency": F.lit("EOD")}
+        lake.write_bars(early.withColumns(stamp), path, rows_per_file=500)
+        for part in (F.col("symbol") < "2", F.col("symbol").between("2", "4"), F.col("symbol") > "4"):
+            lake.write_bars(later.where(part).withColumns(stamp), path, rows_per_file=500)
+        lake.compact(spark, path, rows_per_file=1000)
+    return path
+
+
+@query(sql.UPSERT)
+def lake_upsert(spark, d):
+    """The merged rows as the lake's log gives them, after four writes and a compaction."""
+    return lake.read_all(spark, upserted_lake(spark, d)).select("symbol", day(), r6("close"), "source")
+
+
+@query(sql.with_bars("SELECT symbol, {day}, round(close,6) AS close FROM bars WHERE symbol = '2-HIGH' AND ts BETWEEN TIMESTAMP '1996-03-01' AND TIMESTAMP '1996-05-31'"))
+def lake_snapshot(spark, d):
+    """A slice of one series as of the first version; files outside it are left out by the log."""
+    return lake.read_bars(spark, upserted_lake(spark, d), "2-HIGH", start="1996-03-01", end="1996-05-31", version=1).select("symbol", day(), r6("close"))
+
+
+@query(sql.with_bars("SELECT symbol, CAST(count(*) AS BIGINT) AS n_rows, strftime(min(ts),'%Y-%m-%d') AS start_day, strftime(max(ts),'%Y-%m-%d') AS end_day FROM bars GROUP BY 1"))
+def lake_manifest(spark, d):
+    """Rows, first and last day by the log alone."""
+    text = lambda c: F.date_format(c, "yyyy-MM-dd")
+    return lake.stored_manifest(spark, upserted_lake(spark, d)).select("symbol", "n_rows", text("start").alias("start_day"), text("end").alias("end_day"))
+
+
 @query(sql.with_bars("SELECT symbol, CAST(count(*) AS BIGINT) AS n_rows, strftime(min(ts),'%Y-%m-%d') AS start_day, strftime(max(ts),'%Y-%m-%d') AS end_day FROM bars GROUP BY 1"))
 def manifest(spark, d):
     text = lambda c: F.date_format(c, "yyyy-MM-dd")

@@ -32,13 +32,17 @@ def status(spark: SparkSession, lake: str, breakers: dict | None = None) -> dict
 
 def stored(spark: SparkSession, lake: str, kind: str = "bars") -> DataFrame:
     """All series of a kind."""
-    if kind not in KINDS or not store.exists(spark, f"{lake}/{kind}"):
+    if kind not in KINDS or not store.has(spark, lake, kind):
         raise DataUnavailable(kind)
-    return spark.read.schema(store.STORED).parquet(f"{lake}/{kind}")
+    return store.read_all(spark, lake, kind)
 
 
 def coverage(spark: SparkSession, lake: str, symbols: DataFrame) -> DataFrame:
-    return store.coverage(symbols, store.manifest(stored(spark, lake)))
+    """From the log: no data is read."""
+    if not store.has(spark, lake):
+        raise DataUnavailable("bars")
+    listed = store.stored_manifest(spark, lake).groupBy("symbol").agg(F.sum("n_rows").alias("n_rows"), F.min("start").alias("start"), F.max("end").alias("end"))
+    return store.coverage(symbols, listed)
 
 
 def bars(spark: SparkSession, lake: str, symbol: str, kind: str = "bars", tf: str = "1d", start: str | None = None, end: str | None = None, max_points: int = 1000) -> DataFrame:
@@ -129,7 +133,7 @@ def build_features(spark: SparkSession, lake: str, spec: features.Spec, tf: str
     """Compute, save and reload the state vector."""
     series = None
     for kind in KINDS:
-        if store.exists(spark, f"{lake}/{kind}"):
+        if store.has(spark, lake, kind):
             own = stored(spark, lake, kind).where(F.col("tf") == tf).select(F.lit(kind).alias("kind"), "symbol", "ts", "close", "source", "latency", "fetched_at")
             series = own if series is None else series.unionByName(own)
     if series is None or series.where((F.col("kind") == "bars") & (F.col("symbol") == spec.calendar)).isEmpty():

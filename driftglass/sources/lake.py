@@ -1,8 +1,17 @@
-"""The Parquet lake: <lake>/<kind>/symbol=<S>/tf=<tf>/, upserts where the latest fetch wins, manifest and results from the data itself."""
+"""The Parquet lake: upserts where the latest fetch wins, snapshots by a commit log, manifest from the log, results.
+
+``<lake>/<kind>/data/commit=<id>/symbol=<S>/tf=<tf>/`` holds files that never change; ``<lake>/<kind>/_log/<version>.json`` says which of them
+a version adds and takes away, with rows, first and last time of each. A version appears by a rename that fails if it is there already, so a reader
+sees all of a write or nothing, and of two writers of one version one starts again from what the other left. Every ``COMPACT``-th
+version is also kept whole, so a reader opens one whole version and the changes since. The log is read on the driver: a line per file.
+"""
 
 from __future__ import annotations
 
+import json
 import uuid
+from dataclasses import asdict, dataclass
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -39,47 +48,179 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
-def write_bars(incoming: DataFrame, lake: str, kind: str = "bars", rows_per_file: int = 5_000_000, list_up_to: int = 1000) -> None:
-    """Upsert: only the series that come in are read and rewritten (dynamic partition overwrite), after the merge is on disk beside the lake.
+COMPACT = 10
+
+
+class Conflict(RuntimeError):
+    """Another writer has committed this version."""
+
+
+@dataclass(frozen=True)
+class File:
+    """A line of the log: one data file and what is in it."""
+
+    path: str
+    symbol: str
+    tf: str
+    rows: int
+    first: str
+    last: str
+
+
+def _read_text(spark: SparkSession, path: str) -> str:
+    fs, p = _hadoop(spark, path)
+    stream = fs.open(p)
+    try:
+        return spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def _publish(spark: SparkSession, path: str, text: str) -> None:
+    """Write a file under another name, then give it this one, which must be free."""
+    jvm, sc = spark.sparkContext._jvm, spark.sparkContext
+    fs, draft = _hadoop(spark, f"{path}.{uuid.uuid4().hex}.tmp")
+    stream = fs.create(draft, True)
+    try:
+        stream.write(bytearray(text.encode()))
+    finally:
+        stream.close()
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.makeQualified(draft).toUri(), sc._jsc.hadoopConfiguration())
+    none = sc._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    none[0] = jvm.org.apache.hadoop.fs.Options.Rename.NONE
+    try:
+        context.rename(fs.makeQualified(draft), fs.makeQualified(_hadoop(spark, path)[1]), none)
+    except Exception as e:
+        fs.delete(draft, False)
+        if fs.exists(_hadoop(spark, path)[1]):
+            raise Conflict(path) from e
+        raise
+
+
+def _versions(spark: SparkSession, log: str) -> tuple[list[int], list[int]]:
+    """Numbers of the changes, and of the versions that are kept whole."""
+    fs, p = _hadoop(spark, log)
+    if not fs.exists(p):
+        return [], []
+    names = [f.getPath().getName() for f in fs.listStatus(p)]
+    return sorted(int(n[:-5]) for n in names if n[:-5].isdigit() and n.endswith(".json")), sorted(int(n[:-6]) for n in names if n[:-6].isdigit() and n.endswith(".whole"))
+
+
+def snapshot(spark: SparkSession, lake: str, kind: str = "bars", version: int | None = None) -> tuple[int, list[File]]:
+    """The files of a version (the latest if none is named) and its number; 0 before the first write."""
+    log = f"{lake}/{kind}/_log"
+    changes, whole = _versions(spark, log)
+    latest = max(changes, default=0)
+    at = latest if version is None else version
+    if at > latest or at < 0:
+        raise DataUnavailable(f"version {at} of {kind}")
+    start = max((v for v in whole if v <= at), default=0)
+    live = {f["path"]: File(**f) for f in json.loads(_read_text(spark, f"{log}/{start:020d}.whole"))} if start else {}
+    for v in (v for v in changes if start < v <= at):
+        change = json.loads(_read_text(spark, f"{log}/{v:020d}.json"))
+        for path in change["gone"]:
+            live.pop(path, None)
+        live |= {f["path"]: File(**f) for f in change["come"]}
+    return at, sorted(live.values(), key=lambda f: (f.symbol, f.tf, f.first, f.path))
+
+
+def commit(spark: SparkSession, lake: str, kind: str, base: int, come: list[File], gone: list[File]) -> int:
+    """Make the version after ``base``; Conflict if it is there already. Every COMPACT-th is kept whole as well."""
+    log, version = f"{lake}/{kind}/_log", base + 1
+    fs, p = _hadoop(spark, log)
+    fs.mkdirs(p)
+    _publish(spark, f"{log}/{version:020d}.json", json.dumps({"come": [asdict(f) for f in come], "gone": [f.path for f in gone]}))
+    if version % COMPACT == 0:
+        try:
+            _publish(spark, f"{log}/{version:020d}.whole", json.dumps([asdict(f) for f in snapshot(spark, lake, kind, version)[1]]))
+        except Conflict:
+            pass  # someone else has kept it
+    return version
+
+
+def read_files(spark: SparkSession, lake: str, kind: str, files: list[File]) -> DataFrame:
+    if not files:
+        return spark.createDataFrame([], STORED)
+    top = f"{lake}/{kind}/data"
+    return spark.read.schema(STORED).option("basePath", top).parquet(*[f"{top}/{f.path}" for f in files]).select(STORED.names)
+
+
+def read_all(spark: SparkSession, lake: str, kind: str = "bars", version: int | None = None) -> DataFrame:
+    """All series of a kind as of a version."""
+    return read_files(spark, lake, kind, snapshot(spark, lake, kind, version)[1])
+
 
-    Up to ``list_up_to`` series are named in the partition filter; beyond that the semi-join's dynamic pruning decides.
-    Long series are spread over files by time. The staging folder is this call's own.
+def stage(rows: DataFrame, lake: str, kind: str, rows_per_file: int) -> list[File]:
+    """Write rows to files that no version names yet."""
+    spark, name = rows.sparkSession, f"commit={uuid.uuid4().hex}"
+    top = f"{lake}/{kind}/data"
+    writer = rows.repartitionByRange("symbol", "tf", "ts").sortWithinPartitions("symbol", "tf", "ts").write
+    writer.option("compression", "zstd").option("maxRecordsPerFile", rows_per_file).partitionBy("symbol", "tf").parquet(f"{top}/{name}")
+    text = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS")
+    held = spark.read.schema(STORED).parquet(f"{top}/{name}").groupBy(F.col("_metadata.file_path").alias("path"), "symbol", "tf")
+    found = held.agg(F.count("*").alias("rows"), text(F.min("ts")).alias("first"), text(F.max("ts")).alias("last")).collect()  # a row per new file
+    return [File(f"{name}/{unquote(r['path']).split(f'/{name}/', 1)[1]}", r["symbol"], r["tf"], r["rows"], r["first"], r["last"]) for r in found]
+
+
+def write_bars(incoming: DataFrame, lake: str, kind: str = "bars", rows_per_file: int = 5_000_000, attempts: int = 5) -> int:
+    """Upsert: of the series that come in, the stored files are read and merged, and one commit exchanges them. Returns the version.
+
+    Nothing is seen before the commit and nothing is lost by a fault before it. If another writer commits first, the merge starts again
+    from what is there then. Long series are spread over files by time.
     """
     spark = incoming.sparkSession
-    path, staged = f"{lake}/{kind}", f"{lake}/.staged-{kind}-{uuid.uuid4().hex}"
+    staged = f"{lake}/{kind}/_staged-{uuid.uuid4().hex}"
     fs, p = _hadoop(spark, staged)
     try:
-        incoming.select(STORED.names).write.parquet(f"{staged}/incoming")  # read three times below, computed once
-        arrived = spark.read.schema(STORED).parquet(f"{staged}/incoming")
-        held = arrived.limit(0)
-        if exists(spark, path):
-            touched = arrived.select("symbol", "tf").distinct()
-            some = touched.limit(list_up_to + 1).collect()
-            held = spark.read.schema(STORED).parquet(path)
-            if len(some) <= list_up_to:
-                by_tf: dict[str, list[str]] = {}
-                for r in some:
-                    by_tf.setdefault(r["tf"], []).append(r["symbol"])
-                named = F.lit(False)
-                for tf, symbols in sorted(by_tf.items()):
-                    named = named | ((F.col("tf") == tf) & F.col("symbol").isin(symbols))
-                held = held.where(named)
-            else:
-                held = held.join(touched, ["symbol", "tf"], "left_semi")
-        latest_wins(held.select(STORED.names), arrived).write.parquet(f"{staged}/merged")
-        files = spark.read.schema(STORED).parquet(f"{staged}/merged")
-        writer = files.repartitionByRange("symbol", "tf", "ts").sortWithinPartitions("symbol", "tf", "ts").write
-        writer.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").option("maxRecordsPerFile", rows_per_file).partitionBy("symbol", "tf").parquet(path)
+        incoming.select(STORED.names).write.parquet(staged)  # read several times below, computed once
+        arrived = spark.read.schema(STORED).parquet(staged)
+        touched = {tuple(r) for r in arrived.select("symbol", "tf").distinct().collect()}  # a row per series
+        for _ in range(attempts):
+            base, files = snapshot(spark, lake, kind)
+            if not touched:
+                return base
+            old = [f for f in files if (f.symbol, f.tf) in touched]
+            new = stage(latest_wins(read_files(spark, lake, kind, old), arrived), lake, kind, rows_per_file)
+            try:
+                return commit(spark, lake, kind, base, new, old)
+            except Conflict:
+                fs.delete(_hadoop(spark, f"{lake}/{kind}/data/{new[0].path.split('/', 1)[0]}")[1], True)
+        raise Conflict(f"{kind}: other writers were first {attempts} times")
     finally:
         fs.delete(p, True)
 
 
-def read_bars(spark: SparkSession, lake: str, symbol: str, tf: str = "1d", kind: str = "bars", start: str | None = None, end: str | None = None) -> DataFrame:
-    """One series sorted by time; partition and row-group pruning do the slicing."""
-    path = f"{lake}/{kind}"
-    if not exists(spark, path):
-        return spark.createDataFrame([], STORED)
-    df = spark.read.schema(STORED).parquet(path).where((F.col("symbol") == symbol) & (F.col("tf") == tf))
+def compact(spark: SparkSession, lake: str, kind: str = "bars", rows_per_file: int = 5_000_000) -> int:
+    """Rewrite series that lie in more files than they need; the rows stay the same. Returns the version."""
+    base, files = snapshot(spark, lake, kind)
+    series: dict[tuple[str, str], list[File]] = {}
+    for f in files:
+        series.setdefault((f.symbol, f.tf), []).append(f)
+    old = [f for own in series.values() if len(own) > -(-sum(f.rows for f in own) // rows_per_file) for f in own]
+    if not old:
+        return base
+    return commit(spark, lake, kind, base, stage(read_files(spark, lake, kind, old), lake, kind, rows_per_file), old)
+
+
+def vacuum(spark: SparkSession, lake: str, kind: str = "bars", keep: int = 10) -> int:
+    """Delete commits' folders that none of the last ``keep`` versions names; returns their number. Not while others write."""
+    latest, _ = snapshot(spark, lake, kind)
+    used = {f.path.split("/", 1)[0] for v in range(max(1, latest - keep + 1), latest + 1) for f in snapshot(spark, lake, kind, v)[1]}
+    fs, p = _hadoop(spark, f"{lake}/{kind}/data")
+    gone = [f.getPath() for f in fs.listStatus(p) if f.getPath().getName().startswith("commit=") and f.getPath().getName() not in used] if fs.exists(p) else []
+    for path in gone:
+        fs.delete(path, True)
+    return len(gone)
+
+
+def has(spark: SparkSession, lake: str, kind: str = "bars") -> bool:
+    return snapshot(spark, lake, kind)[0] > 0
+
+
+def read_bars(spark: SparkSession, lake: str, symbol: str, tf: str = "1d", kind: str = "bars", start: str | None = None, end: str | None = None, version: int | None = None) -> DataFrame:
+    """One series sorted by time; the log says which files are read."""
+    files = [f for f in snapshot(spark, lake, kind, version)[1] if (f.symbol, f.tf) == (symbol, tf) and (start is None or f.last >= start) and (end is None or f.first[: len(end)] <= end)]
+    df = read_files(spark, lake, kind, files)
     if start is not None:
         df = df.where(F.col("ts") >= F.lit(start).cast("timestamp_ntz"))
     if end is not None:
@@ -87,6 +228,16 @@ def read_bars(spark: SparkSession, lake: str, symbol: str, tf: str = "1d", kind:
     return df.orderBy("ts")
 
 
+def stored_manifest(spark: SparkSession, lake: str, kind: str = "bars", version: int | None = None) -> DataFrame:
+    """Rows, first and last time per symbol and timeframe from the log alone: no data file is opened."""
+    found: dict[tuple[str, str], list] = {}
+    for f in snapshot(spark, lake, kind, version)[1]:
+        own = found.setdefault((f.symbol, f.tf), [0, f.first, f.last, 0])
+        own[:] = [own[0] + f.rows, min(own[1], f.first), max(own[2], f.last), own[3] + 1]
+    listed = spark.createDataFrame([(*k, *v) for k, v in found.items()], "symbol string, tf string, n_rows long, start string, end string, n_files int")
+    return listed.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("start", "end")})
+
+
 def series_provenance(bars: DataFrame) -> DataFrame:
     """Distinct sources, worst latency and earliest fetch of a series; no rows: UNAVAILABLE."""
     return bars.agg(F.array_sort(F.collect_set("source")).alias("sources"), F.coalesce(F.max(latency_rank(F.col("latency"))), F.lit(UNAVAILABLE)).alias("latency"), F.min("fetched_at").alias("fetched_at"), F.count("*").alias("n_rows"))

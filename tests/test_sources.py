@@ -54,18 +54,20 @@ def test_results_round_trip(spark, tmp_path):
 def test_upsert_reads_only_what_comes_in(spark, tmp_path):
     at = str(tmp_path / "lake")
     lake.write_bars(rows(spark, {0: 1.0}, T0).unionByName(rows(spark, {0: 2.0}, T0, symbol="t")), at)
-    broken = next((tmp_path / "lake" / "bars" / "symbol=t" / "tf=1d").glob("*.parquet"))
+    broken = next((tmp_path / "lake" / "bars" / "data").glob("commit=*/symbol=t/tf=1d/*.parquet"))
     broken.write_bytes(b"not parquet")  # would fail if it were read
     (broken.parent / f".{broken.name}.crc").unlink()
     lake.write_bars(rows(spark, {1: 3.0}, T0), at)
-    assert lake.read_bars(spark, at, "s").count() == 2 and not list((tmp_path / "lake").glob(".staged*"))
+    assert lake.read_bars(spark, at, "s").count() == 2 and not list((tmp_path / "lake" / "bars").glob("_staged*"))
 
 
 def test_upsert_of_many_series(spark, tmp_path):
     at = str(tmp_path / "lake")
     both = rows(spark, {0: 1.0, 1: 2.0}, T0).unionByName(rows(spark, {0: 2.0}, T0, symbol="t"))
-    for limit in (1, 1000):
-        lake.write_bars(both, at, list_up_to=limit, rows_per_file=1)
+    for _ in range(2):
+        lake.write_bars(both, at, rows_per_file=1)
+    lake.write_bars(rows(spark, {0: 4.0}, T0, symbol="odd name/50%=x:y"), at)
+    assert lake.read_bars(spark, at, "odd name/50%=x:y").count() == 1
     assert lake.read_bars(spark, at, "s").count() == 2 and lake.read_bars(spark, at, "t").count() == 1
 
 
