@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import json
 import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
@@ -70,9 +71,20 @@ def ingest(incoming: DataFrame, lake: str, kind: str = "bars", sequence: str = "
     return verdict
 
 
+@dataclass(frozen=True)
+class Provider:
+    """A provider that is asked if those before it gave nothing. ``options`` has its ``url``, maybe ``limit`` and ``time``."""
+
+    name: str
+    symbols: dict[str, str]
+    parse: Callable[[DataFrame], DataFrame]
+    options: dict = field(default_factory=dict)
+    latency: str = "EOD"
+
+
 @dataclass(frozen=True)
 class Backfill:
-    """One kind of series of several symbols from one provider. ``symbols`` maps tickers to the provider's spelling."""
+    """One kind of series of several symbols from one provider, or from ``fallbacks`` where it fails. ``symbols`` maps tickers to the provider's spelling."""
 
     kind: str
     provider: str
@@ -82,6 +94,7 @@ class Backfill:
     years: int = 15
     latency: str = "EOD"
     tf: str = "1d"
+    fallbacks: tuple[Provider, ...] = ()
 
 
 def window(end: dt.datetime, years: int) -> tuple[int, int]:
@@ -90,30 +103,49 @@ def window(end: dt.datetime, years: int) -> tuple[int, int]:
     return tuple(int(t.replace(tzinfo=t.tzinfo or dt.UTC).timestamp() * 1000) for t in (start, end))
 
 
+CHOICE = ("url", "limit", "time")
+
+
 def backfill(spark: SparkSession, lake: str, jobs: list[Backfill], end: dt.datetime) -> DataFrame:
-    """Fetch, check and store all jobs. Per job and symbol: ``job``, ``kind``, ``symbol``, ``status``, ``n_rows``, ``reason``.
+    """Fetch, check and store all jobs. Per job and symbol: ``job``, ``kind``, ``symbol``, ``status``, ``n_rows``, ``reason``, ``provider``, ``note``, ``attempts``.
 
     ``status`` is succeeded, quarantined (a check failed) or failed (the provider's error, or no rows); one symbol's failure leaves the others alone.
-    Pages are stored before they are parsed, so nothing is fetched twice.
+    A series from a fallback has that provider's name and latency, and ``note`` says whom it stands in for; ``attempts`` lists all that were asked, in
+    order. Pages are stored before they are parsed, so nothing is fetched twice.
     """
     spark.dataSource.register(fetch.ProviderPages)
     fetched = dt.datetime.now(dt.UTC).replace(tzinfo=None)
     results = None
     for number, job in enumerate(jobs):
         start_ms, end_ms = window(end, job.years)
-        names = spark.createDataFrame([(v, k) for k, v in job.symbols.items()], "symbol string, ticker string")
+        choices = [Provider(job.provider, job.symbols, job.parse, job.options, job.latency), *job.fallbacks]
+        tickers = list(dict.fromkeys(t for c in choices for t in c.symbols))
+        asked = spark.createDataFrame([(t,) for t in tickers], "symbol string")
         path = f"{lake}/raw/{job.kind}/run={uuid.uuid4().hex}"
-        options = {"start": start_ms, "end": end_ms, **job.options, "symbols": ",".join(dict.fromkeys(job.symbols.values())), "errors": "keep"}
+        listed = json.dumps([{"name": c.name, "symbols": c.symbols} | {k: v for k, v in c.options.items() if k in CHOICE} for c in choices])
+        rest = {k: v for k, v in job.options.items() if k not in CHOICE}
+        options = {"start": start_ms, "end": end_ms, **rest, "providers": listed, "symbols": ",".join(tickers), "errors": "keep"}
         spark.read.format("provider_pages").options(**options).load().write.parquet(path)
-        pages = spark.read.parquet(path).join(names, "symbol").drop("symbol").withColumnRenamed("ticker", "symbol")
-        stamp = {"source": F.lit(job.provider), "latency": F.lit(job.latency), "fetched_at": F.lit(fetched).cast("timestamp_ntz"), "tf": F.lit(job.tf)}
-        rows = job.parse(pages.where("payload is not null").select("symbol", "start", "payload")).withColumns(stamp).withColumn("seq", F.struct("start", "pos"))
-        errors = pages.where("error is not null").groupBy("symbol").agg(F.min("error").alias("error"))
-        whole = rows.join(errors, "symbol", "left_anti")  # a series that broke off isn't written
-        verdict = ingest(whole, lake, job.kind, symbols=names.select(F.col("ticker").alias("symbol")))
-        state = F.when(F.col("error").isNotNull() | (F.col("n_rows") == 0), "failed").when(F.col("passed"), "succeeded").otherwise("quarantined")
-        why = F.coalesce("error", F.when(F.col("n_rows") == 0, "no rows").when(~F.col("passed"), F.concat(F.lit("quarantined: "), "reason")), F.lit(""))
-        own = verdict.join(errors, "symbol", "left").select(F.lit(number).alias("job"), F.lit(job.kind).alias("kind"), "symbol", state.alias("status"), F.col("n_rows").cast("long").alias("n_rows"), why.alias("reason"))
+        pages = spark.read.parquet(path)
+        places = F.array(*[F.lit(c.name) for c in choices])
+        tried = F.struct(F.array_position(places, F.col("provider")).alias("place"), "provider", "ok", F.col("error").alias("reason"))
+        attempts = pages.where("ok is not null").groupBy("symbol").agg(F.array_sort(F.collect_list(tried)).alias("attempts"))
+        served = pages.where("ok").select("symbol", "provider")
+        good = pages.where("payload is not null").join(served, ["symbol", "provider"])
+        rows = None
+        for c in choices:
+            stamp = {"source": F.lit(c.name), "latency": F.lit(c.latency), "fetched_at": F.lit(fetched).cast("timestamp_ntz"), "tf": F.lit(job.tf)}
+            own = c.parse(good.where(F.col("provider") == c.name).select("symbol", "start", "payload")).withColumns(stamp).withColumn("seq", F.struct("start", "pos"))
+            rows = own if rows is None else rows.unionByName(own)
+        verdict = ingest(rows, lake, job.kind, symbols=asked)
+        failed = F.array_join(F.transform(F.filter("attempts", lambda a: ~a["ok"]), lambda a: F.concat(a["provider"], F.lit(": "), a["reason"])), "; ")
+        before = F.array_join(F.transform(F.filter("attempts", lambda a: ~a["ok"]), lambda a: a["provider"]), ", ")
+        by = F.element_at(F.transform(F.filter("attempts", lambda a: a["ok"]), lambda a: a["provider"]), 1)
+        whole = verdict.join(attempts, "symbol", "left").withColumns({"failed": failed, "before": before, "provider": F.when(F.exists("attempts", lambda a: a["ok"]), by)})
+        state = F.when(F.col("provider").isNull() | (F.col("n_rows") == 0), "failed").when(F.col("passed"), "succeeded").otherwise("quarantined")
+        why = F.when(F.col("provider").isNull(), F.col("failed")).when(F.col("n_rows") == 0, "no rows").when(~F.col("passed"), F.concat(F.lit("quarantined: "), "reason")).otherwise("")
+        note = F.when(F.col("provider").isNotNull() & (F.col("before") != ""), F.concat(F.lit("stands in for "), "before")).otherwise("")
+        own = whole.select(F.lit(number).alias("job"), F.lit(job.kind).alias("kind"), "symbol", state.alias("status"), F.col("n_rows").cast("long").alias("n_rows"), why.alias("reason"), "provider", note.alias("note"), "attempts")
         results = own if results is None else results.unionByName(own)
     return results
 

@@ -2,7 +2,7 @@
 
 ``spark.dataSource.register(ProviderPages)`` once, then
 ``spark.read.format("provider_pages").option("url", "https://host/klines?symbol={symbol}&startTime={start}&endTime={end}&limit={limit}")...load()``
-gives ``symbol``, ``start``, ``payload`` and ``error`` rows for the parsers in ``providers``. Options:
+gives ``symbol``, ``start``, ``payload``, ``error``, ``provider`` and ``ok`` rows for the parsers in ``providers``. Options:
 
 * ``symbols`` (comma-separated), ``start``, ``end`` in milliseconds, ``end`` excluded
 * ``limit``: rows of a full page, 1000 by default. A full page is followed from its last row's time plus one.
@@ -10,6 +10,10 @@ gives ``symbol``, ``start``, ``payload`` and ``error`` rows for the parsers in `
 * ``lanes`` (4 by default) and ``interval_s``: a lane's requests are ``lanes`` times the interval apart, so that all
   lanes together keep the interval. A lane works in order with one limiter.
 * ``errors``: ``raise`` (default) fails the job; ``keep`` gives a row with the error and goes on with the next symbol.
+* ``providers`` instead of ``url``: a JSON list of objects with ``name``, ``url``, ``symbols`` (tickers to spellings) and maybe ``limit`` and ``time``,
+  first choice first; ``symbols`` are tickers then. For each ticker a lane asks one after the other until one gives rows. A lane keeps a breaker for each
+  provider: after ``failures`` (3) failures in a row it isn't asked for ``rest_s`` (300) seconds. Every attempt is a row with ``ok`` and, if it failed, ``error``; pages
+  count only where their provider's attempt is ``ok``.
 
 Requests are retried with doubling pauses; errors that a retry can't mend are raised at once.
 """
@@ -24,6 +28,8 @@ from collections.abc import Callable, Iterator
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from driftglass.sources.breaker import Breaker
+
 
 class ProviderError(RuntimeError):
     """A provider answered with an error."""
@@ -114,9 +120,22 @@ class Lane(InputPartition):
         self.symbols = symbols
 
 
+def has_rows(payload: str) -> bool:
+    """Whether a page has something: a list that isn't empty, or anything else than a list."""
+    try:
+        found = json.loads(payload)
+    except ValueError:
+        return False
+    return found != [] and found is not None
+
+
 class _Reader(DataSourceReader):
     def __init__(self, options: dict):
-        self.url = options["url"]
+        self.url = options.get("url")
+        self.choices = json.loads(options["providers"]) if "providers" in options else None
+        if self.url is None and not self.choices:
+            raise ValueError("a url or a list of providers is needed")
+        self.failures, self.rest_s = int(options.get("failures", 3)), float(options.get("rest_s", 300))
         self.symbols = [s for s in options["symbols"].split(",") if s]
         self.start, self.end = int(options["start"]), int(options["end"])
         self.limit, self.time = int(options.get("limit", 1000)), options.get("time", "0")
@@ -137,15 +156,47 @@ class _Reader(DataSourceReader):
 
             return with_retry(once)
 
+        if self.choices:
+            yield from self.with_fallback(lane, get)
+            return
         for symbol in lane.symbols:
             start = self.start
             try:
                 for start, payload in follow(get, self.url, symbol, self.start, self.end, self.limit, self.time):
-                    yield symbol, start, payload, None
+                    yield symbol, start, payload, None, None, None
             except ProviderError as e:
                 if not self.keep:
                     raise
-                yield symbol, start, None, f"{type(e).__name__}: {e}"
+                yield symbol, start, None, f"{type(e).__name__}: {e}", None, None
+
+    def with_fallback(self, lane: Lane, get: Callable[[str], str]) -> Iterator[tuple]:
+        breakers = {c["name"]: Breaker(self.failures, self.rest_s) for c in self.choices}
+        for ticker in lane.symbols:
+            missed = []
+            for choice in self.choices:
+                name, spelled, breaker = choice["name"], choice["symbols"].get(ticker), breakers[choice["name"]]
+                some, why = False, None
+                if spelled is None:
+                    why = "not mapped"
+                elif breaker.state == "OPEN":
+                    why = "circuit open"
+                else:
+                    try:
+                        for start, payload in follow(get, choice["url"], spelled, self.start, self.end, int(choice.get("limit", self.limit)), str(choice.get("time", self.time))):
+                            some = some or has_rows(payload)
+                            yield ticker, start, payload, None, name, None
+                        breaker.ok()
+                        why = None if some else "no data"
+                    except ProviderError as e:
+                        breaker.failed()
+                        why = f"{type(e).__name__}: {e}"
+                yield ticker, self.start, None, why, name, why is None
+                if why is None:
+                    break
+                missed.append(f"{name}: {why}")
+            else:
+                if not self.keep:
+                    raise ProviderError(f"{ticker}: " + "; ".join(missed))
 
 
 class ProviderPages(DataSource):
@@ -156,7 +207,7 @@ class ProviderPages(DataSource):
         return "provider_pages"
 
     def schema(self) -> str:
-        return "symbol string, start long, payload string, error string"
+        return "symbol string, start long, payload string, error string, provider string, ok boolean"
 
     def reader(self, schema) -> DataSourceReader:
         return _Reader(self.options)

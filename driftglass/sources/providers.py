@@ -6,7 +6,6 @@ scan. Fetching itself is left to the caller: ``Chain`` takes functions that retu
 
 from __future__ import annotations
 
-import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -14,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftglass.operators.quality import is_coherent
+from driftglass.sources.breaker import Breaker
 
 
 def _instant(ms):
@@ -78,31 +78,6 @@ def first_available(candidates: DataFrame, keys: list[str]) -> DataFrame:
     return candidates.groupBy(*keys).agg(best.alias("__best")).select("__best.*")
 
 
-@dataclass
-class Breaker:
-    """Opens after ``limit`` failures for ``rest_s`` seconds, then lets one attempt through."""
-
-    limit: int = 3
-    rest_s: float = 300.0
-    clock: Callable[[], float] = time.monotonic
-    failures: int = 0
-    opened: float | None = None
-
-    @property
-    def state(self) -> str:
-        if self.opened is None:
-            return "CLOSED"
-        return "HALF_OPEN" if self.clock() - self.opened >= self.rest_s else "OPEN"
-
-    def ok(self) -> None:
-        self.failures, self.opened = 0, None
-
-    def failed(self) -> None:
-        self.failures += 1
-        if self.failures >= self.limit or self.opened is not None:
-            self.opened = self.clock()
-
-
 @dataclass
 class Chain:
     """Providers by priority. ``get`` returns the first table with rows, its provider's name, and a note on what failed before."""

@@ -68,12 +68,46 @@ def test_backfill_isolates_failures(spark, filled, tmp_path):
     assert {k: (r["status"], r["n_rows"]) for k, r in got.items()} == {
         ("bars", "a"): ("succeeded", 400), ("bars", "none"): ("failed", 0), ("bars", "gone"): ("failed", 0), ("bars", "half"): ("failed", 0), ("funding", "a"): ("succeeded", 50),
     }
-    assert "ProviderError" in got["bars", "half"]["reason"] and got["bars", "none"]["reason"] == "no rows"
+    assert "ProviderError" in got["bars", "half"]["reason"] and got["bars", "none"]["reason"] == "files: no data"
     assert {r["symbol"] for r in lake.manifest(endpoints.stored(spark, lake_at)).collect()} == {"a"}
     counted = {r["kind"]: r for r in endpoints.backfill_counters(endpoints.backfill(spark, lake_at, jobs, end)).collect()}
     assert (counted["bars"]["requested"], counted["bars"]["succeeded"], counted["bars"]["failed"], counted["bars"]["rows_written"]) == (4, 1, 3, 400)
 
 
+def test_backfill_falls_back(spark, filled, tmp_path):
+    """The first provider fails for one symbol, has nothing for another and no name for a third; its breaker opens; attempts and notes say so."""
+    top = filled[0].removesuffix("/lake")
+    (tmp_path / "first" / "EMPTY").mkdir(parents=True)
+    (tmp_path / "first" / "EMPTY" / f"{START}.json").write_text("[]")
+    (tmp_path / "first" / "A").symlink_to(f"{top}/A")
+    end = dt.datetime.fromtimestamp(START / 1000, dt.UTC) + dt.timedelta(days=375)
+    url = lambda at: {"url": f"file://{at}/{{symbol}}/{{start}}.json", "limit": 100}
+    second = endpoints.Provider("second", {t: "A" for t in ("fine", "gone", "empty", "unnamed", "late")}, providers.parse_klines, url(top), "DELAYED")
+    first = {"fine": "A", "empty": "EMPTY", "gone": "X1", "alone": "X2", "late": "X3"}
+    job = endpoints.Backfill("bars", "first", first, providers.parse_klines, url(tmp_path / "first") | {"interval_s": 0, "lanes": 1, "failures": 2}, years=1, fallbacks=(second,))
+    at = str(tmp_path / "lake")
+    got = {r["symbol"]: r for r in endpoints.backfill(spark, at, [job], end).collect()}
+    assert {k: (r["status"], r["provider"], r["n_rows"], r["note"]) for k, r in got.items()} == {
+        "fine": ("succeeded", "first", 400, ""), "empty": ("succeeded", "second", 400, "stands in for first"), "gone": ("succeeded", "second", 400, "stands in for first"),
+        "unnamed": ("succeeded", "second", 400, "stands in for first"), "alone": ("failed", None, 0, ""), "late": ("succeeded", "second", 400, "stands in for first"),
+    }
+    tried = {k: [(a["provider"], a["ok"], (a["reason"] or "").split(":")[0]) for a in r["attempts"]] for k, r in got.items()}
+    assert tried["fine"] == [("first", True, "")] and tried["empty"] == [("first", False, "no data"), ("second", True, "")]
+    assert tried["unnamed"][0][2] == "not mapped" and tried["gone"][0][2] == "ProviderError" and tried["late"][0][2] == "circuit open"
+    assert tried["alone"] == [("first", False, "ProviderError"), ("second", False, "not mapped")] and "second: not mapped" in got["alone"]["reason"]
+    by = {r["symbol"]: (r["sources"], r["latency"]) for r in lake.describe(endpoints.stored(spark, at)).collect()}
+    assert by["fine"] == (["first"], "EOD") and by["gone"] == (["second"], "DELAYED")
+
+
+def test_a_lane_without_any_provider_raises(spark, tmp_path):
+    listed = json.dumps([{"name": "x", "url": f"file://{tmp_path}/{{symbol}}.json", "symbols": {}}])
+    spark.dataSource.register(fetch.ProviderPages)
+    with pytest.raises(Exception, match="not mapped"):
+        spark.read.format("provider_pages").options(providers=listed, symbols="a", start=0, end=1, interval_s=0).load().collect()
+    with pytest.raises(Exception, match="url or a list"):
+        spark.read.format("provider_pages").options(symbols="a", start=0, end=1).load().collect()
+
+
 def test_points_out_of_bounds_are_refused(spark, filled):
     for points in (9, 20001):
         with pytest.raises(ValueError):
