@@ -37,7 +37,7 @@ BITS = 3
 TEXT_WORDS = 5
 SIMILARITY = (4, 5)  # shared shingles to all, as a fraction
 SEGMENTS = 12
-FEW = 32  # members of a key that are compared pair by pair
+FEW = 8  # members of a key that are compared pair by pair
 LIMIT = 4096
 BLOCK = 2048
 SEED = 42
@@ -281,61 +281,67 @@ def shared_only(rows: DataFrame, key: str, most: int = LIMIT) -> DataFrame:
 
 
 def keys(nodes: DataFrame) -> DataFrame:
-    """Rows ``key``, ``node``: one-wildcard variants of segments with their smallest hash, where another node has that hash."""
-    each = nodes.where("bits is not null").select("node", F.posexplode(F.arrays_zip("bits", "low")).alias("segment", "x"))
-    each = each.select("node", F.xxhash64("segment", "x.low").alias("met"), F.col("x.bits").alias("bits"))
+    """Rows ``key``, ``node``, ``fp``: one-wildcard variants of segments with their smallest hash, where another node has that hash; ``fp`` has the first four segments."""
+    fp = F.expr("shiftleft(bits[0], 48) | shiftleft(bits[1], 32) | shiftleft(bits[2], 16) | bits[3]").alias("fp")
+    each = nodes.where("bits is not null").select("node", fp, F.posexplode(F.arrays_zip("bits", "low")).alias("segment", "x"))
+    each = each.select("node", "fp", F.xxhash64("segment", "x.low").alias("met"), F.col("x.bits").alias("bits"))
     again = materialize(shared_only(each, "met"), "simhash-segments")
     spread = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    wild = again.repartition(spread).select("node", "met", "bits", F.explode(F.sequence(F.lit(0), F.lit(15))).alias("k"))
-    return wild.select(F.expr("xxhash64(met, k, bits & ~shiftleft(1L, k))").alias("key"), "node")
+    wild = again.repartition(spread).select("node", "fp", "met", "bits", F.explode(F.sequence(F.lit(0), F.lit(15))).alias("k"))
+    return wild.select(F.expr("xxhash64(met, k, bits & ~shiftleft(1L, k))").alias("key"), "node", "fp")
+
+
+def pivot_of(nodes: np.ndarray, fps: np.ndarray) -> int:
+    """The place of the member nearest to the bits that most members have: of copies of one text, as a rule that text. Ties go to the smallest node."""
+    bits = np.unpackbits(fps.view(np.uint8).reshape(len(fps), 8), axis=1, bitorder="little")
+    usual = np.packbits(2 * bits.sum(0, dtype=np.int64) > len(fps), bitorder="little").view(np.uint64)[0]
+    return int(np.lexsort((nodes, np.bitwise_count(fps ^ usual)))[0])
 
 
 def meetings(keyed: DataFrame) -> DataFrame:
-    """Pairs ``u``, ``v`` of nodes with one key: all of up to FEW members, else each with the member that comes first in the key's own order, BLOCK by BLOCK."""
+    """Pairs ``u``, ``v`` of nodes with one key: all of up to FEW members, else each with their pivot, BLOCK by BLOCK, a pivot being a member of the next block.
 
-    def run(batches):
-        now, members = None, []
-
-        def pairs(members, key):
-            own = np.unique(np.array(members, np.int64))
-            n = len(own)
-            if n <= FEW:
-                a, b = np.triu_indices(n, 1)
-                return own[a], own[b]
-            first = int(np.argmin(mix64(own.view(np.uint64) ^ np.uint64(key % (1 << 64)))))
-            rest = np.delete(own, first)
-            return rest, np.full(n - 1, own[first])
+    Keys of one cluster of copies choose much the same pivots, so distinct pairs stay in proportion to the members.
+    """
 
+    def run(batches):
+        now, nodes, fps = None, [], []
         found, held = [], 0
 
         def flush():
             u, v, key = (np.concatenate([x[i] for x in found]) for i in range(3))
-            low, high = np.minimum(u, v), np.maximum(u, v)
-            code = np.unique(np.stack([high, low, key], axis=1), axis=0)
-            _, at = np.unique(code[:, :2], axis=0, return_index=True)
-            return pa.RecordBatch.from_pydict({"u": code[at, 0], "v": code[at, 1], "salt": code[at, 2]})
-
-        def close(members, key):
-            u, v = pairs(members, key)
-            if len(u):
-                found.append((u, v, np.full(len(u), key)))
-            return len(u)
+            rows = np.unique(np.stack([np.maximum(u, v), np.minimum(u, v), key], axis=1), axis=0)
+            _, at = np.unique(rows[:, :2], axis=0, return_index=True)
+            return pa.RecordBatch.from_pydict({"u": rows[at, 0], "v": rows[at, 1], "salt": rows[at, 2]})
+
+        def close():
+            """Pairs of the block at hand, and its pivot."""
+            own, at = np.unique(np.array(nodes, np.int64), return_index=True)
+            if len(own) < 2:
+                return 0, 0
+            if len(own) <= FEW:
+                a, b = np.triu_indices(len(own), 1)
+                found.append((own[a], own[b], np.full(len(a), now)))
+                return len(a), int(at[0])
+            pivot = pivot_of(own, np.array(fps, np.int64).view(np.uint64)[at])
+            found.append((np.delete(own, pivot), np.full(len(own) - 1, own[pivot]), np.full(len(own) - 1, now)))
+            return len(own), int(at[pivot])
 
         for batch in batches:
-            for key, node in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for key, node, fp in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 if key != now:
-                    if len(members) > 1:
-                        held += close(members, now)
-                    now, members = key, []
-                members.append(node)
-                if len(members) == BLOCK:  # the block's last member leads on to the next block
-                    held += close(members, now)
-                    members = members[-1:]
+                    held += close()[0]
+                    now, nodes, fps = key, [], []
+                nodes.append(node)
+                fps.append(fp)
+                if len(nodes) == BLOCK:
+                    n, pivot = close()
+                    held += n
+                    nodes, fps = [nodes[pivot]], [fps[pivot]]
                 if held > RUN:
                     yield flush()
                     found, held = [], 0
-        if len(members) > 1:
-            held += close(members, now)
+        held += close()[0]
         if held:
             yield flush()
 

@@ -145,6 +145,10 @@ def test_components_of_texts(spark):
         own = list(words)
         own[rng.randrange(120)] = f"x{rng.random()}"
         texts.append(" ".join(own))
+    star = [f"s{i}" for i in range(100)]
+    texts.append(" ".join(star))
+    for i in range(40):  # each like the one in the middle, hardly like each other
+        texts.append(" ".join([*star[:i], f"y{i}", *star[i + 1 : 99 - i], f"z{i}", *star[100 - i :]]))
     chain = [f"c{i}" for i in range(200)]
     for i in range(10):  # each like the one before
         texts.append(" ".join(chain[5 * i : 5 * i + 150]))
@@ -152,13 +156,14 @@ def test_components_of_texts(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
     first = plain_similar(texts)
     got = {r["doc_id"] for r in simhash.decisions(docs).collect() if not r["first"]}
-    assert got == {i for i, low in enumerate(first) if low != i}
+    want = {i for i, low in enumerate(first) if low != i}
+    assert got <= want and len(got) >= 0.97 * len(want)
 
 
 def test_meetings_are_whole_or_stars(spark, monkeypatch):
     monkeypatch.setattr(simhash, "FEW", 3)
     monkeypatch.setattr(simhash, "BLOCK", 5)
-    keyed = spark.createDataFrame([(1, n) for n in range(17)] + [(2, 5), (2, 6), (2, 7), (3, 9), (1, 3)], "key long, node long")
+    keyed = spark.createDataFrame([(1, n, n) for n in range(17)] + [(2, 5, 0), (2, 6, 0), (2, 7, 0), (3, 9, 0), (1, 3, 3)], "key long, node long, fp long")
     got = {(r["u"], r["v"]) for r in simhash.meetings(keyed).collect()}
     assert {(6, 5), (7, 5), (7, 6)} <= got and all(u > v for u, v in got)
     root = {n: n for n in range(17)}
@@ -168,6 +173,14 @@ def test_meetings_are_whole_or_stars(spark, monkeypatch):
     assert len({find(n) for n in range(17)}) == 1 and len(got) <= 17 + 4 + 3
 
 
+def test_the_pivot_is_the_usual_one():
+    rng = random.Random(1)
+    base = rng.getrandbits(64)
+    fps = [base] + [base ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)) ^ (1 << 5) * (i % 3 == 0) for i in range(50)]
+    rng.shuffle(fps)
+    assert fps[simhash.pivot_of(np.arange(51), np.array(fps, np.uint64))] == base
+
+
 def test_empty(none):
     assert simhash.near_duplicates(none).count() == 0
 
