@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
@@ -97,7 +98,8 @@ def decisions(bars: DataFrame, funding: DataFrame | None = None, custom: dict[st
 def python_signal(bars: DataFrame, name: str, decide: Callable) -> DataFrame:
     """Bars with ``long_<name>`` from a Python function of the history up to each bar (a pandas frame, last row: the bar).
 
-    For strategies that no expression states; one series per task. A bar on which the function fails is not long.
+    For strategies that no expression states; one series per task. A bar on which the function fails is not long. As each bar sees all before
+    it, time grows with the square of a series; ``fold_signal`` is linear.
     """
     out = f"long_{name}"
 
@@ -114,6 +116,34 @@ def python_signal(bars: DataFrame, name: str, decide: Callable) -> DataFrame:
     return bars.groupBy("symbol").applyInPandas(each, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in bars.schema) + f", `{out}` boolean")
 
 
+def fold_signal(bars: DataFrame, name: str, init: Callable[[], object], update: Callable[[object, dict], tuple[object, bool]]) -> DataFrame:
+    """Bars with ``long_<name>`` from a strategy that carries a state from bar to bar: ``update(state, bar)`` gives the next state and whether to be long.
+
+    Series stream through tasks in order, Arrow batch by batch, so a series of any length is one pass and holds one batch and its state. On a bar
+    on which ``update`` fails the strategy isn't long, and goes on with the state it had.
+    """
+    out, names = f"long_{name}", bars.columns
+    symbol = names.index("symbol")
+
+    def run(batches):
+        now, state, begun = None, None, False
+        for batch in batches:
+            columns = [c.to_pylist() for c in batch.columns]
+            found = []
+            for values in zip(*columns, strict=True):
+                if not begun or values[symbol] != now:
+                    now, state, begun = values[symbol], init(), True
+                try:
+                    state, yes = update(state, dict(zip(names, values, strict=True)))
+                    found.append(bool(yes))
+                except Exception:  # the strategy's own failure, on this bar alone
+                    found.append(False)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.bool_())], names=[*names, out])
+
+    ordered = bars.repartition("symbol").sortWithinPartitions("symbol", "ts")
+    return ordered.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in bars.schema) + f", `{out}` boolean")
+
+
 def live(warmup: int) -> Column:
     return (F.col("i") >= warmup) & F.col("entry").isNotNull() & F.col("exit").isNotNull()
 

@@ -10,9 +10,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
+from driftglass.functions import blocked
+from driftglass.session import written
+
 ERRORS = ("duplicate_timestamps", "unsorted", "non_finite_close", "non_positive_price", "ohlc_violation", "negative_volume")
 WARNINGS = ("extreme_move", "stale_series")
 SIGMAS = 12.0
+#: What a finding says; the share of stale_series stands before its text.
+MESSAGES = {
+    "empty": "no rows came", "duplicate_timestamps": "a time occurs more than once", "unsorted": "times go back", "non_finite_close": "closing prices that are no numbers",
+    "non_positive_price": "closing prices of zero or less", "ohlc_violation": "high and low leave out open or close", "negative_volume": "volume below zero",
+    "extreme_move": f"moves of more than {SIGMAS:g} sigma", "stale_series": " % of the steps don't move",
+}
 FLAT_SHARE = 0.30
 MAD_SCALE = 1.4826
 LEAST_RETURNS = 30  # moves and staleness are judged on more returns than this
@@ -59,6 +68,42 @@ def with_median(df: DataFrame, value: str, out: str) -> DataFrame:
     return df.withColumn(out, F.avg(F.when(middle, F.col(value))).over(whole)).drop("__k")
 
 
+def medians(df: DataFrame, by: list[str], value: str, size: int = blocked.SIZE) -> DataFrame:
+    """Per key the exact ``median`` of the present values and their number ``n``, for series that no task should hold.
+
+    Equal values become one row with their number before the shuffle, distinct ones are sorted by range, and numbers so far run over
+    blocks, so a key with most of the rows, or a value with most of a key's, is spread or added up.
+    """
+    counted = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("__v")).agg(F.count("*").alias("__k"))
+    so_far = blocked.running(blocked.placed(counted, by, ["__v"]), by, {"__to": ("sum", "__k")}, size)
+    whole = counted.groupBy(*by).agg(F.sum("__k").alias("n"))
+    low, high = F.floor((F.col("n") + 1) / 2), F.floor((F.col("n") + 2) / 2)
+    holds = lambda place: (F.col("__to") >= place) & (F.col("__to") - F.col("__k") < place)
+    middle = so_far.join(whole, by).where(holds(low) | holds(high))
+    at = lambda place: F.max(F.when(holds(place), F.col("__v")))
+    return middle.groupBy(*by, "n").agg(((at(low) + at(high)) / 2).alias("median"))
+
+
+def report_in_blocks(bars: DataFrame, sequence: str, allow_negative: Column | bool = False, size: int = blocked.SIZE) -> DataFrame:
+    """The counts of ``report``, ``n_rows``, ``sigma``, ``flat_share`` and ``passed`` for long series: rows in blocks, medians by range, no task that holds a series."""
+    own = blocked.over_blocks(bars, ["symbol"], [sequence], lambda b, w: flags(b, sequence, allow_negative, w, (blocked.BLOCK, blocked.HALO)), 1, 0, size)
+    f = written(own, "flags")
+    centre = written(medians(f, ["symbol"], "r", size), "centre")
+    off = f.join(centre.select("symbol", F.col("median").alias("centre")), "symbol").withColumn("off", F.abs(F.col("r") - F.col("centre")))
+    mad = medians(off, ["symbol"], "off", size).select("symbol", F.col("median").alias("mad"))
+    spread = f.groupBy("symbol").agg(F.stddev_pop("r").alias("sd"), F.count("r").alias("n_r"))
+    sigma = written(spread.join(mad, "symbol", "left").select("symbol", "n_r", F.when(F.col("mad") > 0, F.col("mad") * MAD_SCALE).otherwise(F.col("sd")).alias("sigma")), "sigma")
+    f = f.join(sigma, "symbol").withColumn("extreme_move", (F.col("n_r") > LEAST_RETURNS) & (F.col("sigma") > 0) & (F.abs("r") > SIGMAS * F.col("sigma")))
+    counts = [F.count(F.when(F.col(c), 1)).alias(c) for c in (*ERRORS, "extreme_move")]
+    flat = F.count(F.when(F.abs("r") < 1e-12, 1)) / F.nullif(F.count(F.when(F.col("has_before"), 1)), F.lit(0))
+    out = f.groupBy("symbol").agg(F.count("*").alias("n_rows"), F.max("sigma").alias("sigma"), F.max("n_r").alias("n_r"), flat.alias("flat_share"), *counts)
+    out = out.withColumn("stale_series", F.when((F.col("n_r") > LEAST_RETURNS) & (F.col("flat_share") > FLAT_SHARE), 1).otherwise(0))
+    passed = F.lit(True)
+    for c in ERRORS:
+        passed = passed & (F.col(c) == 0)
+    return out.withColumn("passed", passed).drop("n_r")
+
+
 def report(bars: DataFrame, sequence: str = "seq", allow_negative: Column | bool = False, symbols: DataFrame | None = None) -> DataFrame:
     """Per symbol: counts of every check, ``n_rows``, ``sigma``, ``flat_share``, ``passed``, ``findings`` with up to three sample times, ``reason``.
 
@@ -89,12 +134,17 @@ def report(bars: DataFrame, sequence: str = "seq", allow_negative: Column | bool
 
     def finding(check: str, count: Column, times: Column) -> Column:
         severity = "WARNING" if check in WARNINGS else "ERROR"
-        return F.when(F.col(check) > 0, F.struct(F.lit(check).alias("check"), F.lit(severity).alias("severity"), count.cast("long").alias("count"), times.alias("samples")))
+        says = F.lit(MESSAGES[check])
+        if check == "stale_series":
+            says = F.concat(F.floor(F.col("flat_share") * 100 + 0.5).cast("string"), says)
+        return F.when(F.col(check) > 0, F.struct(F.lit(check).alias("check"), F.lit(severity).alias("severity"), says.alias("message"), count.cast("long").alias("count"), times.alias("samples")))
 
     found = [finding("empty", F.lit(0), no_times)]
-    found += [finding(c, F.col(c), F.coalesce(F.transform(f"{c}__at", lambda x: x["ts"]), no_times)) for c in checks]
+    for c in checks:  # of a series that isn't sorted it is said that it isn't, not where
+        count, times = (F.lit(0), no_times) if c == "unsorted" else (F.col(c), F.coalesce(F.transform(f"{c}__at", lambda x: x["ts"]), no_times))
+        found.append(finding(c, count, times))
     found.append(finding("stale_series", F.col("still"), no_times))
-    reason = F.concat_ws("; ", F.when(F.col("empty") > 0, F.lit("empty(0)")), *[F.when(F.col(c) > 0, F.concat(F.lit(f"{c}("), F.col(c).cast("string"), F.lit(")"))) for c in ERRORS])
+    reason = F.concat_ws("; ", F.when(F.col("empty") > 0, F.lit("empty(0)")), *[F.when(F.col(c) > 0, F.concat(F.lit(f"{c}("), F.lit("0") if c == "unsorted" else F.col(c).cast("string"), F.lit(")"))) for c in ERRORS])
     kept = [c for c in out.columns if not c.endswith("__at") and c not in ("still", "n_r")]
     return out.withColumns({"passed": passed, "findings": F.array_compact(F.array(*found)), "reason": reason}).select(*kept, "passed", "findings", "reason")
 

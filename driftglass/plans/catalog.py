@@ -307,7 +307,29 @@ def quality_findings(spark, d):
     still = daily(spark, d).where("symbol = '1-URGENT'").withColumns({"symbol": F.lit("STILL"), **{c: F.lit(5.0) for c in quality.PRICES}, "k": F.lit(0), "seq": F.unix_seconds(F.col("ts").cast("timestamp"))})
     got = quality.report(broken_bars(spark, d).unionByName(still), symbols=asked)
     text = F.array_join(F.transform("f.samples", lambda t: F.date_format(t, "yyyy-MM-dd HH:mm:ss")), ",")
-    return got.select("symbol", "passed", F.explode_outer("findings").alias("f")).select("symbol", "passed", "f.check", "f.severity", "f.count", text.alias("samples"))
+    return got.select("symbol", "passed", F.explode_outer("findings").alias("f")).select("symbol", "passed", "f.check", "f.severity", "f.message", "f.count", text.alias("samples"))
+
+
+@query(sql.TICK_QUALITY)
+def tick_quality(spark, d):
+    """All checks over raw events in order of their ids, where prices below zero are faults and one type's times are coarse."""
+    own = ticks(spark, d).withColumn("close", F.when(F.col("event_id") % 997 == 0, -F.col("close")).when(F.col("event_id") % 991 == 0, F.lit(float("nan"))).otherwise(F.col("close")))
+    own = own.withColumns({"ts": F.when(F.col("symbol") == "view", F.date_trunc("day", "ts").cast("timestamp_ntz")).otherwise(F.col("ts")), "open": F.abs("close"), "high": F.abs("close"), "low": F.col("close"), "volume": F.lit(1.0)})
+    got = quality.report_in_blocks(own, "event_id", size=TICK_BLOCK)
+    counts = [F.col(c).cast("long").alias(c) for c in (*quality.ERRORS, *quality.WARNINGS)]
+    return got.select("symbol", "n_rows", *counts, r6("sigma"), r6("flat_share"), "passed")
+
+
+@query(sql.TICK_FOLD)
+def tick_fold(spark, d):
+    """A strategy as a fold over events: long while the price is over an average that forgets a tenth at each step."""
+
+    def update(mean, bar):
+        mean = bar["close"] if mean is None else 0.9 * mean + 0.1 * bar["close"]
+        return mean, bar["close"] > mean
+
+    own = ticks(spark, d).withColumn("ts", F.struct("ts", "event_id"))
+    return backtest.fold_signal(own.select("symbol", "ts", "event_id", "close"), "fold", lambda: None, update).groupBy("symbol").agg(F.count("*").alias("n"), F.count(F.when(F.col("long_fold"), 1)).alias("n_long"))
 
 
 def two_fetches(spark, d) -> tuple[DataFrame, DataFrame]:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from driftglass.operators.features import OTHER_STALE_DAYS, Feature, default_spec
+from driftglass.operators.quality import MESSAGES
 
 ALTS = ("1-URGENT", "2-HIGH", "3-MEDIUM", "5-LOW")
 DAY = "strftime(ts, '%Y-%m-%d') AS day"
@@ -159,7 +160,7 @@ FINITE = "(isfinite(open) AND isfinite(high) AND isfinite(low) AND isfinite(clos
 BAD_RANGE = "(low > least(open, close) OR high < greatest(open, close) OR high < low)"
 COHERENT = f"WITH {BROKEN} SELECT symbol, {DAY}, round(close,6) AS close, volume FROM broken WHERE {FINITE} AND NOT {BAD_RANGE} AND volume >= 0"
 CHECKS = ("duplicate_timestamps", "unsorted", "non_finite_close", "non_positive_price", "ohlc_violation", "negative_volume")
-_REASON = "concat_ws('; ', " + ", ".join(f"CASE WHEN {c} > 0 THEN '{c}(' || {c} || ')' END" for c in CHECKS) + ")"
+_REASON = "concat_ws('; ', " + ", ".join(f"CASE WHEN {c} > 0 THEN '{c}(' || {0 if c == 'unsorted' else c} || ')' END" for c in CHECKS) + ")"
 VERDICT = (
     f"{BROKEN}, f0 AS (SELECT *, lag(ts) OVER w AS before, CASE WHEN isfinite(close) THEN close END AS c0 FROM broken WINDOW w AS (PARTITION BY symbol ORDER BY seq)), "
     "f1 AS (SELECT *, c0 / nullif(lag(c0) OVER w, 0) AS ratio FROM f0 WINDOW w AS (PARTITION BY symbol ORDER BY seq)), "
@@ -181,21 +182,38 @@ INGEST_COUNTERS = (
     "SELECT CAST(count(*) AS BIGINT) AS requested, CAST(count(*) FILTER (passed) AS BIGINT) AS succeeded, CAST(count(*) FILTER (n_rows IS NULL) AS BIGINT) AS failed, "
     "CAST(count(*) FILTER (NOT passed) AS BIGINT) AS quarantined, CAST(coalesce(sum(n_rows) FILTER (passed), 0) AS BIGINT) AS rows_written FROM j"
 )
+#: The verdict over events in order of their ids, with planted faults.
+_TICK_BARS = (
+    "e0 AS (SELECT event_type AS symbol, event_id AS seq, CASE WHEN event_type = 'view' THEN date_trunc('day', ts) ELSE ts END AS ts, "
+    "CASE WHEN event_id % 997 = 0 THEN -value WHEN event_id % 991 = 0 THEN CAST('nan' AS DOUBLE) ELSE value END AS close FROM events), "
+    "broken AS (SELECT *, abs(close) AS open, abs(close) AS high, close AS low, 1.0 AS volume FROM e0)"
+)
+TICK_QUALITY = (
+    f"WITH {_TICK_BARS}{VERDICT[len(BROKEN):]} SELECT symbol, n_rows, {', '.join(CHECKS)}, extreme_move, stale_series, round(sigma,6) AS sigma, round(flat_share,6) AS flat_share, passed FROM verdict"
+)
+#: The forgetting average as a list folded step by step.
+TICK_FOLD = (
+    "WITH RECURSIVE t AS (SELECT event_type AS symbol, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS i, value AS v FROM events), "
+    "f(symbol, i, m, up) AS (SELECT symbol, i, v, v > v FROM t WHERE i = 1 UNION ALL SELECT t.symbol, t.i, 0.9::DOUBLE * f.m + 0.1::DOUBLE * t.v, t.v > 0.9::DOUBLE * f.m + 0.1::DOUBLE * t.v FROM f JOIN t ON t.symbol = f.symbol AND t.i = f.i + 1) "
+    "SELECT symbol, CAST(count(*) AS BIGINT) AS n, CAST(count(*) FILTER (up) AS BIGINT) AS n_long FROM f GROUP BY 1"
+)
 _STILL = "SELECT 'STILL' AS symbol, ts, 5.0 AS open, 5.0 AS high, 5.0 AS low, 5.0 AS close, volume, 0 AS k, epoch(ts) AS seq FROM bars WHERE symbol = '1-URGENT'"
 _FLAGS = {
     "duplicate_timestamps": "ts = before", "unsorted": "ts < before", "non_finite_close": "NOT isfinite(close)", "non_positive_price": "isfinite(close) AND close <= 0",
     "ohlc_violation": f"{FINITE} AND {BAD_RANGE}", "negative_volume": "volume < 0", "extreme_move": "n_r > 30 AND sigma > 0 AND abs(r) > 12 * sigma",
 }
 _FLAGGED = " UNION ALL ".join(f"SELECT symbol, seq, ts, '{c}' AS \"check\" FROM f3 WHERE {e}" for c, e in _FLAGS.items())
+_SAYS = " ".join(f"WHEN \"check\" = '{c}' THEN '{m}'" for c, m in MESSAGES.items() if c not in ("empty", "stale_series")) + " WHEN \"check\" = 'stale_series' THEN share || ' % of the steps don''t move'"
 QUALITY_FINDINGS = (
     "WITH " + VERDICT.replace("f0 AS (SELECT *, lag(ts) OVER w AS before, CASE WHEN isfinite(close) THEN close END AS c0 FROM broken", f"all_bars AS (SELECT * FROM broken UNION ALL {_STILL}), "
     "f0 AS (SELECT *, lag(ts) OVER w AS before, CASE WHEN isfinite(close) THEN close END AS c0 FROM all_bars")
     + f", flagged AS ({_FLAGGED}), numbered AS (SELECT *, row_number() OVER (PARTITION BY symbol, \"check\" ORDER BY seq) AS k FROM flagged), "
-    "found AS (SELECT symbol, \"check\", CASE WHEN \"check\" = 'extreme_move' THEN 'WARNING' ELSE 'ERROR' END AS severity, CAST(count(*) AS BIGINT) AS \"count\", "
-    "string_agg(strftime(ts, '%Y-%m-%d %H:%M:%S'), ',' ORDER BY seq) FILTER (k <= 3) AS samples FROM numbered GROUP BY 1, 2 "
-    "UNION ALL SELECT symbol, 'stale_series', 'WARNING', still, '' FROM verdict WHERE stale_series = 1), "
+    "found AS (SELECT symbol, \"check\", CASE WHEN \"check\" = 'extreme_move' THEN 'WARNING' ELSE 'ERROR' END AS severity, CAST(CASE WHEN \"check\" = 'unsorted' THEN 0 ELSE count(*) END AS BIGINT) AS \"count\", "
+    "CASE WHEN \"check\" = 'unsorted' THEN '' ELSE string_agg(strftime(ts, '%Y-%m-%d %H:%M:%S'), ',' ORDER BY seq) FILTER (k <= 3) END AS samples, NULL AS share FROM numbered GROUP BY 1, 2 "
+    "UNION ALL SELECT symbol, 'stale_series', 'WARNING', still, '', CAST(floor(flat_share * 100 + 0.5) AS BIGINT) FROM verdict WHERE stale_series = 1), "
     "asked AS (SELECT DISTINCT o_orderpriority AS symbol FROM orders UNION SELECT r_name FROM region), every AS (SELECT symbol, coalesce(passed, FALSE) AS passed, n_rows FROM asked FULL JOIN verdict USING (symbol)) "
     "SELECT symbol, passed, CASE WHEN n_rows IS NULL THEN 'empty' ELSE \"check\" END AS \"check\", CASE WHEN n_rows IS NULL THEN 'ERROR' ELSE severity END AS severity, "
+    f"CASE WHEN n_rows IS NULL THEN 'no rows came' {_SAYS} END AS message, "
     "CASE WHEN n_rows IS NULL THEN 0 ELSE \"count\" END AS \"count\", CASE WHEN n_rows IS NULL THEN '' ELSE samples END AS samples FROM every LEFT JOIN found USING (symbol)"
 )
 UPSERT = with_bars(
