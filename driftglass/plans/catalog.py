@@ -15,8 +15,9 @@ from driftglass.functions import blocked
 from driftglass.functions import indicators as ind
 from driftglass.operators import analogue, asof, backtest, features, provenance, quality, regime, slicing
 from driftglass.plans import oracles as sql
-from driftglass.session import derived_path, table, written
+from driftglass.session import derived_path, fresh_path, table, written
 from driftglass.sources import lake, series
+from driftglass.streaming import asof as streamed
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -226,6 +227,24 @@ def asof_staleness(spark, d):
     return both.select("symbol", day(), r6("within_2d"), r6("within_5d"))
 
 
+@query(f"SELECT symbol, day, within_5d FROM ({sql.ASOF_STALENESS})")
+def asof_stream(spark, d):
+    """The as-of join replayed as a stream in three batches; what one symbol did in a summer comes a batch late."""
+    source = daily(spark, d).select("symbol", "ts", F.col("close").alias("value"), F.lit(False).alias("is_target"))
+    days = calendar(spark, d).select(F.explode(F.array(*[F.lit(s) for s in PRIORITIES])).alias("symbol"), "ts", F.lit(None).cast("double").alias("value"), F.lit(True).alias("is_target"))
+    both = written(source.unionByName(days).withColumn("ts", F.col("ts").cast("timestamp")), "ticks")
+    late = ~F.col("is_target") & (F.col("symbol") == "2-HIGH") & F.col("ts").between("1994-06-01", "1994-09-15")
+    part = F.when(F.col("ts") < "1994-10-01", 0).when(F.col("ts") < "1996-01-01", 1).otherwise(2) + F.when(late, 1).otherwise(0)
+    path = fresh_path(spark, "stream")
+    for n in range(3):
+        both.where(part == n).coalesce(1).write.mode("append").parquet(f"{path}/in")  # a file, and so a batch
+    ticks_in = spark.readStream.schema(both.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+    out = streamed.asof_stream(ticks_in.where("is_target"), ticks_in.where("not is_target"), 5, "600 days")
+    streamed.run_available(out, f"{path}/out", f"{path}/checkpoint")
+    got = streamed.latest(spark.read.parquet(f"{path}/out"))
+    return got.select("symbol", day(), r6("value", "within_5d"))
+
+
 @query(sql.with_bars("SELECT symbol, {day}, round(close,6) AS close FROM (SELECT * FROM bars WHERE symbol = '1-URGENT' AND ts <= TIMESTAMP '1997-06-15 12:00:00' ORDER BY ts DESC LIMIT 1)"))
 def asof_lookup(spark, d):
     return asof.row_on(daily(spark, d).where("symbol = '1-URGENT'"), "1997-06-15 12:00:00").select("symbol", day(), r6("close"))

@@ -70,9 +70,15 @@ def shared_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+def fresh_path(spark: SparkSession, what: str) -> str:
+    """A path in the shared folder that nothing has yet; it goes when the driver ends."""
+    path = f"{shared_root(spark)}/{what}-{uuid.uuid4().hex}"
+    _delete_on_exit(spark, path)
+    return path
+
+
 def written(df: DataFrame, what: str) -> DataFrame:
     """``df`` computed once, written as Parquet to the shared folder and read back: lineage ends here. It goes when the driver ends."""
-    path = f"{shared_root(df.sparkSession)}/{what}-{uuid.uuid4().hex}"
-    _delete_on_exit(df.sparkSession, path)
+    path = fresh_path(df.sparkSession, what)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
