@@ -13,7 +13,8 @@ positions from which no path leads on, so each position is left at most once. De
 
 Defined cases: null texts count as empty and encode to no ids; special tokens in a text become their ids; very long
 texts are encoded piece by piece, very long words in linear time, as a step looks no further than the longest label; there
-is one correct path for each word, so ties don't arise; repeated rows each get their row. Pieces (text between single blanks) of up
+is one correct path for each word, so ties don't arise; repeated rows each get their row; an empty table gives none. A vocabulary of over
+``MOST_IDS`` ids is refused, as pairs of ids share one number. Pieces (text between single blanks) of up
 to ``LONG`` characters are kept in two tables per worker that rotate when one has ``KEEP`` entries, so memory stays
 bounded. Columns other than doc_id and text are not read.
 """
@@ -35,6 +36,7 @@ from driftglass.llm.common import slices
 from driftglass.llm.tokens import DEFAULT, load_json, to_bytes
 
 KEEP = 250_000
+MOST_IDS = 1 << 20
 LONG = 64  # characters of a piece that is kept
 BLANK = re.compile(r"(?<=\S) (?=\S)")
 ODD_BLANK = re.compile(r"(?<!\S) | (?!\S)")
@@ -51,6 +53,8 @@ def compile_automaton(content: str) -> dict:
             labels[i] = to_bytes(token)
     for token, i in special.items():
         labels[i] = token.encode()
+    if len(labels) > MOST_IDS:
+        raise ValueError(f"a vocabulary of {len(labels)} ids; {MOST_IDS} are the most")
     merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in spec["model"]["merges"]]
     size = len(labels)
     state_of = [0] * size  # where arcs with this label lead; state 0 is the start

@@ -9,11 +9,11 @@ bound), chosen by a hash of doc_id over all labelled rows, so it covers the whol
 
 A text is rejected if the second smallest size is not over the smallest by more than ``min_margin`` of it: texts in no
 learned language, letter noise, even mixtures, and a word or two repeated all along, which refer to themselves. With
-one learned language the second is the size without a dictionary, which may also win: then the text gets ``und``.
+one learned language the second is the size without a dictionary; where that wins, the text gets the one language, score 0, and is rejected.
 
-Defined cases: null texts and texts without a letter get ``und`` and score 0; languages that tie are told apart in small
+Defined cases: null texts and texts without a letter get ``und`` and score 0, all others a learned language; languages that tie are told apart in small
 windows, then by the number of their training rows, and the text counts as rejected; with no labelled row every text gets
-``und``; very long texts are compressed window by window; repeated rows get equal results and each counts in fitting. A null doc_id is
+``und``; an empty table gives no rows; very long texts are compressed window by window; repeated rows get equal results and each counts in fitting. A null doc_id is
 never learned from and is not held out. Extra columns are kept; ``lang_pred``, ``score`` and ``rejected`` in the input are replaced.
 """
 
@@ -115,8 +115,8 @@ class Classifier:
             sizes = [s if sizes[i] == least else 1 << 62 for i, s in enumerate(self.sizes(data, FINE))]
         order = sorted(range(len(sizes)), key=lambda i: (sizes[i], i))
         name, best = self.names[order[0]], sizes[order[0]]
-        if name == UND:
-            return UND, 0.0, True
+        if name == UND:  # one language, and the text is smaller without it
+            return next(n for n in self.names if n != UND), 0.0, True
         margin = sizes[order[1]] - best
         score = share * (1.0 - 0.5 ** (margin / (1.0 + 0.01 * best)))
         return name, min(1.0, max(0.0, score)), narrow

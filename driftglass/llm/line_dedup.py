@@ -12,7 +12,7 @@ what is dropped depends only on whether a count is over one.
 
 Defined cases: null and empty texts are one empty line, kept as an empty text; white space alone is too short a key;
 a line that only repeats within one document stays; very long texts are held one at a time beside a slice of others; rows that share a doc_id count as one document; rows with a null
-doc_id count as one further document, larger than all others. Columns other than the text are kept; ``n_lines`` and ``n_dropped``
+doc_id count as one further document, larger than all others; an empty table gives no rows; a line that several documents hold stays in the smallest id, in all of its rows. Columns other than the text are kept; ``n_lines`` and ``n_dropped``
 in the input are replaced.
 """
 

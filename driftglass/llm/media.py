@@ -6,7 +6,7 @@ column back with the wave module and describes it by pairs of spectral peaks, ea
 
 Defined cases: a null text counts as empty; an empty text is stored as one block of filler; equal texts give equal
 values; silence (all samples equal) has no peaks and so an empty array; a null media value gives nulls. Columns that
-the operator adds replace columns of the same name in the input; repeated rows each get their row; of equally loud bins the
+the operator adds replace columns of the same name in the input; repeated rows each get their row; an empty table gives none; of equally loud bins the
 lowest is the peak. Very long texts are analysed in runs of ``RUN`` frames and rows go in slices, so memory beyond the longest text is bounded.
 """
 

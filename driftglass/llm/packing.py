@@ -14,7 +14,7 @@ Every document becomes whole windows plus one remainder shorter than a window. R
    that no padding remains.
 
 Defined cases: null and empty texts consist of the end id alone; a null doc_id is carried as null; repeated rows are
-packed each on its own; an empty table gives no rows; other columns are not read. Sequence ids are unique: the
+packed each on its own; very long texts are encoded one at a time and fill whole windows, of remainders of equal length any may come first; an empty table gives no rows; other columns are not read. Sequence ids are unique: the
 partition's number in the upper bits, a counter in the lower 33.
 """
 

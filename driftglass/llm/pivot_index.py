@@ -14,7 +14,7 @@ blocks, and each pair of blocks is a group of its own, so no task holds a whole
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components link with nothing and keep
 themselves; vectors of different length never link; equal vectors link; rows that share an id count as one vector, the
 one that sorts first among those that can link, and each gets its result; ties in nearness go to the pivot of the lower number; a vector's length is
-bounded by what an executor holds ``BLOCK`` of; a null id is left out of the links and has null as its component. Other columns are not read.
+bounded by what an executor holds ``BLOCK`` of; an empty table gives no rows; a null id is left out of the links and has null as its component. Other columns are not read.
 """
 
 from __future__ import annotations

@@ -18,7 +18,7 @@ pair of blocks becomes a group of its own, so the check stays exact and spreads
 
 Defined cases: null texts and texts without a word have fingerprint zero and link like any other; exact copies share
 one fingerprint and enter the search once; very long texts are hashed ``RUN`` shingles at a time; a bit set in just half of the
-hashes is not set; repeated rows each get their row; documents with a null id get the smallest
+hashes is not set; repeated rows each get their row; an empty table gives none; documents with a null id get the smallest
 id of their component, null if it has none; other columns are not read.
 """
 

@@ -25,11 +25,10 @@ import re
 import uuid
 
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from driftglass.llm.common import put_file
-
 DATE = "1970-01-01T00:00:00Z"
 SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # the standard's name space for URLs
 HIDDEN = frozenset({"script", "style", "template", "noscript"})  # no visible text
@@ -294,14 +293,39 @@ def derive(records: DataFrame) -> DataFrame:
     return records.select("page_id", "record").mapInArrow(run, ddl)
 
 
-def write_records(records: DataFrame, folder: str) -> DataFrame:
-    """Store ``record`` of every row, one .warc.gz file per partition of the input, in a folder that all executors reach; returns file names and counts."""
+FILE_BYTES = 1 << 30
+
+
+def write_records(records: DataFrame, folder: str, file_bytes: int = FILE_BYTES) -> DataFrame:
+    """Store ``record`` of every row in .warc.gz files, in a folder that all executors reach; returns file names and counts.
+
+    A partition streams into one file after another of about ``file_bytes``, a record at a time. A file appears under its name when it is whole, and a
+    repeated attempt replaces it.
+    """
 
     def run(batches):
-        parts = [gzip.compress(x.as_py(), 6, mtime=0) for b in batches for x in b.column(0)]
-        if parts:
-            name = f"part-{TaskContext.get().partitionId():06d}.warc.gz"
-            put_file(f"{folder}/{name}", b"".join(parts))
-            yield pa.RecordBatch.from_pydict({"file": [name], "records": [len(parts)]})
+        fs, top = pafs.FileSystem.from_uri(folder)
+        fs.create_dir(top, recursive=True)
+        place, number, out, attempt, held, n = TaskContext.get().partitionId(), 0, None, "", 0, 0
+
+        def finish():
+            out.close()
+            name = f"part-{place:06d}-{number:05d}.warc.gz"
+            fs.move(attempt, f"{top}/{name}")
+            return pa.RecordBatch.from_pydict({"file": [name], "records": [n]})
+
+        for batch in batches:
+            for x in batch.column(0):
+                if out is None:
+                    attempt = f"{top}/.{place}-{uuid.uuid4().hex}.tmp"
+                    out, held, n = fs.open_output_stream(attempt), 0, 0
+                part = gzip.compress(x.as_py(), 6, mtime=0)
+                out.write(part)
+                held, n = held + len(part), n + 1
+                if held >= file_bytes:
+                    yield finish()
+                    out, number = None, number + 1
+        if out is not None:
+            yield finish()
 
     return records.select("record").mapInArrow(run, "file string, records long")

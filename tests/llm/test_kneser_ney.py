@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from driftglass.llm import kneser_ney
 
@@ -100,6 +101,10 @@ def test_counts_over_one_byte(spark):
     check(docs, 3)
 
 
+def test_clashing_columns(odd):
+    check(odd.withColumn("score", F.lit("x")).withColumn("held_out", F.lit(1)).withColumn("shard", F.lit(2)))
+
+
 def test_empty(none):
     assert kneser_ney.language_model_scores(none).count() == 0
 

@@ -323,5 +323,19 @@ def test_write_records(pages, tmp_path):
     assert gzip.decompress((tmp_path / files[0]["file"]).read_bytes()) == b"".join(r["record"] for r in records.collect())
 
 
+def test_write_records_file_by_file(pages, tmp_path):
+    records = warc.derive(warc.responses(pages)).coalesce(1)
+    files = sorted(warc.write_records(records, f"file://{tmp_path}", file_bytes=600).collect())
+    assert len(files) > 2 and sum(f["records"] for f in files) == 2 * len(PAGES) and {p.name for p in tmp_path.iterdir() if not p.name.endswith(".crc")} == {f["file"] for f in files}
+    assert b"".join(gzip.decompress((tmp_path / f["file"]).read_bytes()) for f in files) == b"".join(r["record"] for r in records.collect())
+
+
+def test_one_learned_language(spark):
+    """Texts with letters get it even where they are smaller without its dictionary; then they are rejected."""
+    model = langid.Classifier({"en": b" the of and to in that with for was " * 30})
+    found = {t: model.predict(t) for t in ("the and of that with", "xqzj vvkw pplm zzrt", "12 34", "")}
+    assert [p[0] for p in found.values()] == ["en", "en", "und", "und"] and found["xqzj vvkw pplm zzrt"][2]
+
+
 def test_empty_pages(spark):
     assert warc.derive(warc.responses(spark.createDataFrame([], "page_id long, url string, html string"))).count() == 0

@@ -178,10 +178,27 @@ def test_empty_tables(none):
     assert token_counts.length_quantiles(sums, [0.5]).first()["n_tokens"] is None
 
 
+def test_very_long_texts(spark, library):
+    long = "Some words and more, 123. " * 40_000
+    docs = spark.createDataFrame([(1, long), (2, "a"), (3, long + "é"), (4, "x" * 3000)], "doc_id long, text string")
+    check_packing(docs, library)
+    got = {r["n_tokens"]: r["n_docs"] for r in token_counts.length_histogram(docs).collect()}
+    want = [len(ids_of(library, t)) for t in (long, "a", long + "é", "x" * 3000)]
+    assert got == {n: want.count(n) for n in want}
+
+
+def test_large_vocabularies_are_refused(monkeypatch):
+    monkeypatch.setattr(bpe_automaton, "MOST_IDS", 1000)
+    with pytest.raises(ValueError, match="50257 ids"):
+        bpe_automaton.compile_automaton(tokens.load_json())
+
+
 def test_clashing_columns(odd, library):
+    plain, more = (sorted(map(tuple, token_counts.length_histogram(d).collect())) for d in (odd, odd.withColumn("n_tokens", F.lit("x")).withColumn("n_docs", F.lit(1))))
+    assert plain == more
     check_packing(odd.coalesce(1).withColumn("start", F.lit("x")).withColumn("ids", F.lit(1)), library)
     assert bpe_automaton.encode_decode(odd.withColumn("ids", F.lit(1))).columns == ["doc_id", "n_tokens", "ids", "decoded"]
 
 
 def test_registered():
-    assert {q.split("_")[0] for q in queries.QUERIES} == {f"op{i}" for i in range(1, 11)}
+    assert {q.split("_")[0] for q in queries.QUERIES} == {f"op{i}" for i in range(1, 14)}
