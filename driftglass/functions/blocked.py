@@ -26,6 +26,8 @@ ROUNDING = 1e-14
 
 def placed(df: DataFrame, by: list[str], order: list[str]) -> DataFrame:
     """``df`` with ROW, the position in its series from 0. Nothing but one row per series and partition meets in a window."""
+    if not by:  # one series: a key that is the same for all rows
+        return placed(df.withColumn("__one", F.lit(0)), ["__one"], order).drop("__one")
     own = df.repartitionByRange(*by, *order).sortWithinPartitions(*by, *order).withColumn("__id", F.monotonically_increasing_id())
     rows = written(own.withColumns({"__place": F.shiftright("__id", 33), "__at": F.col("__id").bitwiseAND(F.lit((1 << 33) - 1))}).drop("__id"), "placed")
     parts = rows.groupBy(*by, "__place").agg(F.min("__at").alias("__first"), F.count("*").alias("__n"))

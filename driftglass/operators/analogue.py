@@ -96,6 +96,53 @@ def episodes(ranked: DataFrame, separation: int = SEPARATION, by: list[str] | No
     return own.select(*by, F.posexplode("kept").alias("pos", "e")).select(*by, F.col("e.row_idx").alias("row_idx"), F.col("e.distance").alias("distance"), (F.col("pos") + 1).alias("rank"))
 
 
+def episodes_in_blocks(ranked: DataFrame, separation: int = SEPARATION, block: int = 1 << 12, most: int = 1 << 20) -> DataFrame:
+    """As ``episodes`` of one query, for pools that no task should hold: ``row_idx``, ``distance``, ``rank``.
+
+    A row is kept once it is known that nothing nearer within ``separation`` rows is kept, and goes once something is. Blocks of rows, each with what
+    lies within the separation of it, decide what they can, nearest first; a row that hangs on an undecided one outside waits. Rounds
+    go on over what waits, with blocks twice as long up to ``most``, so chains over many blocks (distances that rise with time) end too.
+    """
+    kinds = pa.schema([("row_idx", pa.int64()), ("distance", pa.float64()), ("kept", pa.bool_())])
+    ddl = "row_idx long, distance double, kept boolean"
+    rows = ranked.where("distance is not null").select(F.col("row_idx").cast("long").alias("row_idx"), "distance", F.lit(False).alias("kept"))
+
+    def decide(size: int):
+        def run(table: pa.Table) -> pa.Table:
+            table = table.sort_by([("distance", "ascending"), ("row_idx", "ascending")])
+            at, number = table.column("row_idx").to_numpy(), table.column("block")[0].as_py()
+            low = number * size
+            own, was_kept = at // size == number, table.column("kept").to_numpy(zero_copy_only=False)
+            place = at - low + 2 * separation  # room on both sides
+            kept, waits = np.zeros((2, size + 4 * separation + 1), bool)
+            kept[place[was_kept]] = True
+            state = np.zeros(len(at), np.int8)  # 0 goes, 1 waits, 2 kept
+            state[was_kept] = 2
+            for i in np.flatnonzero(~was_kept).tolist():
+                p = int(place[i])
+                near = slice(p - separation, p + separation + 1)
+                if kept[near].any():
+                    continue
+                if own[i] and not waits[near].any():
+                    kept[p], state[i] = True, 2
+                else:
+                    waits[p], state[i] = True, 1
+            found = np.flatnonzero(own & (state > 0))
+            return pa.table([pa.array(at[found]), table.column("distance").take(pa.array(found)), pa.array(state[found] == 2)], schema=kinds)
+
+        return run
+
+    size = block
+    while True:
+        reached = F.explode(F.sequence(F.expr(f"(row_idx - {separation}) div {size}"), F.expr(f"(row_idx + {separation}) div {size}"))).alias("block")
+        after = written(rows.select("*", reached).groupBy("block").applyInArrow(decide(size), ddl), "episodes")
+        if after.where("not kept").isEmpty():
+            break
+        rows, size = after, min(2 * size, most)
+    order = blocked.placed(after.select("row_idx", "distance"), [], ["distance", "row_idx"])
+    return order.select("row_idx", "distance", (F.col(blocked.ROW) + 1).cast("int").alias("rank"))
+
+
 def causal_covariances(rows: DataFrame, columns: list[str], exclusion: int = EXCLUSION, size: int = WALK_BLOCK) -> DataFrame:
     """Per ``row_idx`` the size ``n`` of its pool (rows that have all columns, more than ``exclusion`` before it) and ``cov``, the pool's sample covariances row by row of the lower triangle.
 

@@ -598,6 +598,14 @@ def walk_forward(spark, d):
     return got.select("query_idx", F.col("rank").cast("int").alias("rank"), "row_idx", r6("distance"), "n")
 
 
+@query(sql.episodes("SELECT {day}, CAST(row_idx AS BIGINT) AS row_idx, round(distance,6) AS distance, CAST(rank AS INTEGER) AS rank FROM kept"))
+def episodes_distributed(spark, d):
+    """The same episodes, collapsed block by block."""
+    kept = analogue.episodes_in_blocks(distances_of_two(spark, d), block=128)
+    days = analogue.numbered(calendar(spark, d)).select("row_idx", "ts")
+    return kept.join(days, "row_idx").select(day(), "row_idx", r6("distance"), "rank")
+
+
 @query(sql.HORIZON_QUANTILES)
 def horizon_quantiles(spark, d):
     return analogue.horizon_stats(anchors_of_two(spark, d)).select("horizon", "n", r6("p25"), r6("median"), r6("p75"))

@@ -117,3 +117,17 @@ def test_an_update_equals_a_full_build(spark):
     for a, b in zip(got, want, strict=True):
         for c in a.asDict():
             assert a[c] == b[c] or a[c] == pytest.approx(b[c], rel=1e-9, abs=1e-12), (c, a, b)
+
+
+@pytest.mark.parametrize("kind", ["random", "rising", "falling", "ties"])
+def test_episodes_in_blocks_equal_the_greedy_loop(spark, kind):
+    rng = random.Random(5)
+    rows = []
+    for i in sorted(rng.sample(range(1000), 700)):
+        rows.append((i, {"random": rng.random(), "rising": float(i), "falling": -float(i), "ties": float(rng.randrange(3))}[kind] if i != 500 else None))
+    kept = []
+    for d, i in sorted((d, i) for i, d in rows if d is not None):
+        if all(abs(i - j) > 6 for j, _ in kept):
+            kept.append((i, d))
+    got = analogue.episodes_in_blocks(spark.createDataFrame(rows, "row_idx long, distance double").repartition(3), 6, block=32).collect()
+    assert sorted((r["rank"], r.row_idx, r.distance) for r in got) == [(n + 1, i, d) for n, (i, d) in enumerate(kept)]
