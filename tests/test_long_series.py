@@ -101,7 +101,7 @@ def test_walk_forward_equals_one_query_at_a_time(spark, size):
 def test_an_update_equals_a_full_build(spark):
     rng = np.random.default_rng(3)
     rows = [("bars", "C", T0 + dt.timedelta(days=i), float(v)) for i, v in enumerate(100 * np.exp(rng.normal(0, 0.02, 160).cumsum()))]
-    rows += [("bars", "A", T0 + dt.timedelta(days=i), float(v)) for i, v in enumerate(50 * np.exp(rng.normal(0, 0.02, 160).cumsum())) if i % 3]
+    rows += [("bars", "A", T0 + dt.timedelta(days=i), float(v)) for i, v in enumerate(50 * np.exp(rng.normal(0, 0.02, 160).cumsum())) if i % 5 in (0, 2)]
     rows += [("funding", "F", T0 + dt.timedelta(hours=8 * i), float(v)) for i, v in enumerate(rng.normal(0, 1e-3, 480))]
     f = features.Feature
     spec = features.Spec("C", (f("mom", "C", "log_return", window=9), f("vol", "A", "vol_ratio", window=5, slow_window=20), f("rel", "A", "rel_strength", window=7, vs="C"), f("fz", "F", "expanding_z", "funding"), f("fm", "F", "sma", "funding", 21)), 10)
