@@ -41,19 +41,23 @@ SPACE = "▁"
 
 
 class Side:
-    """One tokenizer: ids of a text, and the bytes of each id."""
+    """One tokenizer: ids of a text, and the bytes of each id. ``lossless`` ones always spell what they encode, so the number of bytes tells."""
 
-    def __init__(self, encode: Callable[[str], np.ndarray], labels: list[bytes]):
-        self.encode, self.labels = encode, labels
+    def __init__(self, encode: Callable[[str], np.ndarray | list[int]], labels: list[bytes], lossless: bool = False):
+        self.encode, self.labels, self.lossless = encode, labels, lossless
         self.width = np.array([len(x) for x in labels], np.int64)
         self.kind = np.dtype("<u2" if len(labels) <= 1 << 16 else "<u4")
         digits = len(str(len(labels) - 1))
         text = np.array([str(i).rjust(digits, "\0").encode() for i in range(len(labels))], f"S{digits}")
         self.decimal = text.view(np.uint8).reshape(-1, digits)
 
-    def spells(self, ids: np.ndarray, data: bytes) -> bool:
-        labels = self.labels
-        return b"".join([labels[i] for i in ids.tolist()]) == data
+    def ids(self, text: str, data: bytes) -> np.ndarray | None:
+        """Ids of a text; None if they don't spell ``data``."""
+        found = self.encode(text)
+        ids = np.asarray(found, self.kind)
+        if self.lossless:
+            return ids if int(self.width[ids].sum()) == len(data) else None
+        return ids if b"".join(map(self.labels.__getitem__, found)) == data else None
 
 
 def byte_level(content: str) -> Side:
@@ -65,14 +69,15 @@ def byte_level(content: str) -> Side:
     for token, i in vocab.items():
         labels[i] = token.encode() if token in special else to_bytes(token)
     encoder = Encoder(content, specials=False)
-    return Side(lambda text: encoder(" " + text), labels)
+    plain = spec["normalizer"] is None and spec["pre_tokenizer"].get("type") == "ByteLevel" and not spec["pre_tokenizer"].get("add_prefix_space")
+    return Side(lambda text: encoder(" " + text).tolist(), labels) if not plain else Side(lambda text: encoder(" " + text), labels, lossless=True)
 
 
 def pieces(model: bytes) -> Side:
     """A sentencepiece model that puts a space before the text itself."""
     p = sentencepiece.SentencePieceProcessor(model_proto=model)
     labels = [bytes([int(p.id_to_piece(i)[3:-1], 16)]) if p.is_byte(i) else p.id_to_piece(i).replace(SPACE, " ").encode() for i in range(p.vocab_size())]
-    return Side(lambda text: np.array(p.encode(text), np.int64), labels)
+    return Side(p.encode, labels)
 
 
 class Sides:
@@ -93,14 +98,20 @@ class Sides:
 _ready: dict[str, tuple[Side, Side]] = {}
 
 
+@lru_cache(maxsize=1)
+def packers() -> tuple[zstandard.ZstdCompressor, zstandard.ZstdDecompressor]:
+    """One pair per worker."""
+    return zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+
+
 def squeezed(values: np.ndarray) -> bytes:
     """Numbers byte plane by byte plane, compressed."""
     planes = np.ascontiguousarray(values).view(np.uint8).reshape(-1, values.itemsize).T
-    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+    return packers()[0].compress(planes.tobytes())
 
 
 def expanded(data: bytes, kind: np.dtype) -> np.ndarray:
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(kind.itemsize, -1)
+    planes = np.frombuffer(packers()[1].decompress(data), np.uint8).reshape(kind.itemsize, -1)
     return np.ascontiguousarray(planes.T).view(kind).ravel()
 
 
@@ -118,13 +129,13 @@ def events(docs: DataFrame, sides, block: int = BLOCK) -> DataFrame:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 row += 1
                 data = b" " + text.encode() if text else b""
-                ids = [s.encode(text) for s in both] if text else []
-                if not text or not all(s.spells(i, data) for s, i in zip(both, ids, strict=True)):
+                ids = [s.ids(text, data) for s in both] if text else [None]
+                if any(x is None for x in ids):
                     out.append((row, doc_id, None, 0, None))
                     continue
                 for side, (s, own) in enumerate(zip(both, ids, strict=True)):
                     begin = np.cumsum(s.width[own]) - s.width[own]
-                    out += [(row, doc_id, side, int(begin[k]), squeezed(own[k : k + block].astype(s.kind))) for k in range(0, len(own), block)]
+                    out += [(row, doc_id, side, int(begin[k]), squeezed(own[k : k + block])) for k in range(0, len(own), block)]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()), strict=True)], names=["row", "doc_id", "side", "at", "ids"]
             )
@@ -157,7 +168,9 @@ class Sweep:
         stop = int(again[-1]) + 2
         every, from_a = every[:stop], from_a[:stop]
         end = np.flatnonzero(np.append(every[1:] != every[:-1], True))
-        cut = np.isin(end, again + 1, assume_unique=True)
+        both_end = np.zeros(stop, bool)
+        both_end[again + 1] = True
+        cut = both_end[end]
         own_a = np.cumsum(from_a)[end]
         own_b = end + 1 - own_a
         n = [int(own_a[-1]), int(own_b[-1])]
