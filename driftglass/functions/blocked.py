@@ -10,6 +10,8 @@ A series that holds most of the rows spreads over as many tasks as it has blocks
 
 from __future__ import annotations
 
+import math
+import sys
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
@@ -22,6 +24,8 @@ SIZE = 1 << 16
 ROW, BLOCK, HALO = "__row", "__block", "__halo"
 #: A spread below this share of the mean is rounding: a series of equal values has none.
 ROUNDING = 1e-14
+#: Logarithms of the largest and the smallest double.
+HIGHEST, LOWEST = math.log(sys.float_info.max), math.log(5e-324)
 
 
 def placed(df: DataFrame, by: list[str], order: list[str]) -> DataFrame:
@@ -79,8 +83,8 @@ KINDS = {"max": (F.max, F.greatest), "sum": (F.sum, lambda a, b: F.coalesce(a +
 def running(rows: DataFrame, by: list[str], states: dict[str, tuple[str, str]], size: int = SIZE, block: str | None = None, at: str = ROW) -> DataFrame:
     """Add states of all rows so far, the row included: ``states`` maps a name to a kind and a column.
 
-    ``moments`` gives ``<name>_n``, ``<name>_mean`` and ``<name>_m2`` (sum of squared deviations), ``max``, ``sum``, ``product`` and ``last`` (value that
-    isn't missing) give ``<name>``; missing values are left out. ``rows`` come from ``placed``, or have a column ``block`` of their own whose order agrees with ``at``'s.
+    ``moments`` gives ``<name>_n``, ``<name>_mean`` and ``<name>_m2`` (sum of squared deviations), ``max``, ``sum``, ``product``, ``first`` and ``last`` (value
+    that isn't missing) give ``<name>``; missing values are left out. A product may leave the range of doubles where ``products`` wouldn't. ``rows`` come from ``placed``, or have a column ``block`` of their own whose order agrees with ``at``'s.
     """
     if block is None:
         block = BLOCK
@@ -107,6 +111,11 @@ def running(rows: DataFrame, by: list[str], states: dict[str, tuple[str, str]],
             carried[p] = F.max(t).over(earlier)["v"]
             own[i] = F.last(v, ignorenulls=True).over(inside)
             found[name] = F.coalesce(i, p)
+        elif kind == "first":
+            totals.append(F.min(F.when(F.col(v).isNotNull(), F.struct(at, F.col(v).alias("v")))).alias(t))
+            carried[p] = F.min(t).over(earlier)["v"]
+            own[i] = F.first(v, ignorenulls=True).over(inside)
+            found[name] = F.coalesce(p, i)
         elif kind in KINDS:
             f, both = KINDS[kind]
             totals.append(f(v).alias(t))
@@ -120,6 +129,20 @@ def running(rows: DataFrame, by: list[str], states: dict[str, tuple[str, str]],
     return out.withColumns(found).drop(*own, *carried, *([BLOCK] if block == BLOCK else []))
 
 
+def products(rows: DataFrame, by: list[str], out: str, v: str, size: int = SIZE) -> DataFrame:
+    """Add the product of all rows so far as multiplying row by row gives it: from where it overflows on it is infinite, from where it vanishes on 0.
+
+    Products of blocks don't show what happened on the way, so logarithms do; where a block alone leaves the range of doubles they stand in for its product.
+    """
+    size_of = F.when(F.col(v) == 0, float("-inf")).otherwise(F.ln(F.abs(v)))
+    rows = running(rows.withColumns({"__log": size_of, "__sign": F.signum(v)}), by, {"__p": ("product", v), "__g": ("sum", "__log"), "__s": ("product", "__sign")}, size)
+    p, g, s = (F.col(c) for c in ("__p", "__g", "__s"))
+    beyond = F.when(F.isnan(g), None).when(g > HIGHEST, float("inf")).when(g < LOWEST, 0.0)
+    rows = running(rows.withColumn("__beyond", beyond), by, {"__end": ("first", "__beyond")}, size)
+    whole = (p != 0) & (F.abs(p) < float("inf"))
+    return rows.withColumn(out, F.coalesce(s * F.col("__end"), F.when(whole, p).otherwise(s * F.exp(g)))).drop("__log", "__sign", "__p", "__g", "__s", "__beyond", "__end")
+
+
 def zscore(name: str, v: str, min_periods: int) -> Column:
     """A value against the moments ``name`` so far, where there are enough and they spread."""
     n, m2 = F.col(f"{name}_n"), F.col(f"{name}_m2")

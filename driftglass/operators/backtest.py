@@ -188,7 +188,7 @@ def run_in_blocks(bars: DataFrame, order: list[str], warmup: int = WARMUP, cost_
     df = blocked.over_blocks(df, keys, order, lambda x, w: x.withColumn("__earlier", F.lag("held").over(w)), 1, 0, size)
     df = blocked.running(df, keys, {"before": ("last", "__earlier")}, size).withColumn("before", F.coalesce("before", F.lit(0.0))).withColumn("factor", growth(cost_bps))
     df = blocked.over_blocks(df, keys, order, lambda x, w: x.withColumn("__settled", F.lag("factor", 2).over(w)), 2, 0, size)
-    df = blocked.running(df, keys, {"equity": ("product", "__settled")}, size).withColumn("equity", F.coalesce("equity", F.lit(1.0)))
+    df = blocked.products(df, keys, "equity", "__settled", size).withColumn("equity", F.coalesce("equity", F.lit(1.0)))
     return df.where(F.col("i") >= warmup).drop("factor", "weight", "__earlier", "__settled", blocked.ROW)
 
 

@@ -59,6 +59,17 @@ def test_states_so_far(series, size):
     close_to(got.withColumn("sd", F.when(F.col("m_n") > 0, F.sqrt(F.col("m_m2") / F.col("m_n")))), want, ["m_n", "m_mean", "sd", "top", "grown", "seen"])
 
 
+@pytest.mark.parametrize("size", [4, 10_000])
+def test_products_end_where_doubles_do(spark, size):
+    """A product that overflowed stays infinite, one that vanished stays 0, and a block that leaves the range alone does no harm."""
+    factors = {
+        "over": [1e200, 1e100, 1e10, 0.1, 1e-5, None, 1e-100, 1e-100, 3.0], "under": [1e-200, 1e-150, 1e10, 1e100, 1e100, 2.0], "apart": [1e-150, 1e-150, 1.0, 1.0, 1e200, 1e200, 1e100, 1e-300, 2.0],
+        "deep": [1e150, 1e150, 1.0, 1.0, 1e-200, 1e-200, 1e-100, 1e300, 2.0], "signs": [-2.0, 3.0, -1e300, -1e300, -1.0, 1e-10], "zero": [2.0, 3.0, 0.0, 5.0, 1e300, 1e300], "none": [None, None],
+    }
+    rows = blocked.placed(spark.createDataFrame([(k, i, v) for k, own in factors.items() for i, v in enumerate(own)], "symbol string, ts long, v double").repartition(3), ["symbol"], ["ts"])
+    close_to(blocked.products(rows, ["symbol"], "p", "v", size), rows.withColumn("p", F.product("v").over(whole().rowsBetween(ind.FIRST, 0))), ["p"])
+
+
 def test_scores_and_drawdowns(series):
     got = blocked.drawdown(blocked.expanding_zscore(series, "z", "close", ["symbol"], ["ts"], 60, 50), "dd", "close", ["symbol"], ["ts"], 50)
     close_to(got, ind.drawdown(ind.expanding_zscore(series, "z", "close", whole(), 60), "dd", "close", whole()), ["z", "dd"])
