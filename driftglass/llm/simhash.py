@@ -13,6 +13,10 @@ only texts that share a shingle can meet: with J and p the share of differing bi
 J * ((1-p)^16 + 16 p (1-p)^15), about 0.22 at 0.8, and one of twelve does with 0.95. Segments whose smallest hash no other text has make no
 keys. What met is verified on the shingles themselves: no pair below the similarity links.
 
+Where keys lead to no meeting, or a large key compares its members with one of them only, an exact search makes up for it: all shingles are put in one
+order, rare ones first, and each set is known by its ``head``, so many of its first shingles that two sets of the similarity share one. Sets of
+different components that share a shingle of their heads are compared, unless sizes or the number of shingles shared rule it out; so no link between components is lost.
+
 A key with more than ``LIMIT`` fingerprints isn't worked off in one task: its members are dealt into blocks, and each
 pair of blocks becomes a group of its own, so the check stays exact and spreads over the cluster.
 
@@ -37,6 +41,8 @@ BITS = 3
 TEXT_WORDS = 5
 SIMILARITY = (4, 5)  # shared shingles to all, as a fraction
 SEGMENTS = 12
+SAMPLE = 2048  # texts that say which shingles are frequent; this decides an order, not what is compared
+FREQUENT = (4, 1 << 16)  # texts of the sample that have it, and so many shingles at most
 FEW = 8  # members of a key that are compared pair by pair
 LIMIT = 4096
 BLOCK = 2048
@@ -248,24 +254,57 @@ def signature(hashes: np.ndarray, segments: int = SEGMENTS) -> tuple[np.ndarray,
     return bits.astype(np.int64), low.astype(np.uint64).view(np.int64)
 
 
-SIGNED = "doc_id long, text_hash long, node long, bits array<long>, low array<long>"
+def frequent(docs: DataFrame, words: int = TEXT_WORDS) -> np.ndarray:
+    """Hashes of shingles that several texts of a sample have, the more frequent later."""
+    every = max(1, docs.count() // SAMPLE)
+
+    def run(batches):
+        for batch in (part for whole in batches for part in slices(whole, "text")):
+            found = [shingle_hashes(x.as_py(), words) for x in batch.column(0)]
+            if found:
+                yield pa.RecordBatch.from_pydict({"shingle": np.concatenate(found).view(np.int64)})
+
+    counted = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0).select("text").mapInArrow(run, "shingle long").groupBy("shingle").agg(F.count("*").alias("n"))
+    rows = counted.where(F.col("n") >= FREQUENT[0]).orderBy(F.desc("n"), "shingle").limit(FREQUENT[1]).collect()
+    return np.array([r["shingle"] for r in reversed(rows)], np.int64).view(np.uint64)
+
+
+def head_of(hashes: np.ndarray, common: np.ndarray, rank: np.ndarray, least: tuple[int, int] = SIMILARITY) -> np.ndarray:
+    """The first of the sorted ``hashes``, by ``rank`` those among the sorted ``common`` last, so many that similar sets share one of them."""
+    n = len(hashes)
+    length = n + least[0] * -n // least[1] + 1  # a similar set has all but n - ceil(n * similarity)
+    if len(common):
+        at = np.minimum(np.searchsorted(common, hashes), len(common) - 1)
+        late = common[at] == hashes
+        hashes = np.concatenate([hashes[~late], hashes[late][np.argsort(rank[at[late]])]])
+    return hashes[:length].view(np.int64)
+
 
+SIGNED = "doc_id long, text_hash long, node long, bits array<long>, low array<long>, n long, head array<long>"
 
-def signatures(docs: DataFrame, words: int = TEXT_WORDS, segments: int = SEGMENTS) -> DataFrame:
-    """``doc_id``, ``text_hash``, ``node`` (names the set of shingles; 0 without words), ``bits`` and ``low`` (both null without words) of every row."""
+
+def signatures(docs: DataFrame, words: int = TEXT_WORDS, segments: int = SEGMENTS, least: tuple[int, int] = SIMILARITY) -> DataFrame:
+    """``doc_id``, ``text_hash``, ``node`` (names the set of shingles; 0 without words), ``bits``, ``low`` and ``head`` (null without words) and the number ``n`` of shingles of every row."""
+    last = frequent(docs, words)
+    by_hash = np.argsort(last)
+    given = docs.sparkSession.sparkContext.broadcast((last[by_hash], by_hash))
 
     def run(batches):
+        common, rank = given.value
         for batch in (part for whole in batches for part in slices(whole, "text")):
-            nodes, bits, low = [], [], []
+            nodes, bits, low, size, heads = [], [], [], [], []
             for text in batch.column(1):
                 own = shingle_hashes(text.as_py(), words)
                 b, m = signature(own, segments) if len(own) else (None, None)
                 nodes.append(xxhash.xxh3_64_intdigest(own.tobytes()) if len(own) else 0)
                 bits.append(b)
                 low.append(m)
+                size.append(len(own))
+                heads.append(head_of(own, common, rank, least) if len(own) else None)
             yield pa.RecordBatch.from_pydict({
                 "doc_id": batch.column(0), "text_hash": batch.column(2), "node": pa.array(np.array(nodes, np.uint64).view(np.int64)),
                 "bits": pa.array(bits, pa.list_(pa.int64())), "low": pa.array(low, pa.list_(pa.int64())),
+                "n": pa.array(size, pa.int64()), "head": pa.array(heads, pa.list_(pa.int64())),
             })
 
     return docs.select(F.col("doc_id").cast("long"), "text", "text_hash").mapInArrow(run, SIGNED)
@@ -301,7 +340,8 @@ def pivot_of(nodes: np.ndarray, fps: np.ndarray) -> int:
 def meetings(keyed: DataFrame) -> DataFrame:
     """Pairs ``u``, ``v`` of nodes with one key: all of up to FEW members, else each with their pivot, BLOCK by BLOCK, a pivot being a member of the next block.
 
-    Keys of one cluster of copies choose much the same pivots, so distinct pairs stay in proportion to the members.
+    Keys of one cluster of copies choose much the same pivots, so distinct pairs stay in proportion to the members. Members that are alike, but not like
+    their pivot, are left to ``crossings``.
     """
 
     def run(batches):
@@ -385,19 +425,103 @@ def shingle_sets(docs: DataFrame, reps: DataFrame, words: int) -> DataFrame:
     return own.dropDuplicates(["node"])
 
 
-def similar_links(texts: DataFrame, nodes: DataFrame, words: int = TEXT_WORDS, least: tuple[int, int] = SIMILARITY) -> DataFrame:
-    """Verified links ``u``, ``v`` of ``nodes``, enough to connect what met: a pair within a component that is connected already isn't looked at."""
-    pairs = materialize(meetings(keys(nodes)), "simhash-pairs")
-    one = pairs.groupBy("u").agg(F.min_by(F.struct("v", "salt"), F.xxhash64("v")).alias("x")).select("u", "x.*")
+def shared_heads(own: DataFrame) -> DataFrame:
+    """Rows ``key``, ``node``: shingles of heads that several nodes have there, each node once."""
+
+    def run(batches):
+        now, before, told = None, None, False
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key, node = (batch.column(i).to_numpy() for i in range(2))
+            new = np.ones(len(key), bool)
+            new[1:] = (key[1:] != key[:-1]) | (node[1:] != node[:-1])
+            new[0] = (key[0], node[0]) != (now, before)
+            if not new.any():
+                continue
+            waiting = now is not None and not told  # the last row of the batches before is held back until its key is seen again
+            key, node = key[new], node[new]
+            again = key[1:] == key[:-1]
+            out = np.zeros(len(key), bool)
+            out[1:] |= again
+            out[:-1] |= again
+            out[0] |= key[0] == now
+            if waiting and key[0] == now:
+                yield pa.RecordBatch.from_pydict({"key": np.array([now], np.int64), "node": np.array([before], np.int64)})
+            now, before, told = key[-1], node[-1], bool(out[-1])
+            yield pa.RecordBatch.from_pydict({"key": key[out], "node": node[out]})
+
+    rows = own.where("head is not null").select(F.explode("head").alias("key"), "node")
+    return rows.repartition("key").sortWithinPartitions("key", "node").mapInArrow(run, "key long, node long")
+
+
+def crossings(shared: DataFrame, least: tuple[int, int] = SIMILARITY) -> DataFrame:
+    """Pairs ``u``, ``v`` of different ``part`` that may be similar, from rows ``key``, ``node``, ``n``, ``part``: all that share a key and whose sizes and number of keys allow it."""
+    counted = shared.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.ceil(F.count("*") / BLOCK).alias("blocks")).where("low <> high")
+    dealt = shared.join(counted.select("key", "blocks"), "key").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other")
+    rows = dealt.select("*", other).select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key"), "node", "n", "part")
+
+    def work(key, node, n, part):
+        at, shift = np.arange(len(key)), 1
+        while len(at := at[at + shift < len(key)]):  # members come by size, so what is too large now is too large further on
+            to = at + shift
+            fits = (key[to] == key[at]) & (least[0] * n[to] <= least[1] * n[at])
+            at, to = at[fits], to[fits]
+            u, v = node[at], node[to]
+            apart = part[at] != part[to]
+            u, v = u[apart], v[apart]
+            if len(u):
+                yield pa.RecordBatch.from_pydict({"u": np.maximum(u, v), "v": np.minimum(u, v)})
+            shift += 1
+
+    def run(batches):
+        held = [np.empty(0, np.int64)] * 4
+        for batch in batches:
+            held = [np.concatenate([a, batch.column(i).to_numpy()]) for i, a in enumerate(held)]
+            if len(held[0]):
+                done = int(np.searchsorted(held[0], held[0][-1]))
+                yield from work(*(a[:done] for a in held))
+                held = [a[done:] for a in held]
+        yield from work(*held)
+
+    met = rows.repartition("key").sortWithinPartitions("key", "n").mapInArrow(run, "u long, v long").groupBy("u", "v").agg(F.count("*").alias("keys"))
+    sizes = shared.select("node", "n").distinct()
+    both = met.join(sizes.selectExpr("node u", "n nu"), "u").join(sizes.selectExpr("node v", "n nv"), "v")
+    a, b = least  # what both share is among the keys, or behind the head of the one whose head ends first
+    return both.where(f"{a + b} * (keys + greatest(ceil({a} * nu / {b}), ceil({a} * nv / {b})) - 1) >= {a} * (nu + nv)").select("u", "v")
+
+
+def sets_of(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
     involved = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    reps = nodes.join(involved, "node").select("node", "low_row.*")
-    sets = materialize(shingle_sets(texts, reps, words), "simhash-sets")
+    reps = materialize(nodes.join(involved, "node").select("node", "low_row.*"), "simhash-rows")  # its size decides whether the texts have to be shuffled
+    return materialize(shingle_sets(texts, reps, words), "simhash-sets")
+
+
+def settled(pairs: DataFrame, sets: DataFrame, known: DataFrame | None, least: tuple[int, int]) -> DataFrame:
+    """Verified links, enough to connect what the pairs ``u``, ``v``, ``salt`` do: a pair within a component that is connected already isn't looked at."""
+    one = pairs.groupBy("u").agg(F.min_by(F.struct("v", "salt"), F.xxhash64("v")).alias("x")).select("u", "x.*")
     first = materialize(similar(one, sets, least), "simhash-similar")
-    parts = connected_components(first, "simhash-parts")
+    parts = connected_components(first if known is None else first.unionByName(known), "simhash-parts")
     side = lambda c: parts.select(F.col("node").alias(c), F.col("component").alias(f"{c}_part"))
     open_ = pairs.join(one.select("u", "v"), ["u", "v"], "left_anti").join(side("u"), "u", "left").join(side("v"), "v", "left")
     rest = materialize(open_.where("coalesce(u_part, u) <> coalesce(v_part, v)").select("u", "v", "salt"), "simhash-open")
-    return first.unionByName(similar(rest, sets, least))
+    return materialize(first.unionByName(similar(rest, sets, least)), "simhash-settled")
+
+
+def similar_links(texts: DataFrame, own: DataFrame, nodes: DataFrame, words: int = TEXT_WORDS, least: tuple[int, int] = SIMILARITY) -> DataFrame:
+    """Verified links ``u``, ``v`` that connect all ``nodes`` that are similar: first of those that met, then of all that are in different components still."""
+    pairs = materialize(meetings(keys(nodes)), "simhash-pairs")
+    found = settled(pairs, sets_of(pairs, texts, nodes, words), None, least)
+    parts = connected_components(found, "simhash-parts")
+    shared = materialize(shared_heads(own), "simhash-heads").join(nodes.select("node", "n"), "node").join(parts, "node", "left")
+    apart = crossings(shared.select("key", "node", "n", F.coalesce("component", "node").alias("part")), least)
+    apart = materialize(apart.withColumn("salt", F.pmod(F.xxhash64("u"), F.lit(8))), "simhash-apart")
+    if apart.isEmpty():
+        return found
+    sets = sets_of(apart, texts, nodes, words)
+    more = similar(apart, sets, least) if apart.count() <= RUN else settled(apart, sets, found, least)
+    return found.unionByName(more)
 
 
 def decisions(docs: DataFrame, words: int = TEXT_WORDS, least: tuple[int, int] = SIMILARITY, segments: int = SEGMENTS) -> DataFrame:
@@ -407,10 +531,10 @@ def decisions(docs: DataFrame, words: int = TEXT_WORDS, least: tuple[int, int] =
     Rows without an id take no part. Texts without words are one component.
     """
     texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
-    own = materialize(signatures(texts, words, segments), "simhash-signatures")
-    nodes = own.groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("low_row"), F.min(F.struct("bits", "low")).alias("x")).select("node", "low_row", "x.bits", "x.low")
+    own = materialize(signatures(texts, words, segments, least), "simhash-signatures")
+    nodes = own.groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("low_row"), F.min(F.struct("bits", "low")).alias("x"), F.min("n").alias("n")).select("node", "low_row", "x.bits", "x.low", "n")
     nodes = materialize(nodes, "simhash-nodes")
-    rooted = _rooted(nodes.select(F.col("node").alias("fp"), F.col("low_row").alias("low")), similar_links(texts, nodes, words, least))
+    rooted = _rooted(nodes.select(F.col("node").alias("fp"), F.col("low_row").alias("low")), similar_links(texts, own, nodes, words, least))
     lowest = rooted.groupBy("root").agg(F.min("low").alias("lowest"))
     named = rooted.select("fp", "root").join(lowest, "root").select("fp", "lowest")
     rows = own.groupBy("doc_id", "text_hash", F.col("node").alias("fp")).agg(F.count("*").alias("n"))

@@ -160,6 +160,69 @@ def test_components_of_texts(spark):
     assert got <= want and len(got) >= 0.97 * len(want)
 
 
+def gone_of(docs):
+    return {r["doc_id"] for r in simhash.decisions(docs).collect() if not r["first"]}
+
+
+@pytest.mark.parametrize("block, few", [(2048, 1 << 16), (4, 3)])
+def test_no_link_is_lost_in_clusters(spark, monkeypatch, block, few):
+    """Versions of one text that aren't 0.8 alike, but each has a copy that is: stars around one member don't show that."""
+    monkeypatch.setattr(simhash, "BLOCK", block)
+    monkeypatch.setattr(simhash, "RUN", few)
+    rng = random.Random(11)
+    base = [f"w{i}" for i in range(300)]
+    texts = []
+    for _ in range(40):
+        own = altered(rng, base, 0.78)
+        texts += [" ".join(own), " ".join(altered(rng, own, 0.83))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    want = {i for i, low in enumerate(plain_similar(texts)) if low != i}
+    assert gone_of(docs) == want and len(want) >= 40
+
+
+def test_no_link_is_lost_at_the_threshold(spark, monkeypatch):
+    """Pairs just at 0.8, with passages that many texts have, frequent or not in the sample."""
+    monkeypatch.setattr(simhash, "FREQUENT", (20, 100))
+    rng = random.Random(12)
+    passages = [[f"p{k}x{i}" for i in range(rng.choice([3, 30]))] for k in range(6)]
+    texts = ["", "one", "one two three four five six", "One two three four five six"]
+    for i in range(150):
+        words = [f"w{rng.randrange(3000)}" for _ in range(rng.choice([9, 25, 60, 200]))] + passages[i % 6]
+        texts += [" ".join(words), " ".join(altered(rng, words, 0.83))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    want = {i for i, low in enumerate(plain_similar(texts)) if low != i}
+    assert gone_of(docs) == want and len(want) > 60
+
+
+def test_similar_sets_share_a_shingle_of_their_heads():
+    rng = np.random.default_rng(4)
+    common = np.sort(rng.integers(0, 1 << 63, 30).astype(np.uint64))
+    rank = rng.permutation(30)
+    for n in [1, 2, 4, 5, 6, 9, 10, 31, 200] * 20:
+        a = np.concatenate([rng.choice(common, min(n // 2, 30), replace=False), rng.integers(0, 1 << 63, n - min(n // 2, 30)).astype(np.uint64)])
+        b = rng.permutation(np.concatenate([rng.permutation(a)[: n - int(rng.integers(0, n // 5 + 1))], rng.integers(0, 1 << 63, int(rng.integers(0, n // 5 + 1))).astype(np.uint64)]))
+        alike = 5 * len(np.intersect1d(a, b)) >= 4 * len(np.union1d(a, b))
+        heads = [set(simhash.head_of(np.sort(x), common, rank).tolist()) for x in (a, b)]
+        assert not alike or heads[0] & heads[1]
+        assert len(heads[0]) == n - -(-4 * n // 5) + 1
+
+
+def test_shared_heads_are_those_of_several_nodes(spark):
+    rng = random.Random(6)
+    rows = [(n, [rng.randrange(300) for _ in range(rng.randrange(1, 9))]) for n in range(200) for _ in range(rng.choice([1, 1, 3]))]
+    rows = [(n, sorted(set(h))) for n, h in rows] + [(0, None)]
+    held = {}
+    for n, h in rows:
+        for k in h or []:
+            held.setdefault(k, set()).add(n)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        got = [(r["key"], r["node"]) for r in simhash.shared_heads(spark.createDataFrame(rows, "node long, head array<long>").repartition(3)).collect()]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted(got) == sorted((k, n) for k, own in held.items() if len(own) > 1 for n in own)
+
+
 def test_meetings_are_whole_or_stars(spark, monkeypatch):
     monkeypatch.setattr(simhash, "FEW", 3)
     monkeypatch.setattr(simhash, "BLOCK", 5)
