@@ -15,7 +15,7 @@ keys. What met is verified on the shingles themselves: no pair below the similar
 
 Where keys lead to no meeting, or a large key compares its members with one of them only, an exact search makes up for it: all shingles are put in one
 order, rare ones first, and each set is known by its ``head``, so many of its first shingles that two sets of the similarity share one. Sets of
-different components that share a shingle of their heads are compared, unless sizes or the number of shingles shared rule it out; so no link between components is lost.
+different components that share a shingle of their heads are compared, unless sizes, parities or the number of shingles shared rule it out; so no link between components is lost.
 
 A key with more than ``LIMIT`` fingerprints isn't worked off in one task: its members are dealt into blocks, and each
 pair of blocks becomes a group of its own, so the check stays exact and spreads over the cluster.
@@ -41,8 +41,9 @@ BITS = 3
 TEXT_WORDS = 5
 SIMILARITY = (4, 5)  # shared shingles to all, as a fraction
 SEGMENTS = 12
-SAMPLE = 2048  # texts that say which shingles are frequent; this decides an order, not what is compared
-FREQUENT = (4, 1 << 16)  # texts of the sample that have it, and so many shingles at most
+SAMPLE = (16, 2048)  # one text of so many, but so many texts at least, say which shingles are frequent; this decides an order, not what is compared
+FREQUENT = (2, 1 << 20)  # texts of the sample that have it, and so many shingles at most
+PLACES = 1 << 24  # bits that say which texts are asked for
 FEW = 8  # members of a key that are compared pair by pair
 LIMIT = 4096
 BLOCK = 2048
@@ -255,8 +256,12 @@ def signature(hashes: np.ndarray, segments: int = SEGMENTS) -> tuple[np.ndarray,
 
 
 def frequent(docs: DataFrame, words: int = TEXT_WORDS) -> np.ndarray:
-    """Hashes of shingles that several texts of a sample have, the more frequent later."""
-    every = max(1, docs.count() // SAMPLE)
+    """Hashes of shingles that several texts of a sample have, the more frequent later.
+
+    The sample grows with the texts, so a shingle that as many texts have is as likely to be known in a larger table, and keys that
+    are no part of this list don't have more members there. Where the list would be too long, all of the least counts are left out.
+    """
+    every = min(SAMPLE[0], max(1, docs.count() // SAMPLE[1]))
 
     def run(batches):
         for batch in (part for whole in batches for part in slices(whole, "text")):
@@ -265,8 +270,18 @@ def frequent(docs: DataFrame, words: int = TEXT_WORDS) -> np.ndarray:
                 yield pa.RecordBatch.from_pydict({"shingle": np.concatenate(found).view(np.int64)})
 
     counted = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0).select("text").mapInArrow(run, "shingle long").groupBy("shingle").agg(F.count("*").alias("n"))
-    rows = counted.where(F.col("n") >= FREQUENT[0]).orderBy(F.desc("n"), "shingle").limit(FREQUENT[1]).collect()
-    return np.array([r["shingle"] for r in reversed(rows)], np.int64).view(np.uint64)
+    counted = materialize(counted.where(F.col("n") >= FREQUENT[0]), "simhash-frequent")
+    least, total = None, 0
+    for n, shingles in counted.groupBy("n").agg(F.count("*")).orderBy(F.desc("n")).collect():
+        total += shingles
+        if total > FREQUENT[1]:
+            break
+        least = n
+    if least is None:
+        return np.empty(0, np.uint64)
+    rows = counted.where(F.col("n") >= least).toArrow()
+    shingle, n = (rows[c].to_numpy() for c in ("shingle", "n"))
+    return shingle[np.lexsort((shingle, n))].view(np.uint64)
 
 
 def head_of(hashes: np.ndarray, common: np.ndarray, rank: np.ndarray, least: tuple[int, int] = SIMILARITY) -> np.ndarray:
@@ -280,19 +295,25 @@ def head_of(hashes: np.ndarray, common: np.ndarray, rank: np.ndarray, least: tup
     return hashes[:length].view(np.int64)
 
 
-SIGNED = "doc_id long, text_hash long, node long, bits array<long>, low array<long>, n long, head array<long>"
+def parity_of(hashes: np.ndarray) -> int:
+    """64 bits, each the parity of the number of hashes that end in its six bits: those of two sets differ in no more places than the sets have shingles one without the other."""
+    odd = np.bincount((hashes & np.uint64(63)).astype(np.int64), minlength=64) & 1
+    return int(np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)[0])
+
+
+SIGNED = "doc_id long, text_hash long, node long, bits array<long>, low array<long>, n long, parity long, head array<long>"
 
 
 def signatures(docs: DataFrame, words: int = TEXT_WORDS, segments: int = SEGMENTS, least: tuple[int, int] = SIMILARITY) -> DataFrame:
-    """``doc_id``, ``text_hash``, ``node`` (names the set of shingles; 0 without words), ``bits``, ``low`` and ``head`` (null without words) and the number ``n`` of shingles of every row."""
+    """``doc_id``, ``text_hash``, ``node`` (names the set of shingles; 0 without words), ``bits``, ``low`` and ``head`` (null without words), the number ``n`` of shingles and their ``parity`` of every row."""
     last = frequent(docs, words)
-    by_hash = np.argsort(last)
+    by_hash = np.argsort(last).astype(np.int32)
     given = docs.sparkSession.sparkContext.broadcast((last[by_hash], by_hash))
 
     def run(batches):
         common, rank = given.value
         for batch in (part for whole in batches for part in slices(whole, "text")):
-            nodes, bits, low, size, heads = [], [], [], [], []
+            nodes, bits, low, size, parity, heads = [], [], [], [], [], []
             for text in batch.column(1):
                 own = shingle_hashes(text.as_py(), words)
                 b, m = signature(own, segments) if len(own) else (None, None)
@@ -300,11 +321,12 @@ def signatures(docs: DataFrame, words: int = TEXT_WORDS, segments: int = SEGMENT
                 bits.append(b)
                 low.append(m)
                 size.append(len(own))
+                parity.append(parity_of(own))
                 heads.append(head_of(own, common, rank, least) if len(own) else None)
             yield pa.RecordBatch.from_pydict({
                 "doc_id": batch.column(0), "text_hash": batch.column(2), "node": pa.array(np.array(nodes, np.uint64).view(np.int64)),
                 "bits": pa.array(bits, pa.list_(pa.int64())), "low": pa.array(low, pa.list_(pa.int64())),
-                "n": pa.array(size, pa.int64()), "head": pa.array(heads, pa.list_(pa.int64())),
+                "n": pa.array(size, pa.int64()), "parity": pa.array(parity, pa.int64()), "head": pa.array(heads, pa.list_(pa.int64())),
             })
 
     return docs.select(F.col("doc_id").cast("long"), "text", "text_hash").mapInArrow(run, SIGNED)
@@ -414,6 +436,16 @@ def similar(pairs: DataFrame, sets: DataFrame, least: tuple[int, int] = SIMILARI
     return asked.unionByName(pivots).repartition("v", "salt").sortWithinPartitions("v", "salt", "role").mapInArrow(run, "u long, v long")
 
 
+def asked(docs: DataFrame, reps: DataFrame, names: list[str]) -> DataFrame:
+    """The rows of ``docs`` that ``reps`` has by these columns, and few others: what a join with ``reps`` needs to shuffle. The broadcast is a bit for each of PLACES hashes."""
+    place = F.pmod(F.xxhash64(*names), F.lit(PLACES))
+    placed = lambda df, more: df.select(*more, F.bitmap_bucket_number(place).alias("bucket"), F.bitmap_bit_position(place).alias("bit"))
+    maps = placed(reps, []).repartition("bucket").groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("map"))
+    byte = F.expr("cast(conv(hex(substring(map, cast(shiftright(bit, 3) AS INT) + 1, 1)), 16, 10) AS BIGINT)")
+    is_set = byte.bitwiseAND(F.expr("shiftleft(1L, cast(bit % 8 AS INT))")) != 0
+    return placed(docs, docs.columns).join(F.broadcast(maps), "bucket").where(is_set).select(docs.columns)
+
+
 def shingle_sets(docs: DataFrame, reps: DataFrame, words: int) -> DataFrame:
     """``node`` and its ``shingles``, from the text of one row for each."""
 
@@ -421,8 +453,9 @@ def shingle_sets(docs: DataFrame, reps: DataFrame, words: int) -> DataFrame:
         for batch in (part for whole in batches for part in slices(whole, "text")):
             yield pa.RecordBatch.from_pydict({"node": batch.column(0), "shingles": pa.array([shingle_hashes(x.as_py(), words).tobytes() for x in batch.column(1)], pa.binary())})
 
-    own = docs.join(reps, ["doc_id", "text_hash"]).select("node", "text").mapInArrow(run, "node long, shingles binary")
-    return own.dropDuplicates(["node"])
+    names = ["doc_id", "text_hash"]
+    own = asked(docs, reps, names).dropDuplicates(names).join(reps, names)  # repeated rows go before the join, so the sets needn't be shuffled
+    return own.select("node", "text").mapInArrow(run, "node long, shingles binary")
 
 
 def shared_heads(own: DataFrame) -> DataFrame:
@@ -456,27 +489,28 @@ def shared_heads(own: DataFrame) -> DataFrame:
 
 
 def crossings(shared: DataFrame, least: tuple[int, int] = SIMILARITY) -> DataFrame:
-    """Pairs ``u``, ``v`` of different ``part`` that may be similar, from rows ``key``, ``node``, ``n``, ``part``: all that share a key and whose sizes and number of keys allow it."""
+    """Pairs ``u``, ``v`` of different ``part`` that may be similar, from rows ``key``, ``node``, ``n``, ``parity``, ``part``: all that share a key and whose sizes, parities and number of keys allow it."""
     counted = shared.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.ceil(F.count("*") / BLOCK).alias("blocks")).where("low <> high")
     dealt = shared.join(counted.select("key", "blocks"), "key").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other")
-    rows = dealt.select("*", other).select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key"), "node", "n", "part")
+    rows = dealt.select("*", other).select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key"), "node", "n", "parity", "part")
 
-    def work(key, node, n, part):
+    def work(key, node, n, parity, part):
         at, shift = np.arange(len(key)), 1
         while len(at := at[at + shift < len(key)]):  # members come by size, so what is too large now is too large further on
             to = at + shift
             fits = (key[to] == key[at]) & (least[0] * n[to] <= least[1] * n[at])
             at, to = at[fits], to[fits]
-            u, v = node[at], node[to]
             apart = part[at] != part[to]
-            u, v = u[apart], v[apart]
-            if len(u):
-                yield pa.RecordBatch.from_pydict({"u": np.maximum(u, v), "v": np.minimum(u, v)})
+            apart &= (least[0] + least[1]) * np.bitwise_count((parity[at] ^ parity[to]).view(np.uint64)).astype(np.int64) <= (least[1] - least[0]) * (n[at] + n[to])
+            x, y = at[apart], to[apart]
+            if len(x):
+                u, v = node[x], node[y]
+                yield pa.RecordBatch.from_pydict({"u": np.maximum(u, v), "v": np.minimum(u, v), "short": n[x], "long": n[y]})
             shift += 1
 
     def run(batches):
-        held = [np.empty(0, np.int64)] * 4
+        held = [np.empty(0, np.int64)] * 5
         for batch in batches:
             held = [np.concatenate([a, batch.column(i).to_numpy()]) for i, a in enumerate(held)]
             if len(held[0]):
@@ -485,11 +519,10 @@ def crossings(shared: DataFrame, least: tuple[int, int] = SIMILARITY) -> DataFra
                 held = [a[done:] for a in held]
         yield from work(*held)
 
-    met = rows.repartition("key").sortWithinPartitions("key", "n").mapInArrow(run, "u long, v long").groupBy("u", "v").agg(F.count("*").alias("keys"))
-    sizes = shared.select("node", "n").distinct()
-    both = met.join(sizes.selectExpr("node u", "n nu"), "u").join(sizes.selectExpr("node v", "n nv"), "v")
+    met = rows.repartition("key").sortWithinPartitions("key", "n").mapInArrow(run, "u long, v long, short long, long long")
+    met = met.groupBy("u", "v", "short", "long").agg(F.count("*").alias("keys"))
     a, b = least  # what both share is among the keys, or behind the head of the one whose head ends first
-    return both.where(f"{a + b} * (keys + greatest(ceil({a} * nu / {b}), ceil({a} * nv / {b})) - 1) >= {a} * (nu + nv)").select("u", "v")
+    return met.where(f"{a + b} * (keys + ceil({a} * long / {b}) - 1) >= {a} * (short + long)").select("u", "v")
 
 
 def sets_of(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
@@ -514,8 +547,8 @@ def similar_links(texts: DataFrame, own: DataFrame, nodes: DataFrame, words: int
     pairs = materialize(meetings(keys(nodes)), "simhash-pairs")
     found = settled(pairs, sets_of(pairs, texts, nodes, words), None, least)
     parts = connected_components(found, "simhash-parts")
-    shared = materialize(shared_heads(own), "simhash-heads").join(nodes.select("node", "n"), "node").join(parts, "node", "left")
-    apart = crossings(shared.select("key", "node", "n", F.coalesce("component", "node").alias("part")), least)
+    shared = shared_heads(own).join(nodes.select("node", "n", "parity"), "node").join(parts, "node", "left")
+    apart = crossings(materialize(shared.select("key", "node", "n", "parity", F.coalesce("component", "node").alias("part")), "simhash-heads"), least)
     apart = materialize(apart.withColumn("salt", F.pmod(F.xxhash64("u"), F.lit(8))), "simhash-apart")
     if apart.isEmpty():
         return found
@@ -532,7 +565,7 @@ def decisions(docs: DataFrame, words: int = TEXT_WORDS, least: tuple[int, int] =
     """
     texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
     own = materialize(signatures(texts, words, segments, least), "simhash-signatures")
-    nodes = own.groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("low_row"), F.min(F.struct("bits", "low")).alias("x"), F.min("n").alias("n")).select("node", "low_row", "x.bits", "x.low", "n")
+    nodes = own.groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("low_row"), F.min(F.struct("bits", "low")).alias("x"), F.min("n").alias("n"), F.min("parity").alias("parity")).select("node", "low_row", "x.bits", "x.low", "n", "parity")
     nodes = materialize(nodes, "simhash-nodes")
     rooted = _rooted(nodes.select(F.col("node").alias("fp"), F.col("low_row").alias("low")), similar_links(texts, own, nodes, words, least))
     lowest = rooted.groupBy("root").agg(F.min("low").alias("lowest"))

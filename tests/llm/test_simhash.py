@@ -207,6 +207,16 @@ def test_similar_sets_share_a_shingle_of_their_heads():
         assert len(heads[0]) == n - -(-4 * n // 5) + 1
 
 
+def test_parities_differ_no_more_than_sets():
+    rng = np.random.default_rng(5)
+    for n in [0, 1, 5, 40, 300] * 10:
+        a, b = (rng.integers(0, 1 << 63, n).astype(np.uint64) for _ in range(2))
+        b = np.unique(np.concatenate([a[: n * 4 // 5], b[: n // 5]]))
+        differing = bin((simhash.parity_of(np.unique(a)) ^ simhash.parity_of(b)) & ((1 << 64) - 1)).count("1")
+        assert differing <= len(np.setxor1d(a, b))
+    assert simhash.parity_of(np.array([63, 127, 0], np.uint64)) == 1 and simhash.parity_of(np.array([63], np.uint64)) == -(1 << 63)
+
+
 def test_shared_heads_are_those_of_several_nodes(spark):
     rng = random.Random(6)
     rows = [(n, [rng.randrange(300) for _ in range(rng.randrange(1, 9))]) for n in range(200) for _ in range(rng.choice([1, 1, 3]))]
@@ -223,6 +233,36 @@ def test_shared_heads_are_those_of_several_nodes(spark):
     assert sorted(got) == sorted((k, n) for k, own in held.items() if len(own) > 1 for n in own)
 
 
+def test_frequent_shingles_are_known_in_large_tables(spark):
+    """Passages of 80 among 82,000 texts: were they not known, each would make thousands of pairs, and the more the larger the table."""
+    n, each = 82_000, 80
+    docs = spark.range(n).selectExpr("id doc_id", f"concat('a b c d p', id div {each}) text").repartition(8)
+    found = simhash.frequent(docs)
+    passages = {int(simhash.shingle_hashes(f"a b c d p{k}")[0]) for k in range(-(-n // each))}
+    assert set(found.tolist()) <= passages and len(found) >= 0.9 * len(passages)
+
+
+def test_frequent_shingles_come_by_number_and_whole_counts_are_left_out(spark, monkeypatch):
+    texts = [w for w, n in (("a", 1), ("b", 2), ("c", 3), ("d", 3), ("e", 5)) for _ in range(n)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    name = {int(simhash.shingle_hashes(w)[0]): w for w in "abcde"}
+    for most, want in ((4, "bcde"), (3, "cde"), (2, "e"), (0, "")):
+        monkeypatch.setattr(simhash, "FREQUENT", (2, most))
+        got = [name[x] for x in simhash.frequent(docs).tolist()]
+        assert sorted(got) == list(want) and sorted(map(texts.count, got)) == list(map(texts.count, got))
+
+
+@pytest.mark.parametrize("places", [1 << 24, 1 << 15, 100])
+def test_asked_rows_are_all_there(spark, monkeypatch, places):
+    monkeypatch.setattr(simhash, "PLACES", places)
+    docs = spark.range(5000).selectExpr("id doc_id", "-7919 * id text_hash", "cast(id AS string) text")
+    reps = docs.where("doc_id % 37 = 0").select("doc_id", "text_hash", F.lit(1).alias("node"))
+    got = [r["doc_id"] for r in simhash.asked(docs, reps, ["doc_id", "text_hash"]).collect()]
+    assert len(got) == len(set(got)) and set(range(0, 5000, 37)) <= set(got)
+    assert places == 100 or len(got) < 200
+    assert simhash.asked(docs, reps.limit(0), ["doc_id", "text_hash"]).isEmpty()
+
+
 def test_meetings_are_whole_or_stars(spark, monkeypatch):
     monkeypatch.setattr(simhash, "FEW", 3)
     monkeypatch.setattr(simhash, "BLOCK", 5)
