@@ -16,6 +16,7 @@ keys. What met is verified on the shingles themselves: no pair below the similar
 Where keys lead to no meeting, or a large key compares its members with one of them only, an exact search makes up for it: all shingles are put in one
 order, rare ones first, and each set is known by its ``head``, so many of its first shingles that two sets of the similarity share one. Sets of
 different components that share a shingle of their heads are compared, unless sizes, parities or the number of shingles shared rule it out; so no link between components is lost.
+Of all pairs, however found, texts are fetched only where the sketches of both sets (size and parities) leave the similarity possible.
 
 A key with more than ``LIMIT`` fingerprints isn't worked off in one task: its members are dealt into blocks, and each
 pair of blocks becomes a group of its own, so the check stays exact and spreads over the cluster.
@@ -295,17 +296,33 @@ def head_of(hashes: np.ndarray, common: np.ndarray, rank: np.ndarray, least: tup
     return hashes[:length].view(np.int64)
 
 
+def parities_of(hashes: np.ndarray) -> np.ndarray:
+    """Bits, a power of two and as many as hashes or 64 at least, each the parity of the number of hashes that end in its place's bits: those of two sets differ in no more places than the sets have shingles one without the other."""
+    places = 1 << max(6, (len(hashes) - 1).bit_length())
+    odd = np.bincount((hashes & np.uint64(places - 1)).astype(np.int64), minlength=places) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
+def folded(parities: np.ndarray, words: int) -> np.ndarray:
+    """What fewer places would have held, 64 a word."""
+    return np.bitwise_xor.reduce(parities.reshape(-1, words), axis=0)
+
+
 def parity_of(hashes: np.ndarray) -> int:
-    """64 bits, each the parity of the number of hashes that end in its six bits: those of two sets differ in no more places than the sets have shingles one without the other."""
-    odd = np.bincount((hashes & np.uint64(63)).astype(np.int64), minlength=64) & 1
-    return int(np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)[0])
+    """The same in 64 bits, by the last six bits of the hashes."""
+    return int(folded(parities_of(hashes), 1)[0])
+
 
+def sketch_of(hashes: np.ndarray) -> bytes:
+    """The number of the hashes and their parities."""
+    return np.concatenate([[len(hashes)], parities_of(hashes)]).astype("<i8").tobytes()
 
-SIGNED = "doc_id long, text_hash long, node long, bits array<long>, low array<long>, n long, parity long, head array<long>"
+
+SIGNED = "doc_id long, text_hash long, node long, bits array<long>, low array<long>, n long, parity long, sketch binary, head array<long>"
 
 
 def signatures(docs: DataFrame, words: int = TEXT_WORDS, segments: int = SEGMENTS, least: tuple[int, int] = SIMILARITY) -> DataFrame:
-    """``doc_id``, ``text_hash``, ``node`` (names the set of shingles; 0 without words), ``bits``, ``low`` and ``head`` (null without words), the number ``n`` of shingles and their ``parity`` of every row."""
+    """``doc_id``, ``text_hash``, ``node`` (names the set of shingles; 0 without words), ``bits``, ``low`` and ``head`` (null without words), the number ``n`` of shingles, their ``parity`` and ``sketch`` of every row."""
     last = frequent(docs, words)
     by_hash = np.argsort(last).astype(np.int32)
     given = docs.sparkSession.sparkContext.broadcast((last[by_hash], by_hash))
@@ -313,7 +330,7 @@ def signatures(docs: DataFrame, words: int = TEXT_WORDS, segments: int = SEGMENT
     def run(batches):
         common, rank = given.value
         for batch in (part for whole in batches for part in slices(whole, "text")):
-            nodes, bits, low, size, parity, heads = [], [], [], [], [], []
+            nodes, bits, low, size, parity, sketch, heads = [], [], [], [], [], [], []
             for text in batch.column(1):
                 own = shingle_hashes(text.as_py(), words)
                 b, m = signature(own, segments) if len(own) else (None, None)
@@ -322,11 +339,12 @@ def signatures(docs: DataFrame, words: int = TEXT_WORDS, segments: int = SEGMENT
                 low.append(m)
                 size.append(len(own))
                 parity.append(parity_of(own))
+                sketch.append(sketch_of(own))
                 heads.append(head_of(own, common, rank, least) if len(own) else None)
             yield pa.RecordBatch.from_pydict({
                 "doc_id": batch.column(0), "text_hash": batch.column(2), "node": pa.array(np.array(nodes, np.uint64).view(np.int64)),
                 "bits": pa.array(bits, pa.list_(pa.int64())), "low": pa.array(low, pa.list_(pa.int64())),
-                "n": pa.array(size, pa.int64()), "parity": pa.array(parity, pa.int64()), "head": pa.array(heads, pa.list_(pa.int64())),
+                "n": pa.array(size, pa.int64()), "parity": pa.array(parity, pa.int64()), "sketch": pa.array(sketch, pa.binary()), "head": pa.array(heads, pa.list_(pa.int64())),
             })
 
     return docs.select(F.col("doc_id").cast("long"), "text", "text_hash").mapInArrow(run, SIGNED)
@@ -337,8 +355,9 @@ def shared_only(rows: DataFrame, key: str, most: int = LIMIT) -> DataFrame:
     counted = materialize(rows.groupBy(key).agg(F.count("*").alias("n")).where("n > 1"), "simhash-shared")
     total = counted.agg(F.sum("n")).first()[0] or 0
     hot = F.col("n") > max(most, total // 1000)
-    many = F.broadcast(counted.where(hot).select(key))
-    return rows.join(many, key, "left_semi").unionByName(rows.join(many, key, "left_anti").join(counted.where(~hot).select(key), key, "left_semi"))
+    many, others = F.broadcast(counted.where(hot).select(key)), counted.where(~hot).select(key)
+    few = asked(rows.join(many, key, "left_anti"), others, [key]).join(others, key)  # a semi join would be done before the bits are looked up
+    return rows.join(many, key, "left_semi").unionByName(few.select(rows.columns))
 
 
 def keys(nodes: DataFrame) -> DataFrame:
@@ -411,29 +430,53 @@ def meetings(keyed: DataFrame) -> DataFrame:
     return met.groupBy("u", "v").agg(F.min("salt").alias("salt"))
 
 
-def similar(pairs: DataFrame, sets: DataFrame, least: tuple[int, int] = SIMILARITY) -> DataFrame:
-    """Those of the pairs ``u``, ``v`` whose sets of shingles are similar. Each ``v`` meets its partners of one ``salt`` in one run, and travels once for them."""
-    asked = pairs.join(sets.withColumnRenamed("node", "u"), "u").selectExpr("v", "salt", "1 role", "u node", "shingles")
-    pivots = pairs.select("v", "salt").distinct().join(sets.withColumnRenamed("node", "v"), "v").selectExpr("v", "salt", "0 role", "v node", "shingles")
+def compared(pairs: DataFrame, held: DataFrame, alike) -> DataFrame:
+    """Those of the pairs ``u``, ``v``, ``salt`` that are ``alike`` by the words of 64 bits that ``held`` has of each ``node``. Each ``v`` meets its partners of one ``salt`` in one run, and travels once for them."""
+    name = next(c for c in held.columns if c != "node")
+    partners = pairs.join(held.withColumnRenamed("node", "u"), "u").selectExpr("v", "salt", "1 role", "u node", f"{name} held")
+    pivots = pairs.select("v", "salt").distinct().join(held.withColumnRenamed("node", "v"), "v").selectExpr("v", "salt", "0 role", "v node", f"{name} held")
 
     def run(batches):
         pivot = np.empty(0, np.uint64)
         for batch in batches:
-            u, v = [], []
-            for own, role, node, shingles in zip(*(batch.column(c).to_pylist() for c in ("v", "role", "node", "shingles")), strict=True):
-                held = np.frombuffer(shingles, "<u8")
+            found = []
+            for v, salt, role, node, words in zip(*(batch.column(c).to_pylist() for c in ("v", "salt", "role", "node", "held")), strict=True):
+                own = np.frombuffer(words, "<u8")
                 if role == 0:
-                    pivot = held
-                    continue
-                short, long = (held, pivot) if len(held) < len(pivot) else (pivot, held)
-                at = np.minimum(np.searchsorted(long, short), len(long) - 1)
-                both = int((long[at] == short).sum())
-                if least[1] * both >= least[0] * (len(held) + len(pivot) - both):
-                    u.append(node)
-                    v.append(own)
-            yield pa.RecordBatch.from_pydict({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+                    pivot = own
+                elif alike(own, pivot):
+                    found.append((node, v, salt))
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in range(3)], ["u", "v", "salt"])
+
+    met = partners.unionByName(pivots).repartition("v", "salt").sortWithinPartitions("v", "salt", "role")
+    return met.mapInArrow(run, "u long, v long, salt long")
+
+
+def similar(pairs: DataFrame, sets: DataFrame, least: tuple[int, int] = SIMILARITY) -> DataFrame:
+    """Those of the pairs ``u``, ``v`` whose sets of shingles are similar."""
+
+    def alike(a, b):
+        short, long = (a, b) if len(a) < len(b) else (b, a)
+        at = np.minimum(np.searchsorted(long, short), len(long) - 1)
+        both = int((long[at] == short).sum())
+        return least[1] * both >= least[0] * (len(a) + len(b) - both)
+
+    return compared(pairs, sets, alike).select("u", "v")
+
+
+def possible(pairs: DataFrame, nodes: DataFrame, least: tuple[int, int] = SIMILARITY) -> DataFrame:
+    """The pairs ``u``, ``v``, ``salt`` but those that sizes and parities of their sets rule out: similar sets have few shingles one without the other."""
+
+    def alike(a, b):
+        short, long = sorted((int(a[0]), int(b[0])))
+        if least[0] * long > least[1] * short:
+            return False
+        words = min(len(a), len(b)) - 1
+        apart = int(np.bitwise_count(folded(a[1:], words) ^ folded(b[1:], words)).sum())
+        return (least[0] + least[1]) * apart <= (least[1] - least[0]) * (short + long)
 
-    return asked.unionByName(pivots).repartition("v", "salt").sortWithinPartitions("v", "salt", "role").mapInArrow(run, "u long, v long")
+    involved = pairs.select(F.explode(F.array("u", "v")).alias("node"))
+    return compared(pairs, materialize(asked(nodes.select("node", "sketch"), involved, ["node"]), "simhash-sketches"), alike)
 
 
 def asked(docs: DataFrame, reps: DataFrame, names: list[str]) -> DataFrame:
@@ -544,12 +587,13 @@ def settled(pairs: DataFrame, sets: DataFrame, known: DataFrame | None, least: t
 
 def similar_links(texts: DataFrame, own: DataFrame, nodes: DataFrame, words: int = TEXT_WORDS, least: tuple[int, int] = SIMILARITY) -> DataFrame:
     """Verified links ``u``, ``v`` that connect all ``nodes`` that are similar: first of those that met, then of all that are in different components still."""
-    pairs = materialize(meetings(keys(nodes)), "simhash-pairs")
+    pairs = materialize(possible(materialize(meetings(keys(nodes)), "simhash-meetings"), nodes, least), "simhash-pairs")
     found = settled(pairs, sets_of(pairs, texts, nodes, words), None, least)
     parts = connected_components(found, "simhash-parts")
     shared = shared_heads(own).join(nodes.select("node", "n", "parity"), "node").join(parts, "node", "left")
     apart = crossings(materialize(shared.select("key", "node", "n", "parity", F.coalesce("component", "node").alias("part")), "simhash-heads"), least)
-    apart = materialize(apart.withColumn("salt", F.pmod(F.xxhash64("u"), F.lit(8))), "simhash-apart")
+    apart = materialize(apart.withColumn("salt", F.pmod(F.xxhash64("u"), F.lit(8))), "simhash-crossings")
+    apart = materialize(possible(apart, nodes, least), "simhash-apart")
     if apart.isEmpty():
         return found
     sets = sets_of(apart, texts, nodes, words)
@@ -565,7 +609,7 @@ def decisions(docs: DataFrame, words: int = TEXT_WORDS, least: tuple[int, int] =
     """
     texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
     own = materialize(signatures(texts, words, segments, least), "simhash-signatures")
-    nodes = own.groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("low_row"), F.min(F.struct("bits", "low")).alias("x"), F.min("n").alias("n"), F.min("parity").alias("parity")).select("node", "low_row", "x.bits", "x.low", "n", "parity")
+    nodes = own.groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("low_row"), F.min(F.struct("bits", "low", "n", "parity", "sketch")).alias("x")).select("node", "low_row", "x.*")
     nodes = materialize(nodes, "simhash-nodes")
     rooted = _rooted(nodes.select(F.col("node").alias("fp"), F.col("low_row").alias("low")), similar_links(texts, own, nodes, words, least))
     lowest = rooted.groupBy("root").agg(F.min("low").alias("lowest"))

@@ -217,6 +217,47 @@ def test_parities_differ_no_more_than_sets():
     assert simhash.parity_of(np.array([63, 127, 0], np.uint64)) == 1 and simhash.parity_of(np.array([63], np.uint64)) == -(1 << 63)
 
 
+def test_pairs_are_ruled_out_without_texts_and_no_similar_one_is(spark):
+    """Sketches leave every pair of 0.8 or more, at sizes around the threshold, and hardly any of those far below."""
+    rng = np.random.default_rng(9)
+    sets, pairs = [], []
+    for n in [1, 2, 4, 5, 6, 9, 10, 50, 300, 3000] * 12:
+        pool = rng.integers(0, 1 << 63, 2 * n).astype(np.uint64)
+        cut = int(n * rng.choice([0, 0.08, 0.1, 0.11, 0.125, 0.2, 0.4]))
+        pairs.append((len(sets) + 1, len(sets), int(rng.integers(0, 3))))
+        sets += [np.unique(pool[:n]), np.unique(pool[cut : n + cut])]
+    nodes = spark.createDataFrame([(i, bytearray(simhash.sketch_of(x))) for i, x in enumerate(sets)], "node long, sketch binary").repartition(3)
+    got = {(r["u"], r["v"], r["salt"]) for r in simhash.possible(spark.createDataFrame(pairs, "u long, v long, salt long"), nodes).collect()}
+    alike = lambda a, b: len(np.intersect1d(a, b)) / len(np.union1d(a, b))
+    near = {p for p in pairs if alike(sets[p[0]], sets[p[1]]) >= 0.8}
+    assert near <= got <= set(pairs) and len(near) > 40
+    assert not [p for p in got if len(sets[p[0]]) in (50, 300, 3000) and alike(sets[p[0]], sets[p[1]]) < 0.5]
+
+
+def test_texts_are_asked_for_where_pairs_may_be_similar(spark, monkeypatch):
+    """Texts that share a passage and meet in their keys or heads, but aren't alike: no shingles of theirs are shuffled."""
+    rng = random.Random(13)
+    fetched = []
+    monkeypatch.setattr(simhash, "sets_of", lambda pairs, *more, own=simhash.sets_of: fetched.append(own(pairs, *more)) or fetched[-1])
+    passages = [[f"p{k}x{i}" for i in range(100)] for k in range(10)]
+    texts = [" ".join([*passages[i % 10], *(f"w{rng.random()}" for _ in range(60))]) for i in range(80)]
+    texts += [" ".join(altered(rng, t.split(), 0.85)) for t in texts[:5]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    assert gone_of(docs) == {80, 81, 82, 83, 84}
+    assert sum(x.count() for x in fetched) == 10
+
+
+@pytest.mark.parametrize("most", [4096, 5])
+def test_rows_of_shared_keys(spark, monkeypatch, most):
+    rng = random.Random(14)
+    rows = [(k, i) for i, k in enumerate([rng.randrange(10_000) for _ in range(3000)] + [-1] * 40)]
+    want = [r for r in rows if sum(k == r[0] for k, _ in rows) > 1]
+    for places in (1 << 24, 64):
+        monkeypatch.setattr(simhash, "PLACES", places)
+        got = simhash.shared_only(spark.createDataFrame(rows, "met long, node long").repartition(3), "met", most)
+        assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
 def test_shared_heads_are_those_of_several_nodes(spark):
     rng = random.Random(6)
     rows = [(n, [rng.randrange(300) for _ in range(rng.randrange(1, 9))]) for n in range(200) for _ in range(rng.choice([1, 1, 3]))]
