@@ -10,10 +10,10 @@ A series that holds most of the rows spreads over as many tasks as it has blocks
 
 from __future__ import annotations
 
-import math
-import sys
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
@@ -24,8 +24,8 @@ SIZE = 1 << 16
 ROW, BLOCK, HALO = "__row", "__block", "__halo"
 #: A spread below this share of the mean is rounding: a series of equal values has none.
 ROUNDING = 1e-14
-#: Logarithms of the largest and the smallest double.
-HIGHEST, LOWEST = math.log(sys.float_info.max), math.log(5e-324)
+#: So many values, and so many of their products, are multiplied in one go.
+FAN = 16
 
 
 def placed(df: DataFrame, by: list[str], order: list[str]) -> DataFrame:
@@ -83,8 +83,8 @@ KINDS = {"max": (F.max, F.greatest), "sum": (F.sum, lambda a, b: F.coalesce(a +
 def running(rows: DataFrame, by: list[str], states: dict[str, tuple[str, str]], size: int = SIZE, block: str | None = None, at: str = ROW) -> DataFrame:
     """Add states of all rows so far, the row included: ``states`` maps a name to a kind and a column.
 
-    ``moments`` gives ``<name>_n``, ``<name>_mean`` and ``<name>_m2`` (sum of squared deviations), ``max``, ``sum``, ``product``, ``first`` and ``last`` (value
-    that isn't missing) give ``<name>``; missing values are left out. A product may leave the range of doubles where ``products`` wouldn't. ``rows`` come from ``placed``, or have a column ``block`` of their own whose order agrees with ``at``'s.
+    ``moments`` gives ``<name>_n``, ``<name>_mean`` and ``<name>_m2`` (sum of squared deviations), ``max``, ``sum``, ``product`` and ``last`` (value
+    that isn't missing) give ``<name>``; missing values are left out. A product near the end of the doubles is ``products``' to tell. ``rows`` come from ``placed``, or have a column ``block`` of their own whose order agrees with ``at``'s.
     """
     if block is None:
         block = BLOCK
@@ -111,11 +111,6 @@ def running(rows: DataFrame, by: list[str], states: dict[str, tuple[str, str]],
             carried[p] = F.max(t).over(earlier)["v"]
             own[i] = F.last(v, ignorenulls=True).over(inside)
             found[name] = F.coalesce(i, p)
-        elif kind == "first":
-            totals.append(F.min(F.when(F.col(v).isNotNull(), F.struct(at, F.col(v).alias("v")))).alias(t))
-            carried[p] = F.min(t).over(earlier)["v"]
-            own[i] = F.first(v, ignorenulls=True).over(inside)
-            found[name] = F.coalesce(p, i)
         elif kind in KINDS:
             f, both = KINDS[kind]
             totals.append(f(v).alias(t))
@@ -129,18 +124,90 @@ def running(rows: DataFrame, by: list[str], states: dict[str, tuple[str, str]],
     return out.withColumns(found).drop(*own, *carried, *([BLOCK] if block == BLOCK else []))
 
 
+def multiplied(values: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of rows of FAN ** m ``values``: what the ``start`` of each comes to after 0, 1, ... of them, and the product of all.
+
+    FAN values in order make a product, FAN of those the next; what comes to a place is multiplied from the largest products of what lies before it to the single values.
+    """
+    levels = [values]
+    while levels[-1].shape[1] > 1:
+        levels.append(np.multiply.accumulate(levels[-1].reshape(len(values), -1, FAN), axis=2)[:, :, -1])
+    so_far = start[:, None]
+    for own in levels[-2::-1]:
+        own = own.reshape(len(values), -1, FAN)[:, :, :-1]
+        so_far = np.multiply.accumulate(np.concatenate([so_far[:, :, None], own], axis=2), axis=2).reshape(len(values), -1)
+    return so_far, levels[-1][:, 0]
+
+
 def products(rows: DataFrame, by: list[str], out: str, v: str, size: int = SIZE) -> DataFrame:
-    """Add the product of all rows so far as multiplying row by row gives it: from where it overflows on it is infinite, from where it vanishes on 0.
+    """Add the product of all rows so far, NULL before the first value, multiplied in the order of SQL's window product: FAN by FAN, as ``multiplied`` has it.
 
-    Products of blocks don't show what happened on the way, so logarithms do; where a block alone leaves the range of doubles they stand in for its product.
+    Where doubles end the order decides: a product may be infinite on one row and finite again on a later one whose rows are multiplied in other parts. Blocks are of
+    the power of FAN up to ``size``, so each has the product of whole parts, and one row a block says what comes before it.
     """
-    size_of = F.when(F.col(v) == 0, float("-inf")).otherwise(F.ln(F.abs(v)))
-    rows = running(rows.withColumns({"__log": size_of, "__sign": F.signum(v)}), by, {"__p": ("product", v), "__g": ("sum", "__log"), "__s": ("product", "__sign")}, size)
-    p, g, s = (F.col(c) for c in ("__p", "__g", "__s"))
-    beyond = F.when(F.isnan(g), None).when(g > HIGHEST, float("inf")).when(g < LOWEST, 0.0)
-    rows = running(rows.withColumn("__beyond", beyond), by, {"__end": ("first", "__beyond")}, size)
-    whole = (p != 0) & (F.abs(p) < float("inf"))
-    return rows.withColumn(out, F.coalesce(s * F.col("__end"), F.when(whole, p).otherwise(s * F.exp(g)))).drop("__log", "__sign", "__p", "__g", "__s", "__beyond", "__end")
+    depth = next(m for m in range(1, 16) if FAN ** (m + 1) > size)
+    block, before, after = FAN**depth, "__before", "__after"
+    dealt = rows.withColumn(BLOCK, F.expr(f"{ROW} div {block}"))
+
+    def whole(batches):
+        """Tables that end where a block does."""
+        held = []
+        for batch in batches:
+            starts = np.flatnonzero(batch.column(ROW).to_numpy() % block == 0)
+            if len(starts):
+                if done := [*held, batch.slice(0, starts[-1])]:
+                    yield pa.Table.from_batches(done)
+                held, batch = [], batch.slice(starts[-1])
+            held.append(batch)
+        if held:
+            yield pa.Table.from_batches(held)
+
+    def laid(table):
+        """Values block by block, 1 where there are none, their places, and whether there are any so far."""
+        row, column = table[ROW].to_numpy(), table[v].cast(pa.float64())
+        at, place = np.cumsum(row % block == 0) - 1, row % block
+        values, any_ = np.ones((at[-1] + 1, block)), np.zeros((at[-1] + 1, block), bool)
+        values[at, place] = column.fill_null(1.0).to_numpy()
+        any_[at, place] = column.is_valid().to_numpy()
+        return values, np.logical_or.accumulate(any_, axis=1), at, place
+
+    def parts(batches):
+        with np.errstate(all="ignore"):
+            for table in whole(batches):
+                if table.num_rows:
+                    values, any_, _, place = laid(table)
+                    own = multiplied(values, np.ones(len(values)))[1]
+                    yield from table.select([*by, BLOCK]).filter(place == 0).append_column("__part", pa.array(own, mask=~any_[:, -1])).to_batches()
+
+    def ends(table: pa.Table) -> pa.Table:
+        table = table.sort_by(BLOCK)
+        n, values = len(table), np.ones(FAN ** next(m for m in range(1, 16) if FAN**m > len(table)))
+        values[:n] = table["__part"].fill_null(1.0).to_numpy()
+        any_ = np.concatenate([[False], np.logical_or.accumulate(table["__part"].is_valid().to_numpy())])
+        with np.errstate(all="ignore"):
+            so_far = multiplied(values[None], np.ones(1))[0][0, : n + 1]
+        return table.select([*by, BLOCK]).append_column(before, pa.array(so_far[:-1], mask=~any_[:-1])).append_column(after, pa.array(so_far[1:], mask=~any_[1:]))
+
+    def run(batches):
+        with np.errstate(all="ignore"):
+            for table in whole(batches):
+                if table.num_rows:
+                    values, any_, at, place = laid(table)
+                    first = place == 0
+                    start, end = (table[c].filter(first) for c in (before, after))
+                    so_far = multiplied(values, start.fill_null(1.0).to_numpy())[0]
+                    found = np.concatenate([so_far[:, 1:], end.fill_null(1.0).to_numpy()[:, None]], axis=1)[at, place]
+                    missing = ~(any_ | start.is_valid().to_numpy()[:, None])[at, place]
+                    yield from table.drop([BLOCK, before, after]).append_column(out, pa.array(found, mask=missing)).to_batches()
+
+    def types(df: DataFrame, names: list[str]) -> str:
+        return ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in names)
+
+    ordered = lambda df: df.repartition(*by, BLOCK).sortWithinPartitions(*by, ROW)
+    keys = types(dealt, [*by, BLOCK])
+    own = ordered(dealt.select(*by, BLOCK, ROW, v)).mapInArrow(parts, f"{keys}, __part double")
+    carried = own.groupBy(*by).applyInArrow(ends, f"{keys}, {before} double, {after} double")
+    return ordered(dealt.join(carried, [*by, BLOCK]).select(*dealt.columns, before, after)).mapInArrow(run, f"{types(rows, rows.columns)}, `{out}` double")
 
 
 def zscore(name: str, v: str, min_periods: int) -> Column:

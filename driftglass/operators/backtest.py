@@ -187,9 +187,9 @@ def run_in_blocks(bars: DataFrame, order: list[str], warmup: int = WARMUP, cost_
     df = each_strategy(decided, list(STRATEGIES), "i", "n", "entry", "exit", blocked.ROW, *more).withColumn("held", F.when(live(warmup), F.col("weight")))
     df = blocked.over_blocks(df, keys, order, lambda x, w: x.withColumn("__earlier", F.lag("held").over(w)), 1, 0, size)
     df = blocked.running(df, keys, {"before": ("last", "__earlier")}, size).withColumn("before", F.coalesce("before", F.lit(0.0))).withColumn("factor", growth(cost_bps))
-    df = blocked.over_blocks(df, keys, order, lambda x, w: x.withColumn("__settled", F.lag("factor", 2).over(w)), 2, 0, size)
-    df = blocked.products(df, keys, "equity", "__settled", size).withColumn("equity", F.coalesce("equity", F.lit(1.0)))
-    return df.where(F.col("i") >= warmup).drop("factor", "weight", "__earlier", "__settled", blocked.ROW)
+    df = blocked.products(df.drop("weight", "__earlier"), keys, "__grown", "factor", size)
+    df = blocked.over_blocks(df, keys, order, lambda x, w: x.withColumn("equity", F.coalesce(F.lag("__grown", 2).over(w), F.lit(1.0))), 2, 0, size)
+    return df.where(F.col("i") >= warmup).drop("factor", "__grown", blocked.ROW)
 
 
 def trades(equity: DataFrame) -> DataFrame:

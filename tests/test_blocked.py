@@ -70,6 +70,27 @@ def test_products_end_where_doubles_do(spark, size):
     close_to(blocked.products(rows, ["symbol"], "p", "v", size), rows.withColumn("p", F.product("v").over(whole().rowsBetween(ind.FIRST, 0))), ["p"])
 
 
+@pytest.mark.parametrize("size", [1, 16, 300, 10_000])
+def test_products_are_those_of_sql(spark, size):
+    """Bit for bit, also where the order of multiplying decides whether a product is infinite, and whether it is finite again later."""
+    import duckdb
+
+    rng = random.Random(8)
+    back = [1e300] + [1.0] * 15 + [1e10] + [1.0] * 14 + [1e-10, 2.0]
+    factors = {"back": back * 20, "down": [1 / f for f in back] * 9, "long": [rng.lognormvariate(0, 0.3) if rng.random() > 0.1 else None for _ in range(5000)], "late": [None] * 40 + [2.0], "none": [None] * 20}
+    table = [(k, i, v) for k, own in factors.items() for i, v in enumerate(own)]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE t (symbol VARCHAR, ts BIGINT, v DOUBLE)")
+    con.executemany("INSERT INTO t VALUES (?, ?, ?)", table)
+    one = "SELECT symbol, ts, product(v) OVER (ORDER BY ts ROWS UNBOUNDED PRECEDING) FROM t WHERE symbol = ?"  # DuckDB may lay several series end to end, and multiplies across
+    want = sorted(r for k in factors for r in con.execute(one, [k]).fetchall())
+    rows = blocked.placed(spark.createDataFrame(table, "symbol string, ts long, v double").repartition(3), ["symbol"], ["ts"])
+    got = sorted(map(tuple, blocked.products(rows, ["symbol"], "p", "v", size).select("symbol", "ts", "p").collect()))
+    assert got == want
+    infinite = [p == float("inf") for k, i, p in got if k == "back"]
+    assert infinite[16] and not infinite[31]  # row by row it would stay infinite
+
+
 def test_scores_and_drawdowns(series):
     got = blocked.drawdown(blocked.expanding_zscore(series, "z", "close", ["symbol"], ["ts"], 60, 50), "dd", "close", ["symbol"], ["ts"], 50)
     close_to(got, ind.drawdown(ind.expanding_zscore(series, "z", "close", whole(), 60), "dd", "close", whole()), ["z", "dd"])
